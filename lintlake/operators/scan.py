@@ -166,14 +166,20 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
          & rule.file_when(content, path)).alias(f"flag_{i}")
         for i, rule in by_scope["line"] if rule.file_when is not None
     ]
+    # Every array is computed in a projection of its own before it is exploded: an
+    # expression inside a generator is interpreted, and a sibling of one would be
+    # evaluated again for each line it yields.
     staged = texts.select(
         "repo_id", "path", "language", *flags,
         _for_language(language, {n: whole_file(n) for n in languages}, empty).alias("file_hits"),
-        F.posexplode(F.when(has_lines, split_lines(content)).otherwise(F.array(F.lit("")))).alias("pos", "text"),
+        F.when(has_lines, split_lines(content)).otherwise(F.array(F.lit(""))).alias("lines"),
     )
+    flag_names = [f"flag_{i}" for i, rule in by_scope["line"] if rule.file_when is not None]
+    lines = staged.select(
+        "repo_id", "path", "language", *flag_names, "file_hits", F.posexplode_outer("lines").alias("pos", "text")
+    ).withColumn("code", strip_comments(language, F.col("text")))
 
-    text = F.col("text")
-    code = strip_comments(language, text)
+    text, code = F.col("text"), F.col("code")
 
     def own_lines(name: str, rules: list[tuple[int, Rule]]) -> Column:
         if name in ("javascript", "sql"):
@@ -194,7 +200,12 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
     )
     first = F.when(F.col("pos") == 0, F.col("file_hits"))
     hits = F.flatten(F.array_compact(F.array(own, everywhere, first)))
-    return staged.select("repo_id", "path", F.explode(hits).alias("hit")).select("repo_id", "path", "hit.*")
+    # The outer form: for the inner one the optimizer adds a size(hits) > 0 filter
+    # below the explode, which would evaluate every regex twice.
+    exploded = lines.select("repo_id", "path", hits.alias("hits")).select(
+        "repo_id", "path", F.explode_outer("hits").alias("hit")
+    )
+    return exploded.where(F.col("hit").isNotNull()).select("repo_id", "path", "hit.*")
 
 
 def rule_table(spark, rulebook: Sequence[Rule] = RULEBOOK) -> DataFrame:
