@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.plans.templates import pick_column, pick_sql
+from lintlake.plans.templates import pick_sql
 
 # (path, planted text) per file kind; kind = doc_id % 8, entry = (doc_id / 8) % length.
 PLANTED: list[list[tuple[str, str]]] = [
@@ -120,21 +120,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pick(kind, entry, which: int):
+    """The template of an id: a constant table of texts, indexed twice."""
+    tables = F.array(*[F.array(*[F.lit(e[which]) for e in entries]) for entries in PLANTED])
+    mine = F.element_at(tables, (kind + 1).cast("int"))
+    return F.element_at(mine, (F.pmod(entry, F.size(mine)) + 1).cast("int"))
+
+
+def fill(template, names: dict):
+    """Replace ``{name}`` in a template column."""
+    for name, value in names.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
+
+
 def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, repo_id, path, content, size): every document as one source file."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     names = {**hash_names(F.col("doc_id")), "src": F.col("source")}
     kind, entry = F.pmod("doc_id", F.lit(8)), F.floor(F.col("doc_id") / 8)
-    path = planted = None
-    for k, entries in enumerate(PLANTED):
-        chosen = F.pmod(entry, F.lit(len(entries)))
-        here = pick_column(chosen, [p for p, _ in entries], names)
-        text = pick_column(chosen, [t for _, t in entries], names)
-        path = F.when(kind == k, here) if path is None else path.when(kind == k, here)
-        planted = F.when(kind == k, text) if planted is None else planted.when(kind == k, text)
-    content = F.concat(F.col("text"), F.lit("\n"), planted)
     return documents.select(
-        "doc_id", F.col("source").alias("repo_id"), path.alias("path"), content.alias("content"),
+        "doc_id", F.col("source").alias("repo_id"), fill(_pick(kind, entry, 0), names).alias("path"),
+        F.concat(F.col("text"), F.lit("\n"), fill(_pick(kind, entry, 1), names)).alias("content"),
     ).withColumn("size", F.octet_length("content").cast("long"))
 
 

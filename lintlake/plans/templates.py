@@ -1,28 +1,18 @@
-"""Small text templates that render to a Spark column and to the same SQL text.
+"""Small text templates as SQL text, for the SQL checks.
 
 ``{name}`` stands for a named value; everything else is literal. The registered
-queries derive their inputs from the given tables with these templates, and the
-SQL checks derive the very same inputs.
+queries derive their inputs from the given tables with the same templates.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 def _parts(template: str) -> list[str]:
     return [p for p in re.split(r"(\{\w+\})", template) if p]
 
 
-def render_column(template: str, names: dict[str, Column]) -> Column:
-    return F.concat(*[
-        names[p[1:-1]] if re.fullmatch(r"\{\w+\}", p) and p[1:-1] in names else F.lit(p) for p in _parts(template)
-    ])
-
-
 def sql_text(value: str) -> str:
     """A SQL string literal; line breaks as chr(10)."""
     pieces = ["'" + piece.replace("'", "''") + "'" for piece in value.split("\n")]
@@ -35,14 +25,6 @@ def render_sql(template: str, names: dict[str, str]) -> str:
     ) + ")"
 
 
-def pick_column(selector: Column, templates: list[str], names: dict[str, Column]) -> Column:
-    out = None
-    for i, template in enumerate(templates):
-        value = render_column(template, names)
-        out = F.when(selector == i, value) if out is None else out.when(selector == i, value)
-    return out
-
-
 def pick_sql(selector: str, templates: list[str], names: dict[str, str]) -> str:
     cases = " ".join(f"WHEN {i} THEN {render_sql(t, names)}" for i, t in enumerate(templates))
     return f"CASE {selector} {cases} END"
