@@ -113,13 +113,13 @@ def _line_sql(i: int, rule: Rule) -> str:
     elif rule.languages[0] in ("javascript", "sql"):
         where.append(f"NOT regexp_matches(text, {q(text.COMMENT_LINE_PATTERNS[rule.languages[0]])})")
     shown = _fill_sql(rule.shown, expr, rule.pattern) if rule.shown else trim_sql(expr)
-    subject = _fill_sql(rule.subject, expr, rule.pattern) if rule.subject else "NULL"
+    subject = _fill_sql(rule.subject, expr, rule.pattern) if rule.subject else "CAST(NULL AS VARCHAR)"
     return (f"SELECT {i} AS ord, repo_id, path, line, path || ':' || line || ' ' || {shown} AS evidence, "
             f"{subject} AS subject FROM lines WHERE {' AND '.join(where)}")
 
 
 def _file_sql(i: int, rule: Rule) -> str:
-    return (f"SELECT {i} AS ord, repo_id, path, 1 AS line, path || ' ' || {q(rule.shown)} AS evidence, NULL AS subject "
+    return (f"SELECT {i} AS ord, repo_id, path, 1 AS line, path || ' ' || {q(rule.shown)} AS evidence, CAST(NULL AS VARCHAR) AS subject "
             f"FROM files WHERE lang = '{rule.languages[0]}' AND {FILE_CONDITIONS[rule.rule]()}")
 
 

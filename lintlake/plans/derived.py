@@ -134,21 +134,25 @@ def fill(template, names: dict):
     return template
 
 
-def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, repo_id, path, content, size): every document as one source file."""
+def derived_files(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
+    """(doc_id, repo_id, path, content, size): every document as one source file.
+
+    Version 1 is a later state of the same repositories: half of the file kinds
+    hold another flaw.
+    """
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     names = {**hash_names(F.col("doc_id")), "src": F.col("source")}
-    kind, entry = F.pmod("doc_id", F.lit(8)), F.floor(F.col("doc_id") / 8)
+    kind, entry = F.pmod("doc_id", F.lit(8)), F.floor((F.col("doc_id") + 4 * version) / 8)
     return documents.select(
         "doc_id", F.col("source").alias("repo_id"), fill(_pick(kind, entry, 0), names).alias("path"),
         F.concat(F.col("text"), F.lit("\n"), fill(_pick(kind, entry, 1), names)).alias("content"),
     ).withColumn("size", F.octet_length("content").cast("long"))
 
 
-def derived_files_sql() -> str:
+def derived_files_sql(version: int = 0) -> str:
     """The same table as a SELECT for the SQL checks."""
     names = {**hash_names_sql("doc_id"), "src": "source"}
-    entry = "CAST(floor(doc_id / 8) AS BIGINT)"
+    entry = f"CAST(floor((doc_id + {4 * version}) / 8) AS BIGINT)"
     path = " ".join(
         f"WHEN {k} THEN {pick_sql(f'({entry} % {len(e)})', [p for p, _ in e], names)}" for k, e in enumerate(PLANTED)
     )
@@ -158,3 +162,97 @@ def derived_files_sql() -> str:
     return f"""SELECT doc_id, repo_id, path, content, CAST(strlen(content) AS BIGINT) AS size FROM (
         SELECT doc_id, source AS repo_id, CASE doc_id % 8 {path} END AS path,
                text || chr(10) || CASE doc_id % 8 {planted} END AS content FROM documents)"""
+
+
+# Ignore files, one per repository; entry = number of the source % length.
+IGNORE_TEXTS = [
+    "# reviewed\n\nrule:secrets.stripe_live {src}/*.txt\npath:{src}/1*.rb\n",
+    "rule:* {src}/*1.go\n{src}/?.py\n",
+    "path: {src}/conf*/**\nrule:php.sql_injection\n",
+    "rule:db.public_grant {src}/?*.sql\nrule:db.public_grant {src}/**\nfinding: 0123456789abcdef\n",
+]
+
+
+def source_number(source):
+    return F.substr(source, F.lit(4)).cast("int")
+
+
+def derived_ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo_id, path, content, size): the ignore file of every repository."""
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    text = F.element_at(F.array(*[F.lit(t) for t in IGNORE_TEXTS]), source_number(F.col("source")) % 4 + 1)
+    return sources.select(
+        F.col("source").alias("repo_id"), F.concat("source", F.lit("/.scanignore")).alias("path"),
+        F.replace(text, F.lit("{src}"), F.col("source")).alias("content"),
+    ).withColumn("size", F.octet_length("content").cast("long"))
+
+
+def derived_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files and ignore files of every repository."""
+    return derived_files(spark, sf_dir).drop("doc_id").unionByName(derived_ignore_files(spark, sf_dir))
+
+
+def derived_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo_id, org_id, target)."""
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id")).distinct()
+    org = F.concat(F.lit("org"), (source_number(F.col("repo_id")) % 3).cast("string"))
+    return sources.select("repo_id", org.alias("org_id"), F.col("repo_id").alias("target"))
+
+
+REPOSITORIES_SQL = ("SELECT DISTINCT source AS repo_id, 'org' || CAST(CAST(substr(source, 4) AS INTEGER) % 3 AS VARCHAR) AS org_id, "
+                    "source AS target FROM documents")
+
+
+def derived_suppressions(findings: DataFrame) -> DataFrame:
+    """Workspace rules about findings whose id starts with 0..2, some of them twice."""
+    def digit(n: int):
+        return F.conv(F.substr("id", F.lit(n), F.lit(1)), 16, 10).cast("int")
+
+    org = F.concat(F.lit("org"), (source_number(F.col("repo_id")) % 3).cast("string"))
+    base = findings.where(digit(1) <= 2).select(
+        F.concat(F.lit("s"), "id").alias("sid"), org.alias("org_id"), F.col("id").alias("finding_id"),
+        F.when(digit(2) == 15, "elsewhere").when(digit(2) == 14, "").when(digit(2) < 8, "*").otherwise(F.col("repo_id")).alias("target"),
+        F.when(digit(3) < 6, "").otherwise(F.concat(F.lit("because "), F.substr("id", F.lit(3), F.lit(2)))).alias("reason"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), digit(4))).alias("created_at"), digit(3).alias("d3"),
+    )
+    again = base.where("d3 >= 10").select(
+        F.concat(F.lit("t"), "sid").alias("sid"), "org_id", "finding_id", F.lit("*").alias("target"),
+        F.lit("second look").alias("reason"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("created_at"), "d3")
+    return base.unionByName(again).withColumnRenamed("sid", "id").withColumn("created_by", F.lit("u1")).drop("d3")
+
+
+def _digit_sql(n: int) -> str:
+    return f"(strpos('0123456789abcdef', substr(id, {n}, 1)) - 1)"
+
+
+SUPPRESSION_CTES = f""",
+    picked AS (SELECT 's' || id AS sid, 'org' || CAST(CAST(substr(repo_id, 4) AS INTEGER) % 3 AS VARCHAR) AS org_id, id AS finding_id,
+        CASE WHEN {_digit_sql(2)} = 15 THEN 'elsewhere' WHEN {_digit_sql(2)} = 14 THEN '' WHEN {_digit_sql(2)} < 8 THEN '*' ELSE repo_id END AS target,
+        CASE WHEN {_digit_sql(3)} < 6 THEN '' ELSE 'because ' || substr(id, 3, 2) END AS reason,
+        TIMESTAMP '2024-01-01' + to_hours(CAST({_digit_sql(4)} AS INTEGER)) AS created_at, {_digit_sql(3)} AS d3
+      FROM findings WHERE {_digit_sql(1)} <= 2),
+    suppressions AS (SELECT sid, org_id, finding_id, target, reason, created_at FROM picked
+      UNION ALL SELECT 't' || sid, org_id, finding_id, '*', 'second look', created_at + INTERVAL 1 DAY FROM picked WHERE d3 >= 10),
+    repositories AS ({REPOSITORIES_SQL})"""
+
+
+def _ignore_text_sql() -> str:
+    from lintlake.plans.templates import pick_sql
+
+    return pick_sql("CAST(substr(source, 4) AS INTEGER) % 4", IGNORE_TEXTS, {"src": "source"})
+
+
+IGNORE_FILES_SQL = (f"SELECT source AS repo_id, source || '/.scanignore' AS path, {_ignore_text_sql()} AS content "
+                    "FROM (SELECT DISTINCT source FROM documents)")
+PROJECT_FILES_SQL = (f"SELECT repo_id, path, content, size FROM ({derived_files_sql()}) UNION ALL "
+                     f"SELECT repo_id, path, content, CAST(strlen(content) AS BIGINT) FROM ({IGNORE_FILES_SQL})")
+
+# What the ignore texts say, written out: (source number % 4, line, kind, rule, pattern of the glob in RE2, finding).
+IGNORE_MEANING = """(VALUES (0, 3, 'rule', 'secrets.stripe_live', '^{src}/[^/]*\.txt$', NULL), (0, 4, 'path', NULL, '^{src}/1[^/]*\.rb$', NULL),
+    (1, 1, 'rule', '*', '^{src}/[^/]*1\.go$', NULL), (1, 2, 'path', NULL, '^{src}/[^/]\.py$', NULL),
+    (2, 1, 'path', NULL, '^{src}/conf[^/]*/.*$', NULL), (2, 2, 'rule', 'php.sql_injection', '^.*/[^/]*$', NULL),
+    (3, 1, 'rule', 'db.public_grant', '^{src}/[^/][^/]*\.sql$', NULL), (3, 2, 'rule', 'db.public_grant', '^{src}/.*$', NULL),
+    (3, 3, 'finding', NULL, NULL, '0123456789abcdef'))"""
+IGNORE_RULES_SQL = f"""SELECT s.source AS repo_id, v.line, v.kind, v.rule, replace(v.pattern, '{{src}}', s.source) AS pattern, v.finding_id
+    FROM (SELECT DISTINCT source FROM documents) s JOIN {IGNORE_MEANING} v(n, line, kind, rule, pattern, finding_id)
+      ON CAST(substr(s.source, 4) AS INTEGER) % 4 = v.n"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators.analytics import scan_summary
 from lintlake.operators.dependencies import dependency_advisories, dependency_inventory
+from lintlake.operators.joins import join_lookup
 from lintlake.operators.migrations import lint_migrations
 from lintlake.operators.rules import RULEBOOK, Rule
 from lintlake.operators.scan import scan_files, unique_findings
@@ -51,6 +52,6 @@ def scan_repositories(
     if advisories is not None:
         found = dependency_advisories(dependency_inventory(scanned), advisories, F.current_timestamp() if now is None else now)
         findings = union_findings(findings, found)
-    owned = findings.join(repositories.select("repo_id", "org_id", "target"), "repo_id", "left")
+    owned = join_lookup(findings, repositories.select("repo_id", "org_id", "target"), ["repo_id"], ["id"])
     final = apply_suppressions(owned, rules, suppressions)
     return final, scan_summary(scanned, final, rules, files)

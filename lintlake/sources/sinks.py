@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.prompts import TOOL
 from lintlake.operators.analytics import SCAN_ORDER, rule_catalogue
+from lintlake.operators.joins import join_lookup
 
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 REPORT_COLUMNS = (
@@ -39,21 +40,36 @@ def severity_level(severity: Column) -> Column:
 
 
 def _in_order(value: Column) -> Column:
-    """collect_list in scan order: one row becomes one document, as the format demands."""
+    """Rows of one document in scan order; ``_part`` keeps a document's size bounded."""
     return F.transform(
         F.array_sort(F.collect_list(F.struct(*SCAN_ORDER, value.alias("value")))), lambda s: s["value"]
     )
 
 
-def json_reports(headers: DataFrame, findings: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """(keys, json): header fields and the findings array of each scan."""
+def _with_parts(findings: DataFrame, keys: Sequence[str], rows_per_document: int) -> DataFrame:
+    """Adds ``_part``: 0 for scans that fit one document, else a hash bucket of the finding."""
+    sizes = findings.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_document).cast("int").alias("_parts"))
+    joined = join_lookup(findings, sizes, list(keys), ["id", "file", "line"], "inner")
+    return joined.withColumn("_part", F.pmod(F.xxhash64("id", "file", "line"), F.col("_parts")).cast("int")).drop("_parts")
+
+
+def json_reports(
+    headers: DataFrame, findings: DataFrame, keys: Sequence[str] = ("repo_id",), rows_per_document: int = 10_000
+) -> DataFrame:
+    """(keys, part, json): header fields and the findings array of each scan.
+
+    A scan with more findings than one document takes is written as several
+    documents with the same header; together they hold every finding.
+    """
+    keys = list(keys)
     columns = [c for c in (*REPORT_COLUMNS, "suppression_reason", "fix_prompt") if c in findings.columns]
-    listed = findings.groupBy(*keys).agg(_in_order(F.struct(*columns)).alias("findings"))
-    joined = headers.join(listed, list(keys), "left")
-    names = [c for c in headers.columns]
+    listed = _with_parts(findings, keys, rows_per_document).groupBy(*keys, "_part").agg(
+        _in_order(F.struct(*columns)).alias("findings"))
+    joined = headers.join(listed, keys, "left")
     empty = F.array().cast(listed.schema["findings"].dataType)
     return joined.select(
-        *keys, F.to_json(F.struct(*names, F.coalesce("findings", empty).alias("findings"))).alias("json")
+        *keys, F.coalesce("_part", F.lit(0)).alias("part"),
+        F.to_json(F.struct(*headers.columns, F.coalesce("findings", empty).alias("findings"))).alias("json"),
     )
 
 
@@ -81,19 +97,24 @@ def sarif_results(findings: DataFrame, keys: Sequence[str] = ("repo_id",)) -> Da
 
 
 def sarif_documents(
-    scans: DataFrame, findings: DataFrame, keys: Sequence[str] = ("repo_id",), tool: str = TOOL, version: str = "0.1.0"
+    scans: DataFrame, findings: DataFrame, keys: Sequence[str] = ("repo_id",), tool: str = TOOL, version: str = "0.1.0",
+    rows_per_document: int = 10_000,
 ) -> DataFrame:
-    """(keys, sarif): one SARIF 2.1.0 document per scan; suppressed findings are left out."""
+    """(keys, part, sarif): SARIF 2.1.0 documents; suppressed findings are left out.
+
+    Every document of a scan carries the scan's whole rule list; results beyond
+    ``rows_per_document`` go to further documents.
+    """
     keys = list(keys)
-    results = sarif_results(findings, keys).groupBy(*keys).agg(_in_order(F.col("result")).alias("results"))
+    results = _with_parts(sarif_results(findings, keys), keys, rows_per_document).groupBy(*keys, "_part").agg(
+        _in_order(F.col("result")).alias("results"))
     entry = F.struct(
         F.col("rule").alias("id"), F.col("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"),
         F.struct(F.col("fix").alias("text")).alias("fullDescription"), F.col("help_uri").alias("helpUri"),
         F.struct("category", "confidence", "rule_type").alias("properties"),
     )
-    rules = rule_catalogue(findings, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(entry)).alias("rules")
-    )
+    # One entry per rule, so the rulebook and the advisories bound this list.
+    rules = rule_catalogue(findings, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("rules"))
     joined = scans.select(*keys).distinct().join(results, keys, "left").join(rules, keys, "left")
     run = F.struct(
         F.struct(F.struct(
@@ -103,7 +124,7 @@ def sarif_documents(
         F.coalesce("results", F.array().cast(results.schema["results"].dataType)).alias("results"),
     )
     document = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    return joined.select(*keys, F.to_json(document).alias("sarif"))
+    return joined.select(*keys, F.coalesce("_part", F.lit(0)).alias("part"), F.to_json(document).alias("sarif"))
 
 
 def write_sarif(scans: DataFrame, findings: DataFrame, path: str, keys: Sequence[str] = ("repo_id",)) -> None:
