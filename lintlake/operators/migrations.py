@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.findings import assemble_findings
 from lintlake.operators.joins import join_lookup
-from lintlake.session import ensure_checkpoint_dir
+from lintlake.session import settle
 
 # Statement shapes and what makes a policy user scoped.
 PROJECT_SQL_PATH = r"(?i)(^|/)supabase/.+\.sql$"
@@ -262,7 +262,6 @@ def lint_migrations(files: DataFrame) -> DataFrame:
     The classified statements feed two branches, so they are checkpointed: the
     files are split once, and the result survives a lost executor.
     """
-    ensure_checkpoint_dir(files.sparkSession)
     flagged = project_flags(files).where("flagged").select("repo_id")
     classified = join_lookup(classify_statement(sql_statements(files)), flagged, ["repo_id"], ["path"], "inner")
-    return assemble_findings(lint_statements(classified.checkpoint()))
+    return assemble_findings(lint_statements(settle(classified)))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -17,13 +14,13 @@ class Rule:
         languages that have it, on the raw line for ``raw=True``).
         ``span``: every match of ``pattern`` in the whole text is a hit on the
         line it starts on; ``shown`` and ``subject`` may use its groups.
-        ``file``: ``file_when`` alone decides; the hit is on line 1.
+        ``file``: ``file_when`` decides, after the needles; the hit is on line 1.
     needles
         Literals of which every match contains at least one. They are tested
         first as plain substrings, so most text never meets a regex. With
         ``fold_case`` they are lower case and tested on the lowered text.
     file_when
-        Extra condition on (content, path), evaluated once per file.
+        Extra SQL condition over ``content`` and ``path``, evaluated once per file.
     """
 
     rule: str
@@ -42,7 +39,7 @@ class Rule:
     path_pattern: str | None = None
     shown: str | None = None
     subject: str | None = None
-    file_when: Callable[[Column, Column], Column] | None = None
+    file_when: str | None = None
     references: tuple[str, ...] = field(default=())
     rule_type: str = "regex_match"
     signal: int = 0

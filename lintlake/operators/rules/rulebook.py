@@ -6,8 +6,7 @@ ASCII word boundary, which Java's ``\\b`` is not on every release.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-
+from lintlake.functions.sqltext import all_of, any_of, contains_any, matches
 from lintlake.operators.rules.rule import Rule
 
 INJECTION = "Injection Vulnerabilities"
@@ -110,49 +109,26 @@ def _file(rule, severity, title, category, fix, languages, file_when, shown, **e
                 file_when=file_when, shown=shown, **extra)
 
 
-def _python_unguarded(content: Column, path: Column) -> Column:
-    return (content.rlike(PY_ROUTE) | content.rlike(PY_VIEW) | path.rlike(PY_VIEW_PATH)) & ~content.rlike(PY_GUARD)
-
-
-def _rails_unguarded(content: Column, path: Column) -> Column:
-    return (content.contains("Controller") & content.rlike(RB_CONTROLLER)
-            & ~content.rlike(RB_GUARD) & content.rlike(RB_WRITE))
-
-
-def _api_route_unguarded(content: Column, path: Column) -> Column:
-    return ((path.rlike(API_DIR_PATH) | path.rlike(HANDLER_NAME_PATH))
-            & ~path.rlike(PRIVATE_SEGMENT_PATH) & ~path.rlike(WEBHOOK_PATH) & ~path.rlike(NEXT_ROUTE_PATH)
-            & content.rlike(HANDLER_CODE) & ~content.rlike(GUARD_WORDS) & ~content.rlike(GUARD_CALLS))
-
-
-def _webhook_unverified(content: Column, path: Column) -> Column:
-    return (path.rlike(WEBHOOK_PATH) & ~content.rlike("(?i)clerk")
-            & content.rlike(WEBHOOK_PARSES) & ~content.rlike(WEBHOOK_VERIFIES))
-
-
-def _clerk_unverified(content: Column, path: Column) -> Column:
-    return path.rlike(WEBHOOK_PATH) & content.rlike("(?i)clerk") & ~content.rlike(CLERK_VERIFIES)
-
-
-def _public_secret(content: Column, path: Column) -> Column:
-    return content.rlike(PUBLIC_SECRET_NAME)
-
-
-def _is_client_file(content: Column, path: Column) -> Column:
-    return content.contains("use client") & content.rlike(USE_CLIENT)
-
-
-def _service_role_in_client(content: Column, path: Column) -> Column:
-    return content.contains("SUPABASE_SERVICE_ROLE_KEY") & _is_client_file(content, path)
-
-
-def _open_next_route(content: Column, path: Column) -> Column:
-    return path.rlike(NEXT_ROUTE_PATH) & ~path.rlike(WEBHOOK_PATH) & ~content.rlike(AUTH_NEARBY)
-
+def _in(column: str, pattern: str) -> str:
+    return matches(column, pattern)
 
-def _go_unguarded(content: Column, path: Column) -> Column:
-    return ~content.rlike(GO_GUARD)
 
+# Conditions of the file rules, over content and path.
+PYTHON_UNGUARDED = all_of([any_of([_in("content", PY_ROUTE), _in("content", PY_VIEW), _in("path", PY_VIEW_PATH)]),
+                           "NOT " + _in("content", PY_GUARD)])
+RAILS_UNGUARDED = all_of([_in("content", RB_CONTROLLER), "NOT " + _in("content", RB_GUARD), _in("content", RB_WRITE)])
+API_ROUTE_UNGUARDED = all_of([
+    any_of([_in("path", API_DIR_PATH), _in("path", HANDLER_NAME_PATH)]), "NOT " + _in("path", PRIVATE_SEGMENT_PATH),
+    "NOT " + _in("path", WEBHOOK_PATH), "NOT " + _in("path", NEXT_ROUTE_PATH), _in("content", HANDLER_CODE),
+    "NOT " + _in("content", GUARD_WORDS), "NOT " + _in("content", GUARD_CALLS)])
+WEBHOOK_UNVERIFIED = all_of([_in("path", WEBHOOK_PATH), "NOT " + _in("content", "(?i)clerk"),
+                             _in("content", WEBHOOK_PARSES), "NOT " + _in("content", WEBHOOK_VERIFIES)])
+CLERK_UNVERIFIED = all_of([_in("path", WEBHOOK_PATH), _in("content", "(?i)clerk"), "NOT " + _in("content", CLERK_VERIFIES)])
+PUBLIC_SECRET = all_of([contains_any("lower(content)", ["public_", "vite_"]), _in("content", PUBLIC_SECRET_NAME)])
+CLIENT_FILE = all_of(["contains(content, 'use client')", _in("content", USE_CLIENT)])
+SERVICE_ROLE_IN_CLIENT = all_of(["contains(content, 'SUPABASE_SERVICE_ROLE_KEY')", CLIENT_FILE])
+OPEN_NEXT_ROUTE = all_of([_in("path", NEXT_ROUTE_PATH), "NOT " + _in("path", WEBHOOK_PATH), "NOT " + _in("content", AUTH_NEARBY)])
+GO_UNGUARDED = "NOT " + _in("content", GO_GUARD)
 
 PY, RB, GO, PHP, SQL, JS = ("python",), ("ruby",), ("go",), ("php",), ("sql",), ("javascript",)
 
@@ -218,15 +194,15 @@ JAVASCRIPT_RULES = [
           "dangerouslySetInnerHTML={...}", ("dangerouslySetInnerHTML",), signal=1),
     _file("auth.unprotected_route", "medium", "API route has no obvious authentication guard", AUTH,
           "Require authentication middleware or server-side session checks on every non-public API route.",
-          JS, _api_route_unguarded, "contains route code without recognizable auth/session guard",
+          JS, API_ROUTE_UNGUARDED, "contains route code without recognizable auth/session guard",
           rule_type="semantic_match", signal=-2),
     _file("webhooks.unverified_signature", "critical", "Webhook handler lacks signature verification", API_KEYS,
           "Verify the provider signature against the raw request body before trusting any webhook payload.",
-          JS, _webhook_unverified, "parses webhook payload without constructEvent / signature verification",
+          JS, WEBHOOK_UNVERIFIED, "parses webhook payload without constructEvent / signature verification",
           references=("https://stripe.com/docs/webhooks/signatures",), rule_type="semantic_match", signal=4),
     _file("secrets.client_bundle_exposure", "high", "Server-only secret exposed via public env prefix", API_KEYS,
           "Drop the public prefix for any value that must stay on the server, and rotate the exposed credential.",
-          JS, _public_secret, "references a public-prefixed secret name",
+          JS, PUBLIC_SECRET, "references a public-prefixed secret name",
           rule_type="semantic_match", signal=3),
     _line("auth.weak_jwt_secret", "critical", "Hardcoded JWT signing secret (heuristic)", AUTH,
           "Load JWT secrets from environment with strong entropy and rotate them.", JS,
@@ -236,7 +212,7 @@ JAVASCRIPT_RULES = [
           "principal is missing. Or wrap the file in a middleware-protected segment.",
           r"(?<![\w.])export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)(?!\w)",
           "export async function $1() — no recognizable auth() / getServerSession() / currentUser() call",
-          ("export",), subject="$1", file_when=_open_next_route, rule_type="semantic_match",
+          ("export",), subject="$1", file_when=OPEN_NEXT_ROUTE, rule_type="semantic_match",
           references=("https://nextjs.org/docs/app/building-your-application/authentication",), signal=2),
     _span("nextjs.cookies_missing_options", "medium", "cookies().set without httpOnly / secure / sameSite", AUTH,
           "Always pass { httpOnly: true, secure: true, sameSite: 'lax', path: '/' } to cookies().set. Otherwise the "
@@ -252,13 +228,13 @@ JAVASCRIPT_RULES = [
           EXPOSURE,
           "The service-role key bypasses RLS and must never reach the browser. Use NEXT_PUBLIC_SUPABASE_ANON_KEY in "
           "client code and put service-role logic in a server action or route handler.",
-          JS, _service_role_in_client, "is a 'use client' component but references SUPABASE_SERVICE_ROLE_KEY",
+          JS, SERVICE_ROLE_IN_CLIENT, "is a 'use client' component but references SUPABASE_SERVICE_ROLE_KEY",
           rule_type="semantic_match", signal=6),
     _span("supabase.service_role_in_client_bundle", "critical",
           "createClient called with service-role key in a client component", EXPOSURE,
           "Move this call to a server-only file (route handler or server action). Use the anon key for browser code.",
           r"(?<![\w.])(createClient|createServerClient)\s*\([^;]{0,400}?,\s*([\w.]*SERVICE_ROLE\w*)",
-          "createClient(url, $2)", ("SERVICE_ROLE",), file_when=_is_client_file, signal=6),
+          "createClient(url, $2)", ("SERVICE_ROLE",), file_when=CLIENT_FILE, signal=6),
     _span("supabase.auth_admin_call", "high", "supabase.auth.admin call — verify caller is privileged", AUTH,
           "Restrict admin-API calls to authenticated administrators. Check the session user's role before invoking auth.admin.*.",
           r"(?<![\w.])(supabase\.auth\.admin\.[\w.]+)\s*\(", "$1(...)", ("supabase.auth.admin",), signal=2),
@@ -272,7 +248,7 @@ JAVASCRIPT_RULES = [
     _file("clerk.webhook_unverified", "critical", "Clerk webhook handler does not verify the svix signature", API_KEYS,
           "Read the raw request body, pull svix-id / svix-timestamp / svix-signature headers, and call new "
           "Webhook(secret).verify(rawBody, headers) before trusting any payload field.",
-          JS, _clerk_unverified,
+          JS, CLERK_UNVERIFIED,
           "appears to handle Clerk webhooks but does not import svix or call Webhook(secret).verify(payload, headers)",
           references=("https://clerk.com/docs/integrations/webhooks/sync-data#verifying-the-webhook",),
           rule_type="semantic_match", signal=5),
@@ -309,7 +285,7 @@ PYTHON_RULES = [
           r"requests\.(get|post|put|delete|patch)\s*\([^)]*verify\s*=\s*False", ("requests.",)),
     _file("py.unprotected_route", "medium", "Python route has no obvious authentication guard", AUTH,
           "Wrap views with login_required, IsAuthenticated permissions, or your auth middleware.", PY,
-          _python_unguarded, "declares an HTTP handler without login_required / permission checks",
+          PYTHON_UNGUARDED, "declares an HTTP handler without login_required / permission checks",
           rule_type="semantic_match", signal=-2),
 ]
 
@@ -328,7 +304,7 @@ RUBY_RULES = [
           r"Marshal\.load\s*\(\s*(params|request|body)", ("Marshal.load",), signal=4),
     _file("rb.unprotected_controller", "medium", "Rails controller performs writes without a before_action guard", AUTH,
           "Add a before_action :authenticate_user! (Devise) or equivalent guard.", RB,
-          _rails_unguarded, "controller mutates records without a recognizable auth before_action",
+          RAILS_UNGUARDED, "controller mutates records without a recognizable auth before_action",
           rule_type="semantic_match", signal=-2),
 ]
 
@@ -344,7 +320,7 @@ GO_RULES = [
           r"tls\.Config\s*\{[^}]*InsecureSkipVerify\s*:\s*true", ("InsecureSkipVerify",)),
     _line("go.unprotected_route", "medium", "Go HTTP handler exposes /api without visible auth wrapper", AUTH,
           "Wrap handlers in an auth middleware or check r.Context for the authenticated principal.", GO,
-          r"http\.HandleFunc\s*\(\s*\"/api", ("http.HandleFunc",), file_when=_go_unguarded,
+          r"http\.HandleFunc\s*\(\s*\"/api", ("http.HandleFunc",), file_when=GO_UNGUARDED,
           rule_type="semantic_match", signal=-2),
 ]
 

@@ -10,199 +10,162 @@ the corpus is read once whatever the number of rules.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.findings import assemble_findings
+from lintlake.functions.sqltext import all_of, any_of, contains_any, literal, matches
 from lintlake.functions.text import (
+    BLANKS,
+    COMMENT_LINE_PATTERNS,
     detect_language,
-    is_comment_line,
     split_lines,
     strip_comments,
-    trimmed,
 )
 from lintlake.operators.rules import RULEBOOK, Rule
 
 MARK_START, MARK_END, MARK_SPLIT = "\ue000", "\ue001", "\ue002"  # private-use characters
 MARKED = f"{MARK_START}([^{MARK_END}]*){MARK_END}"
 HIT = "array<struct<ord:int,line:int,shown:string,subject:string>>"
+NO_HIT = f"CAST(NULL AS {HIT})"
+Numbered = list[tuple[int, Rule]]
 
 
-def _any(tests: Sequence[Column]) -> Column:
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
-
-
-def _has_needle(rule: Rule, text: Column, low: Column) -> Column:
+def _has_needle(rule: Rule, text: str) -> str:
     if not rule.needles:
-        return F.lit(True)
-    return _any([(low if rule.fold_case else text).contains(n) for n in rule.needles])
+        return "true"
+    return contains_any(f"lower({text})" if rule.fold_case else text, rule.needles)
 
 
-def _hit(ord_: int, line: Column, shown: Column, subject: Column | None = None) -> Column:
-    return F.named_struct(
-        F.lit("ord"), F.lit(ord_), F.lit("line"), line.cast("int"), F.lit("shown"), shown,
-        F.lit("subject"), F.lit(None).cast("string") if subject is None else subject,
-    )
+def _hit(ord_: int, line: str, shown: str, subject: str | None = None) -> str:
+    return (f"named_struct('ord', {ord_}, 'line', CAST({line} AS INT), 'shown', {shown}, "
+            f"'subject', {subject or 'CAST(NULL AS STRING)'})")
 
 
-def _fill(template: str, text: Column, pattern: str) -> Column:
+def _fill(template: str, text: str, pattern: str) -> str:
     """A template such as ``$1=<value>`` with the groups of the first match."""
     parts = [p for p in re.split(r"(\$\d)", template) if p]
-    return F.concat(*[
-        F.regexp_extract(text, pattern, int(p[1])) if re.fullmatch(r"\$\d", p) else F.lit(p) for p in parts
-    ])
+    return "concat(" + ", ".join(
+        f"regexp_extract({text}, {literal(pattern)}, {p[1]})" if re.fullmatch(r"\$\d", p) else literal(p) for p in parts
+    ) + ")"
 
 
 def _java_template(template: str | None) -> str:
     return re.sub(r"\$(?!\d)", r"\\$", template or "")
 
 
-def _compact(items: list[Column]) -> Column:
-    return F.array_compact(F.array(*items)).cast(HIT)
+def _compact(items: Sequence[str]) -> str:
+    return f"CAST(array_compact(array({', '.join(items)})) AS {HIT})"
 
 
-def _line_test(rule: Rule, text: Column, low: Column, path: Column, flag: Column | None) -> Column:
-    test = _has_needle(rule, text, low) & text.rlike(rule.pattern)
-    for pattern in rule.also:
-        test = test & text.rlike(pattern)
-    if rule.unless:
-        test = test & ~text.contains(rule.unless)
-    if rule.path_pattern:
-        test = path.rlike(rule.path_pattern) & test
-    return test if flag is None else test & flag
-
-
-def _line_hits(rules: list[tuple[int, Rule]], text: Column, code: Column) -> Column:
-    line, path = F.col("pos") + 1, F.col("path")
-    out = []
+def _line_hits(rules: Numbered, own_text: str) -> str:
+    items = []
     for ord_, rule in rules:
-        target = text if rule.raw else code
-        flag = F.col(f"flag_{ord_}") if rule.file_when is not None else None
-        shown = _fill(rule.shown, target, rule.pattern) if rule.shown else trimmed(target)
-        subject = _fill(rule.subject, target, rule.pattern) if rule.subject else None
-        out.append(F.when(_line_test(rule, target, F.lower(target), path, flag), _hit(ord_, line, shown, subject)))
-    return _compact(out)
-
-
-def _span_hits(ord_: int, rule: Rule, content: Column, path: Column) -> Column:
+        text = "text" if rule.raw else own_text
+        tests = [matches("path", rule.path_pattern)] if rule.path_pattern else []
+        tests += [_has_needle(rule, text), matches(text, rule.pattern), *[matches(text, p) for p in rule.also]]
+        if rule.unless:
+            tests.append(f"NOT contains({text}, {literal(rule.unless)})")
+        if rule.file_when:
+            tests.append(f"flag_{ord_}")
+        shown = _fill(rule.shown, text, rule.pattern) if rule.shown else f"btrim({text}, {literal(BLANKS)})"
+        subject = _fill(rule.subject, text, rule.pattern) if rule.subject else None
+        items.append(f"CASE WHEN {all_of(tests)} THEN {_hit(ord_, 'pos + 1', shown, subject)} END")
+    return _compact(items)
+
+
+def _span_hits(ord_: int, rule: Rule) -> str:
     """Hits of a pattern that may run over several lines.
 
     A marker holding the match's groups is inserted before each match; after
     splitting, the lines that carry a marker are the lines matches start on.
     """
     marker = MARK_START + _java_template(rule.subject) + MARK_SPLIT + _java_template(rule.shown) + MARK_END
-    marked = F.regexp_replace(
-        F.translate(content, MARK_START + MARK_END + MARK_SPLIT, "   "), rule.pattern, marker + "$0"
-    )
-    numbered = F.transform(F.split(marked, "\n", -1), lambda x, i: F.named_struct(F.lit("line"), i + 1, F.lit("text"), x))
-    dialect = rule.languages[0] if rule.languages and rule.languages[0] == "javascript" else "generic"
-    found = F.filter(
-        numbered,
-        lambda s: s["text"].contains(MARK_START)
-        & ~is_comment_line(F.regexp_replace(s["text"], MARKED, ""), dialect),
-    )
-    per_line = F.transform(
-        found,
-        lambda s: F.transform(
-            F.regexp_extract_all(s["text"], F.lit(MARKED), F.lit(1)),
-            lambda m: _hit(ord_, s["line"], F.split(m, MARK_SPLIT)[1], F.split(m, MARK_SPLIT)[0]),
-        ),
-    )
-    test = _has_needle(rule, content, F.lower(content))
-    if rule.file_when is not None:
-        test = test & rule.file_when(content, path)
-    return F.when(test & content.rlike(rule.pattern), F.flatten(per_line).cast(HIT))
+    clean = f"translate(content, {literal(MARK_START + MARK_END + MARK_SPLIT)}, '   ')"
+    marked = f"regexp_replace({clean}, {literal(rule.pattern)}, {literal(marker + '$0')})"
+    numbered = f"transform(split({marked}, '\\n', -1), (x, i) -> named_struct('line', i + 1, 'text', x))"
+    comment = COMMENT_LINE_PATTERNS["javascript" if rule.languages[:1] == ("javascript",) else "generic"]
+    found = (f"filter({numbered}, s -> contains(s.text, {literal(MARK_START)}) AND NOT "
+             f"{matches(f'regexp_replace(s.text, {literal(MARKED)}, {literal(str())})', comment)})")
+    groups = f"split(m, {literal(MARK_SPLIT)})"
+    hits = (f"flatten(transform({found}, s -> transform(regexp_extract_all(s.text, {literal(MARKED)}, 1), "
+            f"m -> {_hit(ord_, 's.line', groups + '[1]', groups + '[0]')})))")
+    tests = [_has_needle(rule, "content"), *([f"flag_{ord_}"] if rule.file_when else []), matches("content", rule.pattern)]
+    return f"CASE WHEN {all_of(tests)} THEN CAST({hits} AS {HIT}) END"
 
 
-def _for_language(language: Column, packs: dict[str, Column], other: Column) -> Column:
-    out = None
-    for name, value in packs.items():
-        out = F.when(language == name, value) if out is None else out.when(language == name, value)
-    return other if out is None else out.otherwise(other)
+def _by_language(languages: Sequence[str], value: Callable[[str], str | None], other: str) -> str:
+    cases = [f"WHEN {literal(n)} THEN {v}" for n in languages if (v := value(n)) is not None]
+    return f"CASE language {' '.join(cases)} ELSE {other} END" if cases else other
 
 
 def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFrame:
     """(repo_id, path, ord, line, shown, subject) for every match of every rule."""
     numbered = list(enumerate(rulebook))
-    by_scope = {s: [(i, r) for i, r in numbered if r.scope == s] for s in ("line", "span", "file")}
-    shared = [(i, r) for i, r in by_scope["line"] if not r.languages]
     languages = list(dict.fromkeys(name for _, r in numbered for name in r.languages))
-    per_language = {
-        name: [(i, r) for i, r in by_scope["line"] if name in r.languages] for name in languages
-    }
-    empty = F.array().cast(HIT)
-    content, path, language = F.col("content"), F.col("path"), F.col("language")
-
-    texts = files.select(
-        "repo_id", "path", F.coalesce("content", F.lit("")).alias("content"), detect_language(path).alias("language")
-    )
-
-    def gate(rules: list[tuple[int, Rule]]) -> Column:
-        tests = []
-        for _, rule in rules:
-            test = _has_needle(rule, content, F.lower(content))
-            tests.append(path.rlike(rule.path_pattern) & test if rule.path_pattern else test)
-        return _any(tests) if tests else F.lit(False)
-
-    has_lines = _for_language(language, {n: gate(r) for n, r in per_language.items() if r}, F.lit(False))
-    if shared:
-        has_lines = has_lines | gate(shared)
-
-    def whole_file(name: str) -> Column:
-        items = [
-            F.when(rule.file_when(content, path),
-                   F.array(_hit(i, F.lit(1), F.lit(rule.shown))).cast(HIT))
-            for i, rule in by_scope["file"] if name in rule.languages
-        ] + [_span_hits(i, rule, content, path) for i, rule in by_scope["span"] if name in rule.languages]
-        return F.flatten(F.array_compact(F.array(*items))) if items else empty
-
-    flags = [
-        ((language.isin(*rule.languages)) & _has_needle(rule, content, F.lower(content))
-         & rule.file_when(content, path)).alias(f"flag_{i}")
-        for i, rule in by_scope["line"] if rule.file_when is not None
-    ]
+    line_rules: Numbered = [(i, r) for i, r in numbered if r.scope == "line"]
+    shared = [(i, r) for i, r in line_rules if not r.languages]
+    flagged = [(i, r) for i, r in numbered if r.file_when]
+    flags = [f"flag_{i}" for i, r in flagged if r.scope == "line"]
+
+    def own(name: str, scope: str) -> Numbered:
+        return [(i, r) for i, r in numbered if r.scope == scope and name in r.languages]
+
+    def file_gate(rules: Numbered) -> str | None:
+        tests = [all_of([*([matches("path", r.path_pattern)] if r.path_pattern else []), _has_needle(r, "content")])
+                 for _, r in rules]
+        return any_of(tests) if tests else None
+
+    def flag(rule: Rule) -> str:
+        of_language = f"language IN ({', '.join(literal(n) for n in rule.languages)})" if rule.languages else "true"
+        return all_of([of_language, _has_needle(rule, "content"), rule.file_when])
+
+    def whole_file(name: str) -> str | None:
+        items = [f"CASE WHEN flag_{i} THEN CAST(array({_hit(i, '1', literal(r.shown))}) AS {HIT}) END"
+                 for i, r in own(name, "file")]
+        items += [_span_hits(i, r) for i, r in own(name, "span")]
+        return f"flatten(array_compact(array({', '.join(items)})))" if items else None
+
+    def own_lines(name: str) -> str | None:
+        rules = own(name, "line")
+        if not rules:
+            return None
+        gate = any_of([_has_needle(r, "text") for _, r in rules])
+        comment = COMMENT_LINE_PATTERNS.get(name)
+        if comment:
+            gate = f"({gate}) AND NOT {matches('text', comment)}"
+        return f"CASE WHEN {gate} THEN {_line_hits(rules, 'text' if comment else 'code')} END"
+
+    has_lines = any_of([_by_language(languages, lambda n: file_gate(own(n, "line")), "false"), file_gate(shared) or "false"])
     # Every array is computed in a projection of its own before it is exploded: an
     # expression inside a generator is interpreted, and a sibling of one would be
     # evaluated again for each line it yields.
-    staged = texts.select(
-        "repo_id", "path", "language", *flags,
-        _for_language(language, {n: whole_file(n) for n in languages}, empty).alias("file_hits"),
-        F.when(has_lines, split_lines(content)).otherwise(F.array(F.lit(""))).alias("lines"),
+    staged = files.select(
+        "repo_id", "path", F.coalesce("content", F.lit("")).alias("content"), detect_language(F.col("path")).alias("language")
+    ).selectExpr(
+        "*", *[f"{flag(r)} AS flag_{i}" for i, r in flagged]
+    ).selectExpr(
+        "repo_id", "path", "language", "content", *flags,
+        f"{_by_language(languages, whole_file, NO_HIT)} AS file_hits", f"{has_lines} AS has_lines",
+    ).select(
+        "repo_id", "path", "language", *flags, "file_hits",
+        F.when(F.col("has_lines"), split_lines(F.col("content"))).otherwise(F.array(F.lit(""))).alias("lines"),
     )
-    flag_names = [f"flag_{i}" for i, rule in by_scope["line"] if rule.file_when is not None]
     lines = staged.select(
-        "repo_id", "path", "language", *flag_names, "file_hits", F.posexplode_outer("lines").alias("pos", "text")
-    ).withColumn("code", strip_comments(language, F.col("text")))
-
-    text, code = F.col("text"), F.col("code")
-
-    def own_lines(name: str, rules: list[tuple[int, Rule]]) -> Column:
-        if name in ("javascript", "sql"):
-            return F.when(~is_comment_line(text, name), _line_hits(rules, text, text))
-        return _line_hits(rules, text, code)
-
-    def line_gate(rules: list[tuple[int, Rule]]) -> Column:
-        return _any([_has_needle(rule, text, F.lower(text)) for _, rule in rules])
-
-    own = _for_language(
-        language,
-        {n: F.when(line_gate(r), own_lines(n, r)) for n, r in per_language.items() if r},
-        F.lit(None).cast(HIT),
-    )
-    everywhere = (
-        F.when(line_gate(shared) & ~is_comment_line(text), _line_hits(shared, text, text))
-        if shared else F.lit(None).cast(HIT)
-    )
-    first = F.when(F.col("pos") == 0, F.col("file_hits"))
-    hits = F.flatten(F.array_compact(F.array(own, everywhere, first)))
+        "repo_id", "path", "language", *flags, "file_hits", F.posexplode_outer("lines").alias("pos", "text")
+    ).withColumn("code", strip_comments(F.col("language"), F.col("text")))
+    everywhere = NO_HIT
+    if shared:
+        gate = any_of([_has_needle(r, "text") for _, r in shared])
+        comment = matches("text", COMMENT_LINE_PATTERNS["generic"])
+        everywhere = f"CASE WHEN ({gate}) AND NOT {comment} THEN {_line_hits(shared, 'text')} END"
+    hits = (f"flatten(array_compact(array({_by_language(languages, own_lines, NO_HIT)}, {everywhere}, "
+            f"CASE WHEN pos = 0 THEN file_hits END)))")
     # The outer form: for the inner one the optimizer adds a size(hits) > 0 filter
     # below the explode, which would evaluate every regex twice.
-    exploded = lines.select("repo_id", "path", hits.alias("hits")).select(
+    exploded = lines.selectExpr("repo_id", "path", f"{hits} AS hits").select(
         "repo_id", "path", F.explode_outer("hits").alias("hit")
     )
     return exploded.where(F.col("hit").isNotNull()).select("repo_id", "path", "hit.*")

@@ -106,7 +106,7 @@ def _line_sql(i: int, rule: Rule) -> str:
         where.append(f"NOT contains({expr}, {q(rule.unless)})")
     if rule.path_pattern:
         where.append(f"regexp_matches(path, {rx(rule.path_pattern)})")
-    if rule.file_when is not None:
+    if rule.file_when:
         where.append("(" + FILE_CONDITIONS[rule.rule]() + ")")
     if not rule.languages:
         where.append(f"NOT regexp_matches(text, {q(text.COMMENT_LINE_PATTERNS['generic'])})")
@@ -135,7 +135,7 @@ def _span_sql(i: int, rule: Rule) -> str:
 
     marked = (f"regexp_replace(content, {rx(pattern)}, '\\1' || {START} || {template(rule.subject)} || {SPLIT} || "
               f"{template(rule.shown)} || {END} || '\\2', 'g')")
-    extra = f" AND {FILE_CONDITIONS[rule.rule]()}" if rule.file_when is not None else ""
+    extra = f" AND {FILE_CONDITIONS[rule.rule]()}" if rule.file_when else ""
     kept = f" AND NOT regexp_matches(rest, {rx('^' + body + missing)})" if missing else ""
     comment = text.COMMENT_LINE_PATTERNS["javascript"]
     return f"""SELECT {i} AS ord, repo_id, path, line,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.sqltext import literal
 from lintlake.plans.templates import pick_sql
 
 # (path, planted text) per file kind; kind = doc_id % 8, entry = (doc_id / 8) % length.
@@ -122,7 +123,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(kind, entry, which: int):
     """The template of an id: a constant table of texts, indexed twice."""
-    tables = F.array(*[F.array(*[F.lit(e[which]) for e in entries]) for entries in PLANTED])
+    tables = F.expr("array(" + ", ".join(
+        "array(" + ", ".join(literal(e[which]) for e in entries) + ")" for entries in PLANTED) + ")")
     mine = F.element_at(tables, (kind + 1).cast("int"))
     return F.element_at(mine, (F.pmod(entry, F.size(mine)) + 1).cast("int"))
 
@@ -248,7 +250,7 @@ PROJECT_FILES_SQL = (f"SELECT repo_id, path, content, size FROM ({derived_files_
                      f"SELECT repo_id, path, content, CAST(strlen(content) AS BIGINT) FROM ({IGNORE_FILES_SQL})")
 
 # What the ignore texts say, written out: (source number % 4, line, kind, rule, pattern of the glob in RE2, finding).
-IGNORE_MEANING = """(VALUES (0, 3, 'rule', 'secrets.stripe_live', '^{src}/[^/]*\.txt$', NULL), (0, 4, 'path', NULL, '^{src}/1[^/]*\.rb$', NULL),
+IGNORE_MEANING = r"""(VALUES (0, 3, 'rule', 'secrets.stripe_live', '^{src}/[^/]*\.txt$', NULL), (0, 4, 'path', NULL, '^{src}/1[^/]*\.rb$', NULL),
     (1, 1, 'rule', '*', '^{src}/[^/]*1\.go$', NULL), (1, 2, 'path', NULL, '^{src}/[^/]\.py$', NULL),
     (2, 1, 'path', NULL, '^{src}/conf[^/]*/.*$', NULL), (2, 2, 'rule', 'php.sql_injection', '^.*/[^/]*$', NULL),
     (3, 1, 'rule', 'db.public_grant', '^{src}/[^/][^/]*\.sql$', NULL), (3, 2, 'rule', 'db.public_grant', '^{src}/.*$', NULL),

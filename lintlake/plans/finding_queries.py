@@ -14,6 +14,7 @@ from lintlake.plans import derived as dv
 from lintlake.plans.registry import register
 from lintlake.plans.scan_queries import CORE_RULES, core_findings, core_sql
 from lintlake.plans.scans import scan_repositories
+from lintlake.session import settle
 from lintlake.sources import sinks
 
 
@@ -52,7 +53,7 @@ def with_finding_rules(rules, findings):
 
 @register("match_ignore_rules", core_sql(f"SELECT repo_id, id, rule, file, {IGNORED} AS ignored_by_file FROM findings f", RULE_CTES))
 def match_ignore_rules(spark, sf_dir):
-    findings = core_findings(spark, sf_dir)
+    findings = settle(core_findings(spark, sf_dir))
     rules = with_finding_rules(project_rules(spark, sf_dir), findings)
     return suppress.match_ignore_rules(findings, rules).select("repo_id", "id", "rule", "file", "ignored_by_file")
 
@@ -63,16 +64,17 @@ MATCHED = """, owned AS (SELECT f.*, r.org_id, r.target FROM findings f JOIN rep
     first_match AS (SELECT repo_id, id, reason FROM matched WHERE rn = 1)"""
 
 
-def owned_findings(spark, sf_dir):
-    return core_findings(spark, sf_dir).join(dv.derived_repositories(spark, sf_dir), "repo_id")
+def owned(findings, spark, sf_dir):
+    return findings.join(dv.derived_repositories(spark, sf_dir), "repo_id")
 
 
 @register("match_org_suppressions", core_sql(
     "SELECT o.repo_id, o.id, m.id IS NOT NULL AS ignored_by_org, m.reason AS org_reason FROM owned o "
     "LEFT JOIN first_match m ON m.repo_id = o.repo_id AND m.id = o.id", dv.SUPPRESSION_CTES + MATCHED))
 def match_org_suppressions(spark, sf_dir):
-    rules = dv.derived_suppressions(core_findings(spark, sf_dir))
-    return suppress.match_org_suppressions(owned_findings(spark, sf_dir), rules, limit=1_000_000).select(
+    findings = settle(core_findings(spark, sf_dir))
+    rules = dv.derived_suppressions(findings)
+    return suppress.match_org_suppressions(owned(findings, spark, sf_dir), rules, limit=1_000_000).select(
         "repo_id", "id", "ignored_by_org", "org_reason")
 
 
@@ -90,10 +92,10 @@ SUPPRESSED_CTES = dv.SUPPRESSION_CTES + MATCHED + RULE_CTES + FINAL
 
 
 def suppressed_findings(spark, sf_dir):
-    findings = core_findings(spark, sf_dir)
-    rules = with_finding_rules(project_rules(spark, sf_dir), findings)
+    findings = settle(core_findings(spark, sf_dir))
+    rules = with_finding_rules(settle(project_rules(spark, sf_dir)), findings)
     return suppress.apply_suppressions(
-        owned_findings(spark, sf_dir), rules, dv.derived_suppressions(findings), limit=1_000_000)
+        owned(findings, spark, sf_dir), rules, dv.derived_suppressions(findings), limit=1_000_000)
 
 
 @register("apply_suppressions", core_sql(
@@ -219,7 +221,7 @@ def severity_sort(spark, sf_dir):
 @register("group_by_severity", core_sql(f"""SELECT repo_id, id, severity, CAST(count(*) OVER (PARTITION BY repo_id, severity) AS BIGINT)
     AS group_size, 5 - {ck.RANK} AS group_rank FROM final WHERE NOT hidden AND {ck.RANK} >= 2""", SUPPRESSED_CTES))
 def group_by_severity(spark, sf_dir):
-    return an.group_by_severity(suppressed_findings(spark, sf_dir), "medium").select(
+    return an.group_by_severity(settle(suppressed_findings(spark, sf_dir)), "medium").select(
         "repo_id", "id", "severity", "group_size", "group_rank")
 
 
@@ -245,7 +247,7 @@ NUMBERED = f"""SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {ck.RA
 
 @register("number_items", core_sql(f"SELECT repo_id, id, CAST(number AS BIGINT) AS number FROM ({NUMBERED})", SUPPRESSED_CTES))
 def number_items(spark, sf_dir):
-    return prompts.number_items(suppressed_findings(spark, sf_dir)).select("repo_id", "id", "number")
+    return prompts.number_items(settle(suppressed_findings(spark, sf_dir))).select("repo_id", "id", "number")
 
 
 PROMPT_ITEMS = 15
@@ -258,7 +260,7 @@ PROMPT_ITEMS = 15
     {ck.q(prompts.COMBINED_TAIL)} AS prompt
     FROM (SELECT *, count(*) OVER (PARTITION BY repo_id) AS n FROM ({NUMBERED})) GROUP BY ALL""", SUPPRESSED_CTES))
 def combined_fix_prompt(spark, sf_dir):
-    return prompts.combined_fix_prompt(suppressed_findings(spark, sf_dir), items_per_prompt=PROMPT_ITEMS)
+    return prompts.combined_fix_prompt(settle(suppressed_findings(spark, sf_dir)), items_per_prompt=PROMPT_ITEMS)
 
 
 TEMPLATES = ", ".join(f"({ck.q(r)}, {ck.q(s)}, {ck.q(b)})" for r, (s, b) in prompts.REMEDIATIONS.items())
@@ -287,7 +289,7 @@ def sarif_results(spark, sf_dir):
       SELECT repo_id, count(*) AS n, count(DISTINCT rule) AS rules, arg_min(rule, (file, ord, line, id)) AS first_rule
       FROM final WHERE NOT hidden GROUP BY repo_id) USING (repo_id)""", SUPPRESSED_CTES))
 def sarif_documents(spark, sf_dir):
-    documents = sinks.sarif_documents(dv.derived_repositories(spark, sf_dir), suppressed_findings(spark, sf_dir))
+    documents = sinks.sarif_documents(dv.derived_repositories(spark, sf_dir), settle(suppressed_findings(spark, sf_dir)))
     parsed = F.from_json("sarif", "runs array<struct<results:array<struct<ruleId:string>>,"
                                   "tool:struct<driver:struct<rules:array<struct<id:string>>>>>>")
     run = parsed["runs"][0]
@@ -300,7 +302,7 @@ def sarif_documents(spark, sf_dir):
 @register("json_reports", core_sql("""SELECT repo_id, CAST(count(*) AS BIGINT) AS n_findings, CAST(count(*) FILTER (WHERE hidden) AS BIGINT) AS n_suppressed,
     string_agg(id, ',' ORDER BY file, ord, line, id) AS ids FROM final GROUP BY repo_id""", SUPPRESSED_CTES))
 def json_reports(spark, sf_dir):
-    findings = suppressed_findings(spark, sf_dir)
+    findings = settle(suppressed_findings(spark, sf_dir))
     headers = findings.groupBy("repo_id").agg(F.count("*").alias("n"))
     reports = sinks.json_reports(headers, findings)
     listed = F.from_json("json", "findings array<struct<id:string,suppressed:boolean>>")["findings"]

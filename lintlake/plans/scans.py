@@ -13,6 +13,7 @@ from lintlake.operators.joins import join_lookup
 from lintlake.operators.migrations import lint_migrations
 from lintlake.operators.rules import RULEBOOK, Rule
 from lintlake.operators.scan import scan_files, unique_findings
+from lintlake.session import settle
 from lintlake.operators.suppress import (
     apply_suppressions,
     drop_ignored_files,
@@ -41,9 +42,10 @@ def scan_repositories(
 
     ``repositories`` is (repo_id, org_id, target). Code findings are
     deduplicated, dependency findings are appended after, then both meet the
-    ignore file and the workspace suppressions.
+    ignore file and the workspace suppressions. The result is checkpointed: it is
+    small next to the corpus, and callers read it more than once.
     """
-    rules = ignore_rules(ignore_files(files))
+    rules = settle(ignore_rules(ignore_files(files)))
     scanned = drop_ignored_files(files, rules)
     code = scan_files(scanned, rulebook)
     if lint:
@@ -53,5 +55,5 @@ def scan_repositories(
         found = dependency_advisories(dependency_inventory(scanned), advisories, F.current_timestamp() if now is None else now)
         findings = union_findings(findings, found)
     owned = join_lookup(findings, repositories.select("repo_id", "org_id", "target"), ["repo_id"], ["id"])
-    final = apply_suppressions(owned, rules, suppressions)
+    final = settle(apply_suppressions(owned, rules, suppressions))
     return final, scan_summary(scanned, final, rules, files)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,3 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="lintlake-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table that a plan reads several times to the checkpoint folder.
+
+    Everything upstream runs once, the rows survive a lost executor, and plans
+    built on the result stay short.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
