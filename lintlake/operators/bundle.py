@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.findings import assemble_findings
+from lintlake.functions.sqltext import any_of, contains_any, literal
 from lintlake.functions.text import trimmed
 from lintlake.functions.urls import decode_jwt_claims, resolve_url, url_origin, url_path
 from lintlake.operators.joins import join_lookup
@@ -146,10 +147,7 @@ def site_scripts(pages: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def _bundle_lines(scripts: DataFrame) -> DataFrame:
-    needles = [n for name, _, _, ns in SECRET_PATTERNS for n in ns]
-    test = F.col("body").contains(needles[0])
-    for needle in needles[1:]:
-        test = test | F.col("body").contains(needle)
+    test = any_of([contains_any("body", needles) for _, _, _, needles in SECRET_PATTERNS])
     return scripts.where(test).select(
         F.col("page_url").alias("repo_id"), F.col("label").alias("file"),
         F.posexplode(F.split("body", "\n", -1)).alias("pos", "text"),
@@ -172,14 +170,12 @@ def scan_bundle(scripts: DataFrame) -> DataFrame:
     for i, (name, pattern, label, needles) in enumerate(SECRET_PATTERNS):
         if name == "supabase_service_role":
             continue
-        test = F.col("text").contains(needles[0])
-        found.append(F.when(test, F.transform(
-            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
-            lambda m, i=i, name=name, label=label: F.named_struct(
-                F.lit("ord"), F.lit(i), F.lit("name"), F.lit(name), F.lit("label"), F.lit(label),
-                F.lit("shown"), F.left(m, F.lit(8))),
-        )))
-    hits = lines.select("repo_id", "file", "line", F.flatten(F.array_compact(F.array(*found))).alias("hits")).select(
+        shown = (f"transform(regexp_extract_all(text, {literal(pattern)}, 0), m -> named_struct('ord', {i}, "
+                 f"'name', {literal(name)}, 'label', {literal(label)}, 'shown', left(m, 8)))")
+        found.append(f"CASE WHEN {contains_any('text', needles)} THEN {shown} END")
+    hits = lines.selectExpr(
+        "repo_id", "file", "line", f"flatten(array_compact(array({', '.join(found)}))) AS hits"
+    ).select(
         "repo_id", "file", "line", F.explode_outer("hits").alias("hit")
     ).where("hit is not null").select("repo_id", "file", "line", "hit.*")
     evidence = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(" "), F.col("shown"),

@@ -30,4 +30,4 @@ def load() -> None:
         import_module(f"lintlake.plans.{module}")
 
 
-MODULES = ("scan_queries", "finding_queries")
+MODULES = ("scan_queries", "finding_queries", "site_queries", "project_queries")
