@@ -15,6 +15,7 @@ from lintlake.functions.text import trimmed
 from lintlake.functions.urls import decode_jwt_claims, resolve_url, url_origin, url_path
 from lintlake.operators.joins import join_lookup
 from lintlake.operators.rules.rulebook import SECRET_PATTERNS
+from lintlake.session import settle
 
 # Limits and patterns of the site scan.
 MAX_SCRIPTS = 80
@@ -146,12 +147,43 @@ def site_scripts(pages: DataFrame, assets: DataFrame) -> DataFrame:
     return inline.unionByName(loaded)
 
 
-def _bundle_lines(scripts: DataFrame) -> DataFrame:
-    test = any_of([contains_any("body", needles) for _, _, _, needles in SECRET_PATTERNS])
-    return scripts.where(test).select(
-        F.col("page_url").alias("repo_id"), F.col("label").alias("file"),
-        F.posexplode(F.split("body", "\n", -1)).alias("pos", "text"),
-    ).withColumn("line", F.col("pos") + 1)
+FACT = "array<struct<kind:string,line:int,ord:int,name:string,label:string,shown:string>>"
+
+
+def _fact(kind: str, line: str, shown: str, ord_: int = 0, name: str = "", label: str = "") -> str:
+    return (f"named_struct('kind', '{kind}', 'line', {line}, 'ord', {ord_}, 'name', {literal(name)}, "
+            f"'label', {literal(label)}, 'shown', {shown})")
+
+
+def script_facts(scripts: DataFrame) -> DataFrame:
+    """(repo_id, file, url, kind, line, ord, name, label, shown) from one pass over all scripts.
+
+    ``key`` rows are credential matches (cut to what may be shown), ``token``
+    rows are whole signed tokens, ``map`` rows source map references. Patterns
+    hold no line break, so matching by line finds every match and its line.
+    """
+    credentials = [(i, *p) for i, p in enumerate(SECRET_PATTERNS) if p[0] != "supabase_service_role"]
+    gate = any_of([contains_any("body", needles) for *_, needles in credentials] + ["contains(body, 'eyJ')"])
+    mapped = (f"CASE WHEN url IS NOT NULL AND contains(body, 'sourceMappingURL=') "
+              f"THEN nullif(regexp_extract(body, {literal(SOURCE_MAP)}, 1), '') END")
+    staged = scripts.selectExpr(
+        "page_url AS repo_id", "label AS file", "url", f"{mapped} AS map_ref",
+        f"CASE WHEN {gate} THEN split(body, '\\n', -1) ELSE array('') END AS lines",
+    )
+    lines = staged.select("repo_id", "file", "url", "map_ref", F.posexplode_outer("lines").alias("pos", "text"))
+    found = [
+        f"CASE WHEN {contains_any('text', needles)} THEN transform(regexp_extract_all(text, {literal(pattern)}, 0), "
+        f"m -> {_fact('key', 'pos + 1', 'left(m, 8)', i, name, label)}) END"
+        for i, name, pattern, label, needles in credentials
+    ]
+    found.append(f"CASE WHEN contains(text, 'eyJ') THEN transform(regexp_extract_all(text, {literal(JWT)}, 0), "
+                 f"m -> {_fact('token', 'pos + 1', 'm', len(SECRET_PATTERNS))}) END")
+    found.append("CASE WHEN pos = 0 AND NOT startswith(map_ref, 'data:') "
+                 f"THEN array({_fact('map', 'CAST(NULL AS INT)', 'map_ref', len(SECRET_PATTERNS) + 1)}) END")
+    hits = f"flatten(CAST(array_compact(array({', '.join(found)})) AS array<{FACT}>))"
+    exploded = lines.selectExpr("repo_id", "file", "url", f"{hits} AS hits").select(
+        "repo_id", "file", "url", F.explode_outer("hits").alias("hit"))
+    return exploded.where("hit is not null").select("repo_id", "file", "url", "hit.*")
 
 
 def _columns(rule: Column, title: Column, evidence: Column, fix: str, references: list[str], signal: int) -> list[Column]:
@@ -163,58 +195,39 @@ def _columns(rule: Column, title: Column, evidence: Column, fix: str, references
     ]
 
 
-def scan_bundle(scripts: DataFrame) -> DataFrame:
-    """Every credential in every script; patterns hold no line break, so lines suffice."""
-    lines = _bundle_lines(scripts)
-    found = []
-    for i, (name, pattern, label, needles) in enumerate(SECRET_PATTERNS):
-        if name == "supabase_service_role":
-            continue
-        shown = (f"transform(regexp_extract_all(text, {literal(pattern)}, 0), m -> named_struct('ord', {i}, "
-                 f"'name', {literal(name)}, 'label', {literal(label)}, 'shown', left(m, 8)))")
-        found.append(f"CASE WHEN {contains_any('text', needles)} THEN {shown} END")
-    hits = lines.selectExpr(
-        "repo_id", "file", "line", f"flatten(array_compact(array({', '.join(found)}))) AS hits"
-    ).select(
-        "repo_id", "file", "line", F.explode_outer("hits").alias("hit")
-    ).where("hit is not null").select("repo_id", "file", "line", "hit.*")
+def bundle_credentials(facts: DataFrame) -> DataFrame:
+    """Every credential in every script."""
     evidence = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(" "), F.col("shown"),
                         F.lit("…[redacted]"))
-    return assemble_findings(hits.select(*_columns(
+    return assemble_findings(facts.where("kind = 'key'").select(*_columns(
         F.concat(F.lit("bundle."), F.col("name")), F.concat(F.col("label"), F.lit(" shipped to the browser")),
         evidence, SHIPPED_FIX, [], 0)))
 
 
-def bundle_service_role(scripts: DataFrame) -> DataFrame:
+def bundle_service_role(facts: DataFrame) -> DataFrame:
     """Tokens whose claims say service_role."""
-    lines = _bundle_lines(scripts).where(F.col("text").contains("eyJ"))
-    tokens = lines.select(
-        "repo_id", "file", "line", F.explode(F.regexp_extract_all("text", F.lit(JWT), F.lit(0))).alias("token")
-    ).withColumn("claims", decode_jwt_claims(F.col("token"))).where(F.col("claims.role") == "service_role")
+    tokens = facts.where("kind = 'token'").withColumn("claims", decode_jwt_claims(F.col("shown"))).where(
+        F.col("claims.role") == "service_role")
     ref = F.col("claims.ref")
     evidence = F.concat(
         F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(' JWT with role "service_role"'),
         F.when(ref != "", F.concat(F.lit(" for project "), ref)).otherwise(""),
     )
-    return assemble_findings(tokens.withColumn("ord", F.lit(len(SECRET_PATTERNS))).select(*_columns(
+    return assemble_findings(tokens.select(*_columns(
         F.lit("bundle.supabase_service_role"), F.lit("Supabase service-role key shipped to the browser"),
         evidence, SERVICE_ROLE_FIX, ["https://supabase.com/docs/guides/api/api-keys"], 4)))
 
 
-def bundle_source_maps(scripts: DataFrame, assets: DataFrame) -> DataFrame:
+def bundle_source_maps(facts: DataFrame, assets: DataFrame) -> DataFrame:
     """One finding per site whose scripts point at source maps that are served."""
-    ref = F.regexp_extract("body", SOURCE_MAP, 1)
-    maps = scripts.where(F.col("url").isNotNull() & F.col("body").contains("sourceMappingURL=")).select(
-        F.col("page_url").alias("repo_id"), F.col("label").alias("script"), F.col("url").alias("script_url"),
-        ref.alias("ref"),
-    ).where((F.col("ref") != "") & ~F.col("ref").startswith("data:"))
-    resolved = maps.withColumn("url", resolve_url(F.col("script_url"), F.col("ref")))
+    resolved = facts.where("kind = 'map'").select(
+        "repo_id", F.col("file").alias("script"), resolve_url(F.col("url"), F.col("shown")).alias("url"), "ord")
     order = Window.partitionBy("repo_id").orderBy("script", "url")
     first = resolved.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_SOURCE_MAPS)
-    served = assets.where(F.col("status").between(200, 299)).select("url").distinct()
+    served = assets.where(F.col("status").between(200, 299)).select("url")
     exposed = first.join(served, "url", "left_semi")
     # At most ten rows per site reach this aggregate.
-    per_site = exposed.groupBy("repo_id").agg(
+    per_site = exposed.groupBy("repo_id", "ord").agg(
         F.array_sort(F.collect_list(F.struct("rank", "script", "url"))).alias("maps")
     )
     first_map = F.element_at("maps", 1)
@@ -225,12 +238,16 @@ def bundle_source_maps(scripts: DataFrame, assets: DataFrame) -> DataFrame:
         F.lit("Data Exposure").alias("category"), first_map["script"].alias("file"), F.lit(None).cast("int").alias("line"),
         F.array_join(F.transform("maps", lambda m: url_path(m["url"])), ", ").alias("evidence"),
         F.lit(SOURCE_MAP_FIX).alias("fix"), F.array().cast("array<string>").alias("references"),
-        F.lit("inference").alias("rule_type"), F.lit(10).alias("signal"), F.lit(len(SECRET_PATTERNS) + 1).alias("ord"),
+        F.lit("inference").alias("rule_type"), F.lit(10).alias("signal"), "ord",
     )
     return assemble_findings(hits)
 
 
 def scan_site(pages: DataFrame, assets: DataFrame) -> DataFrame:
-    """All site findings; ``repo_id`` is the page url. Not deduplicated."""
-    scripts = site_scripts(load_pages(pages), assets)
-    return scan_bundle(scripts).unionByName(bundle_service_role(scripts)).unionByName(bundle_source_maps(scripts, assets))
+    """All site findings; ``repo_id`` is the page url. Not deduplicated.
+
+    Script bodies are read once: the matches found in them are settled, and the
+    three kinds of finding are made from those.
+    """
+    facts = settle(script_facts(site_scripts(load_pages(pages), assets)))
+    return bundle_credentials(facts).unionByName(bundle_service_role(facts)).unionByName(bundle_source_maps(facts, assets))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.sqltext import literal
 from lintlake.plans.templates import pick_sql
+from lintlake.sources.corpus import spread
 
 # (path, planted text) per file kind; kind = doc_id % 8, entry = (doc_id / 8) % length.
 PLANTED: list[list[tuple[str, str]]] = [
@@ -142,7 +143,7 @@ def derived_files(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFra
     Version 1 is a later state of the same repositories: half of the file kinds
     hold another flaw.
     """
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     names = {**hash_names(F.col("doc_id")), "src": F.col("source")}
     kind, entry = F.pmod("doc_id", F.lit(8)), F.floor((F.col("doc_id") + 4 * version) / 8)
     return documents.select(
@@ -239,8 +240,6 @@ SUPPRESSION_CTES = f""",
 
 
 def _ignore_text_sql() -> str:
-    from lintlake.plans.templates import pick_sql
-
     return pick_sql("CAST(substr(source, 4) AS INTEGER) % 4", IGNORE_TEXTS, {"src": "source"})
 
 

@@ -11,6 +11,7 @@ from lintlake.plans import checks as ck
 from lintlake.plans.derived import fill, hash_names, hash_names_sql, table
 from lintlake.plans.registry import register
 from lintlake.plans.templates import render_sql
+from lintlake.sources.corpus import spread
 
 # What is added to the head of each page, and the assets its site serves.
 HEAD = (
@@ -48,7 +49,7 @@ def _token_sql(page_id: str) -> str:
 
 
 def derived_pages(spark, sf_dir) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     head = F.concat(F.lit("<head>"), fill(F.lit(HEAD), hash_names(F.col("page_id"))))
     return pages.select("page_id", "url", F.replace("html", F.lit("<head>"), head).alias("html"))
 
@@ -138,11 +139,14 @@ SHOWN_SQL = f"""WITH inline AS (SELECT page_id, url, list_position(bodies, list_
       UNION ALL SELECT url, 'bundle.resend_key', '/_next/static/chunks/a' || page_id || '.js', 1, 're_' || substr({_names['h20']}, 1, 5), 2 FROM pages)"""
 
 
+def site_facts(spark, sf_dir) -> DataFrame:
+    return bn.script_facts(bn.site_scripts(derived_pages(spark, sf_dir), derived_assets(spark, sf_dir)))
+
+
 @register("scan_bundle", f"""{SHOWN_SQL} SELECT url AS repo_id, rule, file, CAST(line AS INTEGER) AS line,
     file || ':' || line || ' ' || shown || '…[redacted]' AS evidence, CAST(n AS BIGINT) AS n FROM found""")
 def scan_bundle(spark, sf_dir):
-    scripts = bn.site_scripts(derived_pages(spark, sf_dir), derived_assets(spark, sf_dir))
-    return bn.scan_bundle(scripts).groupBy("repo_id", "rule", "file", "line", "evidence").agg(F.count("*").alias("n"))
+    return bn.bundle_credentials(site_facts(spark, sf_dir)).groupBy("repo_id", "rule", "file", "line", "evidence").agg(F.count("*").alias("n"))
 
 
 ROLE_SQL = """SELECT url AS repo_id, 'bundle.supabase_service_role' AS rule, '/static/app' || page_id || '.js' AS file, 3 AS line,
@@ -151,8 +155,7 @@ ROLE_SQL = """SELECT url AS repo_id, 'bundle.supabase_service_role' AS rule, '/s
 
 @register("bundle_service_role", ROLE_SQL)
 def bundle_service_role(spark, sf_dir):
-    scripts = bn.site_scripts(derived_pages(spark, sf_dir), derived_assets(spark, sf_dir))
-    return bn.bundle_service_role(scripts).select("repo_id", "rule", "file", "line", "evidence")
+    return bn.bundle_service_role(site_facts(spark, sf_dir)).select("repo_id", "rule", "file", "line", "evidence")
 
 
 MAPS_SQL = """SELECT url AS repo_id, '/static/app' || page_id || '.js' AS file, '/static/app' || page_id || '.js.map' AS evidence,
@@ -161,9 +164,7 @@ MAPS_SQL = """SELECT url AS repo_id, '/static/app' || page_id || '.js' AS file,
 
 @register("bundle_source_maps", MAPS_SQL)
 def bundle_source_maps(spark, sf_dir):
-    assets = derived_assets(spark, sf_dir)
-    scripts = bn.site_scripts(derived_pages(spark, sf_dir), assets)
-    return bn.bundle_source_maps(scripts, assets).select("repo_id", "file", "evidence", "title", "confidence_score")
+    return bn.bundle_source_maps(site_facts(spark, sf_dir), derived_assets(spark, sf_dir)).select("repo_id", "file", "evidence", "title", "confidence_score")
 
 
 @register("scan_site", f"""{SHOWN_SQL} SELECT repo_id, rule, CAST(sum(n) AS BIGINT) AS n FROM (SELECT url AS repo_id, rule, n FROM found

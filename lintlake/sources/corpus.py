@@ -62,6 +62,17 @@ def corpus_files(spark: SparkSession, root: str, profile: str = "local", repo_de
     ).where(~F.col("content").contains("\x00"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a text table that arrives in few pieces.
+
+    A scan is bound by pattern matching, not by reading. A table that is read in
+    at least as many splits as there are cores, as any large one is, passes
+    through untouched; only a smaller one is shuffled once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files_from_documents(
     documents: DataFrame, repo: str = "source", doc_id: str = "doc_id", text: str = "text", extension: str = ".txt"
 ) -> DataFrame:
