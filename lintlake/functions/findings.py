@@ -71,17 +71,15 @@ def assemble_findings(hits: DataFrame, strict_compat: bool = False) -> DataFrame
     ``hits`` carries repo_id, rule, severity, title, category, file, line,
     evidence (unmasked), fix, references, rule_type, signal and ord.
     """
-    masked = hits.withColumn("evidence", mask_secrets(F.col("evidence"), strict_compat))
     score = confidence_score(F.col("rule_type"), F.col("signal"))
-    return masked.select(
-        "repo_id",
-        fingerprint(F.col("rule"), F.col("file"), F.col("line"), F.col("evidence")).alias("id"),
-        "rule", "severity", "title", "category", "file", F.col("line").cast("int").alias("line"),
-        "evidence", "fix", "references",
-        F.concat(score.cast("string"), F.lit("%")).alias("confidence"),
-        score.alias("confidence_score"),
+    scored = hits.select(
+        "*", mask_secrets(F.col("evidence"), strict_compat).alias("_masked"), score.alias("confidence_score"),
         confidence_source(F.col("rule_type")).alias("confidence_source"),
-        "rule_type",
-        F.lit(False).alias("suppressed"),
-        F.col("ord").cast("int").alias("ord"),
+    )
+    return scored.selectExpr(
+        "repo_id",
+        "left(sha2(concat_ws('|', rule, coalesce(file, 'null'), CAST(coalesce(line, 0) AS STRING), _masked), 256), 16) AS id",
+        "rule", "severity", "title", "category", "file", "CAST(line AS INT) AS line", "_masked AS evidence", "fix",
+        "references", "concat(CAST(confidence_score AS STRING), '%') AS confidence", "confidence_score",
+        "confidence_source", "rule_type", "false AS suppressed", "CAST(ord AS INT) AS ord",
     )

@@ -172,16 +172,13 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
 
 
 def rule_table(spark, rulebook: Sequence[Rule] = RULEBOOK) -> DataFrame:
-    """The rulebook as a table; its size is the number of rules, never the data."""
-    rows = [
-        (i, r.rule, r.severity, r.title, r.category, r.fix, list(r.references), r.rule_type, r.signal, r.scope)
-        for i, r in enumerate(rulebook)
-    ]
-    return spark.createDataFrame(
-        rows,
-        "ord int, rule string, severity string, title string, category string, fix string, "
-        "references array<string>, rule_type string, signal int, scope string",
-    )
+    """The rulebook as an inline table; its size is the number of rules, never the data."""
+    rows = ", ".join(
+        f"({i}, {', '.join(literal(v) for v in (r.rule, r.severity, r.title, r.category, r.fix, r.rule_type, r.scope))}, "
+        f"CAST(array({', '.join(literal(u) for u in r.references)}) AS array<string>), {r.signal})"
+        for i, r in enumerate(rulebook))
+    return spark.sql(
+        f"SELECT * FROM VALUES {rows} AS rules(ord, rule, severity, title, category, fix, rule_type, scope, references, signal)")
 
 
 def rules_enrich(hits: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFrame:
