@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.findings import SEVERITIES, severity_at_least, severity_rank, severity_weight
+from lintlake.operators.joins import join_lookup
+from lintlake.operators.ordered import previous_value
 
 SCAN_ORDER = ("file", "ord", "line", "id")
 
@@ -190,7 +192,7 @@ def group_by_severity(findings: DataFrame, threshold: str = "low", keys: Sequenc
     """
     visible = severity_filter(findings.where(_active()), threshold)
     sizes = visible.groupBy(*keys, "severity").agg(F.count("*").alias("group_size"))
-    return visible.join(sizes, [*keys, "severity"]).withColumn(
+    return join_lookup(visible, sizes, [*keys, "severity"], ["id", "file", "line"], "inner").withColumn(
         "group_rank", F.lit(5) - severity_rank(F.col("severity"))
     )
 
@@ -214,15 +216,15 @@ def latest_scan_per_target(scans: DataFrame) -> DataFrame:
 
 def score_trend(scans: DataFrame) -> DataFrame:
     """Each scan's score beside the previous scan of the same target."""
-    window = Window.partitionBy("org_id", "target").orderBy("created_at", "scan_id")
-    previous = F.lag("score").over(window)
-    return scans.withColumn("previous_score", previous).withColumn("score_delta", F.col("score") - previous)
+    paired = previous_value(scans, ["org_id", "target"], ["created_at", "scan_id"], "score", "previous_score")
+    return paired.withColumn("score_delta", F.col("score") - F.col("previous_score"))
 
 
 def scan_diff(current: DataFrame, previous: DataFrame, keys: Sequence[str] = ("repo_id", "id")) -> DataFrame:
     """Findings added, removed or persisted between two scans, with ``change``.
 
     Suppressed rows take part; payloads come from the scan that holds the row.
+    Both sides are read more than once: pass stored or settled findings.
     """
     keys = list(keys)
     added = current.join(previous.select(*keys), keys, "left_anti").withColumn("change", F.lit("added"))

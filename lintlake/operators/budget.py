@@ -12,16 +12,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.operators.ordered import running_totals
+
 # Service and workstation limits.
 SERVICE_LIMITS = {"max_files": 200, "max_bytes": 4 * 1024 * 1024, "max_file_bytes": 160 * 1024}
 LOCAL_LIMITS = {"max_files": 400, "max_bytes": 8 * 1024 * 1024, "max_file_bytes": 200 * 1024}
 
 
 def running_bytes(files: DataFrame) -> DataFrame:
-    """Position and running byte total of each file in path order."""
-    order = Window.partitionBy("repo_id").orderBy("path")
-    return files.withColumn("position", F.row_number().over(order)).withColumn(
-        "running_bytes", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    """(repo_id, path, size, position, running_bytes) of each file in path order."""
+    return running_totals(
+        files.select("repo_id", "path", "size"), ["repo_id"], ["path"],
+        {"position": F.lit(1), "running_bytes": F.col("size")},
     )
 
 

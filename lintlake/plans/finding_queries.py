@@ -314,7 +314,7 @@ def json_reports(spark, sf_dir):
 
 def versions(spark, sf_dir):
     def at(version):
-        return scan.unique_findings(scan.scan_files(dv.derived_files(spark, sf_dir, version), CORE_RULES))
+        return settle(scan.unique_findings(scan.scan_files(dv.derived_files(spark, sf_dir, version), CORE_RULES)))
 
     return at(1), at(0)
 

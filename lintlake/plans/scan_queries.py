@@ -202,7 +202,7 @@ def parse_repo_url(spark, sf_dir):
 MAX_FILES, MAX_BYTES = 20, 40_000
 
 
-@register("running_bytes", f"""SELECT repo_id, path, CAST(row_number() OVER w AS INTEGER) AS position,
+@register("running_bytes", f"""SELECT repo_id, path, CAST(row_number() OVER w AS BIGINT) AS position,
     CAST(sum(size) OVER w AS BIGINT) AS running_bytes FROM ({derived_files_sql()})
     WINDOW w AS (PARTITION BY repo_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_bytes(spark, sf_dir):

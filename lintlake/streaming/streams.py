@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lintlake.operators.joins import join_lookup
 from lintlake.operators.rules import RULEBOOK, Rule
 from lintlake.operators.scan import scan_files, unique_findings
 from lintlake.schemas import FILES, PUSH_EVENTS
@@ -141,7 +142,7 @@ def events_to_repos(events: DataFrame, repositories: DataFrame) -> DataFrame:
     first = repositories.groupBy("full_name").agg(
         F.min_by("org_id", F.struct("created_at", "id")).alias("org_id")
     )
-    joined = events.join(first, "full_name", "left")
+    joined = join_lookup(events, first, ["full_name"], ["event", "ref", "installation_id"])
     # An unregistered repository is answered before the action is looked at.
     before = F.col("status").isin("ignored_event", "missing_repo_or_installation")
     status = F.when(before, F.col("status")).when(F.col("org_id").isNull(), "not_registered").otherwise(F.col("status"))

@@ -192,3 +192,20 @@ def test_reachability_stays_in_scope_and_within_depth(spark):
     got = lambda depth: sorted((r["node"], r["depth"]) for r in label_propagation(edges, sources, sinks, depth).collect())
     assert got(8) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
     assert got(2) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+# ------------------------------------------------------- ordered computations
+def test_running_totals_and_previous_values_of_a_hot_key(spark):
+    from lintlake.operators.ordered import previous_value, running_totals
+
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else f"k{i % 9}", i, rng.randint(0, 50)) for i in range(2000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    total, previous, seen = {}, {}, {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        previous[i] = seen.get(k, (0, None))[1]
+        seen[k] = (seen.get(k, (0, None))[0] + v, v)
+        total[i] = seen[k][0]
+    assert {r["i"]: r["t"] for r in running_totals(df, ["k"], ["i"], {"t": F.col("v")}).collect()} == total
+    assert {r["i"]: r["p"] for r in previous_value(df, ["k"], ["i"], "v", "p").collect()} == previous
