@@ -99,15 +99,11 @@ def manifest_refs(pages: DataFrame) -> DataFrame:
 
 def manifest_chunks(pages: DataFrame, assets: DataFrame) -> DataFrame:
     """Chunk references listed by the manifests that were served."""
-    served = load_assets(assets).where(F.col("url").endswith("/_buildManifest.js")).select("url", "body")
+    served = load_assets(assets).where(F.col("url").endswith("/_buildManifest.js")).select(
+        "url", F.array_distinct(F.regexp_extract_all("body", F.lit(MANIFEST_CHUNK), F.lit(1))).alias("chunks"))
     manifests = join_lookup(manifest_refs(pages), served, ["url"], ["page_id"], "inner")
-    chunks = manifests.select(
-        "page_id", "page_url",
-        F.explode(F.regexp_extract_all("body", F.lit(MANIFEST_CHUNK), F.lit(1))).alias("chunk"),
-    )
-    return chunks.select(
-        "page_id", "page_url", F.concat(url_origin(F.col("page_url")), F.lit("/_next/"), F.col("chunk")).alias("url")
-    ).distinct()
+    return manifests.select("page_id", "page_url", F.explode("chunks").alias("chunk")).select(
+        "page_id", "page_url", F.concat(url_origin(F.col("page_url")), F.lit("/_next/"), F.col("chunk")).alias("url"))
 
 
 def site_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
@@ -133,20 +129,6 @@ def site_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
-def site_scripts(pages: DataFrame, assets: DataFrame) -> DataFrame:
-    """(page_id, page_url, label, body): inline and loaded scripts of every page."""
-    inline = inline_scripts(pages).select(
-        "page_id", F.col("url").alias("page_url"), F.lit(None).cast("string").alias("url"),
-        F.concat(url_path(F.col("url")), F.lit(" (inline script "), F.col("seq").cast("string"), F.lit(")")).alias("label"),
-        "body",
-    )
-    bodies = load_assets(assets).select("url", "body")
-    loaded = join_lookup(
-        site_assets(pages, assets).select("page_id", "page_url", "url"), bodies, ["url"], ["page_id"], "inner"
-    ).select("page_id", "page_url", "url", url_path(F.col("url")).alias("label"), "body")
-    return inline.unionByName(loaded)
-
-
 FACT = "array<struct<kind:string,line:int,ord:int,name:string,label:string,shown:string>>"
 
 
@@ -155,8 +137,8 @@ def _fact(kind: str, line: str, shown: str, ord_: int = 0, name: str = "", label
             f"'label', {literal(label)}, 'shown', {shown})")
 
 
-def script_facts(scripts: DataFrame) -> DataFrame:
-    """(repo_id, file, url, kind, line, ord, name, label, shown) from one pass over all scripts.
+def script_facts(scripts: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys plus (kind, line, ord, name, label, shown) from one pass over script bodies.
 
     ``key`` rows are credential matches (cut to what may be shown), ``token``
     rows are whole signed tokens, ``map`` rows source map references. Patterns
@@ -164,13 +146,11 @@ def script_facts(scripts: DataFrame) -> DataFrame:
     """
     credentials = [(i, *p) for i, p in enumerate(SECRET_PATTERNS) if p[0] != "supabase_service_role"]
     gate = any_of([contains_any("body", needles) for *_, needles in credentials] + ["contains(body, 'eyJ')"])
-    mapped = (f"CASE WHEN url IS NOT NULL AND contains(body, 'sourceMappingURL=') "
+    mapped = (f"CASE WHEN contains(body, 'sourceMappingURL=') "
               f"THEN nullif(regexp_extract(body, {literal(SOURCE_MAP)}, 1), '') END")
     staged = scripts.selectExpr(
-        "page_url AS repo_id", "label AS file", "url", f"{mapped} AS map_ref",
-        f"CASE WHEN {gate} THEN split(body, '\\n', -1) ELSE array('') END AS lines",
-    )
-    lines = staged.select("repo_id", "file", "url", "map_ref", F.posexplode_outer("lines").alias("pos", "text"))
+        *keys, f"{mapped} AS map_ref", f"CASE WHEN {gate} THEN split(body, '\\n', -1) ELSE array('') END AS lines")
+    lines = staged.select(*keys, "map_ref", F.posexplode_outer("lines").alias("pos", "text"))
     found = [
         f"CASE WHEN {contains_any('text', needles)} THEN transform(regexp_extract_all(text, {literal(pattern)}, 0), "
         f"m -> {_fact('key', 'pos + 1', 'left(m, 8)', i, name, label)}) END"
@@ -181,9 +161,28 @@ def script_facts(scripts: DataFrame) -> DataFrame:
     found.append("CASE WHEN pos = 0 AND NOT startswith(map_ref, 'data:') "
                  f"THEN array({_fact('map', 'CAST(NULL AS INT)', 'map_ref', len(SECRET_PATTERNS) + 1)}) END")
     hits = f"flatten(CAST(array_compact(array({', '.join(found)})) AS array<{FACT}>))"
-    exploded = lines.selectExpr("repo_id", "file", "url", f"{hits} AS hits").select(
-        "repo_id", "file", "url", F.explode_outer("hits").alias("hit"))
-    return exploded.where("hit is not null").select("repo_id", "file", "url", "hit.*")
+    exploded = lines.selectExpr(*keys, f"{hits} AS hits").select(*keys, F.explode_outer("hits").alias("hit"))
+    return exploded.where("hit is not null").select(*keys, "hit.*")
+
+
+def site_facts(pages: DataFrame, assets: DataFrame) -> DataFrame:
+    """(repo_id, file, url, kind, line, ord, name, label, shown) of every script of every page.
+
+    Bodies are matched where they lie, an asset once however many pages load it;
+    only matches are joined to the pages. An asset's matches form one array, which
+    the size limit of a script bounds.
+    """
+    inline = script_facts(inline_scripts(pages), ["url", "seq"]).withColumns({
+        "repo_id": F.col("url"), "url": F.lit(None).cast("string"),
+        "file": F.concat(url_path(F.col("url")), F.lit(" (inline script "), F.col("seq").cast("string"), F.lit(")")),
+    }).where("kind <> 'map'").drop("seq")
+    names = ["kind", "line", "ord", "name", "label", "shown"]
+    per_asset = script_facts(load_assets(assets), ["url"]).groupBy("url").agg(
+        F.collect_list(F.struct(*names)).alias("facts"))
+    loaded = join_lookup(site_assets(pages, assets), per_asset, ["url"], ["page_id"], "inner").select(
+        F.col("page_url").alias("repo_id"), url_path(F.col("url")).alias("file"), "url", F.explode("facts").alias("fact")
+    ).select("repo_id", "file", "url", "fact.*")
+    return inline.select(*loaded.columns).unionByName(loaded)
 
 
 def _columns(rule: Column, title: Column, evidence: Column, fix: str, references: list[str], signal: int) -> list[Column]:
@@ -246,8 +245,7 @@ def bundle_source_maps(facts: DataFrame, assets: DataFrame) -> DataFrame:
 def scan_site(pages: DataFrame, assets: DataFrame) -> DataFrame:
     """All site findings; ``repo_id`` is the page url. Not deduplicated.
 
-    Script bodies are read once: the matches found in them are settled, and the
-    three kinds of finding are made from those.
+    The matches are settled, and the three kinds of finding are made from those.
     """
-    facts = settle(script_facts(site_scripts(load_pages(pages), assets)))
+    facts = settle(site_facts(load_pages(pages), assets))
     return bundle_credentials(facts).unionByName(bundle_service_role(facts)).unionByName(bundle_source_maps(facts, assets))

@@ -140,7 +140,7 @@ SHOWN_SQL = f"""WITH inline AS (SELECT page_id, url, list_position(bodies, list_
 
 
 def site_facts(spark, sf_dir) -> DataFrame:
-    return bn.script_facts(bn.site_scripts(derived_pages(spark, sf_dir), derived_assets(spark, sf_dir)))
+    return bn.site_facts(derived_pages(spark, sf_dir), derived_assets(spark, sf_dir))
 
 
 @register("scan_bundle", f"""{SHOWN_SQL} SELECT url AS repo_id, rule, file, CAST(line AS INTEGER) AS line,

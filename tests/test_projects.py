@@ -209,3 +209,26 @@ def test_running_totals_and_previous_values_of_a_hot_key(spark):
         total[i] = seen[k][0]
     assert {r["i"]: r["t"] for r in running_totals(df, ["k"], ["i"], {"t": F.col("v")}).collect()} == total
     assert {r["i"]: r["p"] for r in previous_value(df, ["k"], ["i"], "v", "p").collect()} == previous
+
+
+# -------------------------------------------------------------- whole scans
+def test_whole_scan(spark, files_of):
+    from lintlake.plans.scans import scan_repositories
+
+    files = files_of([
+        (".scanignore", "path:old/**\nrule:php.eval_user_input **/*\n"),
+        ("old/a.py", "x = yaml.load(f)\n"), ("src/a.py", "x = yaml.load(f)\n"), ("src/b.php", 'eval($_GET["c"]);'),
+        ("supabase/1.sql", "create table t (id int);"), ("old/2.sql", "alter table t enable row level security;"),
+        ("requirements.txt", "bad==1.0\ngood==2.0\n"), ("old/requirements.txt", "bad==1.0\nworse==1.0\n"),
+    ])
+    repos = spark.createDataFrame([("r", "o", "acme/r")], "repo_id string, org_id string, target string")
+    none = spark.createDataFrame([], "id string, org_id string, finding_id string, target string, reason string, created_at timestamp")
+    vuln = "array(named_struct('id', 'V1', 'summary', 'S', 'severity', CAST(NULL AS array<struct<type:string,score:string>>), 'db_severity', array('HIGH'), 'references', array('u'), 'has_ranges', false))"
+    advisories = spark.sql(f"SELECT 'PyPI' ecosystem, name package_name, '1.0' version, {vuln} vulns, timestamp '2099-01-01' expires_at FROM VALUES ('bad'), ('worse') v(name)")
+    findings, summary = scan_repositories(files, repos, none, advisories)
+    assert sorted((r["rule"], r["file"], r["suppressed"]) for r in findings.collect()) == [
+        ("deps.cve.V1", "requirements.txt", False), ("php.eval_user_input", "src/b.php", True),
+        ("py.yaml_unsafe_load", "src/a.py", False), ("supabase.rls_not_enabled", "supabase/1.sql", False)]
+    row = summary.first()
+    assert (row["files_scanned"], row["active_findings"], row["suppressed_findings"], row["ignore_rules_applied"], row["truncated"]) == (5, 3, 1, 2, True)
+    assert row["score"] == 100 - 10 - 18 - 10
