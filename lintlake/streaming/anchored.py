@@ -17,6 +17,7 @@ bounds, not the number of events.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,22 +75,32 @@ def _collected(rows: Iterator[tuple], names: list[str], size: int = 10_000) -> I
         yield frame()
 
 
+def _last_windows(ts: np.ndarray, last_entry: int, width: int) -> np.ndarray:
+    """For each possible first window (by its index), the index the last window opens at."""
+    if last_entry < 4:  # few chains: walk them one by one
+        moments, out = ts.tolist(), []
+        for entry in range(last_entry + 1):
+            while (following := bisect_left(moments, moments[entry] + width)) < len(moments):
+                entry = following
+            out.append(entry)
+        return np.array(out)
+    # Follow all chains at once; chains that meet stay together.
+    at = owner = np.arange(last_entry + 1)
+    while True:
+        following = np.searchsorted(ts, ts[at] + width)
+        moved = np.where(following < len(ts), following, at)
+        if np.array_equal(moved, at):
+            return at[owner]
+        at, back = np.unique(moved, return_inverse=True)
+        owner = back[owner]
+
+
 def _summaries(width: int, span: int):
     def rows(batches):
         for key, chunk, (ts, n) in _segments(batches):
             total, before = int(n.sum()), np.concatenate(([0], np.cumsum(n)))
             last_entry = min(int(np.searchsorted(ts, chunk * span + width)), len(ts) - 1)
-            # Follow all possible entry points at once; chains that meet stay together.
-            at = np.arange(last_entry + 1)
-            owner = at
-            while True:
-                following = np.searchsorted(ts, ts[at] + width)
-                moved = np.where(following < len(ts), following, at)
-                if np.array_equal(moved, at):
-                    break
-                at, back = np.unique(moved, return_inverse=True)
-                owner = back[owner]
-            final = at[owner]
+            final = _last_windows(ts, last_entry, width)
             ends = np.append(np.flatnonzero(np.diff(final)), last_entry)
             yield len(ends), (key, chunk, ts[ends], ts[final[ends]], total - before[final[ends]], total)
 
@@ -120,11 +131,12 @@ def _assign(width: int):
             ts, n = ts[1:], n[1:]
             before = np.concatenate(([0], np.cumsum(n)))[:-1]
             start, offset = np.empty(len(ts), np.int64), np.empty(len(ts), np.int64)
-            i = int(np.searchsorted(ts, reset))
+            moments = ts.tolist()
+            i = bisect_left(moments, reset)
             if i:  # instants still inside the window the chunk starts in
                 start[:i], offset[:i] = reset - width, before[:i] + hits
             while i < len(ts):
-                j = int(np.searchsorted(ts, ts[i] + width))
+                j = bisect_left(moments, moments[i] + width)
                 start[i:j], offset[i:j] = ts[i], before[i:j] - before[i]
                 i = j
             yield len(ts), (key, ts, start, offset)
