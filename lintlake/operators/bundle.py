@@ -97,10 +97,22 @@ def manifest_refs(pages: DataFrame) -> DataFrame:
     ).where(F.col("url").isNotNull())
 
 
+def asset_index(assets: DataFrame) -> DataFrame:
+    """(url, size, chunks) of served assets: all that reachability needs of their bodies."""
+    chunks = F.array_distinct(F.regexp_extract_all("body", F.lit(MANIFEST_CHUNK), F.lit(1)))
+    return load_assets(assets).select(
+        "url", F.octet_length("body").alias("size"),
+        F.when(F.col("url").endswith("/_buildManifest.js"), chunks).alias("chunks"))
+
+
+def _index_of(assets: DataFrame) -> DataFrame:
+    """An index is taken as it is; of landed assets one is made."""
+    return asset_index(assets) if "body" in assets.columns else assets
+
+
 def manifest_chunks(pages: DataFrame, assets: DataFrame) -> DataFrame:
     """Chunk references listed by the manifests that were served."""
-    served = load_assets(assets).where(F.col("url").endswith("/_buildManifest.js")).select(
-        "url", F.array_distinct(F.regexp_extract_all("body", F.lit(MANIFEST_CHUNK), F.lit(1))).alias("chunks"))
+    served = _index_of(assets).where(F.col("chunks").isNotNull()).select("url", "chunks")
     manifests = join_lookup(manifest_refs(pages), served, ["url"], ["page_id"], "inner")
     return manifests.select("page_id", "page_url", F.explode("chunks").alias("chunk")).select(
         "page_id", "page_url", F.concat(url_origin(F.col("page_url")), F.lit("/_next/"), F.col("chunk")).alias("url"))
@@ -110,7 +122,7 @@ def site_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
     """(page_id, page_url, url): scripts a site scan reads, within its limits.
 
     Own scripts come first, then the manifest, then its chunks. Only urls and
-    sizes are ranked; bodies join later.
+    sizes take part. ``assets`` may be landed assets or a stored ``asset_index``.
     """
     reach = (
         same_origin_refs(script_refs(pages)).withColumn("hop", F.lit(0))
@@ -118,7 +130,7 @@ def site_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
         .unionByName(manifest_chunks(pages, assets).withColumn("hop", F.lit(2)))
     )
     nearest = reach.groupBy("page_id", "page_url", "url").agg(F.min("hop").alias("hop"))
-    sizes = load_assets(assets).select("url", F.octet_length("body").alias("size"))
+    sizes = _index_of(assets).select("url", "size")
     served = join_lookup(nearest, sizes, ["url"], ["page_id"], "inner")
     order = Window.partitionBy("page_id").orderBy("hop", "url")
     first = served.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= MAX_SCRIPTS)
@@ -179,7 +191,7 @@ def site_facts(pages: DataFrame, assets: DataFrame) -> DataFrame:
     names = ["kind", "line", "ord", "name", "label", "shown"]
     per_asset = script_facts(load_assets(assets), ["url"]).groupBy("url").agg(
         F.collect_list(F.struct(*names)).alias("facts"))
-    loaded = join_lookup(site_assets(pages, assets), per_asset, ["url"], ["page_id"], "inner").select(
+    loaded = join_lookup(site_assets(pages, settle(asset_index(assets))), per_asset, ["url"], ["page_id"], "inner").select(
         F.col("page_url").alias("repo_id"), url_path(F.col("url")).alias("file"), "url", F.explode("facts").alias("fact")
     ).select("repo_id", "file", "url", "fact.*")
     return inline.select(*loaded.columns).unionByName(loaded)
