@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm.html import extract_pages
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.sharding import byte_shards
+from lintlake.llm.toxicity import held_out, learn, score_documents, training_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -38,3 +40,16 @@ def byte_shards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_main_text")
+def main_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op9_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, training_labels(table(spark, sf_dir, "labels")))
+    return score_documents(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "passages")
