@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm.fingerprints import edit_probe
 from lintlake.llm.html import extract_pages
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.sharding import byte_shards
@@ -42,6 +43,11 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op4_fingerprints")
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_probe(table(spark, sf_dir, "documents"))
+
+
 @query("op7_main_text")
 def main_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
