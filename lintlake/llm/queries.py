@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm.common import text_bytes
 from lintlake.llm.fingerprints import edit_probe
 from lintlake.llm.html import extract_pages
+from lintlake.llm.lines import LineIndex
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.sharding import byte_shards
 from lintlake.llm.toxicity import held_out, learn, score_documents, training_labels
@@ -43,6 +45,22 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op2_line_dedup", """
+    WITH lines AS (
+      SELECT doc_id, nth, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth FROM documents)),
+    common AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id < keeper) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE keeper IS NULL OR doc_id >= keeper), '')) AS kept_sha256
+    FROM lines LEFT JOIN common USING (key) GROUP BY doc_id""")
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = LineIndex(spark).insert(docs).dedup(docs)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(text_bytes(), 256).alias("kept_sha256"))
+
+
 @query("op4_fingerprints")
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_probe(table(spark, sf_dir, "documents"))
