@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import text_bytes
+from lintlake.llm.common import stored, text_bytes
+from lintlake.llm.decontaminate import contaminated_pairs
 from lintlake.llm.fingerprints import edit_probe
 from lintlake.llm.html import extract_pages
 from lintlake.llm.lines import LineIndex
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.sharding import byte_shards
+from lintlake.llm.token_rollup import TokenRollup, deletes, inserts, revisions, token_counts
 from lintlake.llm.toxicity import held_out, learn, score_documents, training_labels
+from lintlake.llm.warc import derivatives, responses_of_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -61,11 +64,47 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(text_bytes(), 256).alias("kept_sha256"))
 
 
+_SHINGLES = """
+      SELECT DISTINCT {key}, array_to_string(list_slice(words, nth, nth + 4), ' ') AS shingle
+      FROM (SELECT {key}, words, unnest(generate_series(1, greatest(len(words) - 4, least(len(words), 1)))) AS nth
+            FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS words FROM {table}))"""
+
+
+@query("op3_decontamination", f"""
+    WITH d AS ({_SHINGLES.format(key="doc_id", table="documents")}), i AS ({_SHINGLES.format(key="item_id", table="benchmark")}),
+    n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
+    SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+    FROM d JOIN i USING (shingle) JOIN n USING (item_id)
+    GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles""")
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_fingerprints")
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_probe(table(spark, sf_dir, "documents"))
 
 
+@query("op5_token_rollup")
+def token_rollup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: provisional counts (a token per four bytes), their revision by two tokenizers, the
+    withdrawal of low-quality documents, and the revision once more, which changes nothing."""
+    counts = stored(token_counts(table(spark, sf_dir, "documents"), ("byte_bpe_50k", "byte_bpe_multi_50k")).withColumn(
+        "was", F.expr("n_bytes div 4")), "token-counts")
+    low = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    rollup = TokenRollup(spark)
+    rollup.commit("first", inserts(counts.withColumn("tokens", F.col("was"))))
+    rollup.commit("revised", revisions(counts))
+    rollup.commit("withdrawn", deletes(counts.join(low, "doc_id", "left_semi")))
+    rollup.commit("revised", revisions(counts))
+    return rollup.totals()
+
+
+@query("op6_warc_derivatives")
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses_of_pages(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
+
+
 @query("op7_main_text")
 def main_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
