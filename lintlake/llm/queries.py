@@ -11,6 +11,7 @@ from lintlake.llm.common import stored, text_bytes
 from lintlake.llm.decontaminate import contaminated_pairs
 from lintlake.llm.fingerprints import edit_probe
 from lintlake.llm.html import extract_pages
+from lintlake.llm.jaccard_join import similar_documents
 from lintlake.llm.lines import LineIndex
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.sharding import byte_shards
@@ -116,3 +117,8 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, training_labels(table(spark, sf_dir, "labels")))
     return score_documents(docs, model).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "passages")
+
+
+@query("op10_jaccard_join")
+def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
