@@ -86,7 +86,7 @@ class ItemBlock:
 
     def matches(self, hashes: np.ndarray, least: float) -> list[tuple[int, int, int]]:
         """(item, distinct shingles, shared) with at least ``least`` of the item's shingles in the text."""
-        close = self.candidates(hashes) if len(hashes) else ()
+        close = self.candidates(hashes) if len(hashes) and self.ids else ()
         if not close:
             return []
         own, out = np.unique(hashes), []
@@ -142,4 +142,4 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: float = 0.8
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """The documents, with all their columns, that contain no benchmark item. A null id is kept only if no null id matches."""
     hit = contaminated_pairs(docs, benchmark, least).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")

@@ -311,4 +311,4 @@ def similar_documents(docs: DataFrame, least: float = 0.8, recall: float = 0.999
 def one_of_each(docs: DataFrame, least: float = 0.8, recall: float = 0.999) -> DataFrame:
     """The documents, with all columns, that carry their class's smallest doc_id. Rows with a null doc_id stay; of repeated ids all rows do."""
     keep = similar_documents(docs, least, recall).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(keep, docs["doc_id"].cast("long") == keep["_gone"], "left_anti")

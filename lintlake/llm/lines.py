@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintlake.llm.common import shared_folder, sliced
 
@@ -243,25 +244,27 @@ class LineIndex:
         """
         version, least = self._current(), self.min_chars
         drop = self._known_lines(docs, version).join(self._common(version), "key").where("doc_id < keeper").groupBy("doc_id").agg(
-            F.collect_set("key").alias("_drop"))  # at most the lines of one document
+            F.collect_set("key").alias("drop"))  # at most the lines of one document
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
                 texts, totals, dropped = [], [], []
-                for text, gone in zip(batch.column("_text").to_pylist(), batch.column("_drop").to_pylist(), strict=True):
+                for text, gone in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
                     lines = (text or "").split("\n")
                     kept = lines if not gone else [x for x in lines if len(x) < least or line_key(x, least) not in gone]
                     texts.append("\n".join(kept))
                     totals.append(len(lines))
                     dropped.append(len(lines) - len(kept))
-                rest = [n for n in batch.schema.names if n not in ("_text", "_drop")]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(n) for n in rest], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())],
-                    names=[*rest, "text", "n_lines", "n_dropped"])
-
-        rows = docs.drop("n_lines", "n_dropped").withColumnRenamed("text", "_text").withColumn(
-            "_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-        joined = rows.join(drop.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_text", "_drop"))
-        found = joined.mapInArrow(rebuild, kept + ", text string, n_lines long, n_dropped long")
-        return found.select(*docs.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
+                    [batch.column("row"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())],
+                    names=["row", "text", "n_lines", "n_dropped"])
+
+        columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+        # The other columns travel as one struct, so no name of theirs can clash.
+        rows = docs.select(F.struct(*[c for c in columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"),
+                           F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
+        joined = rows.join(drop.withColumnRenamed("doc_id", "id"), "id", "left").select("row", "text", "drop")
+        schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
+                               T.StructField("n_dropped", T.LongType())])
+        found = joined.mapInArrow(rebuild, schema)
+        return found.select(*["text" if c == "text" else f"row.`{c}`" for c in columns], "n_lines", "n_dropped")

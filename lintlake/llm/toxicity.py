@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintlake.llm.common import sliced, texts_of
 
@@ -265,6 +266,8 @@ def score_documents(docs: DataFrame, model: ToxicModel, carry: tuple[str, ...] =
                 names=[*[n for n in batch.schema.names if n != "_text"], "score", "predicted", "passages"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(scan, schema + ", score double, predicted int, "
-                           "passages array<struct<first:int,end:int,score:double,excess:double>>")
+    passage = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                            T.StructField("score", T.DoubleType()), T.StructField("excess", T.DoubleType())])
+    return rows.mapInArrow(scan, T.StructType([
+        *[f for f in rows.schema if f.name != "_text"], T.StructField("score", T.DoubleType()),
+        T.StructField("predicted", T.IntegerType()), T.StructField("passages", T.ArrayType(passage))]))
