@@ -31,18 +31,18 @@ SMALL = 200  # sets in a bucket that is compared at once
 DEPTH = 4
 BLOCK = 1000  # sets in a block of a dense bucket
 BLOCK_SHINGLES = 400_000  # shingles in a block of a component
-_FACTORS = np.random.default_rng(20240301).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(20240301)
+_FACTORS = _RANDOM.integers(0, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _RANDOM.integers(0, 2**32, COORDINATES, dtype=np.uint32)
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
     """MinHash values of a set of shingles, one 32-bit number per coordinate."""
-    if not len(hashes):
-        return np.zeros(COORDINATES, np.uint32)
-    low = np.full(COORDINATES, 2**64 - 1, np.uint64)
+    low = np.full(COORDINATES, 2**32 - 1, np.uint32)
     for start in range(0, len(hashes), 4096):
-        part = hashes[start:start + 4096]
-        low = np.minimum(low, (part[None, :] * _FACTORS[:, None] & np.uint64(0xFFFFFFFFFFFFFFFF)).min(axis=1))
-    return (low >> np.uint64(32)).astype(np.uint32)
+        part = (hashes[start:start + 4096] >> np.uint64(32)).astype(np.uint32)
+        low = np.minimum(low, ((part[None, :] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(axis=1))
+    return low
 
 
 def runs_for(recall: float, least: float) -> int:
