@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EVIDENCE_CHARS = 280
+EVIDENCE_CHARS = 280  # fixed value: where ``strict_compat`` cuts evidence
 KEYWORDS = ("secret", "token", "private_key", "api_key", "password")
 
 # The eight masks in order, as (pattern, replacement, literals one
@@ -66,5 +66,6 @@ def redact_corpus(df: DataFrame, column: str, strict_compat: bool = False) -> Da
 
 
 def mask_secrets(col: Column, strict_compat: bool = False) -> Column:
-    """Masked evidence: all masks, then the first 280 characters."""
-    return F.substring(redact(col, strict_compat), 1, EVIDENCE_CHARS)
+    """Masked evidence, whole; with ``strict_compat`` only its first characters."""
+    masked = redact(col, strict_compat)
+    return F.substring(masked, 1, EVIDENCE_CHARS) if strict_compat else masked

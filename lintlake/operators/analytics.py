@@ -38,9 +38,14 @@ def severity_counts(findings: DataFrame, keys: Sequence[str] = ("repo_id",)) ->
 
 
 def scan_summary(
-    files: DataFrame, findings: DataFrame, rules: DataFrame | None = None, candidates: DataFrame | None = None
+    files: DataFrame, findings: DataFrame, rules: DataFrame | None = None, candidates: DataFrame | None = None,
+    loaded: DataFrame | None = None,
 ) -> DataFrame:
-    """One header row per repository."""
+    """One header row per repository.
+
+    ``files`` are those scanned, ``loaded`` those read before ignore files took some away (default: ``files``), and
+    ``candidates`` those that could have been read. A scan is truncated if a limit kept it from reading all candidates.
+    """
     scanned = files.groupBy("repo_id").agg(
         F.count("*").alias("files_scanned"), F.sum("size").alias("bytes_scanned")
     )
@@ -60,30 +65,35 @@ def scan_summary(
         total = candidates.groupBy("repo_id").agg(F.count("*").alias("total_candidate_files"))
         out = out.join(total, "repo_id", "left")
     else:
-        out = out.withColumn("total_candidate_files", F.col("files_scanned"))
+        out = out.withColumn("total_candidate_files", F.lit(None).cast("long"))
+    if loaded is not None:
+        out = out.join(loaded.groupBy("repo_id").agg(F.count("*").alias("files_loaded")), "repo_id", "left")
+    else:
+        out = out.withColumn("files_loaded", F.col("files_scanned"))
     return out.select(
         "repo_id", "files_scanned", "bytes_scanned",
         F.coalesce("active_findings", zero).alias("active_findings"),
         F.coalesce("suppressed_findings", zero).alias("suppressed_findings"),
         F.coalesce("ignore_rules_applied", zero).alias("ignore_rules_applied"),
-        (F.col("total_candidate_files") > F.col("files_scanned")).alias("truncated"),
+        F.coalesce(F.col("total_candidate_files") > F.col("files_loaded"), F.lit(False)).alias("truncated"),
         _score(F.col("penalty")).alias("score"),
     )
 
 
 def scan_history(
-    scans: DataFrame, findings: DataFrame, org_id, target: str | None = None, limit: int = 50, max_limit: int = 200
+    scans: DataFrame, findings: DataFrame, org_id, target: str | None = None, limit: int | None = 50
 ) -> DataFrame:
-    """Newest scans of one workspace with their finding counts.
+    """Newest scans of one workspace with their finding counts; all of them without a limit.
 
     ``*_total`` counts include suppressed findings, ``*_active`` do not.
     """
     wanted = scans.where(F.col("org_id") == org_id)
     if target is not None:
         wanted = wanted.where(F.col("target") == target)
-    newest = wanted.orderBy(F.col("created_at").desc(), F.col("scan_id").desc()).limit(min(limit, max_limit))
-    # The limit bounds this side at ``max_limit`` rows, so it may be broadcast.
-    counted = findings.join(F.broadcast(newest.select("scan_id")), "scan_id", "left_semi").groupBy("scan_id").agg(
+    newest = wanted.orderBy(F.col("created_at").desc(), F.col("scan_id").desc())
+    if limit is not None:
+        newest = newest.limit(limit)
+    counted = findings.join(newest.select("scan_id"), "scan_id", "left_semi").groupBy("scan_id").agg(
         F.count("*").alias("findings_total"),
         F.count_if(F.col("severity") == "critical").alias("critical_total"),
         F.count_if(~_active()).alias("suppressed_total"),
@@ -198,15 +208,16 @@ def group_by_severity(findings: DataFrame, threshold: str = "low", keys: Sequenc
 
 
 def find_many(
-    df: DataFrame, filters: dict, order_by: str = "created_at", direction: str = "desc", limit: int = 200,
+    df: DataFrame, filters: dict, order_by: str = "created_at", direction: str = "desc", limit: int | None = 200,
     tiebreak: Sequence[str] = ("id",),
 ) -> DataFrame:
-    """Equality filters, one sort column, at most 500 rows."""
+    """Equality filters, one sort column, the first ``limit`` rows or all."""
     out = df
     for column, value in filters.items():
         out = out.where(F.col(column).isin(*value) if isinstance(value, (list, tuple)) else F.col(column) == value)
     order = F.col(order_by).asc() if direction == "asc" else F.col(order_by).desc()
-    return out.orderBy(order, *tiebreak).limit(min(limit or 200, 500))
+    ordered = out.orderBy(order, *tiebreak)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def latest_scan_per_target(scans: DataFrame) -> DataFrame:
@@ -227,10 +238,12 @@ def scan_diff(current: DataFrame, previous: DataFrame, keys: Sequence[str] = ("r
     Both sides are read more than once: pass stored or settled findings.
     """
     keys = list(keys)
-    added = current.join(previous.select(*keys), keys, "left_anti").withColumn("change", F.lit("added"))
-    removed = previous.join(current.select(*keys), keys, "left_anti").withColumn("change", F.lit("removed"))
-    persisted = current.join(previous.select(*keys), keys, "left_semi").withColumn("change", F.lit("persisted"))
-    return added.unionByName(removed).unionByName(persisted)
+    side = lambda df, n: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(n))
+    both = side(current, "_now").join(side(previous, "_before"), keys, "full")
+    change = F.when(F.col("_before").isNull(), "added").when(F.col("_now").isNull(), "removed").otherwise("persisted")
+    row = F.coalesce("_now", "_before")
+    return both.select(*keys, row.alias("_row"), change.alias("change")).select(
+        *[F.col(c) if c in keys else F.col(f"_row.`{c}`") for c in current.columns], "change")
 
 
 def scan_diff_summary(

@@ -1,6 +1,6 @@
 """Site scan: what a page's scripts ship to the browser.
 
-The reference walks a queue; a page reaches its own scripts, its build manifest
+A page reaches its own scripts, its build manifest
 and the manifest's chunks, so two joins over landed assets cover it.
 """
 
@@ -17,11 +17,8 @@ from lintlake.operators.joins import join_lookup
 from lintlake.operators.rules.rulebook import SECRET_PATTERNS
 from lintlake.session import settle
 
-# Limits and patterns of the site scan.
-MAX_SCRIPTS = 80
-MAX_SCRIPT_BYTES = 6 * 1024 * 1024
-MAX_TOTAL_BYTES = 40 * 1024 * 1024
-MAX_SOURCE_MAPS = 10
+# Limits of the hosted service (off unless given), patterns and texts of the site scan.
+SERVICE_LIMITS = {"max_scripts": 80, "max_bytes": 6 * 1024 * 1024, "max_total_bytes": 40 * 1024 * 1024, "max_maps": 10}
 INLINE_SCRIPT = r"(?is)<script\b(?![^>]*\bsrc=)[^>]*>(.*?)</script>"
 SCRIPT_TAG = r"(?i)<(?:script|link)\b[^>]*?\b(?:src|href)\s*=\s*[\"'][^\"']+[\"'][^>]*>"
 TAG_REF = r"(?i)\b(?:src|href)\s*=\s*[\"']([^\"']+)[\"']"
@@ -44,16 +41,19 @@ SOURCE_MAP_FIX = (
 )
 
 
-def load_pages(pages: DataFrame, max_bytes: int = MAX_SCRIPT_BYTES) -> DataFrame:
-    """Pages with a body within the size limit; larger bodies count as empty."""
+def load_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Pages as they are; with a size limit larger bodies count as empty."""
+    if max_bytes is None:
+        return pages
     return pages.withColumn(
         "html", F.when(F.octet_length("html") <= max_bytes, F.col("html")).otherwise(F.lit(""))
     )
 
 
-def load_assets(assets: DataFrame, max_bytes: int = MAX_SCRIPT_BYTES) -> DataFrame:
-    """Assets that were served and are within the size limit."""
-    return assets.where(F.col("status").between(200, 299) & (F.octet_length("body") <= max_bytes))
+def load_assets(assets: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Assets that were served and, with a size limit, are within it."""
+    served = assets.where(F.col("status").between(200, 299) & F.col("body").isNotNull())
+    return served if max_bytes is None else served.where(F.octet_length("body") <= max_bytes)
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
@@ -97,10 +97,10 @@ def manifest_refs(pages: DataFrame) -> DataFrame:
     ).where(F.col("url").isNotNull())
 
 
-def asset_index(assets: DataFrame) -> DataFrame:
+def asset_index(assets: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(url, size, chunks) of served assets: all that reachability needs of their bodies."""
     chunks = F.array_distinct(F.regexp_extract_all("body", F.lit(MANIFEST_CHUNK), F.lit(1)))
-    return load_assets(assets).select(
+    return load_assets(assets, max_bytes).select(
         "url", F.octet_length("body").alias("size"),
         F.when(F.col("url").endswith("/_buildManifest.js"), chunks).alias("chunks"))
 
@@ -118,8 +118,10 @@ def manifest_chunks(pages: DataFrame, assets: DataFrame) -> DataFrame:
         "page_id", "page_url", F.concat(url_origin(F.col("page_url")), F.lit("/_next/"), F.col("chunk")).alias("url"))
 
 
-def site_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
-    """(page_id, page_url, url): scripts a site scan reads, within its limits.
+def site_assets(
+    pages: DataFrame, assets: DataFrame, max_scripts: int | None = None, max_total_bytes: int | None = None
+) -> DataFrame:
+    """(page_id, page_url, url, hop, size): scripts a site scan reads; the first ones only where a limit is given.
 
     Own scripts come first, then the manifest, then its chunks. Only urls and
     sizes take part. ``assets`` may be landed assets or a stored ``asset_index``.
@@ -133,12 +135,13 @@ def site_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
     sizes = _index_of(assets).select("url", "size")
     served = join_lookup(nearest, sizes, ["url"], ["page_id"], "inner")
     order = Window.partitionBy("page_id").orderBy("hop", "url")
-    first = served.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= MAX_SCRIPTS)
-    # A script is read while the bytes read before it are under the total.
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return first.withColumn("_before", before).where(F.col("_before") < MAX_TOTAL_BYTES).select(
-        "page_id", "page_url", "url", "hop", "size"
-    )
+    if max_scripts is not None:
+        served = served.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max_scripts)
+    if max_total_bytes is not None:
+        # A script is read while the bytes read before it are under the total.
+        before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        served = served.withColumn("_before", before).where(F.col("_before") < max_total_bytes)
+    return served.select("page_id", "page_url", "url", "hop", "size")
 
 
 FACT = "array<struct<kind:string,line:int,ord:int,name:string,label:string,shown:string>>"
@@ -177,23 +180,23 @@ def script_facts(scripts: DataFrame, keys: list[str]) -> DataFrame:
     return exploded.where("hit is not null").select(*keys, "hit.*")
 
 
-def site_facts(pages: DataFrame, assets: DataFrame) -> DataFrame:
+def site_facts(
+    pages: DataFrame, assets: DataFrame, max_scripts: int | None = None, max_total_bytes: int | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
     """(repo_id, file, url, kind, line, ord, name, label, shown) of every script of every page.
 
     Bodies are matched where they lie, an asset once however many pages load it;
-    only matches are joined to the pages. An asset's matches form one array, which
-    the size limit of a script bounds.
+    only matches are joined to the pages.
     """
     inline = script_facts(inline_scripts(pages), ["url", "seq"]).withColumns({
         "repo_id": F.col("url"), "url": F.lit(None).cast("string"),
         "file": F.concat(url_path(F.col("url")), F.lit(" (inline script "), F.col("seq").cast("string"), F.lit(")")),
     }).where("kind <> 'map'").drop("seq")
     names = ["kind", "line", "ord", "name", "label", "shown"]
-    per_asset = script_facts(load_assets(assets), ["url"]).groupBy("url").agg(
-        F.collect_list(F.struct(*names)).alias("facts"))
-    loaded = join_lookup(site_assets(pages, settle(asset_index(assets))), per_asset, ["url"], ["page_id"], "inner").select(
-        F.col("page_url").alias("repo_id"), url_path(F.col("url")).alias("file"), "url", F.explode("facts").alias("fact")
-    ).select("repo_id", "file", "url", "fact.*")
+    loads = site_assets(pages, settle(asset_index(assets, max_bytes)), max_scripts, max_total_bytes).select("page_url", "url")
+    loaded = loads.join(script_facts(load_assets(assets, max_bytes), ["url"]), "url").select(
+        F.col("page_url").alias("repo_id"), url_path(F.col("url")).alias("file"), "url", *names)
     return inline.select(*loaded.columns).unionByName(loaded)
 
 
@@ -229,15 +232,17 @@ def bundle_service_role(facts: DataFrame) -> DataFrame:
         evidence, SERVICE_ROLE_FIX, ["https://supabase.com/docs/guides/api/api-keys"], 4)))
 
 
-def bundle_source_maps(facts: DataFrame, assets: DataFrame) -> DataFrame:
-    """One finding per site whose scripts point at source maps that are served."""
+def bundle_source_maps(facts: DataFrame, assets: DataFrame, max_maps: int | None = None) -> DataFrame:
+    """One finding per site whose scripts point at source maps that are served; with ``max_maps`` only the first are tried."""
     resolved = facts.where("kind = 'map'").select(
         "repo_id", F.col("file").alias("script"), resolve_url(F.col("url"), F.col("shown")).alias("url"), "ord")
     order = Window.partitionBy("repo_id").orderBy("script", "url")
-    first = resolved.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_SOURCE_MAPS)
+    first = resolved.withColumn("rank", F.row_number().over(order))
+    if max_maps is not None:
+        first = first.where(F.col("rank") <= max_maps)
     served = assets.where(F.col("status").between(200, 299)).select("url")
     exposed = first.join(served, "url", "left_semi")
-    # At most ten rows per site reach this aggregate.
+    # One row per source map of a site reaches this aggregate: the finding names them all.
     per_site = exposed.groupBy("repo_id", "ord").agg(
         F.array_sort(F.collect_list(F.struct("rank", "script", "url"))).alias("maps")
     )
@@ -254,10 +259,15 @@ def bundle_source_maps(facts: DataFrame, assets: DataFrame) -> DataFrame:
     return assemble_findings(hits)
 
 
-def scan_site(pages: DataFrame, assets: DataFrame) -> DataFrame:
+def scan_site(
+    pages: DataFrame, assets: DataFrame, max_scripts: int | None = None, max_bytes: int | None = None,
+    max_total_bytes: int | None = None, max_maps: int | None = None,
+) -> DataFrame:
     """All site findings; ``repo_id`` is the page url. Not deduplicated.
 
     The matches are settled, and the three kinds of finding are made from those.
+    Limits are off unless given; ``**SERVICE_LIMITS`` gives the hosted service's.
     """
-    facts = settle(site_facts(load_pages(pages), assets))
-    return bundle_credentials(facts).unionByName(bundle_service_role(facts)).unionByName(bundle_source_maps(facts, assets))
+    facts = settle(site_facts(load_pages(pages, max_bytes), assets, max_scripts, max_total_bytes, max_bytes))
+    return bundle_credentials(facts).unionByName(bundle_service_role(facts)).unionByName(
+        bundle_source_maps(facts, assets, max_maps))

@@ -20,8 +20,8 @@ ECOSYSTEMS = {
     "Maven": ("pom.xml",),
 }
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-PER_MANIFEST = 100
-PER_PACKAGE = 3
+# Limits of the hosted service, for callers that want its exact output.
+SERVICE_LIMITS = {"per_manifest": 100, "per_package": 3, "links": 3, "summary_chars": 160}
 DEPENDENCY_COLUMNS = ["repo_id", "path", "pos", "ecosystem", "name", "version"]
 LOCK_MAP = "map<string,struct<version:string>>"
 
@@ -129,50 +129,54 @@ def dependency_inventory(files: DataFrame) -> DataFrame:
     return out
 
 
-def distinct_dependencies(dependencies: DataFrame) -> DataFrame:
-    """First 100 entries per manifest, then the first manifest per package of a repository."""
-    in_file = Window.partitionBy("repo_id", "path").orderBy("pos", "name", "version")
-    first = dependencies.withColumn("_rank", F.row_number().over(in_file)).where(F.col("_rank") <= PER_MANIFEST)
-    per_package = Window.partitionBy("repo_id", "ecosystem", "name", "version").orderBy("path", "pos")
-    return (
-        first.withColumn("_rank", F.row_number().over(per_package)).where("_rank = 1")
-        .select(*DEPENDENCY_COLUMNS)
-    )
+def distinct_dependencies(dependencies: DataFrame, per_manifest: int | None = None) -> DataFrame:
+    """The first manifest per package of a repository; with ``per_manifest`` only a manifest's first entries count."""
+    first = dependencies
+    if per_manifest is not None:
+        in_file = Window.partitionBy("repo_id", "path").orderBy("pos", "name", "version")
+        first = dependencies.withColumn("_rank", F.row_number().over(in_file)).where(F.col("_rank") <= per_manifest)
+    return first.groupBy("repo_id", "ecosystem", "name", "version").agg(F.min(F.struct("path", "pos")).alias("_first")).select(
+        "repo_id", "_first.path", "_first.pos", "ecosystem", "name", "version")
+
 
+def dependency_advisories(
+    dependencies: DataFrame, advisories: DataFrame, now: Column, per_manifest: int | None = None,
+    per_package: int | None = None, links: int | None = None, summary_chars: int | None = None,
+) -> DataFrame:
+    """Findings for dependencies with unexpired advisories, one per advisory.
 
-def dependency_advisories(dependencies: DataFrame, advisories: DataFrame, now: Column) -> DataFrame:
-    """Findings for dependencies with unexpired advisories, at most three per package.
+    The four limits are off unless given; ``**SERVICE_LIMITS`` gives the hosted service's.
 
     ``advisories`` holds one row per (ecosystem, package_name, version), so the
     join cannot multiply rows; a package used everywhere is spread by salt.
     """
     live = advisories.where(F.col("expires_at") > now).select(
-        "ecosystem", F.col("package_name").alias("name"), "version", F.slice("vulns", 1, PER_PACKAGE).alias("vulns")
+        "ecosystem", F.col("package_name").alias("name"), "version", (F.slice("vulns", 1, per_package) if per_package is not None else F.col("vulns")).alias("vulns")
     )
     joined = join_lookup(
-        distinct_dependencies(dependencies), live, ["ecosystem", "name", "version"], ["repo_id", "path"], "inner"
+        distinct_dependencies(dependencies, per_manifest), live, ["ecosystem", "name", "version"], ["repo_id", "path"], "inner"
     )
     rows = joined.select("repo_id", "path", "ecosystem", "name", "version", F.posexplode("vulns").alias("rank", "vuln"))
     vuln = F.col("vuln")
     label = F.concat_ws("@", "name", "version")
     severity = vuln_severity(vuln["severity"], vuln["db_severity"])
-    links = F.filter(F.slice(F.coalesce(vuln["references"], F.array().cast("array<string>")), 1, 3), lambda u: u != "")
+    given = F.coalesce(vuln["references"], F.array().cast("array<string>"))
+    shown = F.filter(F.slice(given, 1, links) if links is not None else given, lambda u: u != "")
+    told = F.coalesce(F.nullif(vuln["summary"], F.lit("")), F.nullif(F.coalesce(vuln["id"], F.lit("")), F.lit("")), F.lit("Vulnerable dependency"))
     vid = F.coalesce(vuln["id"], F.lit(""))
     hits = rows.select(
         "repo_id",
         F.concat(F.lit("deps.cve."), F.coalesce(F.nullif(vid, F.lit("")), F.lit("unknown"))).alias("rule"),
         severity.alias("severity"),
-        F.concat(label, F.lit(": "), F.left(F.coalesce(
-            F.nullif(vuln["summary"], F.lit("")), F.nullif(vid, F.lit("")), F.lit("Vulnerable dependency")), F.lit(160))
-        ).alias("title"),
+        F.concat(label, F.lit(": "), F.left(told, F.lit(summary_chars)) if summary_chars is not None else told).alias("title"),
         F.lit("Supply Chain").alias("category"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"),
         F.concat(label, F.lit(" ("), F.col("ecosystem"), F.lit(") — "),
                  F.coalesce(F.nullif(vid, F.lit("")), F.lit("advisory"))).alias("evidence"),
         F.when(F.coalesce(vuln["has_ranges"], F.lit(False)),
                F.concat(F.lit("Upgrade "), F.col("name"), F.lit(" past the affected range. See "),
-                        F.coalesce(F.try_element_at(links, F.lit(1)), F.lit("OSV.dev")), F.lit(".")))
+                        F.coalesce(F.try_element_at(shown, F.lit(1)), F.lit("OSV.dev")), F.lit(".")))
         .otherwise(F.concat(F.lit("Review and upgrade "), F.col("name"), F.lit(" to a non-affected version."))).alias("fix"),
-        F.when(F.size(links) > 0, links).otherwise(F.array(F.concat(F.lit("https://osv.dev/"), vid))).alias("references"),
+        F.when(F.size(shown) > 0, shown).otherwise(F.array(F.concat(F.lit("https://osv.dev/"), vid))).alias("references"),
         F.lit("dependency_cve").alias("rule_type"),
         F.when(severity == "critical", 6).when(severity == "high", 3).otherwise(0).alias("signal"),
         # After every code rule in scan order.

@@ -40,6 +40,8 @@ DOCS = "https://supabase.com/docs/guides/database/postgres/row-level-security"
 ADVISORS = "https://supabase.com/docs/guides/database/database-advisors?lint="
 
 STATEMENTS = "repo_id string, path string, seq int, line int, text string, using_expr string, check_expr string"
+# Up to the table of a policy; its clauses come after, whatever its name says.
+POLICY_TABLE = re.compile(dict(STATEMENT_KINDS)["policy"])
 # Pieces of SQL text that are read as one: comments, $tag$ bodies, quoted text, ends of statements.
 PIECE = re.compile(
     r"(?P<line_comment>--[^\n]*)|(?P<block_comment>/\*.*?(?:\*/|\Z))|(?P<end>;)"
@@ -91,10 +93,11 @@ def sql_statements(files: DataFrame) -> DataFrame:
             rows = []
             for repo, path, content in zip(batch["repo_id"], batch["path"], batch["content"]):
                 for seq, (line, text) in enumerate(_statements(content or "")):
-                    policy = text[:13].lower() == "create policy"
+                    policy = POLICY_TABLE.match(text)
+                    after = text[policy.end():] if policy else ""
                     rows.append((repo, path, seq, line, text,
-                                 _clause(text, "using") if policy else None,
-                                 _clause(text, r"with\s+check") if policy else None))
+                                 _clause(after, "using") if policy else None,
+                                 _clause(after, r"with\s+check") if policy else None))
             yield pd.DataFrame(rows, columns=["repo_id", "path", "seq", "line", "text", "using_expr", "check_expr"])
 
     sql_files = files.where(F.lower("path").endswith(".sql")).select("repo_id", "path", "content")

@@ -5,34 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.session import ensure_checkpoint_dir
-
-MAX_DEPTH = 8
+from lintlake.session import settle
 
 
 def label_propagation(
-    edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = MAX_DEPTH
+    edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int | None = None
 ) -> DataFrame:
-    """(scope, node, rule, depth): sinks reached within ``max_depth`` hops, with the fewest hops.
+    """(scope, node, rule, depth): sinks that are reached, with the fewest hops.
+
+    Hops go on until no new node is found, or ``max_depth`` is reached.
 
     ``edges`` is (scope, src, dst), ``sources`` (scope, node), ``sinks``
     (scope, node, rule). Each hop joins the new nodes only; a node enters once,
     so the frontier is distinct and a node with very many edges is split by the
-    adaptive skew join rather than copied. Every hop is checkpointed: lineage
+    adaptive skew join rather than copied. Every hop is settled: lineage
     stays short and a lost executor repeats one hop.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.select("scope", "src", "dst").distinct()
-    frontier = sources.select("scope", "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    edges = settle(edges.select("scope", "src", "dst").distinct())
+    frontier = sources.select("scope", "node").distinct().withColumn("depth", F.lit(0))
+    frontier = settle(frontier)
     reached = frontier
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = (
             frontier.select("scope", F.col("node").alias("src")).join(edges, ["scope", "src"])
             .select("scope", F.col("dst").alias("node")).distinct()
             .join(reached.select("scope", "node"), ["scope", "node"], "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier = step.checkpoint()
+        frontier = settle(step)
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)

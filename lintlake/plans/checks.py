@@ -41,13 +41,13 @@ def trim_sql(expr: str) -> str:
     return f"trim({expr}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
-def mask_sql(expr: str, cut: bool = True) -> str:
+def mask_sql(expr: str) -> str:
     masks = [(p, r) for p, r, _ in masking.SECRET_MASKS + masking.EXTRA_MASKS]
     masks.append((masking.KEYWORD_MASK_QUOTED, "$1[redacted]"))
     out = expr
     for pattern, replacement in masks:
         out = f"regexp_replace({out}, {rx(pattern)}, {q(replacement.replace('$1', chr(92) + '1'))}, 'g')"
-    return f"substr({out}, 1, 280)" if cut else out
+    return out
 
 
 def confidence_sql(rule_type: str, signal: str) -> str:

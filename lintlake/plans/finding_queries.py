@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lintlake.functions import prompts
 from lintlake.functions.findings import severity_rank
 from lintlake.functions.text import split_lines
 from lintlake.operators import analytics as an
-from lintlake.operators import scan, suppress
+from lintlake.operators import budget, scan, suppress
 from lintlake.plans import checks as ck
 from lintlake.plans import derived as dv
 from lintlake.plans.registry import register
-from lintlake.plans.scan_queries import CORE_RULES, core_findings, core_sql
+from lintlake.operators.rules import RULEBOOK
+from lintlake.plans.scan_queries import core_findings, core_sql, shown
 from lintlake.plans.scans import scan_repositories
-from lintlake.session import settle
+from lintlake.session import ensure_checkpoint_dir, settle
 from lintlake.sources import sinks
+from lintlake.streaming import streams
 
 
 def project_rules(spark, sf_dir):
@@ -74,7 +78,7 @@ def owned(findings, spark, sf_dir):
 def match_org_suppressions(spark, sf_dir):
     findings = settle(core_findings(spark, sf_dir))
     rules = dv.derived_suppressions(findings)
-    return suppress.match_org_suppressions(owned(findings, spark, sf_dir), rules, limit=1_000_000).select(
+    return suppress.match_org_suppressions(owned(findings, spark, sf_dir), rules).select(
         "repo_id", "id", "ignored_by_org", "org_reason")
 
 
@@ -95,7 +99,7 @@ def suppressed_findings(spark, sf_dir):
     findings = settle(core_findings(spark, sf_dir))
     rules = with_finding_rules(settle(project_rules(spark, sf_dir)), findings)
     return suppress.apply_suppressions(
-        owned(findings, spark, sf_dir), rules, dv.derived_suppressions(findings), limit=1_000_000)
+        owned(findings, spark, sf_dir), rules, dv.derived_suppressions(findings))
 
 
 @register("apply_suppressions", core_sql(
@@ -105,25 +109,31 @@ def apply_suppressions(spark, sf_dir):
     return suppressed_findings(spark, sf_dir).select("repo_id", "id", "suppressed", "suppression_reason")
 
 
+BUDGET_FILES = 40
+LOADED_SQL = (f"SELECT * FROM ({dv.PROJECT_FILES_SQL}) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= {BUDGET_FILES}")
+
+
 @register("scan_repositories", f"""WITH kept_rules AS ({dv.IGNORE_RULES_SQL}), kept AS (SELECT repo_id, path, content, size FROM
-      ({dv.PROJECT_FILES_SQL}) f WHERE NOT EXISTS (SELECT 1 FROM kept_rules r WHERE r.repo_id = f.repo_id AND r.kind = 'path'
-        AND regexp_matches(f.path, r.pattern))), {ck.scan_ctes(CORE_RULES, "SELECT * FROM kept")}{dv.SUPPRESSION_CTES}{MATCHED},
+      ({LOADED_SQL}) f WHERE NOT EXISTS (SELECT 1 FROM kept_rules r WHERE r.repo_id = f.repo_id AND r.kind = 'path'
+        AND regexp_matches(f.path, r.pattern))), {ck.scan_ctes(RULEBOOK, "SELECT * FROM kept")}{dv.SUPPRESSION_CTES}{MATCHED},
     ignore_all AS (SELECT repo_id, kind, rule, pattern, finding_id FROM kept_rules){FINAL}
     SELECT k.repo_id, CAST(k.files_scanned AS BIGINT) AS files_scanned, CAST(k.bytes_scanned AS BIGINT) AS bytes_scanned,
       CAST(coalesce(active, 0) AS BIGINT) AS active_findings, CAST(coalesce(gone, 0) AS BIGINT) AS suppressed_findings,
       CAST((SELECT count(*) FROM kept_rules r WHERE r.repo_id = k.repo_id) AS BIGINT) AS ignore_rules_applied,
-      (SELECT count(*) FROM ({dv.PROJECT_FILES_SQL}) p WHERE p.repo_id = k.repo_id) > k.files_scanned AS truncated,
+      (SELECT count(*) FROM ({dv.PROJECT_FILES_SQL}) p WHERE p.repo_id = k.repo_id) > {BUDGET_FILES} AS truncated,
       {ck.score_sql('penalty')} AS score
     FROM (SELECT repo_id, count(*) AS files_scanned, sum(size) AS bytes_scanned FROM kept GROUP BY repo_id) k
     LEFT JOIN (SELECT repo_id, count(*) FILTER (WHERE NOT hidden) AS active, count(*) FILTER (WHERE hidden) AS gone,
       sum({ck.WEIGHT}) FILTER (WHERE NOT hidden) AS penalty FROM final GROUP BY repo_id) s USING (repo_id)""")
 def whole_scan(spark, sf_dir):
-    """The whole scan: ignore files, rules, dedup, suppression, summary."""
-    files = dv.derived_project(spark, sf_dir)
+    """The whole scan: file budget, ignore files, rules, dedup, suppression, summary."""
+    candidates = dv.derived_project(spark, sf_dir)
+    files = settle(budget.file_budget_stop(candidates, BUDGET_FILES, 1 << 40).select(*candidates.columns))
     code = scan.unique_findings(scan.scan_files(
-        suppress.drop_ignored_files(files, project_rules(spark, sf_dir)), CORE_RULES))
+        suppress.drop_ignored_files(files, project_rules(spark, sf_dir)), RULEBOOK))
     _, summary = scan_repositories(
-        files, dv.derived_repositories(spark, sf_dir), dv.derived_suppressions(code), rulebook=CORE_RULES, lint=False)
+        files, dv.derived_repositories(spark, sf_dir), dv.derived_suppressions(code), rulebook=RULEBOOK, lint=False,
+        candidates=candidates.select("repo_id", "path"))
     return summary
 
 
@@ -150,7 +160,7 @@ def severity_counts(spark, sf_dir):
     return an.severity_counts(suppressed_findings(spark, sf_dir))
 
 
-@register("scan_summary", core_sql(f"""SELECT f.repo_id, f.files_scanned, f.bytes_scanned, f.files_scanned < f.files_scanned AS truncated,
+@register("scan_summary", core_sql(f"""SELECT f.repo_id, f.files_scanned, f.bytes_scanned, false AS truncated,
     CAST(coalesce(s.active, 0) AS BIGINT) AS active_findings, CAST(coalesce(s.gone, 0) AS BIGINT) AS suppressed_findings,
     CAST(coalesce(r.n, 0) AS BIGINT) AS ignore_rules_applied, {ck.score_sql('s.penalty')} AS score
     FROM (SELECT repo_id, count(*) AS files_scanned, CAST(sum(size) AS BIGINT) AS bytes_scanned FROM files GROUP BY repo_id) f
@@ -254,8 +264,8 @@ PROMPT_ITEMS = 15
 
 
 @register("combined_fix_prompt", core_sql(f"""SELECT repo_id, CAST((number - 1) // {PROMPT_ITEMS} AS BIGINT) AS part,
-    '{prompts.TOOL} found ' || max(n) || ' security issue' || CASE WHEN max(n) = 1 THEN '' ELSE 's' END ||
-    ' in this codebase. Fix them in order, most severe first.' || chr(10) || {ck.q(prompts.COMBINED_RULES)} || chr(10) || chr(10) ||
+    '{prompts.TOOL} found ' || max(n) || ' weakness' || CASE WHEN max(n) = 1 THEN '' ELSE 'es' END ||
+    '; the worst come first. Work through the list from the top.' || chr(10) || {ck.q(prompts.COMBINED_RULES)} || chr(10) || chr(10) ||
     string_agg(number || '. ' || {DESCRIBED.replace('{pad}', ck.q('   '))}, chr(10) || chr(10) ORDER BY number) || chr(10) || chr(10) ||
     {ck.q(prompts.COMBINED_TAIL)} AS prompt
     FROM (SELECT *, count(*) OVER (PARTITION BY repo_id) AS n FROM ({NUMBERED})) GROUP BY ALL""", SUPPRESSED_CTES))
@@ -314,14 +324,14 @@ def json_reports(spark, sf_dir):
 
 def versions(spark, sf_dir):
     def at(version):
-        return settle(scan.unique_findings(scan.scan_files(dv.derived_files(spark, sf_dir, version), CORE_RULES)))
+        return settle(scan.unique_findings(scan.scan_files(dv.derived_files(spark, sf_dir, version), RULEBOOK)))
 
     return at(1), at(0)
 
 
 def two_versions(select: str) -> str:
     def named(version: int) -> str:
-        return (f"(WITH {ck.scan_ctes(CORE_RULES, dv.derived_files_sql(version))} SELECT repo_id, id, rule, severity FROM findings)")
+        return (f"(WITH {ck.scan_ctes(RULEBOOK, dv.derived_files_sql(version))} SELECT repo_id, id, rule, severity FROM findings)")
 
     return f"WITH now_f AS {named(1)}, before_f AS {named(0)} {select}"
 
@@ -388,3 +398,23 @@ def expected_in_range(spark, sf_dir):
     expected = labels.join(files.select("doc_id", "repo_id", F.col("path").alias("file")), "doc_id").select(
         "repo_id", "file", (F.col("quality") * 40 + F.col("doc_id") % 7).alias("line"))
     return an.expected_in_range(expected, files).select("repo_id", "file", "line")
+
+
+@register("scan_stream", ck.scan_sql(RULEBOOK))
+def scan_stream(spark, sf_dir):
+    """The corpus arriving as commits whose files are spread over many micro-batches."""
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    files = dv.derived_files(spark, sf_dir).withColumn("sha", F.concat(F.lit("c"), F.pmod("doc_id", F.lit(3)).cast("string")))
+    files.drop("doc_id").repartition(4).write.parquet(f"{place}/in")
+    streams.scan_stream(streams.read_file_stream(spark, f"{place}/in", 1), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    found = spark.read.option("basePath", f"{place}/out/findings").parquet(f"{place}/out/findings")
+    return shown(found)
+
+
+@register("write_findings", core_sql("SELECT repo_id, id, rule, severity, file, CAST(line AS INTEGER) AS line, evidence FROM findings"))
+def write_findings(spark, sf_dir):
+    """Findings after a round trip through the lake table."""
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lake/{uuid.uuid4().hex}"
+    day = F.lit("2024-01-01").alias("scan_date")
+    sinks.write_findings(dv.derived_repositories(spark, sf_dir).select("repo_id", day), core_findings(spark, sf_dir).select("*", day), place)
+    return spark.read.parquet(f"{place}/findings").select("repo_id", "id", "rule", "severity", "file", "line", "evidence")

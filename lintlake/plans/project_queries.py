@@ -76,7 +76,7 @@ NOW = "2024-01-05 00:00:00"
 
 
 def derived_advisories(spark, sf_dir) -> DataFrame:
-    """Cached advisories of the left-* packages: four each, of which a scan shows three."""
+    """Cached advisories of the left-* packages: four each."""
     keys = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 10).alias("m")).distinct()
     label = F.concat(F.col("n").cast("string"), F.lit("-"), F.col("m").cast("string"))
 
@@ -91,7 +91,7 @@ def derived_advisories(spark, sf_dir) -> DataFrame:
              F.array(), F.array(F.concat(F.lit("https://advice.example/"), label)), True),
         vuln(2, F.lit(""), F.array(F.struct(F.lit("CVSS_V3").alias("type"), F.lit("CVSS:3.1/AV:N/AC:L").alias("score"))), F.array(F.lit("HIGH")), F.array(), False),
         vuln(3, F.lit("Plain"), F.array(), F.array(), F.array(), False),
-        vuln(4, F.lit("Beyond the limit"), F.array(), F.array(), F.array(), False))
+        vuln(4, F.lit("Beyond the services limit"), F.array(), F.array(), F.array(), False))
     return keys.select(
         F.lit("npm").alias("ecosystem"), F.concat(F.lit("left-"), F.col("n").cast("string")).alias("package_name"),
         F.concat(F.lit("1."), F.col("m").cast("string"), F.lit(".0")).alias("version"), vulns.alias("vulns"),
@@ -106,13 +106,13 @@ SCORE_BAND = "CASE WHEN CAST(m AS INTEGER) + 0.5 >= 9 THEN 'critical' WHEN CAST(
       AND TIMESTAMP '2024-01-01' + to_days(CAST(split_part(version, '.', 2) AS INTEGER)) > TIMESTAMP '{NOW}')
     SELECT repo_id, path AS file, 'deps.cve.V' || i || '-' || n || '-' || m AS rule,
       CASE i WHEN 1 THEN {SCORE_BAND} WHEN 2 THEN 'high' ELSE 'medium' END AS severity,
-      name || '@' || version || ': ' || CASE i WHEN 1 THEN 'Issue in left-' || n WHEN 2 THEN 'V2-' || n || '-' || m ELSE 'Plain' END AS title,
+      name || '@' || version || ': ' || CASE i WHEN 1 THEN 'Issue in left-' || n WHEN 2 THEN 'V2-' || n || '-' || m WHEN 3 THEN 'Plain' ELSE 'Beyond the services limit' END AS title,
       name || '@' || version || ' (npm) — V' || i || '-' || n || '-' || m AS evidence,
       CASE i WHEN 1 THEN 'https://advice.example/' || n || '-' || m ELSE 'https://osv.dev/V' || i || '-' || n || '-' || m END AS refs,
       CASE i WHEN 1 THEN 'Upgrade ' || name || ' past the affected range. See https://advice.example/' || n || '-' || m || '.'
         ELSE 'Review and upgrade ' || name || ' to a non-affected version.' END AS fix,
       CAST(least(99, 94 + CASE CASE i WHEN 1 THEN {SCORE_BAND} WHEN 2 THEN 'high' ELSE 'medium' END WHEN 'critical' THEN 6 WHEN 'high' THEN 3 ELSE 0 END) AS INTEGER) AS confidence_score
-    FROM live, (VALUES (1), (2), (3)) v(i)""")
+    FROM live, (VALUES (1), (2), (3), (4)) v(i)""")
 def dependency_advisories(spark, sf_dir):
     inventory = dp.dependency_inventory(derived_manifests(spark, sf_dir))
     found = dp.dependency_advisories(inventory, derived_advisories(spark, sf_dir), F.lit(NOW).cast("timestamp"))
@@ -501,7 +501,7 @@ EDGES_SQL = """edges AS (SELECT DISTINCT scope, src, dst FROM (SELECT l_returnfl
 
 
 @register("label_propagation", f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT scope, node, 0 AS depth FROM nodes WHERE p_size = 1
-      UNION SELECT w.scope, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.scope = w.scope AND e.src = w.node WHERE w.depth < 3)
+      UNION SELECT w.scope, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.scope = w.scope AND e.src = w.node WHERE w.depth < 20)
     SELECT scope, node, 'taint.sql_injection' AS rule, CAST(min(depth) AS INTEGER) AS depth FROM walk JOIN nodes USING (scope, node) WHERE p_size >= 40 GROUP BY scope, node""")
 def label_propagation_query(spark, sf_dir):
     scope = F.concat("l_returnflag", "l_linestatus").alias("scope")
@@ -511,4 +511,4 @@ def label_propagation_query(spark, sf_dir):
     nodes = items.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         scope, F.col("l_partkey").alias("node"), "p_size").distinct()
     sinks = nodes.where("p_size >= 40").select("scope", "node", F.lit("taint.sql_injection").alias("rule"))
-    return label_propagation(edges, nodes.where("p_size = 1"), sinks, max_depth=3)
+    return label_propagation(edges, nodes.where("p_size = 1"), sinks)

@@ -29,18 +29,16 @@ FAMILIES = {
     "scan_js_spans": [r for r in JS_RULES if r.scope == "span"],
     "scan_js_files": [r for r in JS_RULES if r.scope == "file"],
 }
-# The rules behind the findings that the relational queries work on.
-CORE_RULES = [r for r in RULEBOOK if r.languages != ("javascript",)]
 SHOWN = ("repo_id", "id", "rule", "severity", "title", "category", "file", "line", "evidence", "fix", "refs",
          "confidence_score", "confidence_source", "rule_type")
 
 
 def core_findings(spark, sf_dir) -> DataFrame:
-    return scan.unique_findings(scan.scan_files(derived_files(spark, sf_dir), CORE_RULES))
+    return scan.unique_findings(scan.scan_files(derived_files(spark, sf_dir), RULEBOOK))
 
 
 def core_sql(select: str, more: str = "") -> str:
-    return f"WITH RECURSIVE {ck.scan_ctes(CORE_RULES)}{more} {select}"
+    return f"WITH RECURSIVE {ck.scan_ctes(RULEBOOK)}{more} {select}"
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -64,28 +62,28 @@ def build_finding(spark, sf_dir):
         "repo_id", "id", "rule", "file", "line", "evidence", "confidence", "confidence_source", "rule_type", "suppressed")
 
 
-@register("rules_enrich", f"WITH {ck.scan_ctes(CORE_RULES)} SELECT repo_id, rule, severity, title, category, file, line, "
+@register("rules_enrich", f"WITH {ck.scan_ctes(RULEBOOK)} SELECT repo_id, rule, severity, title, category, file, line, "
                           "count(*) AS n FROM raw_findings GROUP BY ALL")
 def rules_enrich(spark, sf_dir):
-    hits = scan.scan_hits(derived_files(spark, sf_dir), CORE_RULES)
-    return scan.rules_enrich(hits, CORE_RULES).groupBy(
+    hits = scan.scan_hits(derived_files(spark, sf_dir), RULEBOOK)
+    return scan.rules_enrich(hits, RULEBOOK).groupBy(
         "repo_id", "rule", "severity", "title", "category", "file", "line").agg(F.count("*").alias("n"))
 
 
 # Two overlapping rule sets over the same files, so that union leaves duplicates for dedup.
-@register("union_findings", f"WITH {ck.scan_ctes(CORE_RULES)} SELECT repo_id, id, rule, n * CASE WHEN rule LIKE 'secrets.%' "
+@register("union_findings", f"WITH {ck.scan_ctes(RULEBOOK)} SELECT repo_id, id, rule, n * CASE WHEN rule LIKE 'secrets.%' "
                             "THEN 2 ELSE 1 END AS n FROM (SELECT repo_id, id, rule, count(*) AS n FROM raw_findings GROUP BY ALL)")
 def union_of_findings(spark, sf_dir):
     files = derived_files(spark, sf_dir)
-    both = union_findings(scan.scan_files(files, CORE_RULES), scan.scan_files(files, FAMILIES["scan_secrets"]),
+    both = union_findings(scan.scan_files(files, RULEBOOK), scan.scan_files(files, FAMILIES["scan_secrets"]),
                           scan.scan_files(files, FAMILIES["scan_env_files"]))
     return both.groupBy("repo_id", "id", "rule").agg(F.count("*").alias("n"))
 
 
-@register("unique_findings", f"WITH {ck.scan_ctes(CORE_RULES)} SELECT repo_id, id, rule, file, line FROM findings")
+@register("unique_findings", f"WITH {ck.scan_ctes(RULEBOOK)} SELECT repo_id, id, rule, file, line FROM findings")
 def unique_of_findings(spark, sf_dir):
     files = derived_files(spark, sf_dir)
-    both = union_findings(scan.scan_files(files, CORE_RULES), scan.scan_files(files, FAMILIES["scan_secrets"]))
+    both = union_findings(scan.scan_files(files, RULEBOOK), scan.scan_files(files, FAMILIES["scan_secrets"]))
     return scan.unique_findings(both).select("repo_id", "id", "rule", "file", "line")
 
 
@@ -108,7 +106,7 @@ def detect_language(spark, sf_dir):
     return derived_files(spark, sf_dir).select("path", txt.detect_language(F.col("path")).alias("language"))
 
 
-LINES = f"WITH {ck.scan_ctes(CORE_RULES[:1])}"
+LINES = f"WITH {ck.scan_ctes(RULEBOOK[:1])}"
 
 
 @register("explode_lines", f"{LINES} SELECT repo_id, path, CAST(line AS INTEGER) AS line, text FROM lines")
@@ -131,14 +129,14 @@ def is_comment_line(spark, sf_dir):
 
 
 @register("mask_secrets", f"{LINES} SELECT * FROM (SELECT path, CAST(line AS INTEGER) AS line, {ck.mask_sql('text')} AS masked, "
-                          "text FROM lines) WHERE masked <> substr(text, 1, 280)")
+                          "text FROM lines) WHERE masked <> text")
 def masked_lines(spark, sf_dir):
     lines = txt.explode_lines(derived_files(spark, sf_dir)).select("path", "line", "text")
     masked = lines.select("path", "line", "text", mask_secrets(F.col("text")).alias("masked"))
-    return masked.where(F.col("masked") != F.left("text", F.lit(280)))
+    return masked.where(F.col("masked") != F.col("text"))
 
 
-@register("redact_corpus", f"SELECT doc_id, md5({ck.mask_sql('content', cut=False)}) AS digest FROM ({derived_files_sql()})")
+@register("redact_corpus", f"SELECT doc_id, md5({ck.mask_sql('content')}) AS digest FROM ({derived_files_sql()})")
 def redacted(spark, sf_dir):
     files = redact_corpus(derived_files(spark, sf_dir).select("doc_id", "content"), "content")
     return files.select("doc_id", F.md5(F.col("content").cast("binary")).alias("digest"))

@@ -45,10 +45,13 @@ def scan_repositories(
     now: Column | None = None,
     rulebook: Sequence[Rule] = RULEBOOK,
     lint: bool = True,
+    candidates: DataFrame | None = None,
+    suppression_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(findings, summary) of every repository in a file table.
 
-    ``repositories`` is (repo_id, org_id, target). Code findings are
+    ``repositories`` is (repo_id, org_id, target), ``candidates`` the (repo_id, path) rows that ``files`` was chosen from;
+    where files were left out by a budget the summary says truncated. Code findings are
     deduplicated, dependency findings are appended after, then both meet the
     ignore file and the workspace suppressions. The result is checkpointed: it is
     small next to the corpus, and callers read it more than once.
@@ -69,6 +72,6 @@ def scan_repositories(
         found = dependency_advisories(dependency_inventory(kept), advisories, F.current_timestamp() if now is None else now)
         findings = union_findings(findings, found)
     owned = join_lookup(findings, repositories.select("repo_id", "org_id", "target"), ["repo_id"], ["id"])
-    final = settle(apply_suppressions(owned, rules, suppressions))
+    final = settle(apply_suppressions(owned, rules, suppressions, limit=suppression_limit))
     sizes = files.select("repo_id", "path", "size")
-    return final, scan_summary(drop_ignored_files(sizes, rules), final, rules, sizes)
+    return final, scan_summary(drop_ignored_files(sizes, rules), final, rules, candidates, sizes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,8 @@ DEFAULTS = {
     # Stages whose generated method is too long for the JIT run as split
     # projections instead: wide rule packs stay compiled.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    # Python steps take whole files: batches are bounded by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
@@ -47,10 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a table that a plan reads several times to the checkpoint folder.
+    """Write a table that a plan reads several times to the checkpoint folder, as Parquet, and read it back.
 
     Everything upstream runs once, the rows survive a lost executor, and plans
-    built on the result stay short.
+    built on the result stay short. ``forget_settled`` removes the files.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_settled(spark: SparkSession) -> None:
+    """Remove the settled tables of this application; call it when no result that builds on them is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators.budget import LOCAL_LIMITS, SERVICE_LIMITS
 from lintlake.operators.suppress import IGNORE_FILE
 
 # What a scan reads and what it passes over.
@@ -35,18 +34,18 @@ def should_include(path: Column, profile: str = "service") -> Column:
     return ~path.rlike(LOCAL_SKIPPED) & (named | path.rlike(LOCAL_TEXT))
 
 
-def corpus_files(spark: SparkSession, root: str, profile: str = "local", repo_depth: int = 1) -> DataFrame:
+def corpus_files(spark: SparkSession, root: str, profile: str = "local", repo_depth: int = 1,
+                 max_file_bytes: int | None = None) -> DataFrame:
     """Files below ``root`` as (repo_id, path, content, size).
 
     The first ``repo_depth`` folders below the root name the repository; with 0
-    the whole tree is one. The size limit is pushed into the file source, so
-    larger files are never read, and files holding a NUL are dropped.
+    the whole tree is one. ``max_file_bytes`` (``SERVICE_LIMITS`` and ``LOCAL_LIMITS``
+    name the usual ones) is pushed into the file source, so larger files are never
+    read. Files holding a NUL are dropped.
     """
-    limits = SERVICE_LIMITS if profile == "service" else LOCAL_LIMITS
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .where(F.col("length") <= limits["max_file_bytes"])
-    )
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if max_file_bytes is not None:
+        raw = raw.where(F.col("length") <= max_file_bytes)
     base = root.rstrip("/").split("://", 1)[-1].lstrip("/")
     full = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "")
     relative = F.substr(full, F.lit(len(base) + 2))
@@ -62,17 +61,6 @@ def corpus_files(spark: SparkSession, root: str, profile: str = "local", repo_de
     ).where(~F.col("content").contains("\x00"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a text table that arrives in few pieces.
-
-    A scan is bound by pattern matching, not by reading. A table that is read in
-    at least as many splits as there are cores, as any large one is, passes
-    through untouched; only a smaller one is shuffled once.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def files_from_documents(
     documents: DataFrame, repo: str = "source", doc_id: str = "doc_id", text: str = "text", extension: str = ".txt"
 ) -> DataFrame:
@@ -84,13 +72,10 @@ def files_from_documents(
     )
 
 
-def candidate_files(files: DataFrame, profile: str = "service") -> DataFrame:
+def candidate_files(files: DataFrame, profile: str = "service", max_file_bytes: int | None = None) -> DataFrame:
     """Files of an existing table that a scan would consider."""
-    limits = SERVICE_LIMITS if profile == "service" else LOCAL_LIMITS
-    return files.where(
-        (F.col("size") <= limits["max_file_bytes"]) & should_include(F.col("path"), profile)
-        & ~F.col("content").contains("\x00")
-    )
+    kept = files.where(should_include(F.col("path"), profile) & ~F.col("content").contains("\x00"))
+    return kept if max_file_bytes is None else kept.where(F.col("size") <= max_file_bytes)
 
 
 def parse_repo_url(df: DataFrame, column: str = "repo_url") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.prompts import TOOL
 from lintlake.operators.analytics import SCAN_ORDER, rule_catalogue
-from lintlake.operators.joins import join_lookup
+from lintlake.operators.ordered import running_totals
 
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 REPORT_COLUMNS = (
@@ -47,10 +47,9 @@ def _in_order(value: Column) -> Column:
 
 
 def _with_parts(findings: DataFrame, keys: Sequence[str], rows_per_document: int) -> DataFrame:
-    """Adds ``_part``: 0 for scans that fit one document, else a hash bucket of the finding."""
-    sizes = findings.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_document).cast("int").alias("_parts"))
-    joined = join_lookup(findings, sizes, list(keys), ["id", "file", "line"], "inner")
-    return joined.withColumn("_part", F.pmod(F.xxhash64("id", "file", "line"), F.col("_parts")).cast("int")).drop("_parts")
+    """Adds ``_part``: documents of ``rows_per_document`` rows each, in scan order from one to the next."""
+    numbered = running_totals(findings, keys, SCAN_ORDER, {"_number": F.lit(1)})
+    return numbered.withColumn("_part", F.floor((F.col("_number") - 1) / rows_per_document).cast("int")).drop("_number")
 
 
 def json_reports(

@@ -72,13 +72,17 @@ def read_file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+BETWEEN = "\u0001"  # between a repository and a commit
+
+
 def scan_stream(
     files: DataFrame, target: str, checkpoint: str, rulebook: Sequence[Rule] = RULEBOOK, trigger: dict | None = None
 ):
     """Scan arriving files and append findings; returns the started query.
 
-    A (repo_id, sha) already in the ledger is not scanned again, and each
-    micro-batch overwrites its own partition, so a replayed batch leaves the
+    Findings carry the commit. A (repo_id, sha, path) already in the ledger is
+    not scanned again, so the files of a commit may arrive over many batches, and
+    each micro-batch overwrites its own partition, so a replayed batch leaves the
     same rows.
     """
     def scan_batch(batch: DataFrame, batch_id: int) -> None:
@@ -86,23 +90,27 @@ def scan_stream(
         # As data only: overwriting a whole path by batch keeps replays idempotent.
         ledger = f"{target}/scanned"
         done = _read_ledger(spark, ledger, batch_id)
-        fresh = batch if done is None else batch.join(done, ["repo_id", "sha"], "left_anti")
-        findings = unique_findings(
-            scan_files(fresh.select("repo_id", "path", "content"), rulebook)
-        )
-        findings.write.mode("overwrite").parquet(f"{target}/findings/batch_id={batch_id}")
-        fresh.select("repo_id", "sha").distinct().write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        arrived = batch.select("repo_id", "sha", "path", "content").dropDuplicates(["repo_id", "sha", "path"])
+        fresh = (arrived if done is None else arrived.join(done, ["repo_id", "sha", "path"], "left_anti")).persist()
+        # A commit is scanned as a repository of its own; ids don't depend on the name.
+        commit = F.concat_ws(BETWEEN, "repo_id", F.coalesce("sha", F.lit("")))
+        found = unique_findings(scan_files(fresh.select(commit.alias("repo_id"), "path", "content"), rulebook))
+        named = found.withColumn("sha", F.substring_index("repo_id", BETWEEN, -1)).withColumn(
+            "repo_id", F.substring_index("repo_id", BETWEEN, 1))
+        named.write.mode("overwrite").parquet(f"{target}/findings/batch_id={batch_id}")
+        fresh.select("repo_id", "sha", "path").write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        fresh.unpersist()
 
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(scan_batch)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _read_ledger(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Commits scanned by earlier batches; null before the first."""
+    """Files scanned by earlier batches; null before the first."""
     if batch_id == 0:
         return None
-    ledger = spark.read.schema("repo_id string, sha string, batch_id long").option("basePath", path).parquet(path)
-    return ledger.where(F.col("batch_id") < batch_id).select("repo_id", "sha").distinct()
+    ledger = spark.read.schema("repo_id string, sha string, path string, batch_id long").option("basePath", path).parquet(path)
+    return ledger.where(F.col("batch_id") < batch_id).select("repo_id", "sha", "path")
 
 
 # The webhook actions that start a scan.

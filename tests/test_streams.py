@@ -74,6 +74,17 @@ def test_scan_stream_scans_each_commit_once(spark, tmp_path):
     assert sorted((r["rule"], r["file"]) for r in found.collect()) == [("php.eval_user_input", "b.php"), ("py.tls_verify_disabled", "a.py")]
 
 
+def test_scan_stream_keeps_all_files_of_a_commit(spark, tmp_path):
+    schema = "repo_id string, path string, content string, size long, sha string"
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for sha in ("s1", "s2"):
+        for n in range(3):
+            spark.createDataFrame([("r", f"f{n}.py", "requests.get(u, verify=False)\n", 10, sha)], schema).coalesce(1).write.mode("append").parquet(source)
+    streams.scan_stream(streams.read_file_stream(spark, source, 1), target, str(tmp_path / "cp")).awaitTermination(180)
+    found = spark.read.option("basePath", f"{target}/findings").parquet(f"{target}/findings")
+    assert sorted((r["sha"], r["file"]) for r in found.collect()) == [(s, f"f{n}.py") for s in ("s1", "s2") for n in range(3)]
+
+
 def test_push_events_from_json(spark, tmp_path):
     repo, inst = {"full_name": "acme/a"}, {"id": 5}
     rows = [{"event": "ping"}, {"event": "push", "ref": "refs/heads/main", "repository": repo, "installation": inst},
@@ -107,7 +118,8 @@ def test_corpus_files_from_a_tree(spark, tmp_path):
     put("one/nul.js", b"a\x00b")
     put("two/big.js", b"x" * (201 * 1024))
     put("two/ok.ts", "é\n".encode())
-    rows = corpus.corpus_files(spark, str(tmp_path / "tree")).collect()
+    rows = corpus.corpus_files(spark, str(tmp_path / "tree"), max_file_bytes=200 * 1024).collect()
+    assert corpus.corpus_files(spark, str(tmp_path / "tree")).count() == len(rows) + 1
     assert sorted((r["repo_id"], r["path"], r["content"], r["size"]) for r in rows) == [
         ("one", "package.json", "{}", 2), ("one", "src/a b+c.py", "x = 1\n", 6), ("two", "ok.ts", "é\n", 3)]
 
