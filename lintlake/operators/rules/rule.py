@@ -15,6 +15,8 @@ class Rule:
         ``span``: every match of ``pattern`` in the whole text is a hit on the
         line it starts on; ``shown`` and ``subject`` may use its groups.
         ``file``: ``file_when`` decides, after the needles; the hit is on line 1.
+    unless, unless_pattern
+        A literal, a pattern: a line rule skips lines that hold it.
     needles
         Literals of which every match contains at least one. They are tested
         first as plain substrings, so most text never meets a regex. With
@@ -33,6 +35,7 @@ class Rule:
     pattern: str | None = None
     also: tuple[str, ...] = ()
     unless: str | None = None
+    unless_pattern: str | None = None
     needles: tuple[str, ...] = ()
     fold_case: bool = False
     raw: bool = False

@@ -130,6 +130,13 @@ SERVICE_ROLE_IN_CLIENT = all_of(["contains(content, 'SUPABASE_SERVICE_ROLE_KEY')
 OPEN_NEXT_ROUTE = all_of([_in("path", NEXT_ROUTE_PATH), "NOT " + _in("path", WEBHOOK_PATH), "NOT " + _in("content", AUTH_NEARBY)])
 GO_UNGUARDED = "NOT " + _in("content", GO_GUARD)
 
+# A stretch of a call's arguments that leaves no bracket open and never passes the call's end: any text without
+# brackets, and bracketed parts with brackets inside them.
+NESTED = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
+INSIDE = r"[^()]*?(?:" + NESTED + r"[^()]*?)*?"
+WEAK_JWT_SECRET = (
+    r"(?<![\w.])jwt\.sign\s*\(\s*(?:\{[^{}]*\}|[\w$.\[\]()]+)\s*,\s*[\"'`]([^\"'`\n]{0,23})[\"'`]")
+
 PY, RB, GO, PHP, SQL, JS = ("python",), ("ruby",), ("go",), ("php",), ("sql",), ("javascript",)
 
 # ---------------------------------------------------------------------------
@@ -149,12 +156,12 @@ JAVASCRIPT_RULES = [
           references=("https://owasp.org/www-community/HttpOnly",), signal=4),
     _span("auth.weak_jwt_secret", "critical", "Hardcoded or weak JWT signing secret", AUTH,
           "Read the signing secret from environment configuration with at least 32 bytes of entropy, and rotate it on compromise.",
-          r"(?<![\w.])jwt\.sign\s*\(\s*(?:\{[^{}]{0,400}\}|[\w$.\[\]()]{1,100})\s*,\s*[\"'`]([^\"'`\n]{0,23})[\"'`]",
+          WEAK_JWT_SECRET,
           "jwt.sign(..., '$1', ...)", ("jwt.sign",),
           references=("https://datatracker.ietf.org/doc/html/rfc8725",), signal=6),
     _span("injection.shell_command", "critical", "User input flows into shell execution", INJECTION,
           "Avoid the shell. Use an argument array form, an allowlist, and never interpolate raw request data.",
-          r"(?<![\w.])((?:child_process\.)?exec(?:Sync)?)\s*\([^;]{0,300}?" + REQUEST_INPUT,
+          r"(?<![\w.])((?:child_process\.)?exec(?:Sync)?)\s*\(" + INSIDE + r"(?:\(" + INSIDE + r"){0,2}" + REQUEST_INPUT,
           "$1(<user-input>)", ("exec",),
           references=("https://owasp.org/www-community/attacks/Command_Injection",), signal=6),
     _span("injection.dynamic_code", "high", "Dynamic code execution via %s()", INJECTION,
@@ -162,26 +169,26 @@ JAVASCRIPT_RULES = [
           r"(?<![\w.])(eval|Function)\s*\(", "$1(...)", ("eval", "Function"), subject="$1", signal=2),
     _span("injection.sql_template", "critical", "Possible SQL injection via template literal", INJECTION,
           "Use parameterized queries or ORM bindings. Never interpolate request data into SQL.",
-          r"(?<![\w.])((?:db|client|pool|sequelize)\.query|knex\.raw)\s*\(\s*`[^`]{0,600}\$\{\s*(?:req\.|params|query|body|ctx\.request)",
+          r"(?<![\w.])((?:db|client|pool|sequelize)\.query|knex\.raw)\s*\(\s*`[^`]*\$\{\s*(?:req\.|params|query|body|ctx\.request)",
           "$1(`SELECT ... ${user}`)", (".query", ".raw"),
           references=("https://owasp.org/www-community/attacks/SQL_Injection",), signal=6),
     _span("injection.sql_concat", "critical", "Possible SQL injection via string concatenation", INJECTION,
           "Use parameterized queries and bind variables.",
-          r"(?<![\w.])((?:db|client|pool|sequelize)\.query|knex\.raw)\s*\(\s*(?:\"[^\"\n]{0,600}\"|'[^'\n]{0,600}'|[\w$.]{1,100})\s*\+",
+          r"(?<![\w.])((?:db|client|pool|sequelize)\.query|knex\.raw)\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w$.]+)\s*\+",
           "$1('...' + req.*)", (".query", ".raw"),
           references=("https://owasp.org/www-community/attacks/SQL_Injection",), signal=4),
     _span("logic.mass_assignment", "high", "Mass assignment into ORM update", LOGIC,
           "Explicitly pick allowed fields before passing them to the ORM. Reject unexpected properties.",
-          r"(?<![\w.])(prisma\.[A-Za-z0-9_]+\.(?:update|upsert|create))\s*\(\s*\{[^;]{0,400}?(?<!\w)data\s*:\s*"
+          r"(?<![\w.])(prisma\.[A-Za-z0-9_]+\.(?:update|upsert|create))\s*\(\s*\{" + INSIDE + r"(?<!\w)data\s*:\s*"
           r"(req\.(?:body|query|params)[\w.]*|[A-Za-z_$][\w$]*)\s*[,}]",
           "$1({ data: $2 })", ("prisma.",), signal=4),
     _span("logic.predictable_random", "high", "Predictable random used for security-sensitive value", LOGIC,
           "Use crypto.randomBytes / Web Crypto getRandomValues for tokens, resets, OTPs, and invites.",
-          r"(?<![\w.])(\w*(?i:token|reset|invite|otp|code|nonce)\w*)\s*=\s*[^;\n]{0,200}?Math\.random\s*\(",
+          r"(?<![\w.])(\w*(?i:token|reset|invite|otp|code|nonce)\w*)\s*=\s*[^;\n]*?Math\.random\s*\(",
           "$1 = Math.random()", ("Math.random",), signal=4),
     _span("infra.open_cors", "high", "Open CORS policy permits any origin", INFRA,
           "List specific origins per environment. Never combine wildcard origins with credentialed APIs.",
-          r"(?<![\w.])cors\s*\(\s*\{[^;]{0,300}?origin\s*:\s*[\"'`]\*[\"'`]",
+          r"(?<![\w.])cors\s*\(\s*\{" + INSIDE + r"origin\s*:\s*[\"'`]\*[\"'`]",
           "cors({ origin: '*' })", ("cors",), signal=3),
     _span("xss.inner_html", "medium", "Raw HTML rendering path", XSS,
           "Render text by default. If HTML is required, sanitize with a strict allowlist (DOMPurify) before display.",
@@ -206,7 +213,8 @@ JAVASCRIPT_RULES = [
           rule_type="semantic_match", signal=3),
     _line("auth.weak_jwt_secret", "critical", "Hardcoded JWT signing secret (heuristic)", AUTH,
           "Load JWT secrets from environment with strong entropy and rotate them.", JS,
-          r"(?i)jwt\.sign\s*\([^)]*['\"`](secret|changeme|jwt_secret)['\"`]", ("jwt.sign",), fold_case=True, raw=True),
+          r"(?i)jwt\.sign\s*\([^)]*['\"`](secret|changeme|jwt_secret)['\"`]", ("jwt.sign",), fold_case=True, raw=True,
+          unless_pattern=WEAK_JWT_SECRET),
     _span("nextjs.route_handler_no_auth", "high", "Next.js %s route handler has no visible auth check", AUTH,
           "Call await auth() / await currentUser() / await getServerSession() at the top of the handler and 401 if the "
           "principal is missing. Or wrap the file in a middleware-protected segment.",
@@ -217,12 +225,12 @@ JAVASCRIPT_RULES = [
     _span("nextjs.cookies_missing_options", "medium", "cookies().set without httpOnly / secure / sameSite", AUTH,
           "Always pass { httpOnly: true, secure: true, sameSite: 'lax', path: '/' } to cookies().set. Otherwise the "
           "cookie is readable by document.cookie and replayable across sites.",
-          r"(?<![\w.])cookies(?:\(\s*\))?\.set\s*\((?![^;]{0,600}httpOnly)",
+          r"(?<![\w.])cookies(?:\(\s*\))?\.set\s*\((?!" + INSIDE + "httpOnly)",
           "cookies.set(...) missing { httpOnly, secure, sameSite }", ("cookies",), signal=2),
     _span("nextjs.cookies_missing_options", "medium", "cookies().set without httpOnly / secure / sameSite", AUTH,
           "Always pass { httpOnly: true, secure: true, sameSite: 'lax', path: '/' } to cookies().set. Otherwise the "
           "cookie is readable by document.cookie and replayable across sites.",
-          r"(?<![\w.])(cookieStore|[\w.]+\.cookies)\.set\s*\((?![^;]{0,600}httpOnly)",
+          r"(?<![\w.])(cookieStore|[\w.]+\.cookies)\.set\s*\((?!" + INSIDE + "httpOnly)",
           "$1.set(...) missing { httpOnly, secure, sameSite }", ("cookieStore", ".cookies"), signal=2),
     _file("supabase.service_role_client_side", "critical", "Supabase service-role key referenced in a client component",
           EXPOSURE,
@@ -233,7 +241,7 @@ JAVASCRIPT_RULES = [
     _span("supabase.service_role_in_client_bundle", "critical",
           "createClient called with service-role key in a client component", EXPOSURE,
           "Move this call to a server-only file (route handler or server action). Use the anon key for browser code.",
-          r"(?<![\w.])(createClient|createServerClient)\s*\([^;]{0,400}?,\s*([\w.]*SERVICE_ROLE\w*)",
+          r"(?<![\w.])(createClient|createServerClient)\s*\(" + INSIDE + r",\s*([\w.]*SERVICE_ROLE\w*)",
           "createClient(url, $2)", ("SERVICE_ROLE",), file_when=CLIENT_FILE, signal=6),
     _span("supabase.auth_admin_call", "high", "supabase.auth.admin call — verify caller is privileged", AUTH,
           "Restrict admin-API calls to authenticated administrators. Check the session user's role before invoking auth.admin.*.",
@@ -242,7 +250,7 @@ JAVASCRIPT_RULES = [
           "Pass an idempotencyKey as the second arg (e.g. await stripe.X.create({...}, { idempotencyKey })). Otherwise a "
           "retry can double-charge or duplicate-create.",
           r"(?<![\w.])(stripe\.(?:charges|paymentIntents|subscriptions|invoices|customers|refunds|setupIntents|"
-          r"checkout\.sessions)\.(?:create|update))\s*\((?![^;]{0,800}idempotency_?[kK]ey)",
+          r"checkout\.sessions)\.(?:create|update))\s*\((?!" + INSIDE + "idempotency_?[kK]ey)",
           "$1(...) without { idempotencyKey: ... }", ("stripe.",), subject="$1",
           references=("https://stripe.com/docs/api/idempotent_requests",), signal=2),
     _file("clerk.webhook_unverified", "critical", "Clerk webhook handler does not verify the svix signature", API_KEYS,

@@ -68,6 +68,8 @@ def _line_hits(rules: Numbered, own_text: str) -> str:
         tests += [_has_needle(rule, text), matches(text, rule.pattern), *[matches(text, p) for p in rule.also]]
         if rule.unless:
             tests.append(f"NOT contains({text}, {literal(rule.unless)})")
+        if rule.unless_pattern:
+            tests.append(f"NOT {matches(text, rule.unless_pattern)}")
         if rule.file_when:
             tests.append(f"flag_{ord_}")
         shown = _fill(rule.shown, text, rule.pattern) if rule.shown else f"btrim({text}, {literal(BLANKS)})"

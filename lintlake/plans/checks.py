@@ -104,6 +104,8 @@ def _line_sql(i: int, rule: Rule) -> str:
         where.append(f"lang IN ({', '.join(q(n) for n in rule.languages)})")
     if rule.unless:
         where.append(f"NOT contains({expr}, {q(rule.unless)})")
+    if rule.unless_pattern:
+        where.append(f"NOT regexp_matches({expr}, {rx(rule.unless_pattern.removeprefix(NOT_IN_NAME))})")
     if rule.path_pattern:
         where.append(f"regexp_matches(path, {rx(rule.path_pattern)})")
     if rule.file_when:
@@ -125,7 +127,7 @@ def _file_sql(i: int, rule: Rule) -> str:
 
 def _span_sql(i: int, rule: Rule) -> str:
     body, missing = rule.pattern[len(NOT_IN_NAME):], None
-    ahead = re.search(r"\(\?!(\[\^;\].*)\)$", body)
+    ahead = re.search(r"\(\?!(\[\^\(.*)\)$", body)
     if ahead:
         missing, body = ahead.group(1), body[: ahead.start()]
     pattern = r"(^|[^\w.])(" + body + ")"

@@ -145,3 +145,35 @@ def test_diff_parts_are_disjoint(findings):
     assert not by["added"] & by["removed"] and not by["added"] & by["persisted"]
     summary = analytics.scan_diff_summary(now, before).first()
     assert (summary["added"], summary["removed"], summary["persisted"]) == tuple(len(by[c]) for c in ("added", "removed", "persisted"))
+
+
+# ------------------------------------------------------- rules over call spans
+PAD = "/* " + "x" * 2000 + " */ "
+
+
+CALLS = [
+    ("injection.shell_command", "exec(`ls ${req.query.d}`)", 1),
+    ("injection.shell_command", f"exec({PAD}join(a(1), `${{req.query.d}}`))", 1),
+    ("injection.shell_command", "exec('ls')\nshow(req.query.d)", 0),
+    ("nextjs.cookies_missing_options", "cookies().set('sid', v)\nother({ httpOnly: true })", 1),
+    ("nextjs.cookies_missing_options", f"cookies().set('sid', f(v), {{ {PAD} httpOnly: true }})", 0),
+    ("stripe.idempotency_missing", f"stripe.charges.create({{ a: f(1), {PAD} }}, {{ idempotencyKey: k }})", 0),
+    ("stripe.idempotency_missing", "stripe.charges.create({ a: 1 })\nlog({ idempotencyKey: k })", 1),
+    ("auth.weak_jwt_secret", "jwt.sign(user, 'changeme')", 1),
+    ("auth.weak_jwt_secret", f"jwt.sign({{ id: 1, note: '{'n' * 900}' }}, 'changeme')", 1),
+    ("infra.open_cors", f"cors({{ {PAD} origin: '*' }})", 1),
+    ("infra.open_cors", "cors({ origin: list })\nset({ origin: '*' })", 0),
+    ("logic.mass_assignment", f"prisma.user.update({{ where: f(1), {PAD} data: req.body }})", 1),
+    ("logic.predictable_random", f"token = {'a + ' * 200}Math.random()", 1),
+    ("injection.sql_template", f"db.query(`select {'c, ' * 400} ${{req.params.id}}`)", 1),
+    ("injection.sql_concat", f"db.query('select {'c, ' * 400}' + id)", 1),
+]
+
+
+def test_call_rules_see_the_whole_call(files_of):
+    files = files_of([(f"f{n}.js", code + "\n") for n, (_, code, _) in enumerate(CALLS)])
+    found = {}
+    for r in scan_files(files).collect():
+        found.setdefault((r["file"], r["rule"]), []).append(r["line"])
+    assert [(rule, code[:60], len(found.get((f"f{n}.js", rule), []))) for n, (rule, code, _) in enumerate(CALLS)] == [
+        (rule, code[:60], expected) for rule, code, expected in CALLS]
