@@ -27,10 +27,11 @@ from lintlake.llm.components import components
 from lintlake.llm.shingles import WIDTH, mix, shingle_hashes, words_of
 
 COORDINATES = 64
-SMALL = 200  # sets in a bucket that is compared at once
+SMALL = 4000  # sets in a bucket that is compared at once; a split level costs more than comparing these by sketch
 DEPTH = 4
 BLOCK = 1000  # sets in a block of a dense bucket
 BLOCK_SHINGLES = 400_000  # shingles in a block of a component
+FILTER_BITS = 1 << 26  # of the filter that keeps texts without a candidate out of the shuffle
 _RANDOM = np.random.default_rng(20240301)
 _FACTORS = _RANDOM.integers(0, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASKS = _RANDOM.integers(0, 2**32, COORDINATES, dtype=np.uint32)
@@ -73,44 +74,54 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over positions; keeps the edges that joined something."""
+    """Union-find over names."""
 
-    def __init__(self, n: int) -> None:
-        self.above, self.edges = list(range(n)), []
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
 
     def find(self, a: int) -> int:
-        while self.above[a] != a:
-            self.above[a] = self.above[self.above[a]]
-            a = self.above[a]
-        return a
+        above = self.above
+        root = a
+        while (up := above.get(root, root)) != root:
+            root = up
+        while a != root:
+            above[a], a = root, above.get(a, a)
+        return root
 
     def join(self, a: int, b: int) -> None:
         x, y = self.find(a), self.find(b)
-        if x != y:
-            self.above[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
+        self.above[max(x, y)] = min(x, y)
+
+    def edges(self) -> list[tuple[int, int]]:
+        """A star per tree: every name with the smallest one it is joined to."""
+        return [(a, root) for a in list(self.above) if (root := self.find(a)) != a]
 
 
 def _close(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray, least: float) -> np.ndarray:
     """Which pairs may reach the threshold, by sketch (four standard deviations below it) and by size."""
-    agree = np.zeros((len(a), len(b)), np.int16)
+    agree, columns = np.zeros((len(a), len(b)), np.uint8), np.ascontiguousarray(b.T)
     for at in range(a.shape[1]):
-        agree += a[:, at, None] == b[None, :, at]
+        agree += a[:, at, None] == columns[at]
     floor = COORDINATES * (least - 4 * (least * (1 - least) / COORDINATES) ** 0.5)
     small, large = np.minimum(sizes_a[:, None], sizes_b[None, :]), np.maximum(sizes_a[:, None], sizes_b[None, :])
     return (agree >= floor) & (small >= least * large)
 
 
-def _by_group(rows: DataFrame, keys: list[str], handle: Callable[[pa.Table], list[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
-    """Calls ``handle`` with each group's rows. Groups are of bounded size; a task holds one at a time."""
+def _by_group(
+    rows: DataFrame, keys: list[str], handle: Callable[[pa.Table, Forest], list[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str,
+) -> DataFrame:
+    """Calls ``handle`` with each group's rows. Groups are of bounded size; a task holds one at a time.
+
+    Links that ``handle`` puts into the task's forest come out as the last columns, one edge per name that is linked.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        held_key, out = None, []
+        held_key, out, forest = None, [], Forest()
 
         def flush() -> None:
             if held:
-                out.extend(handle(pa.Table.from_batches(held)))
+                out.extend(handle(pa.Table.from_batches(held), forest))
                 held.clear()
 
         def made() -> pa.RecordBatch:
@@ -133,6 +144,7 @@ def _by_group(rows: DataFrame, keys: list[str], handle: Callable[[pa.Table], lis
             if len(out) >= 20_000:
                 yield made()
         flush()
+        out.extend((*[None] * (len(fields) - 2), a, b) for a, b in forest.edges())
         yield made()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, ddl)
@@ -146,18 +158,20 @@ def classes_of_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keys, sizes, sketches = [], [], []
+            keys, sizes, sketches, shorts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text, width)
                 keys.append(hashlib.blake2b(" ".join(words_of(text)).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 hashes = np.unique(hashes)
                 sizes.append(len(hashes))
-                sketches.append(sketch_of(hashes).tobytes())
+                sketch = sketch_of(hashes)
+                sketches.append(sketch.tobytes())
+                shorts.append(sketch.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "key", "size", "sketch"])
+                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()),
+                 pa.array(shorts, pa.binary())], names=["doc_id", "key", "size", "sketch", "short"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, key binary, size long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, key binary, size long, sketch binary, short binary")
 
 
 def candidate_edges(reps: DataFrame, least: float, runs: int) -> DataFrame:
@@ -177,12 +191,12 @@ def candidate_edges(reps: DataFrame, least: float, runs: int) -> DataFrame:
             rows, child = children(nodes, sketches)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(batch.column("rep").to_numpy()[rows])], names=["node", "rep"])
 
-    def compare(group: pa.Table) -> list[tuple]:
+    def compare(group: pa.Table, forest: Forest) -> list[tuple]:
         n = group.num_rows
         names, sizes = group.column("rep").to_numpy(), group.column("size").to_numpy()
         if n < 2:
             return []
-        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(n, -1)
+        sketches = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(n, -1)
         if "side" in group.column_names:
             side = group.column("side").to_numpy()
             at, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
@@ -190,36 +204,39 @@ def candidate_edges(reps: DataFrame, least: float, runs: int) -> DataFrame:
                 other = at
         else:
             at = other = np.arange(n)
-        forest = Forest(n)
         for s in range(0, len(at), 256):
             part = at[s:s + 256]
             i, j = np.nonzero(_close(sketches[part], sizes[part], sketches[other], sizes[other], least))
-            for a, b in zip(part[i].tolist(), other[j].tolist(), strict=True):
-                if a != b:
+            # A row's close ones are joined to it in one sweep; joined ones among them cost nothing more.
+            for a, b in zip(names[part[i]].tolist(), names[other[j]].tolist(), strict=True):
+                if a < b:
                     forest.join(a, b)
-        return [(int(names[a]), int(names[b])) for a, b in forest.edges]
+                elif b < a and len(other) != len(at):
+                    forest.join(b, a)
+        return []
 
-    slim = reps.select("rep", "size", "sketch")
-    rows = stored(slim.mapInArrow(start, "node long, rep long"), "paths")
+    slim = reps.select("rep", "size", "short")  # a byte per coordinate is enough to compare
+    full = reps.select("rep", "sketch")
+    rows = stored(full.mapInArrow(start, "node long, rep long"), "paths")
     edges = []
     for depth in range(1, DEPTH + 1):
         sized = rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node")
-        small = sized.where(F.col("n") <= SMALL).join(slim, "rep").select("node", "rep", "size", "sketch")
-        edges.append(stored(_by_group(small, ["node"], compare, _EDGE, "a long, b long").distinct(), "edges"))
+        small = sized.where(F.col("n") <= SMALL).join(slim, "rep").select("node", "rep", "size", "short")
+        edges.append(stored(_by_group(small, ["node"], compare, _EDGE, "a long, b long"), "edges"))
         large = stored(sized.where(F.col("n") > SMALL), "large")
         if large.isEmpty():
             break
         if depth < DEPTH:
-            rows = stored(large.join(slim, "rep").select("node", "rep", "sketch").mapInArrow(split, "node long, rep long"), "paths")
+            rows = stored(large.join(full, "rep").select("node", "rep", "sketch").mapInArrow(split, "node long, rep long"), "paths")
             continue
         blocked = large.withColumn("k", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
         edges.append(stored(_by_group(
-            in_block_pairs(blocked, "rep").join(slim, "rep").select("node", "i", "j", "side", "rep", "size", "sketch"),
-            ["node", "i", "j"], compare, _EDGE, "a long, b long").distinct(), "edges"))
+            in_block_pairs(blocked, "rep").join(slim, "rep").select("node", "i", "j", "side", "rep", "size", "short"),
+            ["node", "i", "j"], compare, _EDGE, "a long, b long"), "edges"))
     found = edges[0]
     for more in edges[1:]:
         found = found.unionByName(more)
-    return found.distinct()
+    return found
 
 
 def in_block_pairs(rows: DataFrame, member: str) -> DataFrame:
@@ -231,9 +248,13 @@ def in_block_pairs(rows: DataFrame, member: str) -> DataFrame:
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")).drop("own", "other", "k")
 
 
-def _links(group: pa.Table, least: float) -> list[tuple]:
-    """(rep, linked documents, a, b): counts of each member, and the edges of a forest of the links."""
+def _links(group: pa.Table, forest: Forest, least: float) -> list[tuple]:
+    """(rep, links, class) of each member that has links.
+
+    A component that is one block gets its classes at once; those of a larger one are joined by the forest's edges.
+    """
     names, copies, side = (group.column(c).to_numpy() for c in ("rep", "copies", "side"))
+    first, alone = group.column("first").to_numpy(), group.column("alone")[0].as_py()
     n, lists = len(names), group.column("shingles")
     if n < 2:
         return []
@@ -258,11 +279,26 @@ def _links(group: pa.Table, least: float) -> list[tuple]:
     if side.any():
         linked &= side[:, None] != side[None, :]
     counts = (linked * copies[None, :]).sum(axis=1)
-    out: list[tuple] = [(int(names[i]), int(counts[i]), None, None) for i in np.nonzero(counts)[0].tolist()]
-    forest = Forest(n)
+    own = Forest() if alone else forest
     for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(linked))), strict=True):
-        forest.join(a, b)
-    return out + [(None, None, int(names[a]), int(names[b])) for a, b in forest.edges]
+        own.join(int(names[a]), int(names[b]))
+    classes: dict[int, int] = {}
+    if alone:
+        for i in range(n):
+            root = own.find(int(names[i]))
+            classes[root] = min(classes.get(root, int(first[i])), int(first[i]))
+    return [(int(names[i]), int(counts[i]), classes[own.find(int(names[i]))] if alone else None, None, None) for i in np.nonzero(counts)[0].tolist()]
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit per hashed id, FILTER_BITS in all however many ids there are: with very many it lets more texts pass."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))  # at most FILTER_BITS / 64 rows
+    found = np.zeros(FILTER_BITS // 64, np.int64)
+    for batch in rows.toArrow().to_batches():
+        found[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return found.view(np.uint64)
 
 
 def similar_documents(docs: DataFrame, least: float = 0.8, recall: float = 0.999, width: int = WIDTH) -> DataFrame:
@@ -278,33 +314,40 @@ def similar_documents(docs: DataFrame, least: float = 0.8, recall: float = 0.999
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     scanned = stored(classes_of_copies(rows, width), "sketches")
     # The smallest id names a class of copies; of ids that repeat with other texts each text stays a representative.
-    groups = scanned.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("size", "sketch")).alias("s"))
-    reps = stored(groups.select("key", "first", F.xxhash64("key").alias("rep"), "copies", "s.size", "s.sketch"), "representatives")
+    groups = scanned.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("size", "sketch", "short")).alias("s"))
+    reps = stored(groups.select("key", "first", F.xxhash64("key").alias("rep"), "copies", "s.size", "s.sketch", "s.short"), "representatives")
     near = candidate_edges(reps.where("size > 1"), least, runs_for(recall, least))
     parts = stored(components(near).join(reps.select("rep", "first", "copies", "size"), "rep"), "parts")
     sizes = parts.groupBy("component").agg(F.sum("size").alias("shingles"))
-    members = parts.join(sizes, "component").withColumn("k", F.expr(f"cast((shingles + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES} as int)"))
+    members = parts.join(sizes, "component").withColumn("k", F.expr(f"cast((shingles + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES} as int)")).drop("shingles")
+
+    passing = rows.sparkSession.sparkContext.broadcast(_filter_of(members.select(F.col("first").alias("doc_id"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = passing.value
         for batch in sliced(batches):
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lists], names=[*names, "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "shingles"])
 
-    texts = rows.join(members.withColumnRenamed("first", "doc_id"), "doc_id").select("component", "k", "rep", "copies", "size", "text")
-    with_sets = texts.mapInArrow(sets, "component long, k int, rep long, copies long, size long, shingles array<long>").where(
-        "size(shingles) = size").drop("size").dropDuplicates(["component", "rep"])
+    shingled = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(sets, "doc_id long, shingles array<long>")
+    with_sets = shingled.join(members.withColumnRenamed("first", "doc_id"), "doc_id").where("size(shingles) = size").select(
+        "component", "k", "rep", "copies", F.col("doc_id").alias("first"), (F.col("k") == 1).alias("alone"), "shingles"
+    ).dropDuplicates(["component", "rep"])
     verified = stored(_by_group(
-        in_block_pairs(with_sets, "rep"), ["component", "i", "j"], lambda group: _links(group, least),
-        [("rep", pa.int64()), ("links", pa.int64()), *_EDGE], "rep long, links long, a long, b long"), "links")
-    links = verified.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(verified.where("a is not null").select("a", "b"))
-    named = joined.join(reps.select("rep", "first"), "rep")
-    named = named.join(named.groupBy("component").agg(F.min("first").alias("class_id")), "component").select("rep", "class_id")
+        in_block_pairs(with_sets, "rep"), ["component", "i", "j"], lambda group, forest: _links(group, forest, least),
+        [("rep", pa.int64()), ("links", pa.int64()), ("class_id", pa.int64()), *_EDGE], "rep long, links long, class_id long, a long, b long"), "links")
+    links = verified.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"), F.min("class_id").alias("own_class"))
+    across = verified.where("a is not null").select("a", "b")
+    named = reps.select("rep", F.lit(None).cast("long").alias("class_id")).limit(0) if across.isEmpty() else None
+    if named is None:
+        joined = components(across).join(reps.select("rep", "first"), "rep")
+        named = joined.join(joined.groupBy("component").agg(F.min("first").alias("class_id")), "component").select("rep", "class_id")
     labels = reps.select("key", "rep", "first", "copies").join(named, "rep", "left").join(links, "rep", "left").select(
-        "key", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        "key", F.coalesce("own_class", "class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return scanned.select("doc_id", "key").join(labels, "key").select("doc_id", "class_id", "n_links")
 
 
