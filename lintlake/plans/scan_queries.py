@@ -71,7 +71,10 @@ def rules_enrich(spark, sf_dir):
 
 
 # Two overlapping rule sets over the same files, so that union leaves duplicates for dedup.
-@register("union_findings", f"WITH {ck.scan_ctes(RULEBOOK)} SELECT repo_id, id, rule, n * CASE WHEN rule LIKE 'secrets.%' "
+TWICE = ", ".join(sorted({ck.q(r.rule) for r in [*FAMILIES["scan_secrets"], *FAMILIES["scan_env_files"]]}))
+
+
+@register("union_findings", f"WITH {ck.scan_ctes(RULEBOOK)} SELECT repo_id, id, rule, n * CASE WHEN rule IN ({TWICE}) "
                             "THEN 2 ELSE 1 END AS n FROM (SELECT repo_id, id, rule, count(*) AS n FROM raw_findings GROUP BY ALL)")
 def union_of_findings(spark, sf_dir):
     files = derived_files(spark, sf_dir)
