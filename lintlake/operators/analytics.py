@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.findings import SEVERITIES, severity_at_least, severity_rank, severity_weight
 from lintlake.operators.joins import join_lookup
-from lintlake.operators.ordered import previous_value
+from lintlake.operators.ordered import previous_value, running_totals
 
 SCAN_ORDER = ("file", "ord", "line", "id")
 
@@ -194,6 +194,12 @@ def severity_sort(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity")).desc(), *SCAN_ORDER)
 
 
+def severity_places(findings: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
+    """Every finding with its place in its scan, most severe first and then in scan order; a hot scan is cut into ranges."""
+    ranked = findings.withColumn("_order", -severity_rank(F.col("severity")))
+    return running_totals(ranked, keys, ["_order", *SCAN_ORDER], {"place": F.lit(1)}).drop("_order")
+
+
 def group_by_severity(findings: DataFrame, threshold: str = "low", keys: Sequence[str] = ("repo_id",)) -> DataFrame:
     """Visible findings with their severity group's rank and size, for a grouped listing.
 

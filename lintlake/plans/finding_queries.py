@@ -223,9 +223,9 @@ def top_findings(spark, sf_dir):
 
 
 @register("severity_sort", core_sql(f"SELECT repo_id, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id "
-                                    f"ORDER BY {ck.RANK} DESC, file, ord, line, id) AS INTEGER) AS rank FROM findings) WHERE rank <= 25"))
+                                    f"ORDER BY {ck.RANK} DESC, file, ord, line, id) AS INTEGER) AS rank FROM findings)"))
 def severity_sort(spark, sf_dir):
-    return an.top_findings(core_findings(spark, sf_dir), 25, by_severity=True).select("repo_id", "id", "rank")
+    return an.severity_places(core_findings(spark, sf_dir)).select("repo_id", "id", F.col("place").cast("int").alias("rank"))
 
 
 @register("group_by_severity", core_sql(f"""SELECT repo_id, id, severity, CAST(count(*) OVER (PARTITION BY repo_id, severity) AS BIGINT)
