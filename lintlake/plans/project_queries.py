@@ -183,9 +183,9 @@ def sql_statements(spark, sf_dir):
 
 @register("classify_statement", f"""SELECT path, CASE WHEN k = 7 THEN 'private' ELSE 'public' END AS schema_name,
     CASE WHEN k = 7 THEN 'x' || doc_id WHEN k = 5 THEN 'v' || doc_id WHEN k = 6 THEN 'f' || doc_id ELSE 't' || t END AS object_name
-    FROM {MIG} WHERE NOT (k = 1 AND t % 3 = 0)""")
+    FROM {MIG} WHERE NOT (k = 1 AND t % 3 = 0) UNION ALL SELECT path, 'public', 't' || t FROM {MIG} WHERE k = 7""")
 def classify_statement(spark, sf_dir):
-    statements = mg.sql_statements(derived_migrations(spark, sf_dir)).where("seq = 0")
+    statements = mg.sql_statements(derived_migrations(spark, sf_dir))
     return mg.classify_statement(statements).select("path", "schema_name", "object_name")
 
 
