@@ -25,13 +25,16 @@ from lintlake.llm.shingles import WIDTH, shingle_hashes
 PERMUTATIONS = 64
 LEAST_BLOCK = 8
 BLOCK_SHINGLES = 2_000_000
-_FACTORS = np.random.default_rng(20240229).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(20240229)
+_FACTORS = _RANDOM.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _RANDOM.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
+_KEYS = np.arange(PERMUTATIONS, dtype=np.uint64) << np.uint64(32)
 PAIRS = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """Permuted 32-bit values, one row per permutation."""
-    return ((hashes[None, :] * _FACTORS[:, None]) >> np.uint64(32)).astype(np.uint32)
+def permuted(hashes: np.ndarray) -> np.ndarray:
+    """Permuted 32-bit values: a row per shingle, a column per permutation."""
+    return ((hashes >> np.uint64(32)).astype(np.uint32)[:, None] ^ _MASKS) * _FACTORS
 
 
 def size_class(shingles: int) -> int:
@@ -39,18 +42,19 @@ def size_class(shingles: int) -> int:
     return max(0, int(np.ceil(np.log2(max(shingles, 1) / LEAST_BLOCK))))
 
 
-def window_minima(values: np.ndarray, classes: list[int]) -> dict[int, np.ndarray]:
+def window_minima(hashes: np.ndarray, classes: list[int]) -> dict[int, np.ndarray]:
     """Per class the minima of windows of two adjacent blocks; blocks of a class join two of the class before."""
-    blocks = np.minimum.reduceat(values, np.arange(0, values.shape[1], LEAST_BLOCK), axis=1)
+    rest = -len(hashes) % LEAST_BLOCK
+    padded = np.concatenate([hashes, np.repeat(hashes[-1:], rest)]) if rest else hashes
+    blocks = permuted(padded).reshape(-1, LEAST_BLOCK, PERMUTATIONS).min(axis=1)
     found = {}
     for c in range(max(classes) + 1):
-        if c:
-            odd = blocks.shape[1] % 2
-            if blocks.shape[1] > 1:
-                joined = np.minimum(blocks[:, :blocks.shape[1] - odd:2], blocks[:, 1::2])
-                blocks = np.concatenate([joined, blocks[:, -1:]], axis=1) if odd else joined
+        if c and len(blocks) > 1:
+            odd = len(blocks) % 2
+            joined = np.minimum(blocks[:len(blocks) - odd:2], blocks[1::2])
+            blocks = np.concatenate([joined, blocks[-1:]]) if odd else joined
         if c in classes:
-            found[c] = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
+            found[c] = np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
     return found
 
 
@@ -65,20 +69,21 @@ class ItemBlock:
         for n, (_, hashes) in enumerate(rows):
             by_class.setdefault(size_class(len(hashes)), []).append(n)
         for c, members in by_class.items():
-            signatures = np.stack([minima(self.shingles[n]).min(axis=1) for n in members], axis=1).astype(np.uint64)
-            keys = ((np.arange(PERMUTATIONS, dtype=np.uint64)[:, None] << np.uint64(32)) | signatures).ravel()
+            signatures = np.stack([permuted(self.shingles[n]).min(axis=0) for n in members]).astype(np.uint64)
+            keys = (_KEYS | signatures).ravel()
             order = np.argsort(keys, kind="stable")
-            bits = min(22, 10 + int(np.ceil(np.log2(len(members) + 1))))
+            bits = min(20, 8 + int(np.ceil(np.log2(len(members) + 1))))
             seen = np.zeros((PERMUTATIONS, 1 << bits), bool)  # values that may occur, by their leading bits
-            seen[np.arange(PERMUTATIONS)[:, None], (signatures >> np.uint64(32 - bits)).astype(np.int64)] = True
-            self.of_class[c] = keys[order], np.tile(np.array(members), PERMUTATIONS)[order], seen, bits
+            seen[np.arange(PERMUTATIONS), (signatures >> np.uint64(32 - bits)).astype(np.int64)] = True
+            self.of_class[c] = keys[order], np.repeat(np.array(members), PERMUTATIONS)[order], seen.ravel(), bits
 
     def candidates(self, hashes: np.ndarray) -> set[int]:
         found: set[int] = set()
-        for c, windows in window_minima(minima(hashes), list(self.of_class)).items():
+        for c, windows in window_minima(hashes, list(self.of_class)).items():
             keys, members, seen, bits = self.of_class[c]
-            perm, at = np.nonzero(seen[np.arange(PERMUTATIONS)[:, None], windows >> np.uint32(32 - bits)])
-            wanted = np.unique((perm.astype(np.uint64) << np.uint64(32)) | windows[perm, at])
+            row = np.arange(PERMUTATIONS, dtype=np.int64) << bits
+            at = np.flatnonzero(seen.take(row + (windows >> np.uint32(32 - bits))))
+            wanted = np.unique(_KEYS[at % PERMUTATIONS] | windows.ravel()[at])
             first, last = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
             for a, b in zip(first[last > first].tolist(), last[last > first].tolist(), strict=True):
                 found.update(members[a:b].tolist())
