@@ -10,7 +10,7 @@ from lintlake.functions import prompts
 from lintlake.functions.findings import severity_rank
 from lintlake.functions.text import split_lines
 from lintlake.operators import analytics as an
-from lintlake.operators import budget, scan, suppress
+from lintlake.operators import scan, suppress
 from lintlake.plans import checks as ck
 from lintlake.plans import derived as dv
 from lintlake.plans.registry import register
@@ -126,14 +126,12 @@ LOADED_SQL = (f"SELECT * FROM ({dv.PROJECT_FILES_SQL}) QUALIFY row_number() OVER
     LEFT JOIN (SELECT repo_id, count(*) FILTER (WHERE NOT hidden) AS active, count(*) FILTER (WHERE hidden) AS gone,
       sum({ck.WEIGHT}) FILTER (WHERE NOT hidden) AS penalty FROM final GROUP BY repo_id) s USING (repo_id)""")
 def whole_scan(spark, sf_dir):
-    """The whole scan: file budget, ignore files, rules, dedup, suppression, summary."""
-    candidates = dv.derived_project(spark, sf_dir)
-    files = settle(budget.file_budget_stop(candidates, BUDGET_FILES, 1 << 40).select(*candidates.columns))
+    """The whole scan: ignore files, rules, dedup, suppression, summary. Every file is scanned; the SQL check stops at BUDGET_FILES."""
+    files = dv.derived_project(spark, sf_dir)
     code = scan.unique_findings(scan.scan_files(
         suppress.drop_ignored_files(files, project_rules(spark, sf_dir)), RULEBOOK))
     _, summary = scan_repositories(
-        files, dv.derived_repositories(spark, sf_dir), dv.derived_suppressions(code), rulebook=RULEBOOK, lint=False,
-        candidates=candidates.select("repo_id", "path"))
+        files, dv.derived_repositories(spark, sf_dir), dv.derived_suppressions(code), rulebook=RULEBOOK, lint=False)
     return summary
 
 

@@ -262,6 +262,32 @@ def test_whole_scan(spark, files_of):
     assert scan_repositories(files, repos, none, candidates=more)[1].first()["truncated"]
 
 
+def test_registered_scan_reads_every_file(spark):
+    """sf0.01 holds 51 files of every repository, of which ignore files drop some."""
+    from lintlake.operators.suppress import drop_ignored_files
+    from lintlake.plans.derived import derived_project
+    from lintlake.plans.finding_queries import project_rules, whole_scan
+
+    sf_dir = "/root/testdata/sf0.01"
+    kept = drop_ignored_files(derived_project(spark, sf_dir), project_rules(spark, sf_dir))
+    wanted = {r["repo_id"]: (r["n"], r["b"], False) for r in kept.groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
+    found = {r["repo_id"]: (r["files_scanned"], r["bytes_scanned"], r["truncated"]) for r in whole_scan(spark, sf_dir).collect()}
+    assert found == wanted and sum(n for n, *_ in wanted.values()) > 20 * 40
+
+
+def test_scan_within_a_budget_is_truncated(spark, files_of):
+    from lintlake.operators.budget import file_budget_stop
+    from lintlake.plans.scans import scan_repositories
+
+    candidates = files_of([(f"src/{n}.py", "x = 1\n") for n in range(3)])
+    repos = spark.createDataFrame([("r", "o", "acme/r")], "repo_id string, org_id string, target string")
+    none = spark.createDataFrame([], "id string, org_id string, finding_id string, target string, reason string, created_at timestamp")
+    for limit in (2, 3):
+        files = file_budget_stop(candidates, limit, 1 << 20).select(*candidates.columns)
+        row = scan_repositories(files, repos, none, candidates=candidates.select("repo_id", "path"))[1].first()
+        assert (row["files_scanned"], row["truncated"]) == (limit, limit < 3)
+
+
 def test_nothing_is_cut(spark, files_of):
     """Inputs past the limits of the hosted service."""
     from lintlake.operators.suppress import match_org_suppressions
