@@ -182,8 +182,8 @@ def measure(root: Node) -> list[Node]:
 def article_node(root: Node) -> Node | None:
     """The subtree with the largest density sum, widened to the article that holds it.
 
-    The threshold is the lowest density on the path up to the body: an ancestor joins while the text that it adds is as
-    dense as that, that is while its own children's sum is above it.
+    The threshold is the lowest density on the path up to the body: an ancestor joins if it adds children that are as
+    dense as that. Wrappers on the way that add none are passed over, as the article may go on in what holds them.
     """
     order = [n for n in measure(root) if n.chars]
     if not order:
@@ -196,11 +196,9 @@ def article_node(root: Node) -> Node | None:
     for node in path[1:]:
         if node.tag in ("article", "main"):
             return node
-    for node in path[1:]:
-        added = sum(p.density for p in node.parts if type(p) is Node and not p.noise and p is not best and p.density >= threshold)
-        if not added or node.tag == "html":
-            break
-        best = node
+    for below, node in zip(path, path[1:], strict=False):
+        if node.tag != "html" and any(type(p) is Node and not p.noise and p is not below and p.chars and p.density >= threshold for p in node.parts):
+            best = node
     return best
 
 

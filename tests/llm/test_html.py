@@ -30,6 +30,25 @@ def test_layouts(page):
     assert main_text(page) == WANTED
 
 
+PARTS = [prose(100 + n, 45).capitalize() + "." for n in range(8)]
+
+
+def paragraphs(of):
+    return "".join(f"<p>{s}</p>" for s in of)
+
+
+@pytest.mark.parametrize("around", ["{}", f"<div>{LINKS}</div>{{}}<div>{LINKS}</div>"])
+def test_articles_in_sections(around):
+    """Wrappers of one child, headings and sections of other lengths don't end the article."""
+    rows = "".join(f"<div class=row><div class=col>{paragraphs(PARTS[n:n + 4])}</div></div>" for n in (0, 4))
+    assert main_text("<body>" + around.format(f"<div id=content>{rows}</div>")) == "\n".join(PARTS)
+    sections = "".join(f"<section><h2>Part {n}</h2><div class=body>{paragraphs(PARTS[n:n + 2])}</div></section>" for n in (0, 2, 4, 6))
+    wanted = "\n".join(x for n in (0, 2, 4, 6) for x in (f"Part {n}", *PARTS[n:n + 2]))
+    assert main_text("<body>" + around.format(f"<div id=content>{sections}</div>")) == wanted
+    deep = "".join(f"<div><div><div>{paragraphs(PARTS[n:m])}</div></div></div>" for n, m in ((0, 5), (5, 8)))
+    assert main_text("<body>" + around.format(f"<div><div>{deep}</div></div>")) == "\n".join(PARTS)
+
+
 def test_blocks_and_references():
     page = "<article><h1>A &lt;b&gt; &#8364;&#x41;&nbsp;x</h1><p>one<br>two <b>bo</b>ld\n\t <i>it</i></p><ul><li>x<li>y</ul><pre>a\n b</pre></article>"
     assert main_text(page) == "A <b> €A x\none\ntwo bold it\nx\ny\na b"
