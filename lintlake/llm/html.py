@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from math import e, log
 
 import pyarrow as pa
@@ -47,6 +48,9 @@ NOISE_WORDS = re.compile(
     r"cookies?|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|paywall|newsletter|subscribe|subscription|signup|login|"
     r"comments?|commentlist|disqus|replies|reply|respond|discussion|reviews?|"
     r"share|sharing|social|follow|tags|tagcloud|skip|search|searchbox|form|toolbar|tooltip|hidden)(?:$|[\s_-])")
+# A form or a class word marks a part of a page, unless more than this share of the text outside such parts is in it: then
+# it is a wrapper. A class that is such a word by itself may name a part that outgrows the article, as comments do.
+WRAPPER_SHARE, PART_SHARE = 0.5, 0.75
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -55,35 +59,40 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "noise", "share", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool) -> None:
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, share: float) -> None:
+        self.tag, self.parent, self.share = tag, parent, share
+        self.noise = share > 0
         self.parts: list = []  # strings and nodes in page order
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
-    if tag in NOISE_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _noise_share(tag: str, attributes: str) -> float:
+    """Share of the text up to which an element is noise: 0 for never, 1 for always."""
+    share = WRAPPER_SHARE if tag == "form" else 1.0 if tag in NOISE_TAGS else 0.0
+    if share == 1 or not attributes or tag in ("html", "body", "article", "main"):
+        return share
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and NOISE_ROLES.intersection(value.lower().split()):
-            return True
-        if name in ("class", "id") and NOISE_WORDS.search(CAMEL.sub("-", value).lower()):
-            return True
+            return 1.0
+        if name == "role" and (roles := NOISE_ROLES.intersection(value.lower().split())):
+            if roles != {"form"}:
+                return 1.0
+            share = max(share, WRAPPER_SHARE)
+        if name in ("class", "id"):
+            value = CAMEL.sub("-", value).lower()
+            if NOISE_WORDS.search(value):
+                share = max(share, PART_SHARE if any(NOISE_WORDS.fullmatch(word) for word in value.split()) else WRAPPER_SHARE)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-            return True
-    return False
+            return 1.0
+    return share
 
 
 def parse(source: str) -> Node:
     """Tree of a page. Unclosed and stray tags are read as browsers read them in the cases that occur in articles."""
-    root = Node("html", None, False)
-    body = node = Node("body", root, False)
+    root = Node("html", None, 0)
+    body = node = Node("body", root, 0)
     root.parts.append(body)
     at, end = 0, len(source)
 
@@ -120,7 +129,7 @@ def parse(source: str) -> Node:
             if seen.tag == tag and seen is not body:
                 node = seen.parent
             elif tag == "p":
-                node.parts.append(Node("p", node, False))
+                node.parts.append(Node("p", node, 0))
             continue
         if tag in ("html", "body"):
             continue
@@ -134,7 +143,7 @@ def parse(source: str) -> Node:
             close(ENDS[tag], SCOPES - ENDS[tag])
         if tag[0] == "h" and tag[1:].isdigit():
             close({"h1", "h2", "h3", "h4", "h5", "h6"})
-        child = Node(tag, node, _is_noise(tag, found[3]))
+        child = Node(tag, node, _noise_share(tag, found[3]))
         node.parts.append(child)
         if tag not in VOID and not found[3].endswith("/"):
             node = child
@@ -143,6 +152,51 @@ def parse(source: str) -> Node:
     return root
 
 
+def keep_wrappers(root: Node) -> None:
+    """Takes the noise mark from elements that hold most of the page's text outside links.
+
+    Largest first; what lies in a wrapper is judged again, against the text that is outside noise by then.
+    """
+    order, stack, marked = [], [root], False
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        marked = marked or 0 < node.share < 1
+        stack.extend(p for p in node.parts if type(p) is Node and p.share < 1)
+    if not marked:
+        return
+    for node in reversed(order):  # all text below, and the part of it that is not in further noise
+        node.chars = node.total = 0
+        if node.tag != "a":
+            for part in node.parts:
+                if type(part) is str:
+                    size = len(part) - part.count(" ") - part.count("\n")
+                    node.chars, node.total = node.chars + size, node.total + size
+                elif part.share < 1:
+                    node.chars += part.chars
+                    node.total += 0 if part.noise else part.total
+
+    def outermost(top: Node) -> None:
+        within = [top]
+        while within:
+            for part in within.pop().parts:
+                if type(part) is Node and part.share < 1:
+                    if part.noise:
+                        heappush(waiting, (-part.chars, len(waiting), id(part), part))
+                    else:
+                        within.append(part)
+
+    waiting: list[tuple[int, int, int, Node]] = []
+    free = root.total
+    outermost(root)
+    while waiting:
+        node = heappop(waiting)[-1]
+        if node.chars > node.share * (node.chars + free):
+            node.noise = False
+            free += node.total
+            outermost(node)
+
+
 def measure(root: Node) -> list[Node]:
     """Densities of all nodes, children first. Noise counts as nothing, so it can't lift what surrounds it."""
     order, stack = [], [root]
@@ -185,6 +239,7 @@ def article_node(root: Node) -> Node | None:
     The threshold is the lowest density on the path up to the body: an ancestor joins if it adds children that are as
     dense as that. Wrappers on the way that add none are passed over, as the article may go on in what holds them.
     """
+    keep_wrappers(root)
     order = [n for n in measure(root) if n.chars]
     if not order:
         return None
@@ -239,7 +294,8 @@ def main_text(source: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page, from its whole html.
 
-    A null or empty html, or one without text outside menus and the like, gives the empty text. Null ids and urls are
+    A null or empty html, or one without text outside menus and the like, gives the empty text. An element whose class merely
+    sounds like a menu, or a form, counts as part of the page if it holds most of its text. Null ids and urls are
     kept, repeated rows are repeated, other columns are ignored. An empty table gives no rows.
     """
 

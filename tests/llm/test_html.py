@@ -49,6 +49,22 @@ def test_articles_in_sections(around):
     assert main_text("<body>" + around.format(f"<div><div>{deep}</div></div>")) == "\n".join(PARTS)
 
 
+@pytest.mark.parametrize("wrapper", [
+    "div class='content-sidebar-wrap'", "div id='page' class='has-sidebar'", "div class=with-sidebar", "div class=header-fixed",
+    "div class='menu-open'", "div class='review-body'", "div class=more", "div class=legal", "form action=/ method=post", "div role=form"])
+def test_wrappers_that_sound_like_noise(wrapper):
+    end = wrapper.split()[0]
+    aside = f"<div class=sidebar>{LINKS}<p>{SENTENCES[0]}</p></div>"
+    for inside in (BODY, f"<div>{BODY}</div>{aside}", f"<div class='site-menu-open'><div class=more-stuff>{BODY}</div></div>"):
+        assert main_text(f"<body><header>{LINKS}</header><{wrapper}>{inside}</{end}><div class=cookie-notice><p>{SENTENCES[2]}</p></div>") == WANTED
+    assert main_text(f"<body><div>{BODY}</div><{wrapper}><p>{SENTENCES[3]}</p></{end}>") == WANTED  # a minor share
+
+
+def test_long_comments_stay_noise():
+    talk = "".join(f"<p>{prose(50 + n, 60)}</p>" for n in range(8))
+    assert main_text(f"<body><div><div>{BODY}</div><section id=comments>{talk}</section></div>") == WANTED
+
+
 def test_blocks_and_references():
     page = "<article><h1>A &lt;b&gt; &#8364;&#x41;&nbsp;x</h1><p>one<br>two <b>bo</b>ld\n\t <i>it</i></p><ul><li>x<li>y</ul><pre>a\n b</pre></article>"
     assert main_text(page) == "A <b> €A x\none\ntwo bold it\nx\ny\na b"
