@@ -24,7 +24,14 @@ from lintlake.llm.common import sliced, texts_of
 
 # Fixed values of the HTML standard: elements without content, elements with raw text, and elements that lay out as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea svg math object canvas noembed noframes xmp plaintext".split())
+RAW = frozenset("script style template iframe textarea noembed noframes xmp plaintext".split())
+# Elements of other vocabularies, those inside them that hold HTML again, and start tags that end them when left open.
+FOREIGN = frozenset("svg math".split())
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset((
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var").split())
+DRAWN = frozenset("svg canvas".split())  # parsed, but their text is never part of the page
 BLOCKS = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
@@ -59,11 +66,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "noise", "share", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "noise", "share", "foreign", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, share: float) -> None:
         self.tag, self.parent, self.share = tag, parent, share
         self.noise = share > 0
+        self.foreign = tag in FOREIGN or parent is not None and parent.foreign
         self.parts: list = []  # strings and nodes in page order
 
 
@@ -103,10 +111,18 @@ def parse(source: str) -> Node:
             if seen.tag in tags:
                 node = seen.parent
                 return
-            if seen.tag in within:
+            if seen.tag in within or seen.foreign and seen.tag in INTEGRATION:
                 return
             seen = seen.parent
 
+    def inside_html() -> bool:
+        seen = node
+        while seen.foreign and seen.tag not in FOREIGN:
+            if seen.tag in INTEGRATION:
+                return True
+            seen = seen.parent
+        return False
+
     while at < end:
         found = TOKEN.search(source, at)
         if not found:
@@ -123,7 +139,7 @@ def parse(source: str) -> Node:
                 continue
             seen = node
             while seen is not body and seen is not root and seen.tag != tag:
-                if seen.tag in SCOPES and tag not in SCOPES:
+                if seen.tag in SCOPES and tag not in SCOPES and tag not in FOREIGN:
                     break
                 seen = seen.parent
             if seen.tag == tag and seen is not body:
@@ -133,7 +149,10 @@ def parse(source: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if tag in RAW:
+        if node.foreign and tag in BREAKOUT and not inside_html():
+            while node.foreign:
+                node = node.parent
+        if tag in RAW and not (node.foreign and found[3].endswith("/")):
             last = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(source, at)
             at = last.end() if last else end
             continue
@@ -144,7 +163,8 @@ def parse(source: str) -> Node:
         if tag[0] == "h" and tag[1:].isdigit():
             close({"h1", "h2", "h3", "h4", "h5", "h6"})
         child = Node(tag, node, _noise_share(tag, found[3]))
-        node.parts.append(child)
+        if tag not in DRAWN:
+            node.parts.append(child)
         if tag not in VOID and not found[3].endswith("/"):
             node = child
         elif tag not in VOID and tag in ("p", "div", "article", "section", "span", "a", "main", "b", "i", "em", "strong"):

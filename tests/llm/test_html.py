@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from lintlake.llm.html import extract_pages, main_text
+from lintlake.llm.warc import plain_text
 
 from .conftest import prose
 
@@ -65,6 +66,22 @@ def test_long_comments_stay_noise():
     assert main_text(f"<body><div><div>{BODY}</div><section id=comments>{talk}</section></div>") == WANTED
 
 
+@pytest.mark.parametrize("markup", [
+    "<svg class='icon'/>", "<math/>", "<object data=x>", "<canvas/>", "<svg class=icon><path d='M0'/>", "<svg><title>no</title><svg><text>no</text></svg>no</svg>",
+    "<svg><foreignObject><div><p>no</div></foreignObject><style/><text>no</text></svg>", "<canvas id=c>no</canvas>", "<svg><script href=x /><text>no</text></svg>",
+    "<svg><foreignObject><div>no</svg>"])
+def test_drawings_lose_nothing_else(markup):
+    """Neither the article's text nor that of a conversion record, which keeps all but markup."""
+    page = f"<body><div>{markup}{BODY}</div>"
+    assert main_text(page) == WANTED and plain_text(page.encode(), "text/html") == WANTED
+    assert main_text(f"<body><article><p>a {markup}</p><p>b</p></article>") == "a\nb"
+
+
+def test_text_inside_embedded_elements():
+    page = "<article><p>x <math><mi>a</mi><mo>=</mo><mn>1</mn></math> y</p><object data=z><p>other <b>form</b></p></object><noscript><p>plain</p></noscript></article>"
+    assert main_text(page) == plain_text(page.encode(), "text/html") == "x a=1 y\nother form\nplain"
+
+
 def test_blocks_and_references():
     page = "<article><h1>A &lt;b&gt; &#8364;&#x41;&nbsp;x</h1><p>one<br>two <b>bo</b>ld\n\t <i>it</i></p><ul><li>x<li>y</ul><pre>a\n b</pre></article>"
     assert main_text(page) == "A <b> €A x\none\ntwo bold it\nx\ny\na b"
