@@ -29,7 +29,7 @@ from lintlake.llm.shingles import WIDTH, mix, shingle_hashes, words_of
 COORDINATES = 64
 SMALL = 4000  # sets in a bucket that is compared at once; a split level costs more than comparing these by sketch
 DEPTH = 4
-BLOCK = 1000  # sets in a block of a dense bucket
+BLOCK = 1000  # sets in a block of a dense bucket or of a component
 BLOCK_SHINGLES = 400_000  # shingles in a block of a component
 FILTER_BITS = 1 << 26  # of the filter that keeps texts without a candidate out of the shuffle
 _RANDOM = np.random.default_rng(20240301)
@@ -258,6 +258,10 @@ def _links(group: pa.Table, forest: Forest, least: float) -> list[tuple]:
     n, lists = len(names), group.column("shingles")
     if n < 2:
         return []
+    if side.any():
+        at, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+    else:
+        at = other = np.arange(n)
     lengths = np.array([len(x) for x in lists], np.int64)
     flat = np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py():c.offsets[len(c)].as_py()] for c in lists.chunks])
     owner = np.repeat(np.arange(n), lengths)
@@ -266,22 +270,27 @@ def _links(group: pa.Table, forest: Forest, least: float) -> list[tuple]:
     owner, column = owner[shared], column[shared]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], np.cumsum(np.concatenate(([0], np.diff(column[order]) > 0))) if len(order) else column
-    inside = np.zeros((n, n), np.float32)
     width = max(256, 4_000_000 // n)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, (start, start + width))
-        part = np.zeros((n, width), np.float32)
-        part[owner[a:b], column[a:b] - start] = 1
-        inside += part @ part.T
-    union = lengths[:, None] + lengths[None, :] - inside
-    linked = inside >= least * union
-    np.fill_diagonal(linked, False)
-    if side.any():
-        linked &= side[:, None] != side[None, :]
-    counts = (linked * copies[None, :]).sum(axis=1)
+    counts = np.zeros(n, np.int64)
     own = Forest() if alone else forest
-    for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(linked))), strict=True):
-        own.join(int(names[a]), int(names[b]))
+    for s in range(0, len(at), BLOCK):  # a slice of rows at a time: no matrix has as many rows and columns as the group
+        rows = at[s:s + BLOCK]
+        inside = np.zeros((len(rows), len(other)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, (start, start + width))
+            part = np.zeros((n, width), np.float32)
+            part[owner[a:b], column[a:b] - start] = 1
+            inside += part[rows] @ part[other].T
+        linked = inside >= least * (lengths[rows, None] + lengths[other] - inside)
+        linked &= rows[:, None] != other
+        counts[rows] += (linked * copies[other]).sum(axis=1)
+        if side.any():
+            counts[other] += (linked * copies[rows, None]).sum(axis=0)
+        else:
+            linked &= rows[:, None] < other
+        i, j = np.nonzero(linked)
+        for a, b in zip(names[rows[i]].tolist(), names[other[j]].tolist(), strict=True):
+            own.join(a, b)
     classes: dict[int, int] = {}
     if alone:
         for i in range(n):
@@ -318,8 +327,9 @@ def similar_documents(docs: DataFrame, least: float = 0.8, recall: float = 0.999
     reps = stored(groups.select("key", "first", F.xxhash64("key").alias("rep"), "copies", "s.size", "s.sketch", "s.short"), "representatives")
     near = candidate_edges(reps.where("size > 1"), least, runs_for(recall, least))
     parts = stored(components(near).join(reps.select("rep", "first", "copies", "size"), "rep"), "parts")
-    sizes = parts.groupBy("component").agg(F.sum("size").alias("shingles"))
-    members = parts.join(sizes, "component").withColumn("k", F.expr(f"cast((shingles + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES} as int)")).drop("shingles")
+    sizes = parts.groupBy("component").agg(F.expr(
+        f"cast(greatest((sum(size) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}, (count(1) + {BLOCK - 1}) div {BLOCK}) as int)").alias("k"))
+    members = parts.join(sizes, "component")
 
     passing = rows.sparkSession.sparkContext.broadcast(_filter_of(members.select(F.col("first").alias("doc_id"))))
 

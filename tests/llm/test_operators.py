@@ -411,6 +411,45 @@ def test_join_of_a_large_dense_group(docs_of, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in similar_documents(docs_of(rows)).collect()) == brute_join(rows)
 
 
+def test_join_of_many_short_near_copies(docs_of, monkeypatch):
+    """Blocks of a component are bounded by members too, however few shingles these have."""
+    from lintlake.llm import jaccard_join
+
+    grouped, largest = jaccard_join._by_group, []
+
+    def recorded(rows, keys, *rest):
+        if keys[0] == "component":
+            largest.append(max(r["count"] for r in rows.groupBy(*keys).count().collect()))
+        return grouped(rows, keys, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_by_group", recorded)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 30)
+    rows = [(n, f"{prose(8, 23)} last{n % 190}") for n in range(200)] + [(500 + n, prose(900 + n, 24)) for n in range(5)]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in similar_documents(docs_of(rows)).collect()) == brute_join(rows)
+    assert len(largest) == 1 and largest[0] <= 120
+
+
+def test_links_of_a_group_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from lintlake.llm import jaccard_join
+
+    texts = near(5, 40, edits=5) + [prose(5, 120)]
+    shingled = [sorted(set(shingle_hashes(t).view(np.int64).tolist())) for t in texts]
+    whole = []
+    for size in (1000, 7):
+        monkeypatch.setattr(jaccard_join, "BLOCK", size)
+        for sides in ([0] * 41, [n % 2 for n in range(41)]):
+            group = pa.table({"rep": range(41), "copies": [1 + n % 3 for n in range(41)], "first": range(41), "alone": [not any(sides)] * 41,
+                              "side": sides, "i": [0] * 41, "j": [max(sides)] * 41, "shingles": pa.array(shingled, pa.list_(pa.int64()))})
+            whole.append(jaccard_join._links(group, jaccard_join.Forest(), 0.8))
+            x = [set(s) for s in shingled]
+            close = lambda a, b: a != b and (not any(sides) or sides[a] != sides[b]) and len(x[a] & x[b]) >= 0.8 * len(x[a] | x[b])
+            wanted = {a: sum(1 + b % 3 for b in range(41) if close(a, b)) for a in range(41)}
+            assert {r[0]: r[1] for r in whole[-1]} == {a: n for a, n in wanted.items() if n} != {}
+    assert whole[:2] == whole[2:]
+
+
 def test_join_of_odd_rows(docs_of):
     rows = similar_documents(docs_of(ODD)).collect()
     assert len(rows) == sum(i is not None for i, _ in ODD)
