@@ -107,6 +107,19 @@ def _close(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarra
     return (agree >= floor) & (small >= least * large)
 
 
+def _is_cross(group: pa.Table) -> bool:
+    """Whether a group is a pair of different blocks. One of them may have no rows."""
+    return "side" in group.column_names and group.column("i")[0].as_py() != group.column("j")[0].as_py()
+
+
+def _sides(group: pa.Table, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are compared with each other: of the two blocks of a pair, or all with all."""
+    if not cross:
+        return (both := np.arange(group.num_rows)), both
+    side = group.column("side").to_numpy()
+    return np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+
+
 def _by_group(
     rows: DataFrame, keys: list[str], handle: Callable[[pa.Table, Forest], list[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str,
 ) -> DataFrame:
@@ -197,22 +210,15 @@ def candidate_edges(reps: DataFrame, least: float, runs: int) -> DataFrame:
         if n < 2:
             return []
         sketches = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(n, -1)
-        if "side" in group.column_names:
-            side = group.column("side").to_numpy()
-            at, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-            if not len(other):
-                other = at
-        else:
-            at = other = np.arange(n)
+        cross = _is_cross(group)
+        at, other = _sides(group, cross)
         for s in range(0, len(at), 256):
             part = at[s:s + 256]
             i, j = np.nonzero(_close(sketches[part], sizes[part], sketches[other], sizes[other], least))
             # A row's close ones are joined to it in one sweep; joined ones among them cost nothing more.
             for a, b in zip(names[part[i]].tolist(), names[other[j]].tolist(), strict=True):
-                if a < b:
+                if cross or a < b:
                     forest.join(a, b)
-                elif b < a and len(other) != len(at):
-                    forest.join(b, a)
         return []
 
     slim = reps.select("rep", "size", "short")  # a byte per coordinate is enough to compare
@@ -253,15 +259,13 @@ def _links(group: pa.Table, forest: Forest, least: float) -> list[tuple]:
 
     A component that is one block gets its classes at once; those of a larger one are joined by the forest's edges.
     """
-    names, copies, side = (group.column(c).to_numpy() for c in ("rep", "copies", "side"))
+    names, copies = (group.column(c).to_numpy() for c in ("rep", "copies"))
     first, alone = group.column("first").to_numpy(), group.column("alone")[0].as_py()
     n, lists = len(names), group.column("shingles")
     if n < 2:
         return []
-    if side.any():
-        at, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-    else:
-        at = other = np.arange(n)
+    cross = _is_cross(group)
+    at, other = _sides(group, cross)
     lengths = np.array([len(x) for x in lists], np.int64)
     flat = np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py():c.offsets[len(c)].as_py()] for c in lists.chunks])
     owner = np.repeat(np.arange(n), lengths)
@@ -284,7 +288,7 @@ def _links(group: pa.Table, forest: Forest, least: float) -> list[tuple]:
         linked = inside >= least * (lengths[rows, None] + lengths[other] - inside)
         linked &= rows[:, None] != other
         counts[rows] += (linked * copies[other]).sum(axis=1)
-        if side.any():
+        if cross:
             counts[other] += (linked * copies[rows, None]).sum(axis=0)
         else:
             linked &= rows[:, None] < other
@@ -325,7 +329,10 @@ def similar_documents(docs: DataFrame, least: float = 0.8, recall: float = 0.999
     # The smallest id names a class of copies; of ids that repeat with other texts each text stays a representative.
     groups = scanned.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("size", "sketch", "short")).alias("s"))
     reps = stored(groups.select("key", "first", F.xxhash64("key").alias("rep"), "copies", "s.size", "s.sketch", "s.short"), "representatives")
-    near = candidate_edges(reps.where("size > 1"), least, runs_for(recall, least))
+    # Texts of one shingle are alike only if it is the same one, as in one word repeated more or less often.
+    single = reps.where("size = 1")
+    same = single.join(single.groupBy("sketch").agg(F.min("rep").alias("b")), "sketch").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    near = candidate_edges(reps.where("size > 1"), least, runs_for(recall, least)).unionByName(same)
     parts = stored(components(near).join(reps.select("rep", "first", "copies", "size"), "rep"), "parts")
     sizes = parts.groupBy("component").agg(F.expr(
         f"cast(greatest((sum(size) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}, (count(1) + {BLOCK - 1}) div {BLOCK}) as int)").alias("k"))

@@ -450,6 +450,34 @@ def test_links_of_a_group_in_slices(monkeypatch):
     assert whole[:2] == whole[2:]
 
 
+def test_pairs_of_blocks(spark, monkeypatch):
+    """Both orders of a cross pair are joined whatever the sizes, and a pair with an empty block has no links."""
+    import pyarrow as pa
+
+    from lintlake.llm import jaccard_join
+
+    handles = []
+
+    def caught(rows, keys, handle, fields, ddl):
+        handles.append(handle)
+        return spark.createDataFrame([], ddl)
+
+    monkeypatch.setattr(jaccard_join, "_by_group", caught)
+    reps = spark.createDataFrame([(n, 9, bytes(256), bytes(64)) for n in range(2)], "rep long, size long, sketch binary, short binary")
+    jaccard_join.candidate_edges(reps, 0.8, 1)
+    forest = jaccard_join.Forest()
+    handles[0](pa.table({"rep": [7, 8, 1, 2], "size": [9] * 4, "short": [bytes([n] * 64) for n in (1, 2, 1, 2)], "side": [0, 0, 1, 1], "i": [0] * 4, "j": [1] * 4}), forest)
+    assert sorted(forest.edges()) == [(7, 1), (8, 2)]
+    group = pa.table({"rep": [1, 2], "copies": [1, 1], "first": [1, 2], "alone": [False] * 2, "side": [0, 0], "i": [0, 0], "j": [1, 1],
+                      "shingles": pa.array([[5, 6], [5, 6]], pa.list_(pa.int64()))})
+    assert jaccard_join._links(group, jaccard_join.Forest(), 0.8) == []
+
+
+def test_join_of_texts_of_one_shingle(docs_of):
+    rows = list(enumerate(["ha " * 6, "ha " * 9, "Ha, " * 9, "ha " * 4, "ha " * 30, "one two three four five", "one two three four six", "a b", "b a"]))
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in similar_documents(docs_of(rows)).collect()) == brute_join(rows)
+
+
 def test_join_of_odd_rows(docs_of):
     rows = similar_documents(docs_of(ODD)).collect()
     assert len(rows) == sum(i is not None for i, _ in ODD)
