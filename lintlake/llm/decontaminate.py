@@ -4,7 +4,8 @@ A short item and a long document share few of the document's shingles, so a sign
 it. Items are therefore partitioned by size, and for each size class a document is seen as overlapping windows of about
 that size: an item's passage lies inside a window, where its Jaccard similarity is high enough for MinHash to find it.
 Windows of all classes come from the same block minima. A window and an item are candidates when they agree in any of
-the minima; every candidate is verified by the exact containment of the item's shingles in the whole document.
+the minima; every candidate is verified by the exact containment of the item's shingles in the whole document. Items of
+one or two shingles share too little with a window and are looked up by their shingles instead.
 
 Documents are read once per block of items and never shuffled. A block of the benchmark is bounded by its shingles and
 broadcast; a larger benchmark takes more blocks.
@@ -24,6 +25,7 @@ from lintlake.llm.shingles import WIDTH, shingle_hashes
 
 PERMUTATIONS = 64
 LEAST_BLOCK = 8
+FEW = 2  # items of up to so many shingles are found by each of these, not by MinHash
 BLOCK_SHINGLES = 2_000_000
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -66,7 +68,13 @@ class ItemBlock:
         self.shingles = [np.unique(r[1]) for r in rows]
         self.of_class: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
         by_class: dict[int, list[int]] = {}
+        few = [n for n, own in enumerate(self.shingles) if len(own) <= FEW]
+        keys = np.concatenate([self.shingles[n] for n in few] or [np.empty(0, np.uint64)])
+        order = np.argsort(keys, kind="stable")
+        self.few = keys[order], np.repeat(np.array(few, np.int64), [len(self.shingles[n]) for n in few])[order]
         for n, (_, hashes) in enumerate(rows):
+            if len(self.shingles[n]) <= FEW:
+                continue
             by_class.setdefault(size_class(len(hashes)), []).append(n)
         for c, members in by_class.items():
             signatures = np.stack([permuted(self.shingles[n]).min(axis=0) for n in members]).astype(np.uint64)
@@ -79,6 +87,14 @@ class ItemBlock:
 
     def candidates(self, hashes: np.ndarray) -> set[int]:
         found: set[int] = set()
+        keys, members = self.few
+        if len(keys):
+            wanted = np.unique(hashes)
+            first, last = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            for a, b in zip(first[last > first].tolist(), last[last > first].tolist(), strict=True):
+                found.update(members[a:b].tolist())
+        if not self.of_class:
+            return found
         for c, windows in window_minima(hashes, list(self.of_class)).items():
             keys, members, seen, bits = self.of_class[c]
             row = np.arange(PERMUTATIONS, dtype=np.int64) << bits

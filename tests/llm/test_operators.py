@@ -145,6 +145,16 @@ def test_contamination_equals_exact_containment(spark, docs_of):
     assert contaminated_pairs(docs_of(docs), benchmark.limit(0)).count() == 0
 
 
+def test_items_of_one_or_two_shingles():
+    from lintlake.llm.decontaminate import ItemBlock
+
+    own = shingle_hashes(prose(5, 4000))
+    for size in (1, 2):
+        items = [own[n:n + size] for n in range(len(own) - size + 1)]
+        found = ItemBlock(list(enumerate(items))).matches(own, 0.8)
+        assert sorted(found) == [(n, size, size) for n in range(len(items))]
+
+
 def test_benchmark_in_blocks(spark, docs_of, monkeypatch):
     monkeypatch.setattr("lintlake.llm.decontaminate.BLOCK_SHINGLES", 40)
     benchmark = spark.createDataFrame([(n, prose(n, 30)) for n in range(8)], "item_id long, text string")
