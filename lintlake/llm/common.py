@@ -58,6 +58,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches whose values in a column take about ``size`` bytes; a longer value is a batch of its own."""
+    for batch in batches:
+        start, values = 0, batch.column(column)
+        while start < batch.num_rows:
+            rows = batch.num_rows - start
+            while rows > 1 and values.slice(start, rows).nbytes > size:
+                rows = (rows + 1) // 2
+            yield batch.slice(start, rows)
+            start += rows
+
+
 def text_bytes(column: Column | str = "text") -> Column:
     """UTF-8 bytes of a text; null is the empty text."""
     return F.encode(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")), "UTF-8")
