@@ -25,7 +25,7 @@ ANCHORS = 8192
 TILE_ANCHORS, TILE_ROWS = 512, 2048
 LEAF = 32
 EXACT = 1 << 53
-LEAST = np.iinfo(np.int64).min
+LEAST = -np.iinfo(np.int64).max  # its negative exists
 
 
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
@@ -153,7 +153,7 @@ def _positives(block: Block, size: int):
         for batch in batches:
             for rows, ids, labels, vectors in _tiles(batch):
                 for label in np.unique(labels):
-                    lo, hi = np.searchsorted(anchors.label, [label, label + 1])
+                    lo, hi = (int(np.searchsorted(anchors.label, label, side)) for side in ("left", "right"))
                     mine = np.flatnonzero(labels == label)
                     for at in range(lo, hi, TILE_ANCHORS):
                         slots = slice(at, min(hi, at + TILE_ANCHORS))
