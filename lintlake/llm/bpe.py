@@ -10,23 +10,42 @@ back from its node, a token at a time.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import sliced_by_bytes, texts_of
 
 NEVER = 1 << 60
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 SEAMS_KEPT = 2_000_000
-#: Characters on which the word pattern and the library's own word splitter agree in every version; others take the latter.
-PLAIN = regex.compile(r"[\x00-ӿ‐-‧‰-⁞一-龥]*")
+#: Characters whose classes are the same in every Unicode version; texts of others take the library's own word splitter.
+PLAIN = ((0, 0x4FF), (0x2010, 0x2027), (0x2030, 0x205E), (0x4E00, 0x9FA5))
+
+
+def _class(letter: str) -> str:
+    """The plain characters of a general category, as the inside of a bracket expression."""
+    points = {c for low, high in PLAIN for c in range(low, high + 1) if unicodedata.category(chr(c))[0] == letter}
+    lows, highs = sorted(c for c in points if c - 1 not in points), sorted(c for c in points if c + 1 not in points)
+    return "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in zip(lows, highs, strict=True))
+
+
+@cache
+def plain_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """A pattern of what is not plain, and the vocabulary's word pattern with its classes spelt out for plain characters."""
+    plain = "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in PLAIN)
+    space, letters, numbers = r" \t\n\x0b\x0c\r\x85\xa0", _class("L"), _class("N")
+    # Fixed value: the pattern that cuts texts into words.
+    words = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(f"[^{plain}]"), re.compile(words)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,7 +59,6 @@ class Vocabulary:
     """Tokens, merges and added tokens of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as lines:
@@ -56,15 +74,19 @@ class Vocabulary:
             key = named[left], named[right]
             self.rank[key] = rank
             self.halves.setdefault(named[left + right], (*key, rank))
-        self.tails = {token[at:] for token in self.ids for at in range(len(token))}
+        self.heads = {token[:at] for token in self.ids for at in range(len(token) + 1)}
         self.added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.bytes_of |= {number: text.encode() for text, number in self.added.items()}
-        self._split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self._words = regex.compile(PATTERN)
+        self.size_of = {number: len(token) for number, token in self.bytes_of.items()}
+        self._split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self._strange, self._words = plain_patterns()
         self._slow_words = Tokenizer.from_file(path).pre_tokenizer
         self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._seams: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._seams: dict[int, bool] = {}
+        # States of the scanner: the longest end of what was read that begins a token, made when first reached.
+        self._state_of, self._text_of, self._ending, self._next = {b"": 0}, [b""], [()], {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at one end (0 left, 1 right) while a token is put together, each with the rank that ends it."""
@@ -84,48 +106,64 @@ class Vocabulary:
 
         A merge over the seam happens if both its tokens still stand at its rank; of equal ranks the leftmost pair goes first.
         """
-        key = left, right
-        answer = self._seams.get(key)
-        if answer is None:
-            answer = not any(
-                (rank := self.rank.get((a, b))) is not None and rank < a_ends and rank <= b_ends
-                for a, a_ends in self.spine(left, 1) for b, b_ends in self.spine(right, 0))
-            if len(self._seams) >= SEAMS_KEPT:
-                self._seams.clear()
-            self._seams[key] = answer
+        answer = not any(
+            (rank := self.rank.get((a, b))) is not None and rank < a_ends and rank <= b_ends
+            for a, a_ends in self.spine(left, 1) for b, b_ends in self.spine(right, 0))
+        if len(self._seams) >= SEAMS_KEPT:
+            self._seams.clear()
+        self._seams[left << 32 | right] = answer
         return answer
 
+    def _step(self, state: int, byte: int) -> int:
+        """The scanner's next state; a state knows the tokens that end there, the longest first, with their sizes."""
+        text = self._text_of[state] + bytes([byte])
+        while text not in self.heads:
+            text = text[1:]
+        if text not in self._state_of:
+            self._state_of[text] = len(self._text_of)
+            self._text_of.append(text)
+            ends = [text[at:] for at in range(len(text))]
+            self._ending.append(tuple((len(end), self.ids[end]) for end in ends if end in self.ids))
+        self._next[state << 8 | byte] = self._state_of[text]
+        return self._state_of[text]
+
     def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Ids of distinct words, in depth-first order of their trie. Empty words have none."""
-        path, last = b"", [0]  # last[d]: last token of the path's first d bytes
-        ids, tails = self.ids, self.tails
+        path, last, states = b"", [0], [0]  # at each depth of the path: its last token, and the scanner's state
+        moves, ending, seams, size_of = self._next, self._ending, self._seams, self.size_of
         for word in sorted(words):
             shared, most = 0, min(len(word), len(path))
             while shared + 64 <= most and word[shared:shared + 64] == path[shared:shared + 64]:
                 shared += 64
             while shared < most and word[shared] == path[shared]:
                 shared += 1
-            del last[shared + 1:]
-            for depth in range(shared + 1, len(word) + 1):
-                ending, start = [], depth - 1
-                while start >= 0 and (tail := word[start:depth]) in tails:
-                    if tail in ids:
-                        ending.append((start, ids[tail]))
-                    start -= 1
-                for start, token in reversed(ending):
-                    if not start or self.parted(last[start], token):
+            del last[shared + 1:], states[shared + 1:]
+            state = states[-1]
+            for depth in range(shared, len(word)):
+                byte = word[depth]
+                state = moves.get(state << 8 | byte) or self._step(state, byte)
+                states.append(state)
+                for size, token in ending[state]:
+                    start = depth + 1 - size
+                    if not start:
+                        last.append(token)
+                        break
+                    fits = seams.get(last[start] << 32 | token)
+                    if fits or fits is None and self.parted(last[start], token):
                         last.append(token)
                         break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
             path, found, at = word, [], len(word)
             while at:
-                found.append(last[at])
-                at -= len(self.bytes_of[last[at]])
-            yield word, found[::-1]
+                token = last[at]
+                found.append(token)
+                at -= size_of[token]
+            found.reverse()
+            yield word, found
 
     def words(self, text: str) -> list[str]:
-        if PLAIN.fullmatch(text):
+        if not self._strange.search(text):
             return self._words.findall(text)
         return [text[start:end] for _, (start, end) in self._slow_words.pre_tokenize_str(text)]
 
@@ -138,23 +176,38 @@ class Vocabulary:
             at = found.end()
         yield None, text[at:]
 
+    def ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of distinct words. New ones go through one trie; those met lately are kept, up to twice a number."""
+        out, new = {}, []
+        for word in words:
+            ids = self._young.get(word)
+            if ids is None:
+                ids = self._old.get(word)
+                if ids is None:
+                    new.append(word.encode())
+                    continue
+                self._young[word] = ids
+            out[word] = ids
+        for word, found in self.walk(new):
+            out[word.decode()] = self._young[word.decode()] = array("i", found).tobytes()
+        if len(self._young) > WORDS_KEPT:
+            self._young, self._old = {}, self._young
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. The batch's new words go through one trie; words met before are kept, up to a number."""
+        """Ids of each text; the words of all of them are looked up together."""
         cut = [[(token, self.words(part)) for token, part in self.parts(text)] for text in texts]
-        new = {word for parts in cut for _, words in parts for word in words if word not in self.known}
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = {word for parts in cut for _, words in parts for word in words}
-        for word, found in self.walk(word.encode("utf-8", "surrogatepass") for word in new):
-            self.known[word.decode("utf-8", "surrogatepass")] = tuple(found)
-        of = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(
-            chain.from_iterable(map(of, words)) if token is None else (token,) for token, words in parts), np.int32) for parts in cut]
+        of = self.ids_of(set(chain.from_iterable(words for parts in cut for _, words in parts))).__getitem__
+        return [np.frombuffer(b"".join(
+            b"".join(map(of, words)) if token is None else array("i", [token]).tobytes() for token, words in parts), np.int32) for parts in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, and ids that name no token nothing."""
         of = self.bytes_of
-        return b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        try:
+            return b"".join(map(of.__getitem__, ids)).decode("utf-8", "replace")
+        except KeyError:
+            return b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
 @cache
