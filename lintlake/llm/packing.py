@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import offsets, ranged, sliced, texts_of
+from lintlake.llm.common import offsets, ranged, sliced, stored, texts_of
 from lintlake.llm.tokens import END_ID, ids_of
 
 CAPACITY = 2048
@@ -89,7 +89,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Equal documents and repeated or null ids
     are packed one by one. An empty table gives no rows.
     """
-    pieces = ranged(document_pieces(docs, capacity, vocabulary), "pieces", "length", "doc_id", "start")
+    # Stored first: ranges are chosen from a sample, for which the texts would be tokenised a second time.
+    cut = stored(document_pieces(docs, capacity, vocabulary), "cut-pieces")
+    pieces = ranged(cut, "pieces", "length", "doc_id", "start")
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("rows"))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("rows").alias("n")).collect()}  # <= capacity rows
     keys, bases, places, sequence, ranks = [], [], [], 0, dict.fromkeys(histogram, 0)
