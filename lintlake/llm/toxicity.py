@@ -61,21 +61,25 @@ class _Scores(dict):
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, end, score), in text order, in linear time."""
+    """All maximal-scoring segments (first, end, score), in text order, in linear time.
+
+    Every segment knows the nearest one before it that starts at a lower total, so a search that passes it also passes all between.
+    """
     ahead = np.concatenate(([0.0], np.cumsum(scores, dtype=np.float64)))
-    stack: list[tuple[int, int, float, float]] = []  # first, end, total before, total after
+    stack: list[tuple[int, int, float, float, int]] = []  # first, end, total before, total after, place of a lower start
     for at in np.nonzero(scores > 0)[0].tolist():
         first, end, low, high = at, at + 1, ahead[at], ahead[at + 1]
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][2] >= low:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= high:
                 break
-            first, low = stack[j][0], stack[j][2]
+            first, low, lower = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-        stack.append((first, end, low, high))
-    return [(first, end, high - low) for first, end, low, high in stack]
+            j = lower
+        stack.append((first, end, low, high, j))
+    return [(first, end, high - low) for first, end, low, high, _ in stack]
 
 
 def features_of(text: str) -> set[str]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -356,6 +357,20 @@ def test_nothing_to_learn(spark, docs_of, odd):
         assert len(rows) == len(ODD) and len({r.score for r in rows}) == 1 and not any(r.predicted for r in rows)
 
 
+@pytest.mark.parametrize("pattern", [[1.0, -2.0], [1.0, -0.5], [2.0, -1.0, 1.0, -3.0]])
+def test_segments_of_very_long_texts(pattern):
+    """500,000 words take seconds whichever way the total moves; the best segment is the one of Kadane's scan."""
+    scores = np.array(pattern * (500_000 // len(pattern)))
+    start = time.perf_counter()
+    found = maximal_segments(scores)
+    assert time.perf_counter() - start < 10
+    best = now = 0.0
+    for x in scores.tolist():
+        now = max(0.0, now + x)
+        best = max(best, now)
+    assert max(s for _, _, s in found) == pytest.approx(best)
+
+
 def test_maximal_segments_by_definition():
     def brute(scores, low, high):
         best = max(((sum(scores[a:b]), -(b - a), -a, a, b) for a in range(low, high) for b in range(a + 1, high + 1)), default=(0,))
