@@ -21,7 +21,7 @@ from lintlake.llm.shingles import shingle_hashes
 from lintlake.llm.token_rollup import TokenRollup, deletes, inserts, revisions, token_counts
 from lintlake.llm.tokens import ids_of
 from lintlake.llm.toxicity import learn, maximal_segments, score_documents
-from lintlake.llm.warc import derivatives, responses_of_pages, split_response
+from lintlake.llm.warc import derivatives, derive, responses_of_pages, split_response
 
 from .conftest import ODD, prose
 
@@ -292,6 +292,34 @@ def test_warc_other_payloads(spark):
     assert next(bytes(r.record) for r in made if r.source_id == "t" and r.record_type == "conversion").endswith("é\r\n\r\n".encode())
 
 
+@pytest.mark.parametrize("charset", ["idna", "undefined", "utf-7", "unicode_escape", "punycode", "utf-16", "hex", "mbcs", "latin-1", "x" * 5000])
+def test_warc_hostile_charsets(charset):
+    for body in (b"<p>a\\ud800 &#xD800; +2AA- \xff\xfe</p>", b"", b"\x00" * 9):
+        records = derive("s", "<urn:uuid:1>", "http://a/\ud800", "d", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n".encode() + body, {})
+        assert [r[1] for r in records] == ["metadata", "conversion"] and all(isinstance(r[-1], bytes) for r in records)
+
+
+def test_warc_encoded_payloads(spark):
+    page = ("<p>" + "plain words " * 400 + "</p>").encode()
+    chunked = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(page[n:n + 1000]), page[n:n + 1000]) for n in range(0, len(page), 1000)) + b"0\r\n\r\n"
+    packed = zlib.compressobj(wbits=31)
+    gzipped = packed.compress(page) + packed.flush()
+    head = lambda extra: f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n{extra}\r\n\r\n".encode()
+    blocks = {
+        "chunked": head("Transfer-Encoding: chunked") + chunked, "gzip": head("Content-Encoding: gzip") + gzipped,
+        "both": head("Content-Encoding: x-gzip\r\nTransfer-Encoding: chunked") + b"%x\r\n%s\r\n0\r\n\r\n" % (len(gzipped), gzipped),
+        "deflate": head("Content-Encoding: deflate") + zlib.compress(page), "raw": head("Content-Encoding: deflate") + zlib.compress(page)[2:-4],
+        "broken": head("Content-Encoding: gzip") + b"not gzip", "unknown": head("Content-Encoding: zz") + page, "torn": head("Transfer-Encoding: chunked") + b"zz\r\n",
+    }
+    rows = spark.createDataFrame([(k, f"<urn:uuid:{k}>", "u", "d", b, f"sha1:{k}", None) for k, b in blocks.items()],
+                                 "source_id string, record_id string, target_uri string, warc_date string, block binary, payload_digest string, block_digest string")
+    made = derivatives(rows).collect()
+    texts = {r.source_id: bytes(r.record).split(b"\r\n\r\n", 1)[1][:-4].decode() for r in made if r.record_type == "conversion"}
+    assert set(texts) == {"chunked", "gzip", "both", "deflate", "raw"} and set(texts.values()) == {("plain words " * 400).strip()}
+    meta = {r.source_id: bytes(r.record).decode() for r in made if r.record_type == "metadata"}
+    assert len(meta) == len(blocks) and all(f"source-record-payload-digest: sha1:{k}\r\n" in v and "record-block-digest" not in v for k, v in meta.items())
+
+
 # 8 packing
 
 def test_packing_is_whole_and_gapless(odd, docs_of):
