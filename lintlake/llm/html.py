@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from math import e, log
@@ -50,14 +51,21 @@ NOISE_ROLES = frozenset((
 NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|advertorial|adsense|adbox|adslot|adunit|banner|sponsor(?:ed|s)?|promo(?:tion|ted|s)?|"
     r"nav|navbar|navigation|menu|menus|submenu|topbar|breadcrumbs?|crumbs?|pager|pagination|toc|"
-    r"header|masthead|footer|foot|colophon|copyright|legal|"
-    r"sidebar|side|sidenav|aside|widgets?|rail|related|recommend(?:ed|ations?)?|trending|popular|more|"
+    r"header|masthead|footer|colophon|copyright|"
+    r"sidebar|sidenav|aside|widgets?|rail|"
     r"cookies?|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|paywall|newsletter|subscribe|subscription|signup|login|"
-    r"comments?|commentlist|disqus|replies|reply|respond|discussion|reviews?|"
-    r"share|sharing|social|follow|tags|tagcloud|skip|search|searchbox|form|toolbar|tooltip|hidden)(?:$|[\s_-])")
+    r"comments?|commentlist|disqus|replies|reply|respond|"
+    r"share|sharing|social|tagcloud|skip|searchbox|form|toolbar|tooltip|hidden)(?:$|[\s_-])")
 # A form or a class word marks a part of a page, unless more than this share of the text outside such parts is in it: then
 # it is a wrapper. A class that is such a word by itself may name a part that outgrows the article, as comments do.
 WRAPPER_SHARE, PART_SHARE = 0.5, 0.75
+# Words that also name sections of articles (related work, search results, legal notes): such an element is noise only if links
+# hold at least this share of its text.
+MIXED_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:related|recommend(?:ed|ations?)?|trending|popular|more|legal|search|reviews?|discussion|follow|tags|side|foot)(?:$|[\s_-])")
+LINK_SHARE = 0.3
+# Elements nest at most so deep, as in browsers; deeper ones are read as their parent's siblings, so walks upward are short.
+DEEPEST = 512
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -66,10 +74,11 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "noise", "share", "foreign", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "depth", "noise", "share", "mixed", "foreign", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, share: float) -> None:
-        self.tag, self.parent, self.share = tag, parent, share
+        self.tag, self.parent, self.share, self.mixed = tag, parent, share, False
+        self.depth = 0 if parent is None else parent.depth + 1
         self.noise = share > 0
         self.foreign = tag in FOREIGN or parent is not None and parent.foreign
         self.parts: list = []  # strings and nodes in page order
@@ -97,19 +106,35 @@ def _noise_share(tag: str, attributes: str) -> float:
     return share
 
 
+def _mixed(tag: str, attributes: str) -> bool:
+    """Whether a class or an id has a word that names parts of pages and sections of articles alike."""
+    return bool(attributes) and tag not in ("html", "body", "article", "main") and any(
+        name.lower() in ("class", "id") and MIXED_WORDS.search(CAMEL.sub("-", html.unescape(value.strip("\"'"))).lower())
+        for name, value in ATTRIBUTE.findall(attributes))
+
+
 def parse(source: str) -> Node:
     """Tree of a page. Unclosed and stray tags are read as browsers read them in the cases that occur in articles."""
     root = Node("html", None, 0)
     body = node = Node("body", root, 0)
     root.parts.append(body)
     at, end = 0, len(source)
+    opened: Counter[str] = Counter()  # open elements by tag: what isn't open is not looked for
+    flat: Counter[str] = Counter()  # of those that nest too deep, the ones whose end tags are still to come
 
-    def close(tags: set[str] | frozenset[str], within: frozenset[str] = SCOPES) -> None:
+    def leave(to: Node) -> None:
         nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    def close(tags: set[str] | frozenset[str], within: frozenset[str] = SCOPES) -> None:
+        if not any(opened[t] for t in tags):
+            return
         seen = node
         while seen is not body and seen is not root:
             if seen.tag in tags:
-                node = seen.parent
+                leave(seen.parent)
                 return
             if seen.tag in within or seen.foreign and seen.tag in INTEGRATION:
                 return
@@ -137,21 +162,26 @@ def parse(source: str) -> Node:
         if found[1]:
             if tag in ("body", "html"):
                 continue
-            seen = node
+            if flat[tag]:
+                flat[tag] -= 1
+                continue
+            seen = node if opened[tag] else body
             while seen is not body and seen is not root and seen.tag != tag:
                 if seen.tag in SCOPES and tag not in SCOPES and tag not in FOREIGN:
                     break
                 seen = seen.parent
             if seen.tag == tag and seen is not body:
-                node = seen.parent
+                leave(seen.parent)
             elif tag == "p":
                 node.parts.append(Node("p", node, 0))
             continue
         if tag in ("html", "body"):
             continue
         if node.foreign and tag in BREAKOUT and not inside_html():
-            while node.foreign:
-                node = node.parent
+            above = node
+            while above.foreign:
+                above = above.parent
+            leave(above)
         if tag in RAW and not (node.foreign and found[3].endswith("/")):
             last = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(source, at)
             at = last.end() if last else end
@@ -163,12 +193,16 @@ def parse(source: str) -> Node:
         if tag[0] == "h" and tag[1:].isdigit():
             close({"h1", "h2", "h3", "h4", "h5", "h6"})
         child = Node(tag, node, _noise_share(tag, found[3]))
+        child.mixed = not child.noise and _mixed(tag, found[3])
         if tag not in DRAWN:
             node.parts.append(child)
-        if tag not in VOID and not found[3].endswith("/"):
-            node = child
-        elif tag not in VOID and tag in ("p", "div", "article", "section", "span", "a", "main", "b", "i", "em", "strong"):
-            node = child  # a slash on such a tag means nothing
+        # A slash on a common tag of HTML means nothing.
+        if tag not in VOID and (not found[3].endswith("/") or tag in ("p", "div", "article", "section", "span", "a", "main", "b", "i", "em", "strong")):
+            if node.depth < DEEPEST:
+                opened[tag] += 1
+                node = child
+            else:
+                flat[tag] += 1
     return root
 
 
@@ -260,7 +294,13 @@ def article_node(root: Node) -> Node | None:
     dense as that. Wrappers on the way that add none are passed over, as the article may go on in what holds them.
     """
     keep_wrappers(root)
-    order = [n for n in measure(root) if n.chars]
+    order = measure(root)
+    linked = [n for n in order if n.mixed and n.link_chars >= LINK_SHARE * max(n.chars, 1)]
+    if linked:
+        for node in linked:
+            node.noise = True
+        order = measure(root)
+    order = [n for n in order if n.chars]
     if not order:
         return None
     best = max(order, key=lambda n: (n.total, n.chars))

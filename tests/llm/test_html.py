@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import duckdb
 import pytest
@@ -105,3 +106,25 @@ def test_odd_pages(spark):
     found = extract_pages(pages).collect()
     assert len(found) == 5 and sorted((r.text for r in found), key=len)[:4] == ["", "", "x", "x"] and max(r.n_chars for r in found) == len(prose(1, 30_000))
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["</b>", "</div>", "<div>", "<b>", "<p><b></i>", "<h1><table><td><span>", "<li><ul>", "<svg></b>", "<td></td></tr>"])
+def test_hostile_pages_take_seconds(piece):
+    page = "<article><p>First words.</p></article>" + piece * (500_000 // len(piece)) + "<p>Last words.</p>"
+    start = time.perf_counter()
+    text = main_text(page)
+    assert time.perf_counter() - start < 20 and "words" in text
+
+
+def test_text_of_elements_that_nest_too_deep():
+    page = "<article>" + "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000 + "<p>after it</p></article>"
+    assert "".join(main_text(page).split()) == "deeptextafterit"
+
+
+@pytest.mark.parametrize("name", ["related-work", "more-details", "search-results", "legal", "note-more", "side-effects"])
+def test_sections_of_articles_are_not_told_by_their_class(name):
+    section = f"<section class='{name}'><h2>Heading</h2><p>{'Plain words of a section. ' * 5}</p></section>"
+    links = "".join(f"<li><a href='/{n}'>Another article {n}</a></li>" for n in range(8))
+    page = f"<body><article><p>{'The body of the article. ' * 20}</p>{section}</article><div class='{name}'><ul>{links}</ul></div></body>"
+    text = main_text(page)
+    assert "Plain words" in text and "Another article" not in text
