@@ -5,6 +5,28 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+@dataclass(frozen=True)
+class CallTest:
+    """What a call rule asks of the arguments of a call.
+
+    argument
+        Which one, from 0; None for any of them.
+    keys
+        If given, the argument has to be an object, and the test is for a property with one of these names.
+    mode
+        ``literal``: a string or a template without code, whose whole text matches ``pattern``; ``name``: a name or a chain of
+        names that does; ``code``: the pattern occurs in it outside texts and comments; ``any``: it is there.
+    missing
+        Report calls where nothing passes, instead of those where something does.
+    """
+
+    argument: int | None = None
+    keys: tuple[str, ...] = ()
+    mode: str = "any"
+    pattern: str | None = None
+    missing: bool = False
+
+
 @dataclass(frozen=True)
 class Rule:
     """One pattern rule.
@@ -14,6 +36,8 @@ class Rule:
         languages that have it, on the raw line for ``raw=True``).
         ``span``: every match of ``pattern`` in the whole text is a hit on the
         line it starts on; ``shown`` and ``subject`` may use its groups.
+        ``call``: calls of JavaScript whose callee (``a.b``, ``a().b``) matches ``pattern`` as a whole and whose arguments pass
+        ``call``; both patterns are Python's. ``$1`` is the callee, ``$2`` the name or text that passed.
         ``file``: ``file_when`` decides, after the needles; the hit is on line 1.
     unless, unless_pattern
         A literal, a pattern: a line rule skips lines that hold it.
@@ -43,6 +67,7 @@ class Rule:
     shown: str | None = None
     subject: str | None = None
     file_when: str | None = None
+    call: CallTest | None = None
     references: tuple[str, ...] = field(default=())
     rule_type: str = "regex_match"
     signal: int = 0

@@ -7,7 +7,7 @@ ASCII word boundary, which Java's ``\\b`` is not on every release.
 from __future__ import annotations
 
 from lintlake.functions.sqltext import all_of, any_of, contains_any, matches
-from lintlake.operators.rules.rule import Rule
+from lintlake.operators.rules.rule import CallTest, Rule
 
 INJECTION = "Injection Vulnerabilities"
 AUTH = "Authentication & Authorization"
@@ -104,6 +104,11 @@ def _span(rule, severity, title, category, fix, pattern, shown, needles, **extra
                 shown=shown, needles=needles, **extra)
 
 
+def _call(rule, severity, title, category, fix, callee, test, shown, needles, **extra) -> Rule:
+    return Rule(rule, severity, title, category, fix, "call", ("javascript",), callee,
+                shown=shown, needles=needles, call=test, **extra)
+
+
 def _file(rule, severity, title, category, fix, languages, file_when, shown, **extra) -> Rule:
     return Rule(rule, severity, title, category, fix, "file", languages,
                 file_when=file_when, shown=shown, **extra)
@@ -130,13 +135,6 @@ SERVICE_ROLE_IN_CLIENT = all_of(["contains(content, 'SUPABASE_SERVICE_ROLE_KEY')
 OPEN_NEXT_ROUTE = all_of([_in("path", NEXT_ROUTE_PATH), "NOT " + _in("path", WEBHOOK_PATH), "NOT " + _in("content", AUTH_NEARBY)])
 GO_UNGUARDED = "NOT " + _in("content", GO_GUARD)
 
-# A stretch of a call's arguments that leaves no bracket open and never passes the call's end: any text without
-# brackets, and bracketed parts with brackets inside them.
-NESTED = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
-INSIDE = r"[^()]*?(?:" + NESTED + r"[^()]*?)*?"
-WEAK_JWT_SECRET = (
-    r"(?<![\w.])jwt\.sign\s*\(\s*(?:\{[^{}]*\}|[\w$.\[\]()]+)\s*,\s*[\"'`]([^\"'`\n]{0,23})[\"'`]")
-
 PY, RB, GO, PHP, SQL, JS = ("python",), ("ruby",), ("go",), ("php",), ("sql",), ("javascript",)
 
 # ---------------------------------------------------------------------------
@@ -154,14 +152,14 @@ JAVASCRIPT_RULES = [
           r"((?i:token|jwt|accessToken|access_token|auth|session|authToken|refreshToken|refresh_token))[\"'`]",
           "$1('$2', ...)", ("Storage.setItem",),
           references=("https://owasp.org/www-community/HttpOnly",), signal=4),
-    _span("auth.weak_jwt_secret", "critical", "Hardcoded or weak JWT signing secret", AUTH,
+    _call("auth.weak_jwt_secret", "critical", "Hardcoded or weak JWT signing secret", AUTH,
           "Read the signing secret from environment configuration with at least 32 bytes of entropy, and rotate it on compromise.",
-          WEAK_JWT_SECRET,
-          "jwt.sign(..., '$1', ...)", ("jwt.sign",),
+          r"jwt\.sign", CallTest(1, mode="literal", pattern=r"[^\n]{0,23}"),
+          "jwt.sign(..., '$2', ...)", ("jwt.sign",),
           references=("https://datatracker.ietf.org/doc/html/rfc8725",), signal=6),
-    _span("injection.shell_command", "critical", "User input flows into shell execution", INJECTION,
+    _call("injection.shell_command", "critical", "User input flows into shell execution", INJECTION,
           "Avoid the shell. Use an argument array form, an allowlist, and never interpolate raw request data.",
-          r"(?<![\w.])((?:child_process\.)?exec(?:Sync)?)\s*\(" + INSIDE + r"(?:\(" + INSIDE + r"){0,2}" + REQUEST_INPUT,
+          r"(?:child_process\.)?exec(?:Sync)?", CallTest(mode="code", pattern=REQUEST_INPUT),
           "$1(<user-input>)", ("exec",),
           references=("https://owasp.org/www-community/attacks/Command_Injection",), signal=6),
     _span("injection.dynamic_code", "high", "Dynamic code execution via %s()", INJECTION,
@@ -177,18 +175,18 @@ JAVASCRIPT_RULES = [
           r"(?<![\w.])((?:db|client|pool|sequelize)\.query|knex\.raw)\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w$.]+)\s*\+",
           "$1('...' + req.*)", (".query", ".raw"),
           references=("https://owasp.org/www-community/attacks/SQL_Injection",), signal=4),
-    _span("logic.mass_assignment", "high", "Mass assignment into ORM update", LOGIC,
+    _call("logic.mass_assignment", "high", "Mass assignment into ORM update", LOGIC,
           "Explicitly pick allowed fields before passing them to the ORM. Reject unexpected properties.",
-          r"(?<![\w.])(prisma\.[A-Za-z0-9_]+\.(?:update|upsert|create))\s*\(\s*\{" + INSIDE + r"(?<!\w)data\s*:\s*"
-          r"(req\.(?:body|query|params)[\w.]*|[A-Za-z_$][\w$]*)\s*[,}]",
+          r"prisma\.[A-Za-z0-9_]+\.(?:update|upsert|create)",
+          CallTest(0, ("data",), "name", r"req\.(?:body|query|params)[\w.]*|[A-Za-z_$][\w$]*"),
           "$1({ data: $2 })", ("prisma.",), signal=4),
     _span("logic.predictable_random", "high", "Predictable random used for security-sensitive value", LOGIC,
           "Use crypto.randomBytes / Web Crypto getRandomValues for tokens, resets, OTPs, and invites.",
           r"(?<![\w.])(\w*(?i:token|reset|invite|otp|code|nonce)\w*)\s*=\s*[^;\n]*?Math\.random\s*\(",
           "$1 = Math.random()", ("Math.random",), signal=4),
-    _span("infra.open_cors", "high", "Open CORS policy permits any origin", INFRA,
+    _call("infra.open_cors", "high", "Open CORS policy permits any origin", INFRA,
           "List specific origins per environment. Never combine wildcard origins with credentialed APIs.",
-          r"(?<![\w.])cors\s*\(\s*\{" + INSIDE + r"origin\s*:\s*[\"'`]\*[\"'`]",
+          r"cors", CallTest(0, ("origin",), "literal", r"\*"),
           "cors({ origin: '*' })", ("cors",), signal=3),
     _span("xss.inner_html", "medium", "Raw HTML rendering path", XSS,
           "Render text by default. If HTML is required, sanitize with a strict allowlist (DOMPurify) before display.",
@@ -214,7 +212,7 @@ JAVASCRIPT_RULES = [
     _line("auth.weak_jwt_secret", "critical", "Hardcoded JWT signing secret (heuristic)", AUTH,
           "Load JWT secrets from environment with strong entropy and rotate them.", JS,
           r"(?i)jwt\.sign\s*\([^)]*['\"`](secret|changeme|jwt_secret)['\"`]", ("jwt.sign",), fold_case=True, raw=True,
-          unless_pattern=WEAK_JWT_SECRET),
+          unless_pattern=r"(?i),\s*['\"`](?:secret|changeme|jwt_secret)['\"`]"),
     _span("nextjs.route_handler_no_auth", "high", "Next.js %s route handler has no visible auth check", AUTH,
           "Call await auth() / await currentUser() / await getServerSession() at the top of the handler and 401 if the "
           "principal is missing. Or wrap the file in a middleware-protected segment.",
@@ -222,35 +220,35 @@ JAVASCRIPT_RULES = [
           "export async function $1() — no recognizable auth() / getServerSession() / currentUser() call",
           ("export",), subject="$1", file_when=OPEN_NEXT_ROUTE, rule_type="semantic_match",
           references=("https://nextjs.org/docs/app/building-your-application/authentication",), signal=2),
-    _span("nextjs.cookies_missing_options", "medium", "cookies().set without httpOnly / secure / sameSite", AUTH,
+    _call("nextjs.cookies_missing_options", "medium", "cookies().set without httpOnly / secure / sameSite", AUTH,
           "Always pass { httpOnly: true, secure: true, sameSite: 'lax', path: '/' } to cookies().set. Otherwise the "
           "cookie is readable by document.cookie and replayable across sites.",
-          r"(?<![\w.])cookies(?:\(\s*\))?\.set\s*\((?!" + INSIDE + "httpOnly)",
+          r"cookies(?:\(\))?\.set", CallTest(keys=("httpOnly",), missing=True),
           "cookies.set(...) missing { httpOnly, secure, sameSite }", ("cookies",), signal=2),
-    _span("nextjs.cookies_missing_options", "medium", "cookies().set without httpOnly / secure / sameSite", AUTH,
+    _call("nextjs.cookies_missing_options", "medium", "cookies().set without httpOnly / secure / sameSite", AUTH,
           "Always pass { httpOnly: true, secure: true, sameSite: 'lax', path: '/' } to cookies().set. Otherwise the "
           "cookie is readable by document.cookie and replayable across sites.",
-          r"(?<![\w.])(cookieStore|[\w.]+\.cookies)\.set\s*\((?!" + INSIDE + "httpOnly)",
-          "$1.set(...) missing { httpOnly, secure, sameSite }", ("cookieStore", ".cookies"), signal=2),
+          r"cookieStore\.set|.*\.cookies\.set", CallTest(keys=("httpOnly",), missing=True),
+          "$1(...) missing { httpOnly, secure, sameSite }", ("cookieStore", ".cookies"), signal=2),
     _file("supabase.service_role_client_side", "critical", "Supabase service-role key referenced in a client component",
           EXPOSURE,
           "The service-role key bypasses RLS and must never reach the browser. Use NEXT_PUBLIC_SUPABASE_ANON_KEY in "
           "client code and put service-role logic in a server action or route handler.",
           JS, SERVICE_ROLE_IN_CLIENT, "is a 'use client' component but references SUPABASE_SERVICE_ROLE_KEY",
           rule_type="semantic_match", signal=6),
-    _span("supabase.service_role_in_client_bundle", "critical",
+    _call("supabase.service_role_in_client_bundle", "critical",
           "createClient called with service-role key in a client component", EXPOSURE,
           "Move this call to a server-only file (route handler or server action). Use the anon key for browser code.",
-          r"(?<![\w.])(createClient|createServerClient)\s*\(" + INSIDE + r",\s*([\w.]*SERVICE_ROLE\w*)",
+          r"createClient|createServerClient", CallTest(1, mode="name", pattern=r"[\w.]*SERVICE_ROLE\w*"),
           "createClient(url, $2)", ("SERVICE_ROLE",), file_when=CLIENT_FILE, signal=6),
     _span("supabase.auth_admin_call", "high", "supabase.auth.admin call — verify caller is privileged", AUTH,
           "Restrict admin-API calls to authenticated administrators. Check the session user's role before invoking auth.admin.*.",
           r"(?<![\w.])(supabase\.auth\.admin\.[\w.]+)\s*\(", "$1(...)", ("supabase.auth.admin",), signal=2),
-    _span("stripe.idempotency_missing", "medium", "Stripe %s called without an idempotencyKey", LOGIC,
+    _call("stripe.idempotency_missing", "medium", "Stripe %s called without an idempotencyKey", LOGIC,
           "Pass an idempotencyKey as the second arg (e.g. await stripe.X.create({...}, { idempotencyKey })). Otherwise a "
           "retry can double-charge or duplicate-create.",
-          r"(?<![\w.])(stripe\.(?:charges|paymentIntents|subscriptions|invoices|customers|refunds|setupIntents|"
-          r"checkout\.sessions)\.(?:create|update))\s*\((?!" + INSIDE + "idempotency_?[kK]ey)",
+          r"stripe\.(?:charges|paymentIntents|subscriptions|invoices|customers|refunds|setupIntents|checkout\.sessions)\.(?:create|update)",
+          CallTest(1, ("idempotencyKey", "idempotency_key"), missing=True),
           "$1(...) without { idempotencyKey: ... }", ("stripe.",), subject="$1",
           references=("https://stripe.com/docs/api/idempotent_requests",), signal=2),
     _file("clerk.webhook_unverified", "critical", "Clerk webhook handler does not verify the svix signature", API_KEYS,

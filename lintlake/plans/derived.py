@@ -41,6 +41,14 @@ PLANTED: list[list[tuple[str, str]]] = [
         ("{src}/lib/clerk-webhook-{id}.ts", "// clerk events\nconst evt = await request.json();"),
         ("{src}/{id}.js", "jwt.sign(claims(user), 'changeme')"),
         ("{src}/{id}.js", "store.cookies.set('a', b);  // eval(x)\n// eval(commented)"),
+        ("{src}/{id}.js", "exec(a(b(c(d(e(1))))), req.query.x);\nexec('the input');"),
+        ("{src}/{id}.js", 'exec("echo ) " + req.query.x);'),
+        ("{src}/{id}.ts", "cookies().set('s', f(g(h(i(j(1))))), { httpOnly: true });\n"
+                          "cookies().set('s', ':(', { httpOnly: true });\ncookies().set('deep', f(g(h(i(j(1))))));"),
+        ("{src}/{id}.ts", 'stripe.charges.create({ description: "a) b" }, { idempotencyKey: k });\n'
+                          'stripe.charges.create({ description: "a) b" });'),
+        ("{src}/{id}.js", "cors({ f: a(b(c(d(1)))), origin: '*' });"),
+        ("{src}/{id}.js", "jwt.sign({ a: { b: 1 } }, 'short');\njwt.sign(make(user, 1), 'tiny');"),
     ],
     [  # python
         ("{src}/{id}.py", "requests.get(u, verify=False)  # pinned later"),
@@ -99,6 +107,28 @@ PLANTED: list[list[tuple[str, str]]] = [
 ]
 
 
+# What the call rules must report of the planted texts, as (rule, first line of the call, shown): the SQL checks hold the rules to
+# these rows, not to their patterns. % stands for hashed text, which shown takes from between double quotes as {text}.
+EXPECTED_CALLS = [
+    ("auth.weak_jwt_secret", 'const t = jwt.sign({ id: 7 }, "short-%", opts);', "jwt.sign(..., '{text}', ...)"),
+    ("auth.weak_jwt_secret", "jwt.sign(claims(user), 'changeme')", "jwt.sign(..., 'changeme', ...)"),
+    ("auth.weak_jwt_secret", "jwt.sign({ a: { b: 1 } }, 'short');", "jwt.sign(..., 'short', ...)"),
+    ("auth.weak_jwt_secret", "jwt.sign(make(user, 1), 'tiny');", "jwt.sign(..., 'tiny', ...)"),
+    ("injection.shell_command", "child_process.exec(`ls ${req.query.dir}`);", "child_process.exec(<user-input>)"),
+    ("injection.shell_command", "exec(a(b(c(d(e(1))))), req.query.x);", "exec(<user-input>)"),
+    ("injection.shell_command", 'exec("echo ) " + req.query.x);', "exec(<user-input>)"),
+    ("logic.mass_assignment", "prisma.user.update({", "prisma.user.update({ data: body })"),
+    ("infra.open_cors", "app.use(cors({", "cors({ origin: '*' })"),
+    ("infra.open_cors", "cors({ f: a(b(c(d(1)))), origin: '*' });", "cors({ origin: '*' })"),
+    ("nextjs.cookies_missing_options", "cookies().set('theme', theme);", "cookies.set(...) missing { httpOnly, secure, sameSite }"),
+    ("nextjs.cookies_missing_options", "cookies().set('deep', f(g(h(i(j(1))))));", "cookies.set(...) missing { httpOnly, secure, sameSite }"),
+    ("nextjs.cookies_missing_options", "store.cookies.set('a', b);  // eval(x)", "store.cookies.set(...) missing { httpOnly, secure, sameSite }"),
+    ("supabase.service_role_in_client_bundle", "const c = createClient(", "createClient(url, process.env.MY_SERVICE_ROLE)"),
+    ("stripe.idempotency_missing", "await stripe.refunds.create({ charge: c });", "stripe.refunds.create(...) without { idempotencyKey: ... }"),
+    ("stripe.idempotency_missing", 'stripe.charges.create({ description: "a) b" });', "stripe.charges.create(...) without { idempotencyKey: ... }"),
+]
+
+
 def hash_names(id_column) -> dict:
     digest = F.md5(id_column.cast("string").cast("binary"))
     return {

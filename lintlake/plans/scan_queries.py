@@ -26,7 +26,7 @@ FAMILIES = {
     "scan_php": rules_for("php."),
     "scan_sql": rules_for("db."),
     "scan_js_lines": [r for r in JS_RULES if r.scope == "line"],
-    "scan_js_spans": [r for r in JS_RULES if r.scope == "span"],
+    "scan_js_spans": [r for r in JS_RULES if r.scope in ("span", "call")],
     "scan_js_files": [r for r in JS_RULES if r.scope == "file"],
 }
 SHOWN = ("repo_id", "id", "rule", "severity", "title", "category", "file", "line", "evidence", "fix", "refs",

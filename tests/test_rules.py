@@ -1,10 +1,15 @@
 """Rule scans on a small repository of our own, with an exact golden set."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lintlake.functions.masking import mask_secrets, redact_corpus
 from lintlake.operators import analytics
+from lintlake.operators.calls import CallMatcher, calls_of
 from lintlake.operators.rules import RULEBOOK, Rule
 from lintlake.operators.scan import scan_files, unique_findings
 
@@ -167,6 +172,23 @@ CALLS = [
     ("logic.predictable_random", f"token = {'a + ' * 200}Math.random()", 1),
     ("injection.sql_template", f"db.query(`select {'c, ' * 400} ${{req.params.id}}`)", 1),
     ("injection.sql_concat", f"db.query('select {'c, ' * 400}' + id)", 1),
+    ("injection.shell_command", "exec(a(b(c(d(e(1))))), req.query.x)", 1),
+    ("injection.shell_command", 'exec("echo ) " + req.query.x)', 1),
+    ("injection.shell_command", "exec('the input')\n/* exec(req.body) */ /a(/.exec(req.body)\nlist[0].exec(req.body)\nfunction exec(req) {}", 0),
+    ("injection.shell_command", "x = `a ${exec(`b ${req.query.c}`)} d`", 1),
+    ("nextjs.cookies_missing_options", "cookies().set('s', f(g(h(i(j(1))))), { httpOnly: true })", 0),
+    ("nextjs.cookies_missing_options", "cookies().set('s', ':(', { httpOnly: true })", 0),
+    ("nextjs.cookies_missing_options", "(await cookies()).set('a', 1)\nNextResponse.next()\n  .cookies.set('b', \"httpOnly\")", 2),
+    ("stripe.idempotency_missing", 'stripe.charges.create({ description: "a) b" }, { idempotencyKey: k })', 0),
+    ("infra.open_cors", "cors({ f: a(b(c(d(1)))), origin: '*' })", 1),
+    ("infra.open_cors", "cors({ nested: { origin: '*' }, note: \"origin: '*'\" })", 0),
+    ("auth.weak_jwt_secret", "jwt.sign({a:{b:1}}, 'short')", 1),
+    ("auth.weak_jwt_secret", "jwt.sign(make(user, 1), 'changeme')", 1),
+    ("auth.weak_jwt_secret", "jwt.sign(user, `${secret}`)\njwt.sign(user, 'x' + secret)\njwt.sign('short', key)", 0),
+    ("logic.mass_assignment", "prisma.user.update({ where: { data: body }, data: { name } })", 0),
+    ("logic.mass_assignment", "prisma.user.create({ data })", 1),
+    ("supabase.service_role_in_client_bundle", "'use client'\ncreateClient(u(1, 2), env.SERVICE_ROLE!)", 1),
+    ("supabase.service_role_in_client_bundle", "createClient(url, env.SERVICE_ROLE)", 0),
 ]
 
 
@@ -177,3 +199,60 @@ def test_call_rules_see_the_whole_call(files_of):
         found.setdefault((r["file"], r["rule"]), []).append(r["line"])
     assert [(rule, code[:60], len(found.get((f"f{n}.js", rule), []))) for n, (rule, code, _) in enumerate(CALLS)] == [
         (rule, code[:60], expected) for rule, code, expected in CALLS]
+
+
+@pytest.mark.parametrize("source, hits", [
+    ("cookies().set(" + "f(a)," * 100_000 + ")", 1), ("exec(" + "f(a)," * 3000 + "req.body)", 1), ("exec(function(){f(a);});" * 40_000, 0),
+    ("exec(" * 50_000 + "req.body" + ")" * 50_000, 50_000), ("exec(" * 100_000, 0), ("`${" * 100_000, 0), ("/*" * 200_000, 0),
+    ("'" * 300_001, 0), ("{([" * 50_000 + ")}" * 50_000, 0), ("exec(req.body);" * 60_000, 60_000), ("/[" * 100_000, 0), ("a?." * 100_000, 0), ("'\\" * 150_000, 0),
+])
+def test_calls_are_found_in_linear_time(source, hits):
+    """Minified bundles, deep nests and texts that are no code: seconds at most, and no end of the process."""
+    matcher = CallMatcher([(i, r) for i, r in enumerate(RULEBOOK) if r.scope == "call"])
+    start = time.perf_counter()
+    assert len(list(matcher.hits(source, [True] * len(matcher.rules)))) == hits
+    assert time.perf_counter() - start < 30
+
+
+def test_one_line_bundle_does_not_end_the_application(files_of):
+    code = "cookies().set(" + "f(a)," * 100_000 + "b)"
+    rows = unique_findings(scan_files(files_of([("a.js", code), ("b.js", "exec(function(){f(a);}" * 5000), ("c.js", None or "")]))).collect()
+    assert [(r["rule"], r["file"], r["line"]) for r in rows] == [("nextjs.cookies_missing_options", "a.js", 1)]
+
+
+def brute_calls(source):
+    """(callee, arguments) by matching brackets one by one, for texts of names, brackets, commas and strings."""
+    out = []
+    for m in re.finditer(r"[a-z]+\(", source):
+        if source[:m.start()].count("'") % 2:
+            continue
+        depth, cut, quoted, at = 1, [m.end()], False, m.end()
+        while at < len(source) and depth:
+            c = source[at]
+            quoted ^= c == "'"
+            if not quoted:
+                depth += (c in "([{") - (c in ")]}")
+                if depth == 1 and c == ",":
+                    cut.append(at + 1)
+            at += 1
+        if not depth:
+            out.append((m[0][:-1], [source[a:b - 1] for a, b in zip(cut, [*cut[1:], at], strict=True)]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_arguments_equal_matched_brackets(seed):
+    rng = random.Random(seed)
+
+    def make(depth):
+        kind = rng.randint(0, 6 if depth else 1)
+        inner = lambda: ",".join(make(depth - 1) for _ in range(rng.randint(0, 3)))
+        return ["ab", "'x) {y'", "call(%s)", "[%s]", "(%s)", "f(%s)", "g(ab,%s)"][kind].replace("%s", inner() if depth else "")
+
+    for _ in range(200):
+        source = ";".join(make(4) for _ in range(3))
+        found, code = calls_of(source, re.compile("[a-z]+"))
+        assert len(code) == len(source)
+        want = [(name, args if args != [""] else []) for name, args in brute_calls(source)]
+        got = [(f.callee, [source[v.start:v.end] for v in f.values]) for f in found]
+        assert [(n, [a for a in args if a]) for n, args in got] == [(n, [a for a in args if a]) for n, args in want]
