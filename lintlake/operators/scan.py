@@ -165,9 +165,16 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
         "repo_id", "path", "language", *flags, "file_hits",
         F.when(F.col("has_lines"), split_lines(F.col("content"))).otherwise(F.array(F.lit(""))).alias("lines"),
     )
+    def line_gate(name: str) -> str | None:
+        rules = own(name, "line")
+        return any_of([_has_needle(r, "text") for _, r in rules]) if rules else None
+
+    # Lines without any rule's literal go before an array is built for them; the first line also carries the file's hits.
+    reported = any_of(["pos = 0 AND file_hits IS NOT NULL", _by_language(languages, line_gate, "false"),
+                       *([any_of([_has_needle(r, "text") for _, r in shared])] if shared else [])])
     lines = staged.select(
         "repo_id", "path", "language", *flags, "file_hits", F.posexplode_outer("lines").alias("pos", "text")
-    ).withColumn("code", strip_comments(F.col("language"), F.col("text")))
+    ).where(reported).withColumn("code", strip_comments(F.col("language"), F.col("text")))
     everywhere = NO_HIT
     if shared:
         gate = any_of([_has_needle(r, "text") for _, r in shared])

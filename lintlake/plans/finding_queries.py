@@ -109,27 +109,23 @@ def apply_suppressions(spark, sf_dir):
     return suppressed_findings(spark, sf_dir).select("repo_id", "id", "suppressed", "suppression_reason")
 
 
-BUDGET_FILES = 40
-LOADED_SQL = (f"SELECT * FROM ({dv.PROJECT_FILES_SQL}) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= {BUDGET_FILES}")
-
-
 @register("scan_repositories", f"""WITH kept_rules AS ({dv.IGNORE_RULES_SQL}), kept AS (SELECT repo_id, path, content, size FROM
-      ({LOADED_SQL}) f WHERE NOT EXISTS (SELECT 1 FROM kept_rules r WHERE r.repo_id = f.repo_id AND r.kind = 'path'
+      ({dv.PROJECT_FILES_SQL}) f WHERE NOT EXISTS (SELECT 1 FROM kept_rules r WHERE r.repo_id = f.repo_id AND r.kind = 'path'
         AND regexp_matches(f.path, r.pattern))), {ck.scan_ctes(RULEBOOK, "SELECT * FROM kept")}{dv.SUPPRESSION_CTES}{MATCHED},
     ignore_all AS (SELECT repo_id, kind, rule, pattern, finding_id FROM kept_rules){FINAL}
     SELECT k.repo_id, CAST(k.files_scanned AS BIGINT) AS files_scanned, CAST(k.bytes_scanned AS BIGINT) AS bytes_scanned,
       CAST(coalesce(active, 0) AS BIGINT) AS active_findings, CAST(coalesce(gone, 0) AS BIGINT) AS suppressed_findings,
       CAST((SELECT count(*) FROM kept_rules r WHERE r.repo_id = k.repo_id) AS BIGINT) AS ignore_rules_applied,
-      (SELECT count(*) FROM ({dv.PROJECT_FILES_SQL}) p WHERE p.repo_id = k.repo_id) > {BUDGET_FILES} AS truncated,
+      false AS truncated,
       {ck.score_sql('penalty')} AS score
     FROM (SELECT repo_id, count(*) AS files_scanned, sum(size) AS bytes_scanned FROM kept GROUP BY repo_id) k
     LEFT JOIN (SELECT repo_id, count(*) FILTER (WHERE NOT hidden) AS active, count(*) FILTER (WHERE hidden) AS gone,
       sum({ck.WEIGHT}) FILTER (WHERE NOT hidden) AS penalty FROM final GROUP BY repo_id) s USING (repo_id)""")
 def whole_scan(spark, sf_dir):
-    """The whole scan: ignore files, rules, dedup, suppression, summary. Every file is scanned; the SQL check stops at BUDGET_FILES."""
+    """The whole scan of every file: ignore files, rules, dedup, suppression, summary."""
     files = dv.derived_project(spark, sf_dir)
-    code = scan.unique_findings(scan.scan_files(
-        suppress.drop_ignored_files(files, project_rules(spark, sf_dir)), RULEBOOK))
+    code = settle(scan.unique_findings(scan.scan_files(
+        suppress.drop_ignored_files(files, project_rules(spark, sf_dir)), RULEBOOK)))
     _, summary = scan_repositories(
         files, dv.derived_repositories(spark, sf_dir), dv.derived_suppressions(code), rulebook=RULEBOOK, lint=False)
     return summary
