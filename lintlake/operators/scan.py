@@ -1,8 +1,7 @@
 """Rule scans: one pass over a file table, one finding row per match.
 
-The plan has no shuffle. Per file, plain substring tests decide whether the text
-can match at all; only then is it split into lines, and only lines holding a
-rule's literal meet that rule's regex. File-wide and multi-line (span) matches and
+The plan has no shuffle. Plain substring tests decide per line whether a regex
+runs: only lines holding a rule's literal stay, and meet that rule's regex. File-wide and multi-line (span) matches and
 calls are computed beside the lines and join the stream on the file's first
 line, so the corpus is read once whatever the number of rules.
 """
@@ -116,9 +115,8 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
     def own(name: str, scope: str) -> Numbered:
         return [(i, r) for i, r in numbered if r.scope == scope and name in r.languages]
 
-    def file_gate(rules: Numbered) -> str | None:
-        tests = [all_of([*([matches("path", r.path_pattern)] if r.path_pattern else []), _has_needle(r, "content")])
-                 for _, r in rules]
+    def line_gate(rules: Numbered) -> str | None:
+        tests = [all_of([*([matches("path", r.path_pattern)] if r.path_pattern else []), _has_needle(r, "text")]) for _, r in rules]
         return any_of(tests) if tests else None
 
     def flag(rule: Rule) -> str:
@@ -142,7 +140,6 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
             gate = f"({gate}) AND NOT {matches('text', comment)}"
         return f"CASE WHEN {gate} THEN {_line_hits(rules, 'text' if comment else 'code')} END"
 
-    has_lines = any_of([_by_language(languages, lambda n: file_gate(own(n, "line")), "false"), file_gate(shared) or "false"])
     # Every array is computed in a projection of its own before it is exploded: an
     # expression inside a generator is interpreted, and a sibling of one would be
     # evaluated again for each line it yields.
@@ -160,18 +157,13 @@ def scan_hits(files: DataFrame, rulebook: Sequence[Rule] = RULEBOOK) -> DataFram
         staged = staged.withColumn("call_hits", call_hits(calls, asked, allowed))
     staged = staged.selectExpr(
         "repo_id", "path", "language", "content", *flags,
-        f"{_by_language(languages, whole_file, NO_HIT)} AS file_hits", f"{has_lines} AS has_lines",
-    ).select(
-        "repo_id", "path", "language", *flags, "file_hits",
-        F.when(F.col("has_lines"), split_lines(F.col("content"))).otherwise(F.array(F.lit(""))).alias("lines"),
-    )
-    def line_gate(name: str) -> str | None:
-        rules = own(name, "line")
-        return any_of([_has_needle(r, "text") for _, r in rules]) if rules else None
-
-    # Lines without any rule's literal go before an array is built for them; the first line also carries the file's hits.
-    reported = any_of(["pos = 0 AND file_hits IS NOT NULL", _by_language(languages, line_gate, "false"),
-                       *([any_of([_has_needle(r, "text") for _, r in shared])] if shared else [])])
+        f"{_by_language(languages, whole_file, NO_HIT)} AS file_hits",
+    ).select("repo_id", "path", "language", *flags, "file_hits", (
+        split_lines(F.col("content")) if line_rules else F.array(F.lit(""))).alias("lines"))
+    # The literals are looked for once, line by line: a line without any goes before an array is built for it. The first line also
+    # carries the file's hits.
+    reported = any_of(["pos = 0 AND file_hits IS NOT NULL", _by_language(languages, lambda n: line_gate(own(n, "line")), "false"),
+                       line_gate(shared) or "false"])
     lines = staged.select(
         "repo_id", "path", "language", *flags, "file_hits", F.posexplode_outer("lines").alias("pos", "text")
     ).where(reported).withColumn("code", strip_comments(F.col("language"), F.col("text")))
