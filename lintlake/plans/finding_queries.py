@@ -10,7 +10,7 @@ from lintlake.functions import prompts
 from lintlake.functions.findings import severity_rank
 from lintlake.functions.text import split_lines
 from lintlake.operators import analytics as an
-from lintlake.operators import scan, suppress
+from lintlake.operators import rollups, scan, suppress
 from lintlake.plans import checks as ck
 from lintlake.plans import derived as dv
 from lintlake.plans.registry import register
@@ -412,3 +412,17 @@ def write_findings(spark, sf_dir):
     day = F.lit("2024-01-01").alias("scan_date")
     sinks.write_findings(dv.derived_repositories(spark, sf_dir).select("repo_id", day), core_findings(spark, sf_dir).select("*", day), place)
     return spark.read.parquet(f"{place}/findings").select("repo_id", "id", "rule", "severity", "file", "line", "evidence")
+
+
+ROLLUP_SETS = [("day", "repo_id", "rule", "severity"), ("repo_id", "severity"), ("rule",), ("day",), ()]
+_SETS = ", ".join("(" + ", ".join(names) + ")" for names in ROLLUP_SETS)
+_NAMES = " ".join(f"WHEN {sum(1 << (3 - i) for i, d in enumerate(rollups.DIMENSIONS) if d not in names)} THEN '{','.join(names)}'" for names in ROLLUP_SETS)
+
+
+@register("findings_rollup", core_sql(f"""SELECT CASE GROUPING(day, repo_id, rule, severity) {_NAMES} END AS grouping, day, repo_id, rule, severity,
+      count(*) AS n, count(DISTINCT file) AS distinct_files
+    FROM (SELECT *, line % 7 AS day FROM findings) GROUP BY GROUPING SETS ({_SETS})"""))
+def findings_rollup(spark, sf_dir):
+    """All totals come from the stored daily ones; the day stands for that of a scan."""
+    findings = core_findings(spark, sf_dir).withColumn("day", F.col("line") % 7)
+    return rollups.findings_rollup(settle(rollups.daily_totals(findings)), ROLLUP_SETS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from lintlake.operators import dependencies as dp
 from lintlake.operators import migrations as mg
 from lintlake.operators import tenancy as tn
 from lintlake.operators.reachability import label_propagation
+from lintlake.operators.sessions import sessions_of_requests
 from lintlake.plans import checks as ck
 from lintlake.plans.derived import fill, table
 from lintlake.plans.registry import register
-from lintlake.session import settle
+from lintlake.session import ensure_checkpoint_dir, settle
 from lintlake.streaming import anchored as aw
 from lintlake.streaming import streams
 
@@ -451,6 +454,38 @@ def valid_sessions(spark, sf_dir):
     return tn.valid_sessions(derived_expiring(spark, sf_dir)["sessions"], F.lit("2024-01-25").cast("timestamp_ntz")).select("event_id", "user_id")
 
 
+@register("sessions_of_requests", """SELECT r.event_id AS request_id, r.user_id, max_by(s.event_id, (s.ts, s.event_id)) AS session_id,
+      max_by(s.org_id, (s.ts, s.event_id)) AS org_id
+    FROM events r LEFT JOIN (SELECT event_id, user_id, ts, user_id % 5 AS org_id, ts + to_hours(CAST(1 + event_id % 400 AS INTEGER)) AS until
+                             FROM events WHERE event_type IN ('signup', 'view')) s
+      ON s.user_id = r.user_id AND s.ts <= r.ts AND r.ts < s.until
+    GROUP BY r.event_id, r.user_id""")
+def sessions_of_requests_query(spark, sf_dir):
+    """Every event is a request; sign-ups and views open a session that lasts from one hour to over two weeks."""
+    events = table(spark, sf_dir, "events")
+    opened = events.where("event_type IN ('signup', 'view')").select(
+        F.col("event_id").alias("id"), "user_id", F.expr("user_id % 5").alias("org_id"), F.col("ts").alias("created_at"),
+        F.expr("ts + make_interval(0, 0, 0, 0, 1 + CAST(event_id % 400 AS INT))").alias("expires_at"))
+    requests = events.select(F.col("event_id").alias("request_id"), "user_id", "ts")
+    return sessions_of_requests(requests, opened).select("request_id", "user_id", "session_id", "org_id")
+
+
+@register("findings_per_window", f"""SELECT strftime(date_trunc('day', ts), '{STAMP_SQL}') AS window_start, event_type AS severity, count(*) AS n FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
+def findings_per_window_query(spark, sf_dir):
+    """Events arrive as findings, day by day, some of them twice; the windows that closed are the batch counts."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("severity"))
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    twice = events.unionByName(events.where("id % 5 = 0"))
+    # One file per range of days, so that they arrive in the order of time.
+    twice.repartitionByRange(4, "ts").write.parquet(f"{place}/in")
+    source = spark.readStream.schema(twice.schema).parquet(f"{place}/in")
+    streams.write_findings_per_window(source, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    counts = spark.read.schema("window_start timestamp, severity string, n long").parquet(f"{place}/out")
+    return counts.select(stamp("window_start").alias("window_start"), "severity", "n")
+
+
 @register("last_used", f"SELECT user_id, strftime(max(ts), '{STAMP_SQL}') AS last_used_at FROM events GROUP BY user_id")
 def last_used(spark, sf_dir):
     return an.last_used(table(spark, sf_dir, "events"), "user_id").select("user_id", stamp("last_used_at").alias("last_used_at"))
