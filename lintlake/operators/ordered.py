@@ -17,9 +17,9 @@ from lintlake.operators.joins import join_lookup
 from lintlake.session import settle
 
 
-def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows with the number of the range they fall in; settled, as ranges come from a sample."""
-    return settle(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Rows with the number of the range they fall in; settled, as ranges come from a sample. Spark chooses how many by default."""
+    return settle(df.repartitionByRange(*([ranges] if ranges else []), *keys, *order).withColumn("_part", F.spark_partition_id()))
 
 
 def running_totals(
@@ -30,7 +30,7 @@ def running_totals(
     ``order`` must name columns that tell all rows of a key apart.
     """
     keys, order = list(keys), list(order)
-    rows = _ranged(df.select("*", *[c.cast("long").alias(f"_v_{n}") for n, c in totals.items()]), keys, order)
+    rows = ranged(df.select("*", *[c.cast("long").alias(f"_v_{n}") for n, c in totals.items()]), keys, order)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
     offsets = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in totals])
@@ -43,7 +43,7 @@ def running_totals(
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
     """Adds the column's value on the key's previous row; null on the first."""
     keys, order = list(keys), list(order)
-    rows = _ranged(df, keys, order)
+    rows = ranged(df, keys, order)
     last = rows.groupBy(*keys, "_part").agg(F.max_by(column, F.struct(*order)).alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_part")
     carried = last.select(*keys, "_part", F.lag("_last").over(before).alias("_carried"))

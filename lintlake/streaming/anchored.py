@@ -2,17 +2,19 @@
 
 A window opens at the first event at or after the previous window's end and
 lasts a fixed width. That chain is sequential per key, so it is computed on
-time chunks as a parallel prefix:
+chunks as a parallel prefix:
 
-1. events are counted per (key, instant);
+1. events are counted per (key, instant), and the instants are cut into ranges of
+   equal rows, in the order of key and time; what a key has in a range is a chunk;
 2. each (key, chunk) is summarised as a step function: for every moment the open
    window may end, which window is open when the chunk ends;
 3. the few summary rows of a key are folded in order, giving each chunk the
    window it starts in;
 4. every chunk assigns its instants to windows.
 
-A task holds the distinct instants of one chunk of one key, which the clock
-bounds, not the number of events.
+A task holds the distinct instants of one range, whatever the key and however
+dense its events are. A range's border cuts one key at most, so all chunks beyond
+the first of their key together are fewer than the ranges: that is what is folded.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_WINDOWS = 64
+from lintlake.operators.ordered import ranged
+
 NEVER = np.iinfo(np.int64).min
 
 
@@ -95,11 +98,12 @@ def _last_windows(ts: np.ndarray, last_entry: int, width: int) -> np.ndarray:
         owner = back[owner]
 
 
-def _summaries(width: int, span: int):
+def _summaries(width: int):
     def rows(batches):
         for key, chunk, (ts, n) in _segments(batches):
             total, before = int(n.sum()), np.concatenate(([0], np.cumsum(n)))
-            last_entry = min(int(np.searchsorted(ts, chunk * span + width)), len(ts) - 1)
+            # A window that is open when the chunk begins opened before its first instant.
+            last_entry = min(int(np.searchsorted(ts, ts[0] + width)), len(ts) - 1)
             final = _last_windows(ts, last_entry, width)
             ends = np.append(np.flatnonzero(np.diff(final)), last_entry)
             yield len(ends), (key, chunk, ts[ends], ts[final[ends]], total - before[final[ends]], total)
@@ -145,23 +149,21 @@ def _assign(width: int):
 
 
 def anchored_windows(
-    events: DataFrame, key: str, ts: str, order: str, width_seconds: int, chunk_windows: int = CHUNK_WINDOWS
+    events: DataFrame, key: str, ts: str, order: str, width_seconds: int, ranges: int | None = None
 ) -> DataFrame:
     """Events plus ``window_start`` and ``hit``, the event's 1-based number in its window.
 
-    ``order`` breaks ties between events of one instant.
+    ``order`` breaks ties between events of one instant; ``ranges`` sets the number of ranges.
     """
     width = width_seconds * 1_000_000
-    span = width * chunk_windows
     kind = events.schema[key].dataType.simpleString()
     stamped = events.withColumn("_key", F.col(key)).withColumn("_ts", F.unix_micros(F.col(ts).cast("timestamp")))
-    cells = stamped.groupBy("_key", "_ts").agg(F.count("*").alias("_n")).withColumn(
-        "_chunk", F.floor(F.col("_ts") / span).cast("long")
-    )
+    counted = stamped.groupBy("_key", "_ts").agg(F.count("*").alias("_n"))
+    cells = ranged(counted, ["_key"], ["_ts"], ranges).withColumnRenamed("_part", "_chunk").withColumn("_chunk", F.col("_chunk").cast("long"))
     by_chunk = ["_key", "_chunk"]
     summaries = (
         cells.select("_key", "_chunk", "_ts", "_n").repartition(*by_chunk).sortWithinPartitions(*by_chunk, "_ts")
-        .mapInPandas(_summaries(width, span),
+        .mapInPandas(_summaries(width),
                      f"_key {kind}, _chunk long, _upto long, _anchor long, _open long, _total long")
     )
     entries = summaries.repartition("_key").sortWithinPartitions(*by_chunk, "_upto").mapInPandas(

@@ -159,3 +159,20 @@ def test_lake_table_round_trip(spark, findings, tmp_path):
     sinks.audit_append(spark.sql("select 'o' org_id, 'u' user_id, 'scan.create' action, '{}' detail, current_timestamp() created_at"), str(tmp_path / "audit"))
     sinks.audit_append(spark.sql("select 'o' org_id, 'u' user_id, 'scan.delete' action, '{}' detail, current_timestamp() created_at"), str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_one_key_is_cut_into_ranges_of_rows(spark, ranges):
+    """A key with nearly all events, dense in places, over any number of ranges; several keys inside one range."""
+    rng = random.Random(ranges)
+    moments = [rng.choice([rng.randint(0, 300), rng.randint(0, 100_000)]) for _ in range(1500)]
+    rows = [(n, "hot" if n % 10 else f"k{n % 70}", moments[n]) for n in range(1500)]
+    events = spark.createDataFrame(rows, "event_id long, key string, at long").select("event_id", "key", F.timestamp_seconds("at").alias("ts"))
+    want = {}
+    for key in {r[1] for r in rows}:
+        start = hit = None
+        for at, n in sorted((r[2], r[0]) for r in rows if r[1] == key):
+            start, hit = (start, hit + 1) if start is not None and at < start + 60 else (at, 1)
+            want[n] = (start, hit)
+    got = anchored.anchored_windows(events, "key", "ts", "event_id", 60, ranges).select("event_id", F.unix_seconds("window_start").alias("s"), "hit").collect()
+    assert {r.event_id: (r.s, r.hit) for r in got} == want
