@@ -80,8 +80,11 @@ def scan_summary(
     )
 
 
+HISTORY_ROWS = 50  # fixed value: rows on a history page of the hosted service
+
+
 def scan_history(
-    scans: DataFrame, findings: DataFrame, org_id, target: str | None = None, limit: int | None = 50
+    scans: DataFrame, findings: DataFrame, org_id, target: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Newest scans of one workspace with their finding counts; all of them without a limit.
 
@@ -214,7 +217,7 @@ def group_by_severity(findings: DataFrame, threshold: str = "low", keys: Sequenc
 
 
 def find_many(
-    df: DataFrame, filters: dict, order_by: str = "created_at", direction: str = "desc", limit: int | None = 200,
+    df: DataFrame, filters: dict, order_by: str = "created_at", direction: str = "desc", limit: int | None = None,
     tiebreak: Sequence[str] = ("id",),
 ) -> DataFrame:
     """Equality filters, one sort column, the first ``limit`` rows or all."""

@@ -407,10 +407,14 @@ def scan_stream(spark, sf_dir):
 
 @register("write_findings", core_sql("SELECT repo_id, id, rule, severity, file, CAST(line AS INTEGER) AS line, evidence FROM findings"))
 def write_findings(spark, sf_dir):
-    """Findings after a round trip through the lake table."""
+    """Findings after a round trip through the lake table, in two batches of which the first is delivered twice."""
     place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lake/{uuid.uuid4().hex}"
-    day = F.lit("2024-01-01").alias("scan_date")
-    sinks.write_findings(dv.derived_repositories(spark, sf_dir).select("repo_id", day), core_findings(spark, sf_dir).select("*", day), place)
+    day, second = F.lit("2024-01-01").alias("scan_date"), F.pmod(F.xxhash64("repo_id"), F.lit(2)) == 1
+    findings = settle(core_findings(spark, sf_dir).select("*", day))
+    scans = dv.derived_repositories(spark, sf_dir).select("repo_id", day)
+    for batch in ("first", "second", "first"):
+        part = second if batch == "second" else ~second
+        sinks.write_findings(scans.where(part), findings.where(part), place, batch_id=batch)
     return spark.read.parquet(f"{place}/findings").select("repo_id", "id", "rule", "severity", "file", "line", "evidence")
 
 

@@ -18,6 +18,7 @@ from lintlake.plans import checks as ck
 from lintlake.plans.derived import fill, table
 from lintlake.plans.registry import register
 from lintlake.session import ensure_checkpoint_dir, settle
+from lintlake.sources import sinks
 from lintlake.streaming import anchored as aw
 from lintlake.streaming import streams
 
@@ -274,7 +275,7 @@ def scan_scores(spark, sf_dir):
     CAST(count(*) FILTER (WHERE f.severity = 'critical' AND NOT f.suppressed) AS BIGINT) AS critical_active
     FROM (SELECT * FROM scored WHERE org_id = 7 ORDER BY created_at DESC, scan_id DESC LIMIT 50) s LEFT JOIN found f USING (scan_id) GROUP BY s.scan_id, s.target""")
 def scan_history(spark, sf_dir):
-    return an.scan_history(scored_scans(spark, sf_dir), derived_scan_findings(spark, sf_dir), 7).select(
+    return an.scan_history(scored_scans(spark, sf_dir), derived_scan_findings(spark, sf_dir), 7, limit=an.HISTORY_ROWS).select(
         "scan_id", "target", "findings_total", "critical_total", "suppressed_total", "findings_active", "critical_active")
 
 
@@ -389,6 +390,35 @@ def rate_windows_one_key(spark, sf_dir):
     return aw.rate_windows(events, "everyone", 3, 3600).select("event_id", "hit", stamp("window_start").alias("window_start"))
 
 
+ARRIVALS = 4
+LATE = "event_id % 97 = 0"  # these arrive after all others
+DELAY = 6 * 3600
+
+
+@register("rate_windows_stream", f"""WITH RECURSIVE clock AS (SELECT max(ts) FILTER (WHERE NOT {LATE}) - to_seconds({DELAY}) AS early, max(ts) - to_seconds({DELAY}) AS decided FROM events),
+    timely AS (SELECT e.* FROM events e, clock WHERE (NOT {LATE} OR ts >= early) AND ts < decided),
+    {chain_sql('timely', 'user_id', DAY)}
+    SELECT event_id, CAST(hit AS BIGINT) AS hit, hit <= 3 AS ok, CAST(greatest(0, 3 - hit) AS BIGINT) AS remaining,
+      strftime(anchor + to_seconds({DAY}), '{STAMP_SQL}') AS reset_at, NULL AS late_reason FROM chain
+    UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, 'late' FROM events, clock WHERE {LATE} AND ts < early""")
+def rate_windows_stream(spark, sf_dir):
+    """Events arrive up to four hours out of order, and some after all others; every decided or late event of the stream."""
+    events = table(spark, sf_dir, "events")
+    arrival = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 5 * 3600
+    low, high = events.agg(F.min(arrival), F.max(arrival)).first()
+    number = F.when(F.expr(LATE), ARRIVALS).otherwise(F.expr("0") if low is None or low == high else F.least(
+        F.lit(ARRIVALS - 1), F.floor((arrival - low) * ARRIVALS / (high - low))))
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rates-{uuid.uuid4().hex}"
+    for n in range(ARRIVALS + 1):  # one file after the other, so that their times tell the order
+        events.where(number == n).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    streams.write_rate_windows(source, "user_id", 3, DAY, f"{place}/out", f"{place}/checkpoint", delay_seconds=DELAY).awaitTermination()
+    decided = spark.read.parquet(f"{place}/out/windows").select(
+        "event_id", "hit", "ok", "remaining", stamp("reset_at").alias("reset_at"))
+    late = spark.read.parquet(f"{place}/out/late").select("event_id", "late_reason")
+    return decided.unionByName(late, allowMissingColumns=True)
+
+
 TIER_KEY = "CASE WHEN event_type = 'signup' THEN 'ip:' || user_id ELSE 'org:' || (user_id % 20) END"
 SHORT, LONG = 6 * 3600, 2 * DAY
 
@@ -470,6 +500,20 @@ def sessions_of_requests_query(spark, sf_dir):
     return sessions_of_requests(requests, opened).select("request_id", "user_id", "session_id", "org_id")
 
 
+@register("audit_append", f"""SELECT 'o' || (user_id % 20) AS org_id, CAST(user_id AS VARCHAR) AS user_id, event_type AS action, CAST(event_id AS VARCHAR) AS detail,
+    strftime(ts, '{STAMP_SQL}') AS created_at, strftime(ts, '%Y-%m-%d') AS created_on FROM events""")
+def audit_append_query(spark, sf_dir):
+    """Events as audit rows in three batches, of which one is delivered again after the others."""
+    rows = table(spark, sf_dir, "events").select(
+        F.expr("'o' || (user_id % 20)").alias("org_id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("action"),
+        F.col("event_id").cast("string").alias("detail"), F.col("ts").alias("created_at"), (F.col("event_id") % 3).alias("batch"))
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    for batch in (0, 1, 2, 1):
+        sinks.audit_append(rows.where(F.col("batch") == batch), place, batch_id=f"b{batch}")
+    return spark.read.parquet(place).select("org_id", "user_id", "action", "detail", stamp("created_at").alias("created_at"),
+                                            F.date_format("created_on", "yyyy-MM-dd").alias("created_on"))
+
+
 @register("findings_per_window", f"""SELECT strftime(date_trunc('day', ts), '{STAMP_SQL}') AS window_start, event_type AS severity, count(*) AS n FROM events
     WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
 def findings_per_window_query(spark, sf_dir):

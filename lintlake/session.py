@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,10 @@ DEFAULTS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Python steps take whole files: batches are bounded by bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+    # Keyed state of streams lives on disk and is saved as changes, not whole.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -48,6 +55,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+WORK_FOLDER: ContextVar[str | None] = ContextVar("work_folder", default=None)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def settled_under(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Tables settled inside the block go to ``folder``, which is removed at its end, also after an error.
+
+    For work that repeats, such as micro-batches: nothing of it is left behind. Write all results inside the block.
+    """
+    token = WORK_FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        WORK_FOLDER.reset(token)
+        remove_folder(spark, folder)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table that a plan reads several times to the checkpoint folder, as Parquet, and read it back.
 
@@ -55,13 +84,12 @@ def settle(df: DataFrame) -> DataFrame:
     built on the result stay short. ``forget_settled`` removes the files.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = WORK_FOLDER.get() or f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget_settled(spark: SparkSession) -> None:
     """Remove the settled tables of this application; call it when no result that builds on them is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}")

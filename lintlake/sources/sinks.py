@@ -18,21 +18,48 @@ REPORT_COLUMNS = (
 )
 
 
-def write_findings(scans: DataFrame, findings: DataFrame, path: str, mode: str = "append") -> None:
+def _write_batch(rows: DataFrame, path: str, day: str, batch_id: str, order: Sequence[str] = ()) -> None:
+    """Rows below path/<day>/batch_id; a batch written again takes the place of its earlier rows.
+
+    Spark stages the files and moves them when the job commits; only the folders of this batch are replaced.
+    A batch that is run again must hold the days it held before: days that it has no more are kept.
+    """
+    rows.withColumn("batch_id", F.lit(batch_id)).sortWithinPartitions(day, *order).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(day, "batch_id").parquet(path)
+
+
+def write_findings(
+    scans: DataFrame, findings: DataFrame, path: str, mode: str = "append", batch_id: str | None = None
+) -> None:
     """Header rows and finding rows as two tables, partitioned by day.
 
     Rows of one day are sorted by repository inside each file, so readers prune
-    by day and skip row groups by repository.
+    by day and skip row groups by repository. With a ``batch_id`` the write is
+    idempotent: the same batch twice leaves one copy, whatever else was written
+    between. Without one, ``mode`` decides. Keep to one way per table.
     """
+    if batch_id is not None:
+        # Headers last: a scan that has one has all its findings.
+        _write_batch(findings, f"{path}/findings", "scan_date", batch_id, ("repo_id", "rule"))
+        _write_batch(scans, f"{path}/scans", "scan_date", batch_id)
+        return
     scans.write.mode(mode).partitionBy("scan_date").parquet(f"{path}/scans")
     findings.sortWithinPartitions("scan_date", "repo_id", "rule").write.mode(mode).partitionBy("scan_date").parquet(
         f"{path}/findings"
     )
 
 
-def audit_append(rows: DataFrame, path: str) -> None:
-    """Append (org_id, user_id, action, detail, created_at) rows."""
-    rows.select("org_id", "user_id", "action", "detail", "created_at").write.mode("append").parquet(path)
+def audit_append(rows: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Append (org_id, user_id, action, detail, created_at) rows.
+
+    With a ``batch_id`` they go below their day (``created_on``, null for rows
+    without a time), and the same batch twice leaves one copy.
+    """
+    rows = rows.select("org_id", "user_id", "action", "detail", "created_at")
+    if batch_id is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        _write_batch(rows.withColumn("created_on", F.to_date("created_at")), path, "created_on", batch_id, ("org_id", "created_at"))
 
 
 def severity_level(severity: Column) -> Column:

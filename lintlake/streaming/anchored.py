@@ -202,12 +202,8 @@ def retry_after(reset_at: Column, now: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(micros / 1_000_000))
 
 
-def rate_windows(
-    events: DataFrame, key: str, limit: int | Column, width_seconds: int, ts: str = "ts", order: str = "event_id"
-) -> DataFrame:
-    """Events plus window_start, hit, ok, remaining and reset_at."""
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    counted = anchored_windows(events, key, ts, order, width_seconds)
+def with_verdict(counted: DataFrame, limit: Column, width_seconds: int) -> DataFrame:
+    """Adds ok, remaining and reset_at to events with ``hit`` and ``window_start``."""
     return (
         counted.withColumn("ok", F.col("hit") <= limit)
         .withColumn("remaining", F.greatest(F.lit(0).cast("long"), limit - F.col("hit")))
@@ -215,6 +211,14 @@ def rate_windows(
     )
 
 
+def rate_windows(
+    events: DataFrame, key: str, limit: int | Column, width_seconds: int, ts: str = "ts", order: str = "event_id"
+) -> DataFrame:
+    """Events plus window_start, hit, ok, remaining and reset_at."""
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    return with_verdict(anchored_windows(events, key, ts, order, width_seconds), limit, width_seconds)
+
+
 # Allowed scans per minute and hour.
 SIGNED_IN_LIMITS = (12, 200)
 ANONYMOUS_LIMITS = (3, 20)

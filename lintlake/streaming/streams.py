@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lintlake.operators.joins import join_lookup
 from lintlake.operators.rules import RULEBOOK, Rule
 from lintlake.operators.scan import scan_files, unique_findings
 from lintlake.schemas import FILES, PUSH_EVENTS
+from lintlake.session import remove_folder, settled_under
+from lintlake.streaming.anchored import anchored_windows, with_verdict
 
 
 def rate_windows_stream(
@@ -66,51 +69,113 @@ def ttl_cache_stream(
     return windows.select("key", "event", "ts", (F.col("hit") > 1).alias("cache_hit"), F.col("reset_at").alias("expires_at"))
 
 
+def write_rate_windows(
+    events: DataFrame, key: str, limit: int, width_seconds: int, target: str, checkpoint: str, ts: str = "ts",
+    order: str = "event_id", delay_seconds: int = 600, trigger: dict | None = None,
+):
+    """Anchored rate windows of a stream, equal to ``rate_windows`` whatever order the events arrive in; returns the started query.
+
+    An event is decided once the clock, the latest time seen, is more than ``delay_seconds`` past it; until then it waits. So all
+    events before the decided time are known when a window is opened. Decided events go to ``target/windows`` with the columns
+    that ``rate_windows`` adds. Events older than the decided time of the batches before theirs, and events without a key or a
+    time, go to ``target/late`` with ``late_reason`` (late, incomplete): every event is in exactly one of the two, or waits.
+
+    Each micro-batch runs the parallel form over its due events, so a key that has nearly all of them is spread over tasks. What
+    goes on to the next batch is waiting events and one row per key whose window is still open; neither grows with history. Every
+    batch overwrites its own folders, so one that is run again leaves the same rows. Of older state only the last batch's is kept.
+    """
+    columns, kind, time_kind = events.columns, events.schema[key].dataType, events.schema[ts].dataType
+    row_schema = StructType([*events.schema.fields, StructField("late_reason", StringType())])
+    open_schema = StructType([StructField(key, kind), StructField("_opened", time_kind), StructField("_hits", LongType())])
+    moment = F.unix_micros(F.col(ts).cast("timestamp"))
+    ends = F.unix_micros(F.col("_opened").cast("timestamp")) + F.lit(width_seconds * 1_000_000)
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def place(table: str, number: int = batch_id) -> str:
+            return f"{target}/{table}/batch_id={number}"
+
+        def kept(table: str, schema, number: int = batch_id) -> DataFrame:
+            return spark.read.schema(schema).parquet(place(table, number))
+
+        clock = kept("state/clock", "clock long", batch_id - 1).first()["clock"] if batch_id else None
+        decided = F.lit(None if clock is None else clock - delay_seconds * 1_000_000).cast("long")
+        reason = F.when(F.col(key).isNull() | F.col(ts).isNull(), "incomplete").when(moment < decided, "late")
+        rows = batch.select(*columns, reason.cast("string").alias("late_reason"))
+        opened = spark.createDataFrame([], open_schema)
+        if batch_id:
+            waiting = kept("state/rows", row_schema, batch_id - 1).where(F.col("late_reason").isNull() & (moment >= decided))
+            opened = kept("state/open", open_schema, batch_id - 1)
+            rows = rows.unionByName(waiting)
+        rows.write.mode("overwrite").parquet(place("state/rows"))
+        rows = kept("state/rows", row_schema)
+        rows.where("late_reason IS NOT NULL").write.mode("overwrite").parquet(place("late"))
+        on_time = rows.where("late_reason IS NULL").drop("late_reason")
+        latest = on_time.agg(F.max(moment).alias("latest")).first()["latest"]
+        clock = max((c for c in (clock, latest) if c is not None), default=None)
+        until = F.lit(None if clock is None else clock - delay_seconds * 1_000_000).cast("long")
+        with settled_under(spark, place("state/work")):
+            # An open window comes back as one event at its start, which is first among the key's events.
+            seeds = opened.select(key, F.col("_opened").alias(ts), F.lit(True).alias("_seed"))
+            due = on_time.where(moment < until).withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+            counted = anchored_windows(due, key, ts, order, width_seconds).where("NOT _seed").drop("_seed")
+            joined = join_lookup(counted, opened, [key], [order, ts])
+            carried = F.when(F.col("window_start") == F.col("_opened"), F.col("_hits") - 1).otherwise(0)
+            hit = F.col("hit") + carried
+            judged = joined.select(*columns, "window_start", hit.alias("hit"))
+            judged = with_verdict(judged, F.lit(limit), width_seconds)
+            judged.write.mode("overwrite").parquet(place("windows"))
+        known = kept("windows", judged.schema).select(key, F.col("window_start").alias("_opened"), F.col("hit").alias("_hits"))
+        last = known.unionByName(opened).groupBy(key).agg(F.max(F.struct("_opened", "_hits")).alias("_last"))
+        last.select(key, "_last.*").where(ends > until).write.mode("overwrite").parquet(place("state/open"))
+        spark.createDataFrame([(clock,)], "clock long").write.mode("overwrite").parquet(place("state/clock"))
+        for table in ("rows", "open", "clock"):
+            remove_folder(spark, place(f"state/{table}", batch_id - 2))
+
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(decide)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def read_file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Arriving file rows, with the commit they belong to."""
+    """Arriving file rows, with the commit they belong to and ``arrived_at``, the time their input file was written."""
     schema = FILES.add("sha", "string") if "sha" not in FILES.fieldNames() else FILES
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("arrived_at"))
 
 
 BETWEEN = "\u0001"  # between a repository and a commit
 
 
 def scan_stream(
-    files: DataFrame, target: str, checkpoint: str, rulebook: Sequence[Rule] = RULEBOOK, trigger: dict | None = None
+    files: DataFrame, target: str, checkpoint: str, rulebook: Sequence[Rule] = RULEBOOK, trigger: dict | None = None,
+    remember: str | None = None,
 ):
     """Scan arriving files and append findings; returns the started query.
 
-    Findings carry the commit. A (repo_id, sha, path) already in the ledger is
-    not scanned again, so the files of a commit may arrive over many batches, and
-    each micro-batch overwrites its own partition, so a replayed batch leaves the
-    same rows.
+    Findings carry the commit. A (repo_id, sha, path) seen before, nulls being
+    equal, is not scanned again, so the files of a commit may arrive over many
+    batches. What was seen is keyed state of the stream: a batch costs what it
+    brings, not what came before. ``remember`` ("30 days") drops keys when
+    ``arrived_at`` has moved on by that much, which bounds the state; without it
+    they are kept for good. Each micro-batch overwrites its own partition, so a
+    replayed batch leaves the same rows.
     """
+    place = ["repo_id", "sha", "path"]
+    fresh = files.dropDuplicates(place) if remember is None else files.withWatermark(
+        "arrived_at", remember).dropDuplicatesWithinWatermark(place)
+
     def scan_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # As data only: overwriting a whole path by batch keeps replays idempotent.
-        ledger = f"{target}/scanned"
-        done = _read_ledger(spark, ledger, batch_id)
-        arrived = batch.select("repo_id", "sha", "path", "content").dropDuplicates(["repo_id", "sha", "path"])
-        fresh = (arrived if done is None else arrived.join(done, ["repo_id", "sha", "path"], "left_anti")).persist()
         # A commit is scanned as a repository of its own; ids don't depend on the name.
         commit = F.concat_ws(BETWEEN, "repo_id", F.coalesce("sha", F.lit("")))
-        found = unique_findings(scan_files(fresh.select(commit.alias("repo_id"), "path", "content"), rulebook))
-        named = found.withColumn("sha", F.substring_index("repo_id", BETWEEN, -1)).withColumn(
-            "repo_id", F.substring_index("repo_id", BETWEEN, 1))
-        named.write.mode("overwrite").parquet(f"{target}/findings/batch_id={batch_id}")
-        fresh.select("repo_id", "sha", "path").write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
-        fresh.unpersist()
-
-    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(scan_batch)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
+        with settled_under(batch.sparkSession, f"{target}/work/batch_id={batch_id}"):
+            found = unique_findings(scan_files(batch.select(commit.alias("repo_id"), "path", "content"), rulebook))
+            named = found.withColumn("sha", F.substring_index("repo_id", BETWEEN, -1)).withColumn(
+                "repo_id", F.substring_index("repo_id", BETWEEN, 1))
+            named.write.mode("overwrite").parquet(f"{target}/findings/batch_id={batch_id}")
 
-def _read_ledger(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Files scanned by earlier batches; null before the first."""
-    if batch_id == 0:
-        return None
-    ledger = spark.read.schema("repo_id string, sha string, path string, batch_id long").option("basePath", path).parquet(path)
-    return ledger.where(F.col("batch_id") < batch_id).select("repo_id", "sha", "path")
+    writer = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(scan_batch)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 # The webhook actions that start a scan.
