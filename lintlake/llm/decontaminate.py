@@ -161,6 +161,13 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: float = 0.8
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """The documents, with all their columns, that contain no benchmark item. A null id is kept only if no null id matches."""
-    hit = contaminated_pairs(docs, benchmark, least).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+    """The documents, with all their columns, that contain no benchmark item.
+
+    Every row is decided by its own text: rows without an id or with an id of several texts go only if their text holds an
+    item; equal rows go or stay together. Null and empty texts stay. With an empty benchmark all rows stay.
+    """
+    # A row is named by id and text, as ids may be null or repeated; equal texts contain the same items.
+    name = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    hit = contaminated_pairs(docs.select(name.alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias("_hit")).distinct()
+    named = docs.withColumn("_name", name)
+    return named.join(hit, named["_name"] == hit["_hit"], "left_anti").drop("_name")

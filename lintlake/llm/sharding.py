@@ -49,7 +49,11 @@ def byte_shards(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """Write whole rows as one folder per shard. Rows travel once; writers stay on their contiguous range."""
+    """Write whole rows as one folder per shard. Rows travel once; writers stay on their contiguous range.
+
+    Nulls, ties and repeated rows fall as in ``byte_shards``. Columns named as its results are kept as ``<name>_of_row``. An
+    empty table gives a folder without shards.
+    """
     carry = [c for c in docs.columns if c != "doc_id"]
     clash = {c: f"{c}_of_row" for c in carry if c in ("size", "text_crc32", "shard", "slot", "part")}
     docs = docs.withColumnsRenamed(clash)

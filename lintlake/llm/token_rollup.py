@@ -43,15 +43,17 @@ def token_counts(docs: DataFrame, versions: tuple[str, ...] = ("byte_bpe_50k",),
 
 
 def inserts(counts: DataFrame) -> DataFrame:
+    """Changes that add the counted documents. A repeated row adds once more; null groups stay groups; no rows give no changes."""
     return counts.select(*GROUP, F.lit(1).cast("long").alias("docs"), "tokens")
 
 
 def deletes(counts: DataFrame) -> DataFrame:
+    """Changes that take the counted documents off, row by row: what ``inserts`` added of the same rows sums to nothing."""
     return counts.select(*GROUP, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens"))
 
 
 def revisions(counts: DataFrame, was: str = "was") -> DataFrame:
-    """Changes of documents whose count was ``was`` and is ``tokens``."""
+    """Changes of documents whose count was ``was`` and is ``tokens``. A null on either side gives a null, which a total passes over."""
     return counts.select(*GROUP, F.lit(0).cast("long").alias("docs"), (F.col("tokens") - F.col(was)).alias("tokens"))
 
 
@@ -70,7 +72,11 @@ class TokenRollup:
                 if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Add a batch of signed changes (source, lang, version, docs, tokens); False if the id is committed already."""
+        """Add a batch of signed changes (source, lang, version, docs, tokens); False if the id is committed already.
+
+        Rows of a group are summed, null sources, languages and versions being groups of their own. A batch without rows is
+        committed too, and adds nothing.
+        """
         if not batch_id or not all(c.isalnum() or c in "-_" for c in batch_id):
             raise ValueError("a batch id has letters, digits, - and _ only")
         if batch_id in self._folders():
