@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     carry = tuple(c for c in docs.columns if c != "doc_id")
     kept = score_documents(docs.withColumnsRenamed({c: f"in_{c}" for c in carry}).withColumn("text", F.col("in_text")), model,
                            tuple(f"in_{c}" for c in carry)).where("predicted = 0")
-    return kept.withColumnsRenamed({f"in_{c}": c for c in carry}).select(*docs.columns)
+    return kept.select(*[F.col(c if c == "doc_id" else f"in_{c}").alias(c) for c in docs.columns])
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences. Null and empty texts are one token; repeated rows are packed each; no rows give none."""
     return pack_documents(docs)
 
 
@@ -51,6 +51,12 @@ STAGES = [("toxicity", drop_toxic), ("line dedup", drop_common_lines), ("n-gram
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the last stage packs.
+
+    Each stage's rows are written and read again. Rows with a null doc_id and further columns, whatever their names, go through all
+    stages; of rows that repeat a doc_id each is judged by its own text, but for near copies, where they stay or go together. Null and
+    empty texts count as copies of each other. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
