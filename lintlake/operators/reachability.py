@@ -1,41 +1,127 @@
-"""Which sinks a source reaches over an edge table, inside one scope."""
+"""Which sinks a source reaches over an edge table, inside one scope.
+
+Shallow graphs are walked several hops a job. What a deep graph has left after that is contracted first: a node with
+one edge in lies as far as its parent plus that edge, so all such nodes are hung on their nearest ancestor of another kind by
+pointer doubling, and only the rest is walked.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.session import settle
 
+HOPS = 4  # hops of one job
+SHALLOW = 8  # jobs before the rest of the graph is contracted
+
+
+def _hop(front: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """One row per node of ``front`` and of its neighbours, at its least depth. Rows of age 0 have not been expanded yet."""
+    tail = edges.select(F.col("scope").alias("_scope"), "src", "dst", "w")
+    met = front.join(tail, (F.col("scope") == F.col("_scope")) & (F.col("node") == F.col("src")) & (F.col("age") == 0), "left")
+    seen = F.struct("node", "depth", (F.col("age") + 1).alias("age"))
+    found = F.struct(F.col("dst").alias("node"), (F.col("depth") + F.col("w")).alias("depth"), F.lit(0).alias("age"))
+    rows = met.select("scope", F.explode(F.array(seen, found)).alias("r")).where("r.node is not null")
+    if max_depth is not None:
+        rows = rows.where(F.col("r.depth") <= max_depth)
+    # Among equal depths the row that was expanded counts.
+    best = F.min(F.struct("r.depth", (-F.col("r.age")).alias("age")))
+    return rows.groupBy("scope", F.col("r.node").alias("node")).agg(best.alias("b")).select(
+        "scope", "node", "b.depth", (-F.col("b.age")).alias("age"))
+
+
+def _walk(
+    start: DataFrame, edges: DataFrame, max_depth: int | None, jobs: int | None = None
+) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables of (scope, node, depth, age), and the nodes still to be expanded if ``jobs`` ended the walk.
+
+    A later table holds a node again only at a lesser depth, which weights other than one can cause.
+    """
+    parts, front = [start], start
+    while jobs is None or len(parts) <= jobs:
+        step = reduce(lambda rows, _: _hop(rows, edges, max_depth), range(HOPS), front)
+        before = reduce(DataFrame.unionByName, parts).select(
+            F.col("scope").alias("_scope"), F.col("node").alias("_node"), F.col("depth").alias("_depth"))
+        known = (F.col("scope") == F.col("_scope")) & (F.col("node") == F.col("_node")) & (F.col("_depth") <= F.col("depth"))
+        parts.append(settle(step.join(before, known, "left_anti")))
+        front = parts[-1].where("age = 0")
+        if front.isEmpty():
+            return parts, None
+    return parts, front
+
+
+def _hang(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one edge in, hung on their nearest ancestor of another kind, and the edges between the others.
+
+    Returns (scope, node, up, dist) and (scope, src, dst, w). Nodes on a ring of such nodes, or below one, are reached from
+    nowhere and leave with their edges. Pointers double, so a chain of n nodes takes log2(n) jobs.
+    """
+    single = edges.groupBy("scope", F.col("dst").alias("node")).agg(
+        F.count("*").alias("n"), F.first("src").alias("up"), F.first("w").alias("dist")).where("n = 1").drop("n")
+    single = settle(single)
+    inner = single.select("scope", F.col("node").alias("up"), F.lit(False).alias("free"))
+    pointers = settle(single.join(inner, ["scope", "up"], "left").withColumn("free", F.coalesce("free", F.lit(True))))
+    waiting = pointers.where("not free").count()
+    while waiting:
+        above = pointers.select("scope", F.col("node").alias("up"), F.struct("up", "dist", "free").alias("next"))
+        jumped = pointers.join(above, ["scope", "up"], "left").select(
+            "scope", "node", F.when(F.col("free"), F.col("up")).otherwise(F.col("next.up")).alias("up"),
+            (F.col("dist") + F.when(F.col("free"), 0).otherwise(F.col("next.dist"))).alias("dist"),
+            (F.col("free") | F.col("next.free")).alias("free"))
+        pointers = settle(jumped)
+        left = pointers.where("not free").count()
+        if left == waiting:  # every chain that ends gets shorter in each job: rings are left
+            break
+        waiting = left
+    place = pointers.select("scope", F.col("node").alias("src"), "up", "dist", "free")
+    others = (
+        edges.join(pointers.select("scope", F.col("node").alias("dst")), ["scope", "dst"], "left_anti")
+        .join(place, ["scope", "src"], "left").where(F.coalesce("free", F.lit(True)))
+        .select("scope", F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("dist", F.lit(0))).alias("w"))
+        .where("src <> dst").groupBy("scope", "src", "dst").agg(F.min("w").alias("w"))
+    )
+    return pointers.where("free").drop("free"), settle(others)
+
+
+def _deep(front: DataFrame, reached: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """(scope, node, depth) of the nodes beyond ``reached``, whose last nodes are ``front``."""
+    known = reached.select("scope", F.col("node").alias("dst"))
+    rest = settle(edges.join(known, ["scope", "dst"], "left_anti"))
+    hung, size = [], rest.count()
+    while size:
+        tree, rest = _hang(rest)
+        hung.append(tree)
+        before, size = size, rest.count()
+        if 2 * size > before:
+            break
+    parts, _ = _walk(front, rest, max_depth)
+    found = reduce(DataFrame.unionByName, parts).groupBy("scope", "node").agg(F.min("depth").alias("depth"))
+    for tree in reversed(hung):
+        found = settle(found)
+        below = tree.join(found.withColumnRenamed("node", "up"), ["scope", "up"])
+        found = found.unionByName(below.select("scope", "node", (F.col("depth") + F.col("dist")).alias("depth")))
+    found = found.join(front.select("scope", "node"), ["scope", "node"], "left_anti")
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
+
 
 def label_propagation(
     edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int | None = None
 ) -> DataFrame:
-    """(scope, node, rule, depth): sinks that are reached, with the fewest hops.
+    """(scope, node, rule, depth): sinks that are reached, with the fewest hops, up to ``max_depth`` of them if given.
 
-    Hops go on until no new node is found, or ``max_depth`` is reached.
-
-    ``edges`` is (scope, src, dst), ``sources`` (scope, node), ``sinks``
-    (scope, node, rule). Each hop joins the new nodes only; a node enters once,
-    so the frontier is distinct and a node with very many edges is split by the
-    adaptive skew join rather than copied. Every hop is settled: lineage
-    stays short and a lost executor repeats one hop.
+    ``edges`` is (scope, src, dst), ``sources`` (scope, node), ``sinks`` (scope, node, rule). Null scopes and nodes are
+    linked with nothing; repeated rows count once, but repeated sinks are repeated in the result. A job walks ``HOPS`` hops and
+    shuffles the edges once; chains, trees and rows of diamonds take a number of jobs that grows with the logarithm of
+    their length, other graphs one per ``HOPS`` hops. A node with very many edges is split by the adaptive skew join.
+    Every job's result is settled: lineage stays short and a lost executor repeats one job.
     """
-    edges = settle(edges.select("scope", "src", "dst").distinct())
-    frontier = sources.select("scope", "node").distinct().withColumn("depth", F.lit(0))
-    frontier = settle(frontier)
-    reached = frontier
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = (
-            frontier.select("scope", F.col("node").alias("src")).join(edges, ["scope", "src"])
-            .select("scope", F.col("dst").alias("node")).distinct()
-            .join(reached.select("scope", "node"), ["scope", "node"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = settle(step)
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
+    edges = settle(edges.select("scope", "src", "dst").dropna().where("src <> dst").distinct().withColumn("w", F.lit(1)))
+    start = sources.select("scope", "node").dropna().distinct().select("*", F.lit(0).alias("depth"), F.lit(0).alias("age"))
+    parts, front = _walk(settle(start), edges, max_depth, SHALLOW)
+    reached = reduce(DataFrame.unionByName, parts).select("scope", "node", "depth")
+    if front is not None:
+        reached = reached.unionByName(_deep(front, reached, edges, max_depth))
     return sinks.join(reached, ["scope", "node"]).select("scope", "node", "rule", "depth")

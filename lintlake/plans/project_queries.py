@@ -579,9 +579,11 @@ EDGES_SQL = """edges AS (SELECT DISTINCT scope, src, dst FROM (SELECT l_returnfl
     nodes AS (SELECT DISTINCT l_returnflag || l_linestatus AS scope, l_partkey AS node, p_size FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
-@register("label_propagation", f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT scope, node, 0 AS depth FROM nodes WHERE p_size = 1
-      UNION SELECT w.scope, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.scope = w.scope AND e.src = w.node WHERE w.depth < 20)
-    SELECT scope, node, 'taint.sql_injection' AS rule, CAST(min(depth) AS INTEGER) AS depth FROM walk JOIN nodes USING (scope, node) WHERE p_size >= 40 GROUP BY scope, node""")
+@register("label_propagation", f"""WITH RECURSIVE {EDGES_SQL}, walk(scope, node, depth) USING KEY (scope, node) AS (
+      SELECT scope, node, 0 FROM nodes WHERE p_size = 1
+      UNION SELECT w.scope, e.dst, min(w.depth) + 1 FROM walk w JOIN edges e ON e.scope = w.scope AND e.src = w.node
+        LEFT JOIN recurring.walk r ON r.scope = w.scope AND r.node = e.dst WHERE r.node IS NULL GROUP BY w.scope, e.dst)
+    SELECT scope, node, 'taint.sql_injection' AS rule, depth FROM walk JOIN nodes USING (scope, node) WHERE p_size >= 40""")
 def label_propagation_query(spark, sf_dir):
     scope = F.concat("l_returnflag", "l_linestatus").alias("scope")
     items = table(spark, sf_dir, "lineitem")

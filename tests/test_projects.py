@@ -220,6 +220,56 @@ def test_reachability_stays_in_scope_and_within_depth(spark):
     assert [r["depth"] for r in label_propagation(chain, start, end).collect()] == [14]
 
 
+def fewest_hops(edges, sources, max_depth=None):
+    depth, todo = {s: 0 for s in sources}, list(sources)
+    following = {}
+    for scope, src, dst in edges:
+        following.setdefault((scope, src), []).append((scope, dst))
+    for node in todo:
+        for dst in following.get(node, ()):
+            if dst not in depth and (max_depth is None or depth[node] < max_depth):
+                depth[dst] = depth[node] + 1
+                todo.append(dst)
+    return {(*node, d) for node, d in depth.items()}
+
+
+def reach(spark, edges, sources, max_depth=None):
+    nodes = sorted({(s, n) for s, a, b in edges if a is not None and b is not None for n in (a, b)} | set(sources))
+    got = label_propagation(
+        spark.createDataFrame(edges, "scope string, src long, dst long"), spark.createDataFrame(sources, "scope string, node long"),
+        spark.createDataFrame([(s, n, "x") for s, n in nodes], "scope string, node long, rule string"), max_depth)
+    return sorted((r["scope"], r["node"], r["depth"]) for r in got.collect())
+
+
+def test_reachability_equals_brute_force(spark, monkeypatch):
+    from lintlake.operators import reachability
+
+    monkeypatch.setattr(reachability, "SHALLOW", 1)
+    monkeypatch.setattr(reachability, "HOPS", 2)
+    rng = random.Random(1)
+    chain = [("chain", i, i + 1) for i in range(60)] + [("chain", 60, 20), ("chain", 100, 50)]
+    tree = [("tree", i // 2, i) for i in range(2, 120)] + [("tree", 1, 1)]
+    diamonds = [("d", 3 * i + a, 3 * i + b) for i in range(12) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))] + [("d", 0, 30)]
+    rings = [("ring", a, b) for a, b in ((0, 1), (1, 2), (2, 0), (10, 11), (11, 12), (12, 10), (12, 13), (13, 14), (14, 2))]
+    mixed = [(f"m{rng.randint(0, 1)}", rng.randint(0, 80), rng.randint(0, 80)) for _ in range(150)]
+    hub = [("hub", 0, i) for i in range(1, 90)] + [("hub", i, 200) for i in range(1, 90)] + [("hub", 200 + i, 201 + i) for i in range(9)]
+    edges = chain + tree + diamonds + rings + mixed + hub
+    sources = [("chain", 0), ("tree", 1), ("d", 0), ("ring", 0), ("m0", 3), ("m1", 5), ("m1", 6), ("hub", 0), ("none", 1)]
+    for limit in (None, 7):
+        got = reach(spark, edges + mixed[:20] + [("tree", None, 3), ("tree", 3, None)], sources, limit)
+        assert got == sorted(fewest_hops(edges, sources, limit))
+
+
+def test_a_long_chain_takes_few_jobs(spark, monkeypatch):
+    from lintlake.operators import reachability
+
+    settled, settle = [], reachability.settle
+    monkeypatch.setattr(reachability, "SHALLOW", 2)
+    monkeypatch.setattr(reachability, "settle", lambda df: settled.append(1) or settle(df))
+    assert reach(spark, [("s", i, i + 1) for i in range(1500)], [("s", 0)]) == [("s", i, i) for i in range(1501)]
+    assert len(settled) < 30
+
+
 # ------------------------------------------------------- ordered computations
 def test_running_totals_and_previous_values_of_a_hot_key(spark):
     from lintlake.operators.ordered import previous_value, running_totals
