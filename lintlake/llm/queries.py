@@ -40,7 +40,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_byte_shards")
+def _crc_table_entry(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+# The register takes a byte by the table entries of its set bits, which is the entry of the whole.
+CRC_STEP = "c >> 8"
+for _bit in range(8):
+    CRC_STEP = f"xor({CRC_STEP}, (xor(c, b) >> {_bit} & 1) * {_crc_table_entry(1 << _bit)})"
+BYTES_SQL = "list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+
+
+@query("op1_byte_shards", f"""WITH rows_ AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+      xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {BYTES_SQL}), lambda c, b: {CRC_STEP}), 4294967295) AS text_crc32 FROM documents),
+    placed AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      sum(size) OVER () AS total FROM rows_),
+    sharded AS (SELECT *, CAST(least((2 * before + size) * 40 // greatest(2 * total, 1), 39) AS INTEGER) AS shard FROM placed)
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+      row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+    FROM sharded""")
 def byte_shards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = byte_shards(table(spark, sf_dir, "documents"), 40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
