@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.findings import assemble_findings
-from lintlake.functions.text import explode_lines, trimmed
+from lintlake.functions.text import split_lines, trimmed
 from lintlake.functions.versions import clean_version, vuln_severity
 from lintlake.operators.joins import join_lookup
 
@@ -22,8 +22,8 @@ ECOSYSTEMS = {
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 # Limits of the hosted service, for callers that want its exact output.
 SERVICE_LIMITS = {"per_manifest": 100, "per_package": 3, "links": 3, "summary_chars": 160}
-DEPENDENCY_COLUMNS = ["repo_id", "path", "pos", "ecosystem", "name", "version"]
 LOCK_MAP = "map<string,struct<version:string>>"
+ENTRIES = "array<struct<pos:long,name:string,version:string>>"
 
 
 def base_name(path: Column) -> Column:
@@ -38,76 +38,65 @@ def detect_ecosystem(path: Column) -> Column:
     return out
 
 
-def _from_lines(files: DataFrame, pattern: str, text: Column | None = None) -> DataFrame:
-    lines = explode_lines(files.select("repo_id", "path", "content"))
-    value = F.col("text") if text is None else text
-    return lines.where(value.rlike(pattern)).select(
-        "repo_id", "path", F.col("line").cast("long").alias("pos"),
-        F.regexp_extract(value, pattern, 1).alias("name"), F.regexp_extract(value, pattern, 2).alias("version"),
-    )
+def _of_lines(lines: Column, pattern: str, offset: Column | None = None, trim_comment: bool = False) -> Column:
+    """Entries of the lines that match; the first group of ``pattern`` is never empty in a match."""
+    start = F.lit(0).cast("long") if offset is None else offset
+
+    def entry(text: Column, at: Column) -> Column:
+        value = trimmed(F.substring_index(text, "#", 1)) if trim_comment else text
+        return F.struct((start + at + 1).alias("pos"), F.regexp_extract(value, pattern, 1).alias("name"),
+                        F.regexp_extract(value, pattern, 2).alias("version"))
+
+    return F.filter(F.transform(lines, entry), lambda e: e["name"] != "")
 
 
-def _package_json(files: DataFrame) -> DataFrame:
+def _package_json(content: Column) -> Column:
     sections = [
         F.coalesce(
-            F.transform(
-                F.map_entries(F.from_json(F.get_json_object("content", f"$.{s}"), "map<string,string>")),
-                lambda e: F.struct(e["key"].alias("name"), clean_version(e["value"]).alias("version")),
-            ),
-            F.array().cast("array<struct<name:string,version:string>>"),
-        )
+            F.map_entries(F.from_json(F.get_json_object(content, f"$.{s}"), "map<string,string>")),
+            F.array().cast("array<struct<key:string,value:string>>"))
         for s in NPM_SECTIONS
     ]
-    entries = files.select("repo_id", "path", F.concat(*sections).alias("entries"))
-    return entries.select("repo_id", "path", F.posexplode("entries").alias("pos", "e")).where(
-        F.col("e.version").rlike(r"^\d")
-    ).select("repo_id", "path", F.col("pos").cast("long").alias("pos"), "e.name", "e.version")
-
-
-def _package_lock(files: DataFrame) -> DataFrame:
-    packages = F.get_json_object("content", "$.packages")
-    nested = F.from_json(packages, LOCK_MAP)
-    flat = F.from_json(F.get_json_object("content", "$.dependencies"), LOCK_MAP)
-    listed = F.when(packages.isNotNull(), F.map_entries(nested)).otherwise(F.map_entries(flat))
-    named = files.select("repo_id", "path", packages.isNotNull().alias("nested"), listed.alias("listed")).select(
-        "repo_id", "path", "nested", F.posexplode("listed").alias("pos", "e")
-    )
-    key = F.col("e.key")
+    entries = F.transform(F.concat(*sections), lambda e, at: F.struct(
+        at.cast("long").alias("pos"), e["key"].alias("name"), clean_version(e["value"]).alias("version")))
+    return F.filter(entries, lambda e: e["version"].rlike(r"^\d"))
+
+
+def _package_lock(content: Column) -> Column:
+    packages = F.get_json_object(content, "$.packages")
+    nested = packages.isNotNull()
+    flat = F.from_json(F.get_json_object(content, "$.dependencies"), LOCK_MAP)
+    listed = F.when(nested, F.map_entries(F.from_json(packages, LOCK_MAP))).otherwise(F.map_entries(flat))
     # The package is the part after the last node_modules/ of a nested path.
-    name = F.when(F.col("nested"), F.regexp_extract(key, r"(?s)^(?:.*/)?node_modules/(.+)\z", 1)).otherwise(key)
-    return named.select(
-        "repo_id", "path", F.col("pos").cast("long").alias("pos"), name.alias("name"), F.col("e.value.version").alias("version")
-    ).where((F.col("name") != "") & (F.col("version") != ""))
+    last = r"(?s)^(?:.*/)?node_modules/(.+)\z"
+    entries = F.transform(listed, lambda e, at: F.struct(
+        at.cast("long").alias("pos"),
+        F.when(nested, F.regexp_extract(e["key"], last, 1)).otherwise(e["key"]).alias("name"),
+        e["value"]["version"].alias("version")))
+    return F.filter(entries, lambda e: (e["name"] != "") & (e["version"] != ""))
 
 
-def _requirements(files: DataFrame) -> DataFrame:
-    return _from_lines(
-        files, r"^([A-Za-z0-9_.\-]+)\s*==\s*([A-Za-z0-9_.\-+]+)", trimmed(F.substring_index("text", "#", 1))
-    )
+def _requirements(content: Column) -> Column:
+    return _of_lines(split_lines(content), r"^([A-Za-z0-9_.\-]+)\s*==\s*([A-Za-z0-9_.\-+]+)", trim_comment=True)
 
 
-def _gemfile_lock(files: DataFrame) -> DataFrame:
+def _gemfile_lock(content: Column) -> Column:
     """Gems of the GEM sections: a section starts at an unindented capital.
 
     The text is cut into sections by one split; a gem whose own name starts with
     a capital is indented and so does not end its section.
     """
-    sections = files.select(
-        "repo_id", "path",
-        F.posexplode(F.split(F.concat(F.lit("\n"), F.col("content")), r"\n(?=[A-Z])", -1)).alias("section", "content"),
-    ).where(F.col("content").startswith("GEM"))
+    sections = F.split(F.concat(F.lit("\n"), content), r"\n(?=[A-Z])", -1)
     pattern = r"^\s{4}([A-Za-z0-9_.\-]+)\s*\(([0-9][^)]*)\)"
-    lines = explode_lines(sections)
-    return lines.where(F.col("text").rlike(pattern)).select(
-        "repo_id", "path", (F.col("section") * F.lit(1 << 32) + F.col("line")).cast("long").alias("pos"),
-        F.regexp_extract("text", pattern, 1).alias("name"), F.regexp_extract("text", pattern, 2).alias("version"),
-    )
+    return F.flatten(F.transform(sections, lambda text, at: F.when(
+        text.startswith("GEM"), _of_lines(split_lines(text), pattern, at.cast("long") * F.lit(1 << 32))
+    ).otherwise(F.array().cast(ENTRIES))))
 
 
-def _go_mod(files: DataFrame) -> DataFrame:
+def _go_mod(content: Column) -> Column:
     block = r"require\s*\(([^)]*)\)"
-    body = F.when(F.col("content").rlike(block), F.regexp_extract("content", block, 1)).otherwise(F.col("content"))
-    return _from_lines(files.withColumn("content", body), r"^\s*([A-Za-z0-9._/-]+)\s+v([0-9]\S*)")
+    body = F.when(content.rlike(block), F.regexp_extract(content, block, 1)).otherwise(content)
+    return _of_lines(split_lines(body), r"^\s*([A-Za-z0-9._/-]+)\s+v([0-9]\S*)")
 
 
 PARSERS = {
@@ -120,13 +109,16 @@ PARSERS = {
 
 
 def dependency_inventory(files: DataFrame) -> DataFrame:
-    """(repo_id, path, pos, ecosystem, name, version) of every manifest entry."""
-    out = None
-    for name, parse in PARSERS.items():
-        manifests = files.where(base_name(F.col("path")) == name)
-        entries = parse(manifests).withColumn("ecosystem", detect_ecosystem(F.col("path"))).select(*DEPENDENCY_COLUMNS)
-        out = entries if out is None else out.unionByName(entries)
-    return out
+    """(repo_id, path, pos, ecosystem, name, version) of every manifest entry.
+
+    One pass: the name of a file chooses its parser. Files without content have no entries.
+    """
+    name, entries = base_name(F.col("path")), F.lit(None).cast(ENTRIES)
+    for manifest, parse in PARSERS.items():
+        entries = F.when(name == manifest, parse(F.col("content"))).otherwise(entries)
+    listed = files.where(name.isin(*PARSERS)).select("repo_id", "path", entries.alias("entries"))
+    return listed.select("repo_id", "path", F.explode_outer("entries").alias("e")).where("e is not null").select(
+        "repo_id", "path", "e.pos", detect_ecosystem(F.col("path")).alias("ecosystem"), "e.name", "e.version")
 
 
 def distinct_dependencies(dependencies: DataFrame, per_manifest: int | None = None) -> DataFrame:

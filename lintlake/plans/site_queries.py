@@ -103,14 +103,27 @@ def same_origin_refs(spark, sf_dir):
     return bn.same_origin_refs(bn.script_refs(derived_pages(spark, sf_dir))).select("page_id", "url")
 
 
-@register("resolve_url", "SELECT page_id, ref, CASE WHEN ref LIKE 'http%' THEN ref WHEN ref LIKE '/%' THEN " + ORIGIN + " || ref END AS url "
-          "FROM (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS ref FROM pages) "
-          "WHERE ref LIKE '/%' OR ref LIKE 'http%/%'")
+# A reference is tried as found, without its slash, from this folder, from the one above, and as a query and a fragment of the page.
+@register("resolve_url", f"""WITH found AS (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages),
+    based AS (SELECT *, {ORIGIN} AS origin, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS page_path FROM found),
+    foldered AS (SELECT *, coalesce(nullif(page_path, ''), '/') AS whole, regexp_replace(coalesce(nullif(page_path, ''), '/'), '[^/]*$', '') AS folder
+      FROM based),
+    tried AS (SELECT *, ltrim(href, '/') AS name, regexp_replace(folder, '[^/]+/$', '') AS above FROM foldered)
+    SELECT page_id, ref, url FROM (
+      SELECT page_id, href AS ref, CASE WHEN href LIKE '/%' THEN origin || href ELSE href END AS url FROM tried WHERE href LIKE '/%' OR href LIKE 'http%/%'
+      UNION SELECT page_id, name, origin || folder || name FROM tried WHERE href LIKE '/%'
+      UNION SELECT page_id, './' || name, origin || folder || name FROM tried WHERE href LIKE '/%'
+      UNION SELECT page_id, '../' || name, origin || above || name FROM tried WHERE href LIKE '/%'
+      UNION SELECT page_id, '?q=' || name, origin || whole || '?q=' || name FROM tried WHERE href LIKE '/%'
+      UNION SELECT page_id, '#' || name, origin || whole || '#' || name FROM tried WHERE href LIKE '/%')""")
 def resolve_url(spark, sf_dir):
     refs = table(spark, sf_dir, "pages").select(
-        "page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("ref")).distinct()
-    return refs.where("ref like '/%' or ref like 'http%/%'").select(
-        "page_id", "ref", urls.resolve_url(F.col("url"), F.col("ref")).alias("url"))
+        "page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    name = F.regexp_replace("href", "^/+", "")
+    forms = F.when(F.col("href").startswith("/"), F.array(
+        F.col("href"), name, *[F.concat(F.lit(p), name) for p in ("./", "../", "?q=", "#")])).otherwise(F.array("href"))
+    tried = refs.where("href like '/%' or href like 'http%/%'").select("page_id", "url", F.explode(forms).alias("ref")).distinct()
+    return tried.select("page_id", "ref", urls.resolve_url(F.col("url"), F.col("ref")).alias("url"))
 
 
 CHUNKS_SQL = f"""SELECT page_id, {ORIGIN} || '/_next/static/chunks/a' || page_id || '.js' AS url FROM pages
