@@ -1,6 +1,8 @@
 """Every operator against a brute-force version, on odd rows and on empty tables."""
 
 import hashlib
+import heapq
+import math
 import re
 import time
 import zlib
@@ -20,7 +22,7 @@ from lintlake.llm.sharding import byte_shards, write_shards
 from lintlake.llm.shingles import shingle_hashes
 from lintlake.llm.token_rollup import TokenRollup, deletes, inserts, revisions, token_counts
 from lintlake.llm.tokens import ids_of
-from lintlake.llm.toxicity import learn, maximal_segments, score_documents
+from lintlake.llm.toxicity import ToxicModel, learn, maximal_segments, score_documents, significant_features
 from lintlake.llm.warc import derivatives, derive, responses_of_pages, split_response
 
 from .conftest import ODD, prose
@@ -360,6 +362,21 @@ def test_patterns_hold_the_histogram(seed):
     assert packs <= max(least * 1.1 + 1, (lengths > 50).sum() + 1 + least * 0.2)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_patterns_pack_like_one_by_one(seed):
+    """The plan over counts needs no more packs than placing document by document on the shortest pack, give or take one in a hundred."""
+    rng = np.random.default_rng(seed)
+    lengths = np.concatenate([rng.integers(1, 101, 1500), rng.choice([30, 50, 70, 100], 500 * (seed % 3))]).tolist()
+    packs: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        if packs and packs[0] + length <= 100:
+            heapq.heapreplace(packs, packs[0] + length)
+        else:
+            heapq.heappush(packs, length)
+    planned = sum(count for count, _ in plan_patterns(dict(Counter(lengths)), 100))
+    assert planned <= len(packs) * 1.01 + 1
+
+
 # 9 toxicity
 
 def toxic_docs(n, start=0):
@@ -379,6 +396,39 @@ def test_toxic_passages(spark, docs_of):
     assert score_documents(docs_of([]), model).count() == 0
 
 
+def test_features_and_scores_by_definition(spark, docs_of):
+    """Log-odds counted word by word, and every score from segments found by trying all."""
+    rows = [(i, t) for i, t in toxic_docs(160)]
+    labelled = [(i, t, int(i % 5 == 0)) for i, t in rows]
+    weights = significant_features(spark.createDataFrame(labelled, "doc_id long, text string, toxic int"))
+    having = {0: Counter(), 1: Counter()}
+    for _, text, toxic in labelled:
+        words = set(re.findall(r"\w+", text.lower()))
+        having[toxic].update({w + "$" for w in words} | {w[:n] for w in words for n in (3, 4, 5, 6) if len(w) >= n})
+    share = sum(t for *_, t in labelled) / len(labelled)
+    expected = {}
+    for name in having[0].keys() | having[1].keys():
+        toxic, clean = having[1][name] + 4 * share, having[0][name] + 4 * (1 - share)
+        weight = math.log(toxic) - math.log(clean) - math.log(share / (1 - share))
+        if abs(weight) >= 3.5 * math.sqrt(1 / toxic + 1 / clean):
+            expected[name] = pytest.approx(weight)
+    assert expected and weights == expected
+    model = ToxicModel(weights, 0.5, 0.8, -1.0, (0.7, 0.4, -1.5), 0.0)
+    texts = [(i, t[:120] + " grumpf" * (i % 3) + (" zorkel vile" if i % 4 == 0 else "")) for i, t in toxic_docs(24, 700)] + [(1, ""), (2, None)]
+    got = {r.doc_id: r for r in score_documents(docs_of(texts), model).collect()}
+    for i, text in texts:
+        words, values = re.findall(r"\w+", (text or "").lower()), []
+        for at, word in enumerate(words):
+            known = [weights[k] for k in (word + "$", *(word[:n] for n in (6, 5, 4, 3) if len(word) >= n)) if k in weights]
+            value = (known[0] if known else 0.0) - 0.5
+            values.append(-0.5 if value > 0 and at and words[at - 1] == word else value)
+        chance = math.log(max(len(words), 1)) - 1.0
+        over = [0.8 * sc - chance for _, _, sc in brute_segments(values, 0, len(values))]
+        x = 0.7 * max(over, default=-chance) + 0.4 * math.log1p(sum(o for o in over if o > 0)) - 1.5
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-x))) and got[i].predicted == int(got[i].score >= 0.5)
+        assert sorted(p["excess"] for p in got[i].passages) == pytest.approx(sorted(o for o in over if o > 0))
+
+
 def test_nothing_to_learn(spark, docs_of, odd):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     for some in (labels, labels.limit(0)):
@@ -400,15 +450,16 @@ def test_segments_of_very_long_texts(pattern):
     assert max(s for _, _, s in found) == pytest.approx(best)
 
 
-def test_maximal_segments_by_definition():
-    def brute(scores, low, high):
-        best = max(((sum(scores[a:b]), -(b - a), -a, a, b) for a in range(low, high) for b in range(a + 1, high + 1)), default=(0,))
-        return [] if best[0] <= 0 else [*brute(scores, low, best[3]), (best[3], best[4], best[0]), *brute(scores, best[4], high)]
+def brute_segments(scores, low, high):
+    best = max(((sum(scores[a:b]), -(b - a), -a, a, b) for a in range(low, high) for b in range(a + 1, high + 1)), default=(0,))
+    return [] if best[0] <= 0 else [*brute_segments(scores, low, best[3]), (best[3], best[4], best[0]), *brute_segments(scores, best[4], high)]
+
 
+def test_maximal_segments_by_definition():
     rng = np.random.default_rng(5)
     for _ in range(60):
         scores = rng.normal(-0.2, 1, 14)
-        assert [(a, b, pytest.approx(s)) for a, b, s in brute(scores.tolist(), 0, 14)] == maximal_segments(scores)
+        assert [(a, b, pytest.approx(s)) for a, b, s in brute_segments(scores.tolist(), 0, 14)] == maximal_segments(scores)
 
 
 # 10 Jaccard join
@@ -436,6 +487,21 @@ def brute_join(rows):
     return sorted((ids[a], least[find(a)], links[a]) for a in range(len(rows)))
 
 
+def test_join_finds_the_links_of_the_given_documents(spark):
+    """Every link between whole texts of the table, found by counting shared shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shingled = {r.doc_id: sets(r.text) for r in docs.select("doc_id", "text").collect()}
+    having = defaultdict(list)
+    for i, found in shingled.items():
+        for shingle in found:
+            having[shingle].append(i)
+    links = {}
+    for i, found in shingled.items():
+        shared = Counter(j for shingle in found for j in having[shingle])
+        links[i] = sum(5 * n >= 4 * (len(found) + len(shingled[j]) - n) for j, n in shared.items() if j != i)
+    assert sum(links.values()) and {r.doc_id: r.n_links for r in similar_documents(docs).collect()} == links
+
+
 def near(seed, n, words=120, edits=2):
     base = prose(seed, words).split()
     rng = np.random.default_rng(seed)
