@@ -20,8 +20,11 @@ def join_lookup(
     ``spread`` columns, and the lookup is repeated once per salt, so a key that
     holds a third of all facts does not decide the run time. No hint is given:
     Spark broadcasts the lookup when its measured size is under the session's
-    limit, and shuffles both sides otherwise.
+    limit, and shuffles both sides otherwise. The salts are a table that is
+    cross joined, because its estimate counts the copies; that of an explode
+    does not, and a lookup in compressed files would be sent to the driver.
     """
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    numbers = lookup.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_salt"))
+    repeated = lookup.crossJoin(F.broadcast(numbers))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake.operators import budget, bundle, dependencies, migrations, suppress
+from lintlake.operators.joins import join_lookup
 from lintlake.operators.reachability import label_propagation
+from lintlake.session import settle
 
 
 # ------------------------------------------------------------------- ignore
@@ -369,3 +371,12 @@ def test_nothing_is_cut(spark, files_of):
     assert match_org_suppressions(findings, rules).first()["ignored_by_org"]
     assert not match_org_suppressions(findings, rules, limit=500).first()["ignored_by_org"]
 
+
+
+def test_lookup_in_compressed_files_is_not_broadcast_by_their_size(spark):
+    rows = spark.range(40_000).selectExpr("concat('https://zoo.example.org/', id) AS url", "repeat('x', 300) AS chunks")
+    lookup = settle(rows)  # 1 MB of files, 200 MB once it is repeated
+    facts = spark.range(1_000_000).selectExpr("concat('https://zoo.example.org/', id) AS url", "id AS page_id")
+    joined = join_lookup(facts, lookup, ["url"], ["page_id"], "inner")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 40_000
