@@ -288,19 +288,38 @@ def sarif_results(spark, sf_dir):
                        place["region"]["startLine"].alias("start_line"))
 
 
+def sarif_totals(documents):
+    """One row per scan from all parts of its document; each part carries the whole rule list."""
+    parsed = F.from_json("sarif", "runs array<struct<results:array<struct<ruleId:string>>,"
+                                  "tool:struct<driver:struct<rules:array<struct<id:string>>>>>>")
+    run = parsed["runs"][0]
+    parts = documents.select(
+        "repo_id", "part", F.size(run["results"]).cast("long").alias("n"), F.size(run["tool"]["driver"]["rules"]).cast("long").alias("rules"),
+        F.coalesce(F.try_element_at(run["results"], F.lit(1))["ruleId"], F.lit("")).alias("first"))
+    return parts.groupBy("repo_id").agg(
+        F.sum("n").alias("n_results"), F.max("rules").alias("n_rules"), F.min_by("first", "part").alias("first_rule"))
+
+
 @register("sarif_documents", core_sql("""SELECT d.repo_id, coalesce(n, 0) AS n_results, coalesce(rules, 0) AS n_rules,
     coalesce(first_rule, '') AS first_rule FROM (SELECT DISTINCT source AS repo_id FROM documents) d LEFT JOIN (
       SELECT repo_id, count(*) AS n, count(DISTINCT rule) AS rules, arg_min(rule, (file, ord, line, id)) AS first_rule
       FROM final WHERE NOT hidden GROUP BY repo_id) USING (repo_id)""", SUPPRESSED_CTES))
 def sarif_documents(spark, sf_dir):
     documents = sinks.sarif_documents(dv.derived_repositories(spark, sf_dir), settle(suppressed_findings(spark, sf_dir)))
-    parsed = F.from_json("sarif", "runs array<struct<results:array<struct<ruleId:string>>,"
-                                  "tool:struct<driver:struct<rules:array<struct<id:string>>>>>>")
-    run = parsed["runs"][0]
-    return documents.select(
-        "repo_id", F.size(run["results"]).cast("long").alias("n_results"),
-        F.size(run["tool"]["driver"]["rules"]).cast("long").alias("n_rules"),
-        F.coalesce(F.try_element_at(run["results"], F.lit(1))["ruleId"], F.lit("")).alias("first_rule"))
+    return sarif_totals(documents)
+
+
+def report_totals(reports):
+    """One row per scan from all parts of its report, ids in scan order."""
+    listed = F.from_json("json", "findings array<struct<id:string,suppressed:boolean>>")["findings"]
+    parts = reports.select(
+        "repo_id", "part", F.size(listed).cast("long").alias("n"), F.size(F.filter(listed, lambda f: f["suppressed"])).cast("long").alias("hidden"),
+        F.array_join(F.transform(listed, lambda f: f["id"]), ",").alias("ids"))
+    # The ids of a scan are one value of the result.
+    in_order = F.array_sort(F.collect_list(F.struct("part", "ids")))
+    return parts.groupBy("repo_id").agg(
+        F.sum("n").alias("n_findings"), F.sum("hidden").alias("n_suppressed"),
+        F.array_join(F.transform(in_order, lambda p: p["ids"]), ",").alias("ids"))
 
 
 @register("json_reports", core_sql("""SELECT repo_id, CAST(count(*) AS BIGINT) AS n_findings, CAST(count(*) FILTER (WHERE hidden) AS BIGINT) AS n_suppressed,
@@ -309,11 +328,7 @@ def json_reports(spark, sf_dir):
     findings = settle(suppressed_findings(spark, sf_dir))
     headers = findings.groupBy("repo_id").agg(F.count("*").alias("n"))
     reports = sinks.json_reports(headers, findings)
-    listed = F.from_json("json", "findings array<struct<id:string,suppressed:boolean>>")["findings"]
-    return reports.select(
-        "repo_id", F.size(listed).cast("long").alias("n_findings"),
-        F.size(F.filter(listed, lambda f: f["suppressed"])).cast("long").alias("n_suppressed"),
-        F.array_join(F.transform(listed, lambda f: f["id"]), ",").alias("ids"))
+    return report_totals(reports)
 
 
 def versions(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import analytics
 from lintlake.operators.scan import scan_files, unique_findings
+from lintlake.plans.finding_queries import report_totals, sarif_totals
 from lintlake.sources import corpus, sinks
 from lintlake.streaming import anchored, streams
 
@@ -149,6 +150,15 @@ def test_large_scans_go_to_several_whole_documents(spark, findings):
     assert len(one) == 1 and len(json.loads(one[0]["json"])["findings"]) == 3
 
 
+def test_totals_come_from_all_parts_of_a_document(spark, findings):
+    whole = [r["id"] for r in findings.orderBy(*analytics.SCAN_ORDER).collect()]
+    headers = spark.createDataFrame([("r", 1)], "repo_id string, n int")
+    for size in (1, 2, 10_000):
+        assert [tuple(r) for r in report_totals(sinks.json_reports(headers, findings, rows_per_document=size)).collect()] == [("r", 3, 1, ",".join(whole))]
+        documents = sinks.sarif_documents(spark.createDataFrame([("r",), ("empty",)], "repo_id string"), findings, rows_per_document=size)
+        assert sorted(tuple(r) for r in sarif_totals(documents).collect()) == [("empty", 0, 0, ""), ("r", 2, 2, "py.tls_verify_disabled")]
+
+
 def test_lake_table_round_trip(spark, findings, tmp_path):
     scans = spark.createDataFrame([("r", "2024-01-01", 90)], "repo_id string, scan_date string, score int")
     dated = findings.withColumn("scan_date", F.lit("2024-01-01"))
