@@ -14,10 +14,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,16 +101,40 @@ class CuckooFilter:
                 return
 
 
-def _postings(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(key, doc_id) of the documents' long lines, once per row; a null id counts as the smallest."""
+def shard_of(key: bytes, shards: int) -> int:
+    """Spark's ``pmod(xxhash64(key), shards)``."""
+    number = xxhash.xxh64_intdigest(key, 42)
+    return (number - (1 << 64) if number >> 63 else number) % shards
+
+
+def known_keys(keys: list[bytes], filters: dict[int, CuckooFilter], shards: int) -> np.ndarray:
+    """Which keys their shard's filter knows."""
+    where = np.array([shard_of(k, shards) for k in keys], np.int64)
+    passed = np.zeros(len(keys), bool)
+    for shard in np.unique(where).tolist():
+        if shard in filters:
+            at = np.nonzero(where == shard)[0]
+            passed[at] = filters[shard].contains([keys[i] for i in at.tolist()])
+    return passed
+
+
+def _postings(docs: DataFrame, min_chars: int, shared: Broadcast | None = None, shards: int = 0) -> DataFrame:
+    """(key, doc_id) of the documents' long lines, once per row; a null id counts as the smallest.
+
+    With ``shared`` filters only of the lines that these know: asked here, so that a task needs one Python worker.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = None if shared is None else {s: CuckooFilter.from_bytes(b) for s, b in shared.value.items()}
         for batch in sliced(batches):
             out_keys, out_ids = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = {k for line in (text or "").split("\n") if len(line) >= min_chars and (k := line_key(line, min_chars))}
                 out_keys.extend(found)
                 out_ids.extend([doc] * len(found))
+            if filters is not None:
+                passed = known_keys(out_keys, filters, shards)
+                out_keys, out_ids = list(compress(out_keys, passed)), list(compress(out_ids, passed))
             yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.binary()), pa.array(out_ids, pa.int64())], names=["key", "doc_id"])
 
     return _plain(docs).mapInArrow(keys, "key binary, doc_id long")
@@ -221,20 +248,7 @@ class LineIndex:
             return _postings(docs, self.min_chars).distinct()
         blobs = {r["shard"]: bytes(r["blob"]) for r in filters.toLocalIterator()}
         shared = self.spark.sparkContext.broadcast(blobs)
-        lines = _postings(docs, self.min_chars).withColumn("shard", self._shard())
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = {s: CuckooFilter.from_bytes(b) for s, b in shared.value.items()}
-            for batch in batches:
-                keys, where = batch.column("key").to_pylist(), batch.column("shard").to_numpy(zero_copy_only=False)
-                passed = np.zeros(len(keys), bool)
-                for shard in np.unique(where).tolist():
-                    at = np.nonzero(where == shard)[0]
-                    if shard in known:
-                        passed[at] = known[shard].contains([keys[i] for i in at.tolist()])
-                yield batch.select(["key", "doc_id"]).filter(pa.array(passed))
-
-        return lines.mapInArrow(ask, "key binary, doc_id long").distinct()
+        return _postings(docs, self.min_chars, shared, self.shards).distinct()
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """The documents with ``text`` rebuilt from the lines that stay, n_lines before and n_dropped.

@@ -16,7 +16,7 @@ from lintlake.llm.components import components
 from lintlake.llm.decontaminate import clean_documents, contaminated_pairs
 from lintlake.llm.fingerprints import closed_syncmers, code_points, decode, edit_probe, fingerprint, fingerprints, likeness
 from lintlake.llm.jaccard_join import one_of_each, similar_documents
-from lintlake.llm.lines import CuckooFilter, LineIndex, line_key
+from lintlake.llm.lines import CuckooFilter, LineIndex, line_key, shard_of
 from lintlake.llm.packing import pack_documents, plan_patterns
 from lintlake.llm.sharding import byte_shards, write_shards
 from lintlake.llm.shingles import shingle_hashes
@@ -106,6 +106,18 @@ def test_lines_are_reversible(spark, docs_of):
     assert as_rows(index.dedup(docs_of(first[:4]))) == brute_lines(first[:4], 5)
 
 
+def test_filters_are_asked_where_lines_are_read(spark, docs_of):
+    keys = [line_key("x" * 40 + str(n)) for n in range(500)]
+    rows = spark.createDataFrame([(k,) for k in keys], "key binary")
+    for shards in (64, 7):
+        found = {bytes(r[0]): r[1] for r in rows.selectExpr("key", f"pmod(xxhash64(key), {shards})").collect()}
+        assert found == {k: shard_of(k, shards) for k in keys}
+    # A task that holds two Python steps holds two workers: one step reads lines and asks, one rebuilds the texts.
+    docs = docs_of(LINES)
+    plan = LineIndex(spark).insert(docs).dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
 def test_lines_without_room_for_filters(spark, docs_of):
     index = LineIndex(spark, filter_bytes=0).insert(docs_of(LINES))
     assert as_rows(index.dedup(docs_of(LINES))) == brute_lines(LINES, 5)
