@@ -67,17 +67,21 @@ class Vocabulary:
         named = parts["model"]["vocab"]
         self.ids = {bytes(byte_of[c] for c in token): number for token, number in named.items()}
         self.bytes_of = {number: token for token, number in self.ids.items()}
-        self.rank: dict[tuple[int, int], int] = {}
+        self.ranks: dict[int, dict[int, int]] = {}  # by the left token, then the right one
         self.halves: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(parts["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             key = named[left], named[right]
-            self.rank[key] = rank
+            self.ranks.setdefault(key[0], {})[key[1]] = rank
             self.halves.setdefault(named[left + right], (*key, rank))
         self.heads = {token[:at] for token in self.ids for at in range(len(token) + 1)}
         self.added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.bytes_of |= {number: text.encode() for text, number in self.added.items()}
         self.size_of = {number: len(token) for number, token in self.bytes_of.items()}
+        # All tokens' bytes in one row, by id; the last place is that of numbers without a token, which have none.
+        tokens = [self.bytes_of.get(number, b"") for number in range(max(self.bytes_of) + 2)]
+        self._blob, self._sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens])
+        self._starts = np.cumsum(self._sizes) - self._sizes
         self._split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self._strange, self._words = plain_patterns()
         self._slow_words = Tokenizer.from_file(path).pre_tokenizer
@@ -106,9 +110,14 @@ class Vocabulary:
 
         A merge over the seam happens if both its tokens still stand at its rank; of equal ranks the leftmost pair goes first.
         """
-        answer = not any(
-            (rank := self.rank.get((a, b))) is not None and rank < a_ends and rank <= b_ends
-            for a, a_ends in self.spine(left, 1) for b, b_ends in self.spine(right, 0))
+        answer, ranks, rights = True, self.ranks, self.spine(right, 0)
+        for a, a_ends in self.spine(left, 1):
+            row = ranks.get(a)
+            if row is not None:
+                for b, b_ends in rights:
+                    rank = row.get(b)
+                    if rank is not None and rank < a_ends and rank <= b_ends:
+                        answer = False
         if len(self._seams) >= SEAMS_KEPT:
             self._seams.clear()
         self._seams[left << 32 | right] = answer
@@ -130,7 +139,8 @@ class Vocabulary:
     def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Ids of distinct words, in depth-first order of their trie. Empty words have none."""
         path, last, states = b"", [0], [0]  # at each depth of the path: its last token, and the scanner's state
-        moves, ending, seams, size_of = self._next, self._ending, self._seams, self.size_of
+        step, seam, ending, size_of = self._next.get, self._seams.get, self._ending, self.size_of
+        push, push_state = last.append, states.append
         for word in sorted(words):
             shared, most = 0, min(len(word), len(path))
             while shared + 64 <= most and word[shared:shared + 64] == path[shared:shared + 64]:
@@ -139,18 +149,17 @@ class Vocabulary:
                 shared += 1
             del last[shared + 1:], states[shared + 1:]
             state = states[-1]
-            for depth in range(shared, len(word)):
-                byte = word[depth]
-                state = moves.get(state << 8 | byte) or self._step(state, byte)
-                states.append(state)
+            for end, byte in enumerate(word[shared:], shared + 1):
+                state = step(state << 8 | byte) or self._step(state, byte)
+                push_state(state)
                 for size, token in ending[state]:
-                    start = depth + 1 - size
-                    if not start:
-                        last.append(token)
+                    if size == end:
+                        push(token)
                         break
-                    fits = seams.get(last[start] << 32 | token)
-                    if fits or fits is None and self.parted(last[start], token):
-                        last.append(token)
+                    left = last[end - size]
+                    fits = seam(left << 32 | token)
+                    if fits or fits is None and self.parted(left, token):
+                        push(token)
                         break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
@@ -178,18 +187,19 @@ class Vocabulary:
 
     def ids_of(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of distinct words. New ones go through one trie; those met lately are kept, up to twice a number."""
-        out, new = {}, []
+        out, new = {}, {}
         for word in words:
             ids = self._young.get(word)
             if ids is None:
                 ids = self._old.get(word)
                 if ids is None:
-                    new.append(word.encode())
+                    new[word.encode()] = word
                     continue
                 self._young[word] = ids
             out[word] = ids
         for word, found in self.walk(new):
-            out[word.decode()] = self._young[word.decode()] = array("i", found).tobytes()
+            word = new[word]
+            out[word] = self._young[word] = array("i", found).tobytes()
         if len(self._young) > WORDS_KEPT:
             self._young, self._old = {}, self._young
         return out
@@ -209,6 +219,17 @@ class Vocabulary:
         except KeyError:
             return b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
+    def decode_batch(self, lists: pa.ListArray) -> list[str]:
+        """Text of each list of ids; the bytes of all of them are gathered together."""
+        ids, none = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(), len(self._sizes) - 1
+        ids = np.where((ids < 0) | (ids > none), none, ids)
+        sizes = self._sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        gathered = self._blob[np.repeat(self._starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        lengths = lists.value_lengths().fill_null(0).to_numpy()
+        cuts = ends[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)].tolist()
+        return [gathered[start:end].decode("utf-8", "replace") for start, end in zip(cuts, cuts[1:])]
+
 
 @cache
 def _vocabulary(path: str) -> Vocabulary:
@@ -257,8 +278,7 @@ def decode_documents(encoded: DataFrame, ids: str = "ids", text: str = "decoded"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path or vocabulary_file())
         for batch in sliced_by_bytes(batches, ids):
-            column = batch.column(ids)
-            texts = [vocabulary.decode(column[n].as_py() or ()) for n in range(len(column))]
+            texts = vocabulary.decode_batch(batch.column(ids))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, text])
 
     return encoded.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

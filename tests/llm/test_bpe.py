@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,14 @@ def test_foreign_ids(spark):
     assert [r.decoded for r in decode_documents(rows).orderBy("n").collect()] == ["", "", "a ", "�"]
 
 
+def test_lists_are_decoded_together(vocabulary, library):
+    lists = [library.encode(t, add_special_tokens=False).ids for t in ("", "añb 日本🙂\n", "<|endoftext|> x", "prose " * 50)]
+    lists += [None, [161], [64, None, 10**9, -1, 220], []]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    for part in (column, column.slice(1, 5), column.slice(4, 1), column.slice(0, 0)):
+        assert vocabulary.decode_batch(part) == [vocabulary.decode([i for i in x or () if i is not None]) for x in part.to_pylist()]
+
+
 def test_query_against_the_library(spark, library):
     sf_dir = "/root/testdata/sf0.001"
     found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_query(spark, sf_dir).collect()}
