@@ -7,6 +7,8 @@ come from a hash of the id, so nothing key-shaped is stored in the code.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,6 +153,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrivals(rows: DataFrame, number, count: int, place: str) -> Iterator[None]:
+    """Rows come to ``place/in`` in ``count`` arrivals, told by a number column; a stream run after each takes it up before the next.
+
+    An arrival is as many files as its tasks write, so none of them goes through one task.
+    """
+    numbered = rows.withColumn("_arrival", number.cast("int"))
+    numbered.write.partitionBy("_arrival").parquet(f"{place}/all")
+    for n in range(count):
+        arrived = rows.sparkSession.read.schema(numbered.schema).parquet(f"{place}/all").where(F.col("_arrival") == n)
+        arrived.drop("_arrival").write.mode("append").parquet(f"{place}/in")
+        yield
+
+
 def _pick(kind, entry, which: int):
     """The template of an id: a constant table of texts, indexed twice."""
     tables = F.expr("array(" + ", ".join(

@@ -414,8 +414,8 @@ def scan_stream(spark, sf_dir):
     """The corpus arriving as commits whose files are spread over many micro-batches."""
     place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
     files = dv.derived_files(spark, sf_dir).withColumn("sha", F.concat(F.lit("c"), F.pmod("doc_id", F.lit(3)).cast("string")))
-    files.drop("doc_id").repartition(4).write.parquet(f"{place}/in")
-    streams.scan_stream(streams.read_file_stream(spark, f"{place}/in", 1), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    for _ in dv.arrivals(files.drop("doc_id"), F.pmod(F.xxhash64("path"), F.lit(4)), 4, place):
+        streams.scan_stream(streams.read_file_stream(spark, f"{place}/in"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
     found = spark.read.option("basePath", f"{place}/out/findings").parquet(f"{place}/out/findings")
     return shown(found)
 

@@ -15,7 +15,7 @@ from lintlake.operators import tenancy as tn
 from lintlake.operators.reachability import label_propagation
 from lintlake.operators.sessions import sessions_of_requests
 from lintlake.plans import checks as ck
-from lintlake.plans.derived import fill, table
+from lintlake.plans.derived import arrivals, fill, table
 from lintlake.plans.registry import register
 from lintlake.session import ensure_checkpoint_dir, settle
 from lintlake.sources import sinks
@@ -409,10 +409,9 @@ def rate_windows_stream(spark, sf_dir):
     number = F.when(F.expr(LATE), ARRIVALS).otherwise(F.expr("0") if low is None or low == high else F.least(
         F.lit(ARRIVALS - 1), F.floor((arrival - low) * ARRIVALS / (high - low))))
     place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rates-{uuid.uuid4().hex}"
-    for n in range(ARRIVALS + 1):  # one file after the other, so that their times tell the order
-        events.where(number == n).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-    streams.write_rate_windows(source, "user_id", 3, DAY, f"{place}/out", f"{place}/checkpoint", delay_seconds=DELAY).awaitTermination()
+    for _ in arrivals(events, number, ARRIVALS + 1, place):
+        source = spark.readStream.schema(events.schema).parquet(f"{place}/in")
+        streams.write_rate_windows(source, "user_id", 3, DAY, f"{place}/out", f"{place}/checkpoint", delay_seconds=DELAY).awaitTermination()
     decided = spark.read.parquet(f"{place}/out/windows").select(
         "event_id", "hit", "ok", "remaining", stamp("reset_at").alias("reset_at"))
     late = spark.read.parquet(f"{place}/out/late").select("event_id", "late_reason")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import analytics
 from lintlake.operators.scan import scan_files, unique_findings
+from lintlake.plans.derived import arrivals
 from lintlake.plans.finding_queries import report_totals, sarif_totals
 from lintlake.sources import corpus, sinks
 from lintlake.streaming import anchored, streams
@@ -186,3 +187,12 @@ def test_one_key_is_cut_into_ranges_of_rows(spark, ranges):
             want[n] = (start, hit)
     got = anchored.anchored_windows(events, "key", "ts", "event_id", 60, ranges).select("event_id", F.unix_seconds("window_start").alias("s"), "hit").collect()
     assert {r.event_id: (r.s, r.hit) for r in got} == want
+
+
+def test_an_arrival_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 6000, 1, 6).withColumn("x", F.col("id") % 10)
+    seen = []
+    for n, _ in enumerate(arrivals(rows, F.col("id") % 3, 3, str(tmp_path))):
+        came = spark.read.parquet(str(tmp_path / "in"))
+        seen.append((came.count(), came.where(f"id % 3 > {n}").count(), len(list((tmp_path / "in").glob("*.parquet"))) > n + 1))
+    assert seen == [(2000, 0, True), (4000, 0, True), (6000, 0, True)] and came.columns == ["id", "x"]
