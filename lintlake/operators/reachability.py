@@ -18,39 +18,59 @@ HOPS = 4  # hops of one job
 SHALLOW = 8  # jobs before the rest of the graph is contracted
 
 
-def _hop(front: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
-    """One row per node of ``front`` and of its neighbours, at its least depth. Rows of age 0 have not been expanded yet."""
-    tail = edges.select(F.col("scope").alias("_scope"), "src", "dst", "w")
-    met = front.join(tail, (F.col("scope") == F.col("_scope")) & (F.col("node") == F.col("src")) & (F.col("age") == 0), "left")
-    seen = F.struct("node", "depth", (F.col("age") + 1).alias("age"))
-    found = F.struct(F.col("dst").alias("node"), (F.col("depth") + F.col("w")).alias("depth"), F.lit(0).alias("age"))
-    rows = met.select("scope", F.explode(F.array(seen, found)).alias("r")).where("r.node is not null")
-    if max_depth is not None:
-        rows = rows.where(F.col("r.depth") <= max_depth)
-    # Among equal depths the row that was expanded counts.
-    best = F.min(F.struct("r.depth", (-F.col("r.age")).alias("age")))
-    return rows.groupBy("scope", F.col("r.node").alias("node")).agg(best.alias("b")).select(
-        "scope", "node", "b.depth", (-F.col("b.age")).alias("age"))
-
-
-def _walk(
-    start: DataFrame, edges: DataFrame, max_depth: int | None, jobs: int | None = None
-) -> tuple[list[DataFrame], DataFrame | None]:
-    """Tables of (scope, node, depth, age), and the nodes still to be expanded if ``jobs`` ended the walk.
-
-    A later table holds a node again only at a lesser depth, which weights other than one can cause.
+def _hops(front: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """(scope, node, depth, hop): the least depth by at most ``HOPS`` hops from ``front``, and the fewest hops that give it.
+
+    Rows of hop 0 are ``front`` itself, rows of hop ``HOPS`` have not been expanded yet. Only the nodes of the last hop are
+    kept in hash tables, one row a node; edges stream past them unsorted.
+    """
+    # Said here, or else the optimizer says it in one use of a level and not in the other, and both are computed.
+    tail = edges.select(F.col("scope").alias("_scope"), "src", "dst", "w").where("_scope is not null and src is not null and dst is not null")
+    levels = [front.select("scope", "node", "depth")]
+    for _ in range(HOPS):
+        met = tail.join(levels[-1].hint("shuffle_hash"), (F.col("scope") == F.col("_scope")) & (F.col("node") == F.col("src")))
+        found = met.select("scope", F.col("dst").alias("node"), (F.col("depth") + F.col("w")).alias("depth"))
+        if max_depth is not None:
+            found = found.where(F.col("depth") <= max_depth)
+        levels.append(found.groupBy("scope", "node").agg(F.min("depth").alias("depth")))
+    # One number holds both, so that the least is found by hashing; a struct would be sorted.
+    ranks = [rows.select("scope", "node", (F.col("depth").cast("long") * (HOPS + 1) + hop).alias("rank")) for hop, rows in enumerate(levels)]
+    best = reduce(DataFrame.unionByName, ranks).groupBy("scope", "node").agg(F.min("rank").alias("rank"))
+    hop = F.col("rank") % (HOPS + 1)
+    return best.select("scope", "node", ((F.col("rank") - hop) / (HOPS + 1)).cast("int").alias("depth"), hop.cast("int").alias("hop"))
+
+
+def _levels(
+    start: DataFrame, edges: DataFrame, max_depth: int | None
+) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Walk edges of weight one for ``SHALLOW`` jobs: the nodes reached, those still to be expanded (None: none), the edges left.
+
+    A node that is found later lies no nearer, so edges into nodes that were reached are dropped after each job.
     """
     parts, front = [start], start
-    while jobs is None or len(parts) <= jobs:
-        step = reduce(lambda rows, _: _hop(rows, edges, max_depth), range(HOPS), front)
+    for _ in range(SHALLOW):
+        step = settle(_hops(front, edges, max_depth))
+        parts.append(step.where("hop > 0").select("scope", "node", "depth"))
+        front = step.where(F.col("hop") == HOPS)
+        if front.isEmpty():
+            return reduce(DataFrame.unionByName, parts), None, edges
+        known = step.select("scope", F.col("node").alias("dst")).hint("shuffle_hash")
+        edges = settle(edges.join(known, ["scope", "dst"], "left_anti").select("scope", "src", "dst", "w"))
+    return reduce(DataFrame.unionByName, parts), front, edges
+
+
+def _walk(start: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """(scope, node, depth) of all nodes reached over edges of any weight; a node may be there again at a lesser depth."""
+    parts, front = [start.select("scope", "node", "depth")], start
+    while True:
         before = reduce(DataFrame.unionByName, parts).select(
             F.col("scope").alias("_scope"), F.col("node").alias("_node"), F.col("depth").alias("_depth"))
         known = (F.col("scope") == F.col("_scope")) & (F.col("node") == F.col("_node")) & (F.col("_depth") <= F.col("depth"))
-        parts.append(settle(step.join(before, known, "left_anti")))
-        front = parts[-1].where("age = 0")
+        step = settle(_hops(front, edges, max_depth).join(before.hint("shuffle_hash"), known, "left_anti"))
+        parts.append(step.select("scope", "node", "depth"))
+        front = step.where(F.col("hop") == HOPS)
         if front.isEmpty():
-            return parts, None
-    return parts, front
+            return reduce(DataFrame.unionByName, parts)
 
 
 def _hang(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,10 +106,8 @@ def _hang(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pointers.where("free").drop("free"), settle(others)
 
 
-def _deep(front: DataFrame, reached: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
-    """(scope, node, depth) of the nodes beyond ``reached``, whose last nodes are ``front``."""
-    known = reached.select("scope", F.col("node").alias("dst"))
-    rest = settle(edges.join(known, ["scope", "dst"], "left_anti"))
+def _deep(front: DataFrame, rest: DataFrame, max_depth: int | None) -> DataFrame:
+    """(scope, node, depth) of the nodes beyond ``front`` over ``rest``, the edges into nodes that were not reached so far."""
     hung, size = [], rest.count()
     while size:
         tree, rest = _hang(rest)
@@ -97,8 +115,7 @@ def _deep(front: DataFrame, reached: DataFrame, edges: DataFrame, max_depth: int
         before, size = size, rest.count()
         if 2 * size > before:
             break
-    parts, _ = _walk(front, rest, max_depth)
-    found = reduce(DataFrame.unionByName, parts).groupBy("scope", "node").agg(F.min("depth").alias("depth"))
+    found = _walk(front, rest, max_depth).groupBy("scope", "node").agg(F.min("depth").alias("depth"))
     for tree in reversed(hung):
         found = settle(found)
         below = tree.join(found.withColumnRenamed("node", "up"), ["scope", "up"])
@@ -114,14 +131,14 @@ def label_propagation(
 
     ``edges`` is (scope, src, dst), ``sources`` (scope, node), ``sinks`` (scope, node, rule). Null scopes and nodes are
     linked with nothing; repeated rows count once, but repeated sinks are repeated in the result. A job walks ``HOPS`` hops and
-    shuffles the edges once; chains, trees and rows of diamonds take a number of jobs that grows with the logarithm of
-    their length, other graphs one per ``HOPS`` hops. A node with very many edges is split by the adaptive skew join.
+    shuffles the edges into nodes not reached so far; chains, trees and rows of diamonds take a number of jobs that grows
+    with the logarithm of their length, other graphs one per ``HOPS`` hops. The edges of one node are read by one task a hop,
+    as a stream; hash tables hold a partition's nodes, so ``spark.sql.shuffle.partitions`` has to grow with the graph.
     Every job's result is settled: lineage stays short and a lost executor repeats one job.
     """
     edges = settle(edges.select("scope", "src", "dst").dropna().where("src <> dst").distinct().withColumn("w", F.lit(1)))
-    start = sources.select("scope", "node").dropna().distinct().select("*", F.lit(0).alias("depth"), F.lit(0).alias("age"))
-    parts, front = _walk(settle(start), edges, max_depth, SHALLOW)
-    reached = reduce(DataFrame.unionByName, parts).select("scope", "node", "depth")
+    start = settle(sources.select("scope", "node").dropna().distinct().withColumn("depth", F.lit(0)))
+    reached, front, rest = _levels(start, edges, max_depth)
     if front is not None:
-        reached = reached.unionByName(_deep(front, reached, edges, max_depth))
-    return sinks.join(reached, ["scope", "node"]).select("scope", "node", "rule", "depth")
+        reached = reached.unionByName(_deep(front, rest, max_depth))
+    return sinks.join(reached.hint("shuffle_hash"), ["scope", "node"]).select("scope", "node", "rule", "depth")

@@ -285,6 +285,30 @@ def test_a_long_chain_takes_few_jobs(spark, monkeypatch):
     assert len(settled) < 30
 
 
+def test_a_job_walks_edges_into_unreached_nodes_only_and_sorts_none(spark, monkeypatch):
+    from lintlake.operators import reachability
+
+    settled, settle = [], reachability.settle
+
+    def recorded(df):
+        plan, table = df._jdf.queryExecution().executedPlan().toString(), settle(df)
+        settled.append((table, plan))
+        return table
+
+    monkeypatch.setattr(reachability, "HOPS", 2)
+    monkeypatch.setattr(reachability, "settle", recorded)
+    # Layers of ten nodes; each node leads to all of the next layer and back to all of the one before.
+    layers = [(i, j) for i in range(7) for j in (i - 1, i + 1) if 0 <= j < 7]
+    edges = [("s", 10 * i + a, 10 * j + b) for i, j in layers for a in range(10) for b in range(10)]
+    sources = [("s", a) for a in range(10)]
+    assert reach(spark, edges, sources) == sorted(fewest_hops(edges, sources))
+    left = [table.count() for table, _ in settled if "src" in table.columns]
+    into = lambda depth: sum(dst // 10 > depth for _, _, dst in edges)
+    assert left == [len(edges), into(2), into(4), into(6)]
+    plans = [plan for table, plan in settled if "hop" in table.columns]
+    assert plans and not any("Sort" in plan or "BroadcastHashJoin" in plan for plan in plans)
+
+
 # ------------------------------------------------------- ordered computations
 def test_running_totals_and_previous_values_of_a_hot_key(spark):
     from lintlake.operators.ordered import previous_value, running_totals
